@@ -211,3 +211,132 @@ ORACLES.update({
         UNION ALL SELECT page_id, url, NULL::BIGINT AS html_length, 'Content extraction failed' AS error
         FROM {FETCHES} WHERE NOT success""",
 })
+
+
+# --- round trip over the listing pages (read back from ``part``) ------------------
+
+ITEMS = """(SELECT 1000000000 + CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS BIGINT) * 1000000
+                 + CAST(floor(p_partkey / 200) AS BIGINT) AS page_id,
+        row_number() OVER (PARTITION BY p_brand, floor(p_partkey / 200) ORDER BY p_partkey) - 1 AS elem_pos,
+        p_partkey, p_brand, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS name, p_name,
+        trim(regexp_replace(p_type, '\\s+', ' ', 'g')) AS ptype, p_size, printf('%.2f', p_retailprice) AS price,
+        'https://shop.example.com/brand/' || replace(p_brand, '#', '') || '/' || CAST(CAST(floor(p_partkey / 200) AS BIGINT) AS VARCHAR)
+          || '/index.html' AS url,
+        trim(regexp_replace(trim(p_name) || ' [Image: ' || trim(p_name) || '] ' || printf('%.2f', p_retailprice) || ' '
+          || p_type || ' size ' || CAST(p_size AS VARCHAR), '\\s+', ' ', 'g')) AS main_content
+    FROM part)"""
+
+IMG = "'https://shop.example.com/brand/' || replace(p_brand, '#', '') || '/img/' || CAST(p_partkey AS VARCHAR) || '.jpg'"
+LINK = "'https://shop.example.com/p/' || CAST(p_partkey AS VARCHAR)"
+TAGJ = "CASE WHEN ptype = 'size ' || CAST(p_size AS VARCHAR) THEN ptype ELSE ptype || ' | size ' || CAST(p_size AS VARCHAR) END"
+LISTING_PAGES = f"(SELECT DISTINCT page_id, url FROM {ITEMS})"
+ORIGIN = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+PAGE_LINKS = f"""(SELECT page_id, url, unnest(generate_series(0, len(h) - 1)) AS pos, unnest(h) AS raw_href, unnest(t) AS raw_text
+    FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h,
+                 regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages) WHERE len(h) > 0)"""
+
+
+def e1(t: str) -> str:
+    x = f"regexp_extract_all({t}, '(?s)\\s*(\\S.{{9,}}?[.!?]|\\S.*$)', 1)"
+    return (f"CASE WHEN length({t}) < 50 THEN {t} ELSE "
+            f"array_to_string(list_filter({x}, lambda v, i: list_position({x}, v) = i), ' ') END")
+
+
+def ws_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def norm(x: str) -> str:
+    return f"regexp_replace({ws_strip(f'lower({x})')}, '\\s+', ' ', 'g')"
+
+
+AD_TEXT = f"trim(regexp_replace({decode(chr(34).join(['regexp_extract(html, ' + chr(39) + '<div class=', 'ad', '>([^<]*)</div>' + chr(39) + ', 1)']))}, '\\s+', ' ', 'g'))"
+H1_TEXT = f"trim(regexp_replace({decode('regexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)')}, '\\s+', ' ', 'g'))"
+SECTIONS = f"""(SELECT page_id, sel_pos, section_key, selector, content, element_count FROM (
+      SELECT page_id, 0 AS sel_pos, 'selector_1_article' AS section_key, 'article' AS selector,
+             {e1('a')} AS content, 1 AS element_count FROM (SELECT page_id, {_article_text()} AS a FROM pages)
+      UNION ALL SELECT page_id, 1, 'selector_2_.ad', '.ad', {e1('a')}, 1 FROM (SELECT page_id, {AD_TEXT} AS a FROM pages)
+      UNION ALL SELECT page_id, 2, 'selector_3_h1', 'h1', {e1('a')}, 1 FROM (SELECT page_id, {H1_TEXT} AS a FROM pages))
+    WHERE content <> '')"""
+BLOCKS_E2 = """CASE WHEN len(b1) > 1 THEN b1 WHEN len(b2) > 1 THEN b2 ELSE b3 END"""
+BLOCK_SRC = f"""(SELECT doc_id, text,
+      list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {ws_strip('x')}), lambda x: x <> '') AS b1,
+      list_filter(list_transform(string_split(text, chr(10)), lambda x: {ws_strip('x')}), lambda x: x <> '') AS b2,
+      list_filter(list_transform(string_split(text, '.'), lambda x: {ws_strip('x')}), lambda x: x <> '' AND length(x) > 20) AS b3
+    FROM documents)"""
+TEXT_VOLUME = """list_sum(list_transform(list_filter(regexp_extract_all({src}, '>([^<]+)<', 1), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(12)) <> ''), lambda x: length({dx})))"""
+
+
+def _volume(src: str) -> str:
+    return f"coalesce({TEXT_VOLUME.format(src=src, dx=decode('x'))}, 0)"
+
+
+NO_SCRIPT = "regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', '', 'g')"
+
+ORACLES.update({
+    "f1_array_items": f"SELECT page_id, elem_pos, main_content, len({words('main_content')}) AS word_count, length(main_content) AS char_count FROM {ITEMS}",
+    "f2_limit_per_page": f"SELECT page_id, elem_pos, main_content FROM {ITEMS} WHERE elem_pos < 5",
+    "f3_min_item_text": f"SELECT page_id, count(*) AS kept_items, 0::BIGINT AS kept_prices FROM {ITEMS} GROUP BY page_id",
+    "f4_sub_text": f"SELECT page_id, elem_pos, name AS title, {TAGJ} AS tag FROM {ITEMS}",
+    "f5_sub_image": f"SELECT page_id, elem_pos, {IMG} AS image FROM {ITEMS}",
+    "f6_image_src": f"SELECT page_id, 11 + 11 * elem_pos AS nid, '../img/' || CAST(p_partkey AS VARCHAR) || '.jpg' AS src FROM {ITEMS}",
+    "f7_sub_link": f"SELECT page_id, elem_pos, {LINK} AS link FROM {ITEMS}",
+    "f8_absolute_url": f"SELECT page_id, pos, {ORIGIN} || {decode('raw_href')} AS href FROM {PAGE_LINKS}",
+    "f10_flatten_field": f"SELECT page_id, elem_pos, {TAGJ} AS tag_join, ptype AS tag_first FROM {ITEMS}",
+    "f11_pivot_fields": f"SELECT page_id, elem_pos AS index, name AS title, {IMG} AS image, {LINK} AS link, {TAGJ} AS tag, price FROM {ITEMS}",
+    "f12_array_summary": f"""SELECT page_id, 'items' AS array_name, count(*) AS count, 'title,image,link,tag,price' AS sub_selectors_used,
+          false AS deduplication_applied FROM {ITEMS} GROUP BY page_id
+        UNION ALL SELECT page_id, 'none', 0, '', false FROM {LISTING_PAGES}""",
+    "f13_page_array_summary": f"""SELECT page_id, 2::BIGINT AS total_selectors, count(*) AS total_items_extracted,
+          'items' AS successful_selectors, sum(len({words('main_content')}))::BIGINT AS total_words FROM {ITEMS} GROUP BY page_id""",
+    "f15_format_flat": f"SELECT page_id, string_agg(main_content, chr(10) || chr(10) ORDER BY elem_pos) AS content FROM {ITEMS} GROUP BY page_id",
+    "f16_format_summary": f"""SELECT page_id, 'items: ' || CAST(count(*) AS VARCHAR) || ' items found with selector ''.it'' (order preserved)'
+          || chr(10) || 'none: 0 items found with selector ''.none'' (order preserved)' AS content FROM {ITEMS} GROUP BY page_id""",
+    "f18_array_batch": f"""SELECT url, true AS success, least(count(*), 20) AS total_found FROM {ITEMS} GROUP BY url
+        UNION ALL SELECT url || '?missing', false, 0 FROM {LISTING_PAGES}""",
+
+    "l1_extract_links": f"SELECT page_id, pos, {ORIGIN} || {decode('raw_href')} AS href, trim({decode('raw_text')}) AS text FROM {PAGE_LINKS}",
+    "l2_split_internal_external": f"""SELECT page_id, pos, {ORIGIN} || {decode('raw_href')} AS href, true AS internal FROM {PAGE_LINKS}
+        UNION ALL SELECT page_id, elem_pos, {LINK}, true FROM {ITEMS}""",
+    "l3_exclude_external_links": f"SELECT page_id, count(*) AS internal_links FROM {PAGE_LINKS} GROUP BY page_id",
+    "l4_extract_images": f"SELECT page_id, elem_pos AS pos, {IMG} AS src, p_name AS alt, '' AS title FROM {ITEMS}",
+    "l6_link_graph": f"""SELECT {ORIGIN} || {decode('raw_href')} AS target, count(*) AS in_degree, count(DISTINCT url) AS referring_pages
+        FROM {PAGE_LINKS} GROUP BY 1""",
+
+    "d1_sections": f"SELECT page_id, sel_pos, content, element_count, len({words('content')}) AS word_count FROM {SECTIONS}",
+    "d2_section_key": f"SELECT page_id, section_key, selector FROM {SECTIONS}",
+    "d3_fallback_section": f"""SELECT page_id, 'fallback' AS section_key, {e1('a')} AS content, 1::BIGINT AS element_count
+        FROM (SELECT page_id, {_article_text()} AS a FROM pages)""",
+    "d5_order_sections": f"""SELECT page_id, section_key, CASE WHEN contains(selector, '#') THEN 3
+          WHEN contains(selector, '.') OR contains(selector, '[') THEN 2 ELSE 1 END AS priority,
+        row_number() OVER (PARTITION BY page_id ORDER BY length(content) DESC,
+          CASE WHEN contains(selector, '#') THEN 3 WHEN contains(selector, '.') OR contains(selector, '[') THEN 2 ELSE 1 END DESC,
+          sel_pos) AS rank FROM {SECTIONS}""",
+    "d11_selector_coverage": f"""WITH p AS (SELECT {HOST} AS host, page_id, len({words(_article_text())}) AS w FROM pages),
+        h AS (SELECT host, count(*) AS pages, avg(w) AS mw FROM p GROUP BY host)
+        SELECT host, selector, CASE WHEN selector = 'article' THEN pages ELSE 0 END AS pages_matched,
+               CASE WHEN selector = 'article' THEN 1.0 ELSE 0.0 END::DOUBLE AS share,
+               CASE WHEN selector = 'article' THEN round_even(mw, 4) END::DOUBLE AS mean_words,
+               CASE selector WHEN 'article' THEN 1 WHEN 'main' THEN 2 WHEN '.content' THEN 3 WHEN '#main-content' THEN 4
+                    ELSE 5 END::BIGINT AS suggested_rank
+        FROM h, (SELECT unnest(['main', 'article', '.content', '#main-content', '.post-content']) AS selector)""",
+    "d12_exclude_coverage": f"""WITH p AS (SELECT {HOST} AS host, {_volume(NO_SCRIPT)} AS total,
+          {_volume("regexp_extract(html, '(?s)<nav>.*</nav>')")} AS nav,
+          {_volume("regexp_extract(html, '(?s)<footer>.*</footer>')")} AS foot FROM pages),
+        h AS (SELECT host, sum(total) AS total, sum(nav) AS nav, sum(foot) AS foot FROM p GROUP BY host)
+        SELECT host, unnest(['nav', '.sidebar', '.advertisement', 'footer', '.comments']) AS selector,
+               unnest([nav, 0, 0, foot, 0])::BIGINT AS removed, total::BIGINT AS total FROM h""",
+
+    "e1_dedup_sentences": f"SELECT doc_id, {e1('t')} AS text FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)",
+    "e2_split_blocks": f"SELECT doc_id, len({BLOCKS_E2}) AS n_blocks, array_to_string({BLOCKS_E2}, ' || ') AS blocks FROM {BLOCK_SRC}",
+    "e3_dedup_blocks_exact": f"""SELECT doc_id, pos, block FROM (SELECT doc_id, pos, block,
+          row_number() OVER (PARTITION BY doc_id, {norm('block')} ORDER BY pos) AS rn
+        FROM (SELECT doc_id, unnest(generate_series(0, len(bl) - 1)) AS pos, unnest(bl) AS block
+              FROM (SELECT doc_id, {BLOCKS_E2} AS bl FROM {BLOCK_SRC}) WHERE len(bl) > 0)
+        WHERE length({norm('block')}) >= 15) WHERE rn = 1""",
+    "e10_exact_duplicates": f"""SELECT doc_id, min(doc_id) OVER (PARTITION BY {norm('text')}) AS rep,
+        count(*) OVER (PARTITION BY {norm('text')}) AS copies FROM documents""",
+    "e11_duplicate_blocks_corpus": f"""SELECT source, md5(n) AS h, n AS block, count(DISTINCT doc_id) AS docs
+        FROM (SELECT source, doc_id, {norm('line')} AS n FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line
+              FROM documents)) WHERE length(n) >= 15 GROUP BY source, n HAVING count(DISTINCT doc_id) >= 3""",
+})

@@ -426,3 +426,301 @@ def t11(spark, d):
     good = r.filter("success").select("page_id", "url", F.length("html").cast("long").alias("html_length"))
     bad = r.filter(~F.col("success")).select("page_id", "url", "error")
     return W.union_results(good, bad)
+
+
+# --- 2.F, 2.G (round trip over listing pages built from ``part``) ----------------
+
+from ..operators import arrays as A, dedup as E, media as M  # noqa: E402
+from ..plans import selective as S  # noqa: E402
+from ..profiles import ArraySpec, SelectiveSpec  # noqa: E402
+
+LISTING_SPEC = ArraySpec("items", ".it", (("title", "h2"), ("image", "img"), ("link", "a"), ("tag", ".tag"),
+                                          ("price", ".price")), None)
+EMPTY_SPEC = ArraySpec("none", ".none", (), None)
+
+
+def _items(spark, d, specs=(LISTING_SPEC,), dedup=False):
+    lp = _listing(spark, d)
+    it = A.array_items(dom.explode_nodes(lp), list(specs), dedup_items=dedup)
+    return A.absolutize(it.join(lp.select("page_id", "url"), "page_id"), list(specs)), lp
+
+
+@query("f1_array_items")
+def f1(spark, d):
+    it, _ = _items(spark, d)
+    return it.select("page_id", F.col("elem_pos").cast("long").alias("elem_pos"), "main_content",
+                     F.col("word_count").cast("long").alias("word_count"),
+                     F.col("char_count").cast("long").alias("char_count"))
+
+
+@query("f2_limit_per_page")
+def f2(spark, d):
+    spec = ArraySpec("items", ".it", (), 5)
+    it, _ = _items(spark, d, (spec,))
+    return it.select("page_id", F.col("elem_pos").cast("long").alias("elem_pos"), "main_content")
+
+
+@query("f3_min_item_text")
+def f3(spark, d):
+    spec = ArraySpec("prices", ".price", (), None)   # price texts are under 15 chars: all dropped
+    it, lp = _items(spark, d, (LISTING_SPEC, spec))
+    return lp.select("page_id").join(
+        it.groupBy("page_id").agg(F.count_if(F.col("spec") == 0).alias("kept_items"),
+                                  F.count_if(F.col("spec") == 1).alias("kept_prices")), "page_id", "left") \
+        .select("page_id", F.coalesce("kept_items", F.lit(0)).alias("kept_items"),
+                F.coalesce("kept_prices", F.lit(0)).alias("kept_prices"))
+
+
+@query("f4_sub_text")
+def f4(spark, d):
+    it, _ = _items(spark, d)
+    return it.select("page_id", F.col("elem_pos").cast("long").alias("elem_pos"),
+                     A.flatten_field(F.col("fields")["title"]).alias("title"),
+                     A.flatten_field(F.col("fields")["tag"]).alias("tag"))
+
+
+@query("f5_sub_image")
+def f5(spark, d):
+    it, _ = _items(spark, d)
+    return it.select("page_id", F.col("elem_pos").cast("long").alias("elem_pos"),
+                     A.flatten_field(F.col("fields")["image"]).alias("image"))
+
+
+@query("f6_image_src")
+def f6(spark, d):
+    n = dom.explode_nodes(_listing(spark, d))
+    img = n.filter((F.col("kind") == "elem") & (F.col("tag") == "img"))
+    return img.select("page_id", F.col("nid").cast("long").alias("nid"), A.image_src(F.col("attrs")).alias("src"))
+
+
+@query("f7_sub_link")
+def f7(spark, d):
+    it, _ = _items(spark, d)
+    return it.select("page_id", F.col("elem_pos").cast("long").alias("elem_pos"),
+                     A.flatten_field(F.col("fields")["link"]).alias("link"))
+
+
+@query("f8_absolute_url")
+def f8(spark, d):
+    links = M.extract_links(_nodes(spark, d), tbl(spark, d, "pages"))
+    return links.select("page_id", "pos", "href")
+
+
+@query("f10_flatten_field")
+def f10(spark, d):
+    it, _ = _items(spark, d)
+    return it.select("page_id", F.col("elem_pos").cast("long").alias("elem_pos"),
+                     A.flatten_field(F.col("fields")["tag"], "join").alias("tag_join"),
+                     A.flatten_field(F.col("fields")["tag"], "first").alias("tag_first"))
+
+
+@query("f11_pivot_fields")
+def f11(spark, d):
+    it, _ = _items(spark, d)
+    out = A.pivot_fields(it, ["title", "image", "link", "tag", "price"])
+    return out.select("page_id", F.col("index").cast("long").alias("index"), "title", "image", "link", "tag", "price")
+
+
+@query("f12_array_summary")
+def f12(spark, d):
+    specs = [LISTING_SPEC, EMPTY_SPEC]
+    it, lp = _items(spark, d, specs)
+    s = A.array_summary(it, lp, specs, before=it)
+    return s.select("page_id", "array_name", F.col("count").cast("long").alias("count"),
+                    F.array_join("sub_selectors_used", ",").alias("sub_selectors_used"),
+                    "deduplication_applied")
+
+
+@query("f13_page_array_summary")
+def f13(spark, d):
+    specs = [LISTING_SPEC, EMPTY_SPEC]
+    it, lp = _items(spark, d, specs)
+    s = A.page_array_summary(A.array_summary(it, lp, specs), it)
+    return s.select("page_id", F.col("total_selectors").cast("long").alias("total_selectors"),
+                    "total_items_extracted", F.array_join("successful_selectors", ",").alias("successful_selectors"),
+                    "total_words")
+
+
+@query("f15_format_flat")
+def f15(spark, d):
+    it, _ = _items(spark, d)
+    return A.format_flat(it)
+
+
+@query("f16_format_summary")
+def f16(spark, d):
+    specs = [LISTING_SPEC, EMPTY_SPEC]
+    it, lp = _items(spark, d, specs)
+    return A.format_summary(A.array_summary(it, lp, specs))
+
+
+@query("f17_array_extract")
+def f17(spark, d):
+    specs = [LISTING_SPEC]
+    it, lp = _items(spark, d, specs, dedup=True)
+    s = A.array_summary(it, lp, specs)
+    return A.format_structured(it, s, specs)
+
+
+@query("f18_array_batch")
+def f18(spark, d):
+    lp = _listing(spark, d)
+    reqs = lp.select(F.lit(0).alias("b"), F.col("url")).union(
+        lp.select(F.lit(0).alias("b"), F.concat("url", F.lit("?missing")).alias("url")))
+    reqs = reqs.select("b", F.posexplode(F.array("url")).alias("batch_pos", "url"))
+    found = P.lookup_urls(reqs.select(F.col("b").alias("batch_id"), "batch_pos", "url"), lp)
+    it, _ = _items(spark, d, (ArraySpec("items", ".it", (), 20),))
+    per = it.groupBy("page_id").agg(F.count(F.lit(1)).alias("total_found"))
+    return found.join(per, "page_id", "left").select(
+        "url", F.col("found").alias("success"), F.coalesce("total_found", F.lit(0)).alias("total_found"))
+
+
+@query("l1_extract_links")
+def l1(spark, d):
+    return M.extract_links(_nodes(spark, d), tbl(spark, d, "pages")).select("page_id", "pos", "href", "text")
+
+
+@query("l2_split_internal_external")
+def l2(spark, d):
+    pages = tbl(spark, d, "pages").unionByName(_listing(spark, d))
+    links = M.split_internal_external(M.extract_links(dom.explode_nodes(pages), pages))
+    return links.select("page_id", "pos", "href", "internal")
+
+
+@query("l3_exclude_external_links")
+def l3(spark, d):
+    links = M.exclude_external_links(M.extract_links(_nodes(spark, d), tbl(spark, d, "pages")))
+    return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("internal_links"))
+
+
+@query("l4_extract_images")
+def l4(spark, d):
+    lp = _listing(spark, d)
+    return M.extract_images(dom.explode_nodes(lp), lp)
+
+
+@query("l6_link_graph")
+def l6(spark, d):
+    in_d, _ = M.link_graph(M.extract_links(_nodes(spark, d), tbl(spark, d, "pages")))
+    return in_d
+
+
+# --- 2.D, 2.E ---------------------------------------------------------------------
+
+D1_SELECTORS = ["article", ".ad", "h1", "nav", ".none"]
+
+
+def _sel_clean(spark, d, exclude=()):
+    return S.selective_nodes(_nodes(spark, d), exclude)
+
+
+@query("d1_sections")
+def d1(spark, d):
+    s = S.sections(_sel_clean(spark, d), D1_SELECTORS)
+    return s.select("page_id", F.col("sel_pos").cast("long").alias("sel_pos"), "content",
+                    F.col("element_count").cast("long").alias("element_count"),
+                    X.word_count("content").cast("long").alias("word_count"))
+
+
+@query("d2_section_key")
+def d2(spark, d):
+    s = S.sections(_sel_clean(spark, d), D1_SELECTORS)
+    return s.select("page_id", "section_key", "selector")
+
+
+@query("d3_fallback_section")
+def d3(spark, d):
+    clean = _sel_clean(spark, d)
+    secs = S.with_fallback(tbl(spark, d, "pages"), clean, S.sections(clean, [".none"]), True)
+    return secs.select("page_id", "section_key", "content", F.col("element_count").cast("long").alias("element_count"))
+
+
+@query("d5_order_sections")
+def d5(spark, d):
+    o = S.order_sections(S.sections(_sel_clean(spark, d), D1_SELECTORS))
+    return o.select("page_id", "section_key", F.col("priority").cast("long").alias("priority"),
+                    F.col("rank").cast("long").alias("rank"))
+
+
+@query("d6_drop_nested_sections")
+def d6(spark, d):
+    o = S.order_sections(S.sections(_sel_clean(spark, d), D1_SELECTORS))
+    return S.drop_nested_sections(o).select("page_id", "section_key", F.col("rank").cast("long").alias("rank"))
+
+
+@query("d9_selective")
+def d9(spark, d):
+    r = S.selective(tbl(spark, d, "pages"), SelectiveSpec(("article", ".ad", "h1"), (".none",), 5000))
+    return r.select("page_id", "title", "content", F.col("word_count").cast("long").alias("word_count"),
+                    F.col("total_sections").cast("long").alias("total_sections"), "extraction_method")
+
+
+@query("d10_dedup_stats")
+def d10(spark, d):
+    r = S.selective(tbl(spark, d, "pages"), SelectiveSpec(("article", "h1"), (), None))
+    return r.select("page_id", F.col("selectors_provided").cast("long").alias("selectors_provided"),
+                    F.col("total_sections").cast("long").alias("unique_sections_found"), "deduplication_applied")
+
+
+@query("d11_selector_coverage")
+def d11(spark, d):
+    pages = tbl(spark, d, "pages")
+    c = S.selector_coverage(pages, dom.explode_nodes(pages))
+    return c.select("host", "selector", F.col("pages_matched").cast("long").alias("pages_matched"),
+                    F.col("share").cast("double").alias("share"),
+                    F.bround("mean_words", 4).alias("mean_words"),
+                    F.col("suggested_rank").cast("long").alias("suggested_rank"))
+
+
+@query("d12_exclude_coverage")
+def d12(spark, d):
+    pages = tbl(spark, d, "pages")
+    c = S.exclude_coverage(pages, dom.explode_nodes(pages))
+    return c.select("host", "selector", F.col("removed").cast("long").alias("removed"),
+                    F.col("total").cast("long").alias("total"))
+
+
+@query("e1_dedup_sentences")
+def e1(spark, d):
+    return tbl(spark, d, "documents").select("doc_id", X.dedup_sentences(X.collapse_ws("text")).alias("text"))
+
+
+@query("e2_split_blocks")
+def e2(spark, d):
+    b = X.split_blocks(F.col("text"))
+    return tbl(spark, d, "documents").select("doc_id", F.size(b).cast("long").alias("n_blocks"),
+                                             F.array_join(b, " || ").alias("blocks"))
+
+
+@query("e3_dedup_blocks_exact")
+def e3(spark, d):
+    r = E.dedup_blocks_exact(tbl(spark, d, "documents"), "doc_id", "text")
+    return r.select("doc_id", F.col("pos").cast("long").alias("pos"), "block")
+
+
+@query("e4_dedup_blocks")
+def e4(spark, d):
+    return tbl(spark, d, "documents").select("doc_id", E.dedup_blocks(F.col("text")).alias("text"))
+
+
+@query("e9_dedup_items")
+def e9(spark, d):
+    it, _ = _items(spark, d, (LISTING_SPEC,), dedup=True)
+    return it.select("page_id", F.col("index").cast("long").alias("index"), "main_content")
+
+
+@query("e10_exact_duplicates")
+def e10(spark, d):
+    return E.exact_duplicates(tbl(spark, d, "documents"), "doc_id", "text").select(
+        "doc_id", "rep", F.col("copies").cast("long").alias("copies"))
+
+
+@query("e10_near_duplicates")
+def e10n(spark, d):
+    return E.near_duplicates(tbl(spark, d, "documents"), "doc_id", "text")
+
+
+@query("e11_duplicate_blocks_corpus")
+def e11(spark, d):
+    r = E.duplicate_blocks_corpus(tbl(spark, d, "documents"), "doc_id", "text", "source", 3)
+    return r.select("source", "h", "block", F.col("docs").cast("long").alias("docs"))
