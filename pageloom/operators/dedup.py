@@ -169,30 +169,40 @@ def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     return h.join(rep, "h").select(key, "rep", "copies")
 
 
-def shingles(c: Column, k: int = 5) -> Column:
-    """Distinct word k-shingles of normalised text, hashed to longs."""
-    w = F.split(_norm(c), " ")
-    n = F.size(w)
+def shingles(words: Column, k: int = 5) -> Column:
+    """Distinct word k-shingles hashed to longs. ``words`` must be a plain
+    column reference: lambda bodies re-evaluate outer expressions per
+    element, so the split is materialised before this is applied."""
+    n = F.size(words)
     idx = F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))
-    return F.array_distinct(F.transform(idx, lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, k), " "))))
-
-
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, bands: int = 16,
-                    rows_per_band: int = 4, k: int = 5) -> DataFrame:
-    """MinHash LSH with native xxhash64 (bands x rows seeds): band
-    signatures become equi-join keys, candidates are verified by exact
-    Jaccard of the shingle sets, and each document maps to the smallest id
-    among its verified near-duplicates. No all-pairs step: only documents
-    sharing a band bucket meet. Returns (key, rep)."""
-    sh = df.select(key, shingles(F.col(text), k).alias("sh")).filter(F.size("sh") > 0)
-    sig = sh.select(key, "sh", *[
-        F.array_min(F.transform("sh", lambda x, s=s: F.xxhash64(x, F.lit(s)))).alias(f"m{s}")
-        for s in range(bands * rows_per_band)])
+    return F.array_distinct(F.transform(idx, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, k), " "))))
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, bands: int = 8,
+                    rows_per_band: int = 2, k: int = 5) -> DataFrame:
+    """MinHash LSH with native xxhash64. Shingles are exploded once and
+    the ``bands x rows`` minima come from one grouped ``min`` (codegen, map-
+    side partial aggregation); band signatures become equi-join keys;
+    candidates are verified by exact Jaccard of the shingle sets; each
+    document maps to the smallest verified near-duplicate id.
+
+    Each document meets only the smallest id of each of its buckets, so the
+    work is linear in documents x bands, never all pairs of a bucket.
+    Returns (key, rep)."""
+    words = df.select(key, F.posexplode(F.split(_norm(F.col(text)), " ")).alias("p", "t")).filter("t <> ''")
+    win = Window.partitionBy(key).orderBy("p")
+    nxt = [F.lead("t", i).over(win) for i in range(1, k)]
+    grams = words.select(key, "p", F.concat_ws(" ", "t", *nxt).alias("g"), nxt[-1].isNull().alias("tail"))
+    # full k-grams, plus the whole text for documents shorter than k words
+    first_tail = F.min(F.when(F.col("tail"), F.col("p"))).over(Window.partitionBy(key))
+    ex = (grams.withColumn("ft", first_tail).filter(~F.col("tail") | ((F.col("p") == F.col("ft")) & (F.col("p") == 0)))
+          .select(key, F.xxhash64("g").alias("s")).distinct())
+    sh = ex.groupBy(key).agg(F.collect_set("s").alias("sh"))
+    n = bands * rows_per_band
+    sig = ex.groupBy(key).agg(*[F.min(F.xxhash64("s", F.lit(i))).alias(f"m{i}") for i in range(n)])
     band_cols = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows_per_band + r}") for r in range(rows_per_band)])
                  for b in range(bands)]
     bk = sig.select(key, F.posexplode(F.array(*band_cols)).alias("band", "bucket"))
-    # Each document meets only the smallest id of each of its buckets: linear
-    # in documents x bands, never all pairs of a (possibly huge) bucket.
     heads = bk.groupBy("band", "bucket").agg(F.min(key).alias("x"))
     cand = (bk.join(heads, ["band", "bucket"]).filter(F.col(key) > F.col("x"))
             .select("x", F.col(key).alias("y")).distinct())
