@@ -10,6 +10,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +58,7 @@ def dedup_blocks_exact(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def dedup_blocks(c, on_supersede: str = "replace") -> Column:
-    """Split (E2), drop short and exact copies, then keep-first with
+    """E4 (``c`` should be a column reference; see ``finish``): split (E2), drop short and exact copies, then keep-first with
     containment: a block inside a kept one and longer than 0.7 of it is
     skipped; a kept block inside the new one and longer than 0.7 of it is
     replaced. Joined by blank lines; if nothing is left the input returns.
@@ -81,12 +82,17 @@ def dedup_blocks(c, on_supersede: str = "replace") -> Column:
             F.when(skip, kept).otherwise(F.concat(rest, F.array(b))).alias("kept"),
             (acc["crash"] | (~skip & sup)).alias("crash"))
 
-    out = F.aggregate(blocks, F.struct(empty.alias("kept"), F.lit(False).alias("crash")), step)
-    joined = F.array_join(F.transform(out["kept"], lambda k: k["raw"]), "\n\n")
-    res = F.when(F.size(out["kept"]) > 0, joined).otherwise(c)
-    if on_supersede == "fallback":
-        res = F.when(out["crash"], F.lit(None).cast("string")).otherwise(res)
-    return F.when(c.isNull() | (c == ""), c).otherwise(res)
+    def finish(acc):
+        joined = F.array_join(F.transform(acc["kept"], lambda k: k["raw"]), "\n\n")
+        res = F.when(F.size(acc["kept"]) > 0, joined).otherwise(c)
+        if on_supersede == "fallback":
+            res = F.when(acc["crash"], F.lit(None).cast("string")).otherwise(res)
+        return res
+
+    # ``finish`` reads the accumulator as a lambda variable, so the fold runs
+    # once per row (HOFs are interpreted: no common-subexpression reuse).
+    out = F.aggregate(blocks, F.struct(empty.alias("kept"), F.lit(False).alias("crash")), step, finish)
+    return F.when(c.isNull() | (c == ""), c).otherwise(out)
 
 
 # --- ordered keep-first over groups (D6, E9) ---------------------------------
@@ -99,6 +105,9 @@ def keep_first(rows: DataFrame, group: list[str], order: str, text: str, dup_pai
     relationally; the order-dependent keep decision is a fold over the
     group's sorted ids (an anti join would be wrong: an item similar only to
     a dropped item must stay)."""
+    # the rows are read four times below (pairs, sequence, final semi join):
+    # keep one evaluation of their (node-table) lineage
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     a = rows.select(*group, F.col(order).alias("i"), F.col(text).alias("ti"))
     b = rows.select(*group, F.col(order).alias("j"), F.col(text).alias("tj"))
     pairs = a.join(b, group).filter(F.col("i") < F.col("j"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,12 +188,14 @@ def _explode_batches(batches):
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW_SCHEMA)
 
 
-def explode_nodes(pages: DataFrame, html_col: str = "html", partition: bool = True) -> DataFrame:
+def explode_nodes(pages: DataFrame, html_col: str = "html", partition: bool = True,
+                  persist: bool = True) -> DataFrame:
     """B1: pages(page_id, html) -> NODE rows.
 
     Only ``page_id`` and the html column cross into Python. With
     ``partition`` the node table is hash-partitioned by ``page_id`` once, so
-    every later per-page aggregate, window and join reuses that exchange.
+    every later per-page aggregate, window and join reuses that exchange;
+    with ``persist`` the parse runs once however many branches read it.
     """
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(html_col).alias("html"))
     spark = pages.sparkSession
@@ -203,4 +206,8 @@ def explode_nodes(pages: DataFrame, html_col: str = "html", partition: bool = Tr
     nodes = src.mapInArrow(_explode_batches, NODE)
     if partition:
         nodes = nodes.repartition("page_id")
+    if persist:
+        # Several operators read the node table; keep one parse (spills to
+        # disk; a lost executor recomputes its partitions from lineage).
+        nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
     return nodes

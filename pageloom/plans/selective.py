@@ -78,10 +78,12 @@ def combine_sections(kept: DataFrame, on_supersede: str = "replace") -> DataFram
         F.count(F.lit(1)).alias("total_sections"))
     one = F.try_element_at(F.col("s"), F.lit(1))["d"]
     many = F.array_join(F.transform("s", lambda x: F.concat(F.lit("["), x["selector"], F.lit("]\n"), x["d"])), "\n\n")
-    body = F.when(F.col("total_sections") == 1, one).otherwise(many)
-    crashed = F.exists("s", lambda x: x["d"].isNull())
-    final = dedup.dedup_blocks(body, on_supersede)
-    return g.select("page_id", F.when(crashed | final.isNull(), F.lit(None)).otherwise(strip_ws(final)).alias("content"),
+    # staged columns: each expensive fold is evaluated once
+    g = (g.withColumn("body", F.when(F.col("total_sections") == 1, one).otherwise(many))
+         .withColumn("crashed", F.exists("s", lambda x: x["d"].isNull()))
+         .withColumn("final", dedup.dedup_blocks(F.col("body"), on_supersede)))
+    return g.select("page_id", F.when(F.col("crashed") | F.col("final").isNull(), F.lit(None))
+                    .otherwise(strip_ws(F.col("final"))).alias("content"),
                     "total_sections", F.transform("s", lambda x: x["section_key"]).alias("keys"))
 
 
