@@ -340,3 +340,8 @@ ORACLES.update({
         FROM (SELECT source, doc_id, {norm('line')} AS n FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line
               FROM documents)) WHERE length(n) >= 15 GROUP BY source, n HAVING count(DISTINCT doc_id) >= 3""",
 })
+
+ORACLES.update({
+    "s2_stream_rate_windows": ORACLES["t1_rate_windows"],
+    "s6_stream_batch_summary": ORACLES["g1_batch_summary"],
+})

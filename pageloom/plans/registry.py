@@ -724,3 +724,23 @@ def e10n(spark, d):
 def e11(spark, d):
     r = E.duplicate_blocks_corpus(tbl(spark, d, "documents"), "doc_id", "text", "source", 3)
     return r.select("source", "h", "block", F.col("docs").cast("long").alias("docs"))
+
+
+# --- 2.J streaming twins (run to completion with availableNow) ---------------------
+
+from ..streaming import streams as ST  # noqa: E402
+
+
+@query("s2_stream_rate_windows")
+def s2(spark, d):
+    ev = ST.event_stream(spark, d, "events.parquet")
+    r = ST.run_update_to_table(ST.stream_rate_windows(ev), "s2", ["user_id", "window_start"])
+    return r.select("user_id", _fmt("window_start").alias("window_start"), "n")
+
+
+@query("s6_stream_batch_summary")
+def s6(spark, d):
+    pages_stream = ST.file_stream(spark, d, "pages.parquet", "page_id long, url string, html string")
+    done = ST.stream_extract(pages_stream, lambda b: C.basic_content(
+        b.withColumn("success", F.col("html").contains("</html>"))), "s6")
+    return stats.batch_summary(done)
