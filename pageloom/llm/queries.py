@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import near, quality
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -25,3 +25,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def op4(spark, d):
     docs = table(spark, d, "documents")
     return quality.quality_rules(docs, carry=("doc_id",)).select(*quality.OUTPUT)
+
+
+@query("op7_minhash_near_dedup")
+def op7(spark, d):
+    return near.near_duplicates(table(spark, d, "documents"))

@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
-    return mix(np.arange(n, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return mix(np.arange(n, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) | np.uint64(1)
 
 
 _BYTE = _odd(256, 11)
