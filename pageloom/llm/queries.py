@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near, quality
+from . import near, packing, quality, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -30,3 +31,13 @@ def op4(spark, d):
 @query("op7_minhash_near_dedup")
 def op7(spark, d):
     return near.near_duplicates(table(spark, d, "documents"))
+
+
+@query("op6_token_counts")
+def op6(spark, d):
+    return tokens.token_counts(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_best_fit_packing")
+def op5(spark, d):
+    return packing.best_fit_packing(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

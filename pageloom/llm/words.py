@@ -46,10 +46,11 @@ def _powers(n: int) -> np.ndarray:
 _POW = _powers(4096)
 
 
-def text_slices(col: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, bytes, np.ndarray]]:
+def text_slices(col: pa.Array, max_bytes: int = 1 << 20, lower: bool = True) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """Cut a string column into runs of whole rows of about ``max_bytes``.
 
-    Yields ``(first_row, lower-cased utf-8, offsets)``; a null is an empty text.
+    Yields ``(first_row, utf-8, offsets)``, lower-cased (A-Z) unless ``lower``
+    is false; a null is an empty text.
     A single row longer than ``max_bytes`` forms a slice of its own.
     """
     if isinstance(col, pa.ChunkedArray):
@@ -64,7 +65,8 @@ def text_slices(col: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int,
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + max_bytes, side="right")) - 1)
         j = min(j, n)
-        yield i, bytes(data[offs[i]: offs[j]]).translate(LOWER), offs[i: j + 1] - offs[i]
+        buf = bytes(data[offs[i]: offs[j]])
+        yield i, buf.translate(LOWER) if lower else buf, offs[i: j + 1] - offs[i]
         i = j
 
 
@@ -100,9 +102,10 @@ def hash_words(buf: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     head = np.zeros(starts.size, dtype=np.int64)
     np.cumsum(size[:-1], out=head[1:])
     total = int(head[-1] + size[-1])
-    pos = np.arange(total, dtype=np.int64) - np.repeat(head, size)
-    at = pos + np.repeat(starts, size)
-    return mix(np.add.reduceat(_BYTE[a[at]] * _POW[pos], head) + size.astype(np.uint64))
+    flat = np.arange(total, dtype=np.int64)
+    value = _BYTE[a if total == a.size else a[flat + np.repeat(starts - head, size)]]
+    value *= _POW[flat - np.repeat(head, size)]
+    return mix(np.add.reduceat(value, head) + size.astype(np.uint64))
 
 
 def hash_word(word: str) -> int:
