@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near, packing, quality, tokens
+from . import kneser_ney, near, packing, quality, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -41,3 +41,8 @@ def op6(spark, d):
 @query("op5_best_fit_packing")
 def op5(spark, d):
     return packing.best_fit_packing(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_lm_scoring")
+def op9(spark, d):
+    return kneser_ney.lm_scores(table(spark, d, "documents"))
