@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney, near, packing, quality, tokens
+from . import kneser_ney, near, packing, quality, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,3 +46,8 @@ def op5(spark, d):
 @query("op9_lm_scoring")
 def op9(spark, d):
     return kneser_ney.lm_scores(table(spark, d, "documents"))
+
+
+@query("op8_toxicity")
+def op8(spark, d):
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
