@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney, near, packing, quality, tokens, toxicity
+from . import kneser_ney, near, packing, pii, quality, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -51,3 +51,8 @@ def op9(spark, d):
 @query("op8_toxicity")
 def op8(spark, d):
     return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op2_personal_data")
+def op2(spark, d):
+    return pii.personal_data(table(spark, d, "documents"))
