@@ -254,21 +254,19 @@ class ByteBpe:
         self.used += ids.size
         self.rows = n
 
-    def _lookup(self, buf: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Row of the remembered result for every pre-token.
-
-        A hash has one slot; a newcomer takes the slot over, which costs
+    def _lookup(self, h: np.ndarray, merge) -> np.ndarray:
+        """Row of the remembered result for every pre-token, given their hashes;
+        ``merge(places)`` computes those that are missing. A hash has one slot; a newcomer takes the slot over, which costs
         another merge when the former one comes back, never a wrong result."""
         if self.rows > self.remembered:
             self._forget()
-        h = hash_words(buf, starts, ends)
         slot = (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         rows = self.place[slot].astype(np.int64)
         miss = np.flatnonzero(self.keys[slot] != h)
         if miss.size:
             u, where, inv = np.unique(h[miss], return_index=True, return_inverse=True)
             pick = miss[where]
-            ids, sizes = self.merge(buf, starts[pick], ends[pick])
+            ids, sizes = merge(pick)
             at = self.rows + np.arange(u.size)
             self._remember(ids, sizes)
             self.keys[slot[pick]], self.place[slot[pick]] = u, at
@@ -283,7 +281,7 @@ class ByteBpe:
         for row, buf, offs in text_slices(col, SLICE, lower=False):
             starts, ends, special = self.pretokens(buf, offs)
             if starts.size:
-                idx = self._lookup(buf, starts, ends)
+                idx = self._lookup(hash_words(buf, starts, ends), lambda pick: self.merge(buf, starts[pick], ends[pick]))
                 n = self.lens[idx].astype(np.int64)
                 if special:
                     n[np.searchsorted(starts, sorted(special))] = 1
@@ -298,7 +296,7 @@ class ByteBpe:
             if not starts.size:
                 yield row, np.zeros(0, dtype=np.int32), np.zeros(offs.size, dtype=np.int64)
                 continue
-            idx = self._lookup(buf, starts, ends)
+            idx = self._lookup(hash_words(buf, starts, ends), lambda pick: self.merge(buf, starts[pick], ends[pick]))
             n, head = self.lens[idx].astype(np.int64), self.heads[idx]
             marks = np.searchsorted(starts, sorted(special)) if special else np.zeros(0, dtype=np.int64)
             n[marks] = 1

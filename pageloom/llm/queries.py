@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney, near, packing, pii, quality, tokens, toxicity
+from . import kneser_ney, near, packing, pieces, pii, quality, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -56,3 +56,8 @@ def op8(spark, d):
 @query("op2_personal_data")
 def op2(spark, d):
     return pii.personal_data(table(spark, d, "documents"))
+
+
+@query("op3_piece_encoding")
+def op3(spark, d):
+    return pieces.encode(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
