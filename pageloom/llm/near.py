@@ -9,10 +9,11 @@ five-word shingles (``superminhash``). Steps:
    node, so thousands of copies cost one node.
 2. Per bucket every node meets the bucket's smallest node. Pairs whose sketch
    cannot come from a linked pair (six standard deviations) are dropped; each
-   node verifies its best partner first, and the links are grouped.
+   node verifies its few best partners first, and the links are grouped.
 3. Nodes that share a bucket but are not yet grouped meet exhaustively, in
    blocks of bounded size, so a bucket whose smallest node is a stranger loses
-   nothing. Plausible pairs are verified, and the grouping is closed.
+   nothing. Every plausible pair is verified on the full sets inside the
+   block, which reports a spanning forest of its links only.
 
 Verification reads the texts of the candidate documents again rather than
 storing all sets.
@@ -30,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, local_roots
 from .store import keep
 from .superminhash import BANDS, SLOTS, band_keys, set_key, shingle_sets, signatures, sketch
 from .words import read_columns, text_slices
@@ -42,8 +43,9 @@ PERCENT = 75
 #: Fewest equal sketch bytes of a linked pair: the mean at 0.75 less six standard deviations.
 LEAST_EQUAL = int(SLOTS * 0.75 - 6 * (SLOTS * 0.75 * 0.25) ** 0.5)
 BLOCK = 256               # nodes of a bucket that meet at once
+TRIES = 4                 # partners a node verifies in the first step
 
-_SKETCH = "doc_id long, n_shingles long, node long, bands array<long>, sketch binary"
+_SKETCH = "doc_id long, n_shingles long, node long, bands array<long>, sketch binary, packed binary"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,14 +54,16 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, buf, offs in text_slices(text):
             elems, at = shingle_sets(buf, offs)
             sig = signatures(elems, at)
+            keys = band_keys(sig)
             n = np.diff(at)
             some = n > 0
             ends = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 ids.slice(row, n.size), pa.array(n), pa.array(set_key(elems, at), mask=~some),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(sig)[some].ravel())),
-                pa.array([s.tobytes() for s in sketch(sig)], type=pa.binary())],
-                names=["doc_id", "n_shingles", "node", "bands", "sketch"])
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel())),
+                pa.array([x.tobytes() for x in sketch(sig)], type=pa.binary()),
+                pa.array([x.tobytes() for x in keys], type=pa.binary())],
+                names=["doc_id", "n_shingles", "node", "bands", "sketch", "packed"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,50 +118,93 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["a", "b", "equal"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, lo, hi): plausible pairs across components.
-
-    Groups hold at most two blocks; one that an Arrow batch cuts in two is
-    carried over. A pair whose ends are already joined by earlier plausible
-    pairs is still reported, as only verification decides."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Cut rows sorted by (bucket, lo, hi) into one table per group. A group
+    holds at most two blocks; one that an Arrow batch cuts in two is carried over."""
     rest = None
     for batch in batches:
         t = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
         key = np.stack([t.column(i).to_numpy() for i in range(3)])
-        cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        if not cut.size:
-            rest = t
-            continue
-        rest = t.slice(int(cut[-1]))
-        yield from _pairs(t.slice(0, int(cut[-1])), cut[:-1])
-    if rest is not None and rest.num_rows:
-        yield from _pairs(rest, np.zeros(0, dtype=np.int64))
-
-
-def _pairs(t: pa.Table, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
-    lo, hi, blk, comp, node = (t.column(i).to_numpy() for i in (1, 2, 3, 4, 5))
+        cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            if e - s > 1:
+                yield t.slice(s, e - s)
+        rest = t.slice(cut[-1])
+    if rest is not None and rest.num_rows > 1:
+        yield rest
+
+
+def _cross(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the plausible pairs of a group whose ends are not yet grouped."""
+    lo, hi, blk, comp = (t.column(i).to_numpy() for i in (1, 2, 3, 4))
     sk = np.frombuffer(b"".join(t.column(6).to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
-    edges = [0, *cut.tolist(), t.num_rows]
-    out = []
-    for s, e in zip(edges[:-1], edges[1:], strict=True):
-        if e - s < 2:
+    i, j = np.triu_indices(t.num_rows, 1)
+    far = comp[i] != comp[j]
+    if lo[0] != hi[0]:
+        far &= blk[i] != blk[j]
+    i, j = i[far], j[far]
+    ok = np.zeros(i.size, dtype=bool)
+    for p in range(0, i.size, 1 << 15):
+        x, y = i[p: p + (1 << 15)], j[p: p + (1 << 15)]
+        ok[p: p + (1 << 15)] = (sk[x] == sk[y]).sum(axis=1) >= LEAST_EQUAL
+    return i[ok], j[ok]
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of a group that have a plausible partner in another component."""
+    for t in _groups(batches):
+        i, j = _cross(t)
+        if i.size:
+            node = t.column(5).to_numpy()[np.unique(np.concatenate((i, j)))]
+            yield pa.RecordBatch.from_arrays([pa.array(node)], names=["node"])
+
+
+def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the set pairs (i, j)."""
+    who = np.repeat(np.arange(len(sets)), [x.size for x in sets])
+    _, col = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(col, kind="stable")
+    who, col = who[order], col[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for c in range(0, int(col[-1]) + 1, 8192):  # a bounded slice of the shingles at a time
+        s, e = np.searchsorted(col, [c, c + 8192])
+        has = np.zeros((len(sets), 8192), dtype=np.float32)
+        has[who[s:e], col[s:e] - c] = 1
+        out += has @ has.T
+    return out[i, j].astype(np.int64)
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verify all plausible pairs of each group on the full sets and report a
+    spanning forest of the links: fewer rows than the group has nodes.
+
+    A pair that shares several buckets is verified in the first of them."""
+    for t in _groups(batches):
+        i, j = _cross(t)
+        if not i.size:
             continue
-        i, j = np.triu_indices(e - s, 1)
-        i, j = i + s, j + s
-        far = comp[i] != comp[j]
-        if lo[s] != hi[s]:
-            far &= blk[i] != blk[j]
-        i, j = i[far], j[far]
-        for p in range(0, i.size, 1 << 15):
-            x, y = i[p: p + (1 << 15)], j[p: p + (1 << 15)]
-            eq = (sk[x] == sk[y]).sum(axis=1)
-            ok = eq >= LEAST_EQUAL
-            if ok.any():
-                x, y = node[x[ok]], node[y[ok]]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y), eq[ok]]))
-    if out:
-        a, b, eq = np.unique(np.concatenate(out, axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(eq)], names=["a", "b", "equal"])
+        bands = np.frombuffer(b"".join(t.column(7).to_pylist()), dtype=np.int64).reshape(-1, BANDS)
+        here = t.column(0)[0].as_py()
+        first = (bands[i] == bands[j]).argmax(axis=1)
+        mine = bands[i, first] == here
+        i, j = i[mine], j[mine]
+        if not i.size:
+            continue
+        used, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+        sets = [np.frombuffer(t.column(8)[int(k)].as_buffer(), dtype=np.uint64) for k in used]
+        size = np.array([x.size for x in sets])
+        x, y = at[: i.size], at[i.size:]
+        fit = 100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])
+        x, y = x[fit], y[fit]
+        if not x.size:
+            continue
+        both = _common(sets, x, y)
+        linked = 100 * both >= PERCENT * (size[x] + size[y] - both)
+        node = t.column(5).to_numpy()[used]
+        if linked.any():
+            ids, root = local_roots(node[x[linked]], node[y[linked]])
+            far = ids != root
+            yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(root[far])], names=["a", "b"])
 
 
 class _Verifier:
@@ -167,15 +214,19 @@ class _Verifier:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.nodes = nodes
 
-    def __call__(self, pairs: DataFrame, name: str) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets(self, ends: DataFrame) -> DataFrame:
+        """(node, set) of the nodes in ``ends``."""
         want = self.nodes.select("node", "doc_id").join(ends, "node")
         texts = self.docs.join(want, self.docs["doc_id"].eqNullSafe(want["doc_id"])).select("node", "text")
-        sets = keep(texts.mapInArrow(_sets, "node long, set binary")
+        return keep(texts.mapInArrow(_sets, "node long, set binary")
                     .groupBy("node").agg(F.first("set").alias("set")), "sets")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar enough."""
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
         return keep(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-                    .select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long"), name)
+                    .select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long"), "links")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -190,7 +241,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     each = keep(texts.mapInArrow(_sketches, _SKETCH), "sketches")
     nodes = keep(each.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+        F.first("packed").alias("packed")), "nodes")
     verify = _Verifier(texts, nodes)
     sk = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
 
@@ -198,8 +250,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(sk("a"), "a").join(sk("b"), "b").select("a", "b", "sketch_a", "sketch_b") \
         .mapInArrow(_plausible, "a long, b long, equal long")
-    best = keep(stars.groupBy("b").agg(F.max_by("a", F.struct("equal", "a")).alias("a")), "best")
-    first = verify(best.select("a", "b"), "first_links")
+    rank = Window.partitionBy("b").orderBy(F.desc("equal"), "a")   # at most one row per band
+    best = keep(stars.withColumn("k", F.row_number().over(rank)).where(f"k <= {TRIES}").select("a", "b"), "best")
+    first = verify.links(best)
     comp = keep(components(first), "first_groups")
 
     rows = buckets.select("bucket", "node", "n").join(comp, "node", "left") \
@@ -212,9 +265,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("bucket", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"),
                 "blk", "comp", "node", "sketch")
-    met = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi") \
-        .mapInArrow(_meet, "a long, b long, equal long")
-    second = verify(keep(met.select("a", "b").distinct(), "second_pairs"), "second_links")
+    order = ("bucket", "lo", "hi")
+    rows = keep(rows.repartition(*order), "meetings")
+    hopeful = keep(rows.sortWithinPartitions(*order).mapInArrow(_hopeful, "node long").distinct(), "hopeful")
+    sets = verify.sets(hopeful).join(nodes.select("node", "packed"), "node")
+    second = keep(rows.join(sets, "node").select(*rows.columns, "packed", "set").repartition(*order)
+                  .sortWithinPartitions(*order).mapInArrow(_settle, "a long, b long"), "second_links")
     groups = keep(components(first.union(second)), "groups")
 
     named = nodes.select("node", "doc_id").join(groups, "node")
