@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney, near, packing, pieces, pii, quality, tokens, toxicity
+from . import kneser_ney, near, packing, pieces, pii, quality, rabitq, render, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -61,3 +61,13 @@ def op2(spark, d):
 @query("op3_piece_encoding")
 def op3(spark, d):
     return pieces.encode(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_html_rendering")
+def op10(spark, d):
+    return render.render_pages(table(spark, d, "pages"))
+
+
+@query("op1_rabitq_neighbours")
+def op1(spark, d):
+    return rabitq.neighbours(table(spark, d, "embeddings"))
