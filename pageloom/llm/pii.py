@@ -166,7 +166,9 @@ def find(extracted: DataFrame) -> DataFrame:
     rows = keep(extracted, "pii")
     seen = rows.select("_row", F.explode("_other").alias("x")).withColumn("instance", _instance(F.col("x")))
     extra = seen.join(accepted_instances(rows), "instance").groupBy("_row").agg(F.collect_list("x").alias("_more"))
-    out = rows.join(extra, "_row", "left").drop("_row", "_other")
+    # rows without a candidate need no join, so their texts are not shuffled
+    bare = rows.where(F.size("_other") == 0).withColumn("_more", F.lit(None).cast(_SPANS))
+    out = rows.where(F.size("_other") > 0).join(extra, "_row", "left").unionByName(bare).drop("_row", "_other")
     base = F.concat("_base", F.coalesce("_more", F.array().cast(_SPANS)))
     slim = F.transform(base, lambda x: F.struct(x["s"], x["rank"], x["e"], x["kind"]))
     return out.withColumn("_found", F.array_sort(slim)).drop("_more")
