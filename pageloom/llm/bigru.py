@@ -249,9 +249,12 @@ def _odds(w: Words, label: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
-def train(texts: list[str], label: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.01,
+def train(texts: list[str], label: np.ndarray, steps: int = 240, batch: int = 96, rate: float = 0.01,
           seed: int = 7) -> BiGru:
-    """Fit on whole texts with one 0/1 label each; deterministic for a seed."""
+    """Fit on whole texts with one 0/1 label each; deterministic for a seed.
+
+    About ``steps`` batches are run whatever the number of texts, in 4 to 48
+    passes; the rarer class is repeated until it makes up a third of a pass."""
     import pyarrow as pa
 
     from .words import text_slices
@@ -277,11 +280,14 @@ def train(texts: list[str], label: np.ndarray, epochs: int = 6, batch: int = 128
     logit = pad[np.where(mask > 0, np.minimum(start + np.arange(WINDOW)[:, None], strength.size), strength.size)].max(axis=0)
     rng = np.random.default_rng(seed)
     adam = Adam(rate)
-    for epoch in range(epochs):
+    rare = np.flatnonzero(label == (label.mean() < 0.5))
+    often = max(0, int((label.size - rare.size) / (2 * rare.size)) - 1)
+    every = np.concatenate((np.arange(label.size), np.tile(rare, often)))
+    for epoch in range(int(np.clip(-(-steps * batch // every.size), 4, 48))):
         if epoch:
             logit = score_windows(net, w, start, size)
         top = top_window(logit, doc, len(texts))
-        order = rng.permutation(np.flatnonzero(top >= 0))
+        order = rng.permutation(every[top[every] >= 0])
         for i in range(0, order.size, batch):
             docs = order[i: i + batch]
             pick = top[docs]

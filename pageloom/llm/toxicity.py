@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bigru import DECISION, BiGru, Words, score_windows, train, windows
 from .words import read_columns, text_slices
 
-SAMPLE = 2000             # most training documents per class
+SAMPLE = 1500             # most training documents per class
 SAMPLE_CHARS = 3000       # longest training text
 
 
@@ -72,6 +72,24 @@ def score(docs: DataFrame, net: BiGru, empty: float) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, net: BiGru, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below the threshold; a
+    text without words stays."""
+    params = net.p
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = BiGru(params=params)
+        for batch in batches:
+            for row, buf, offs in text_slices(read_columns(batch, text)[0], 1 << 19):
+                w = Words(buf, offs)
+                doc, start, size = windows(w.first)
+                top = np.full(offs.size - 1, -np.inf)
+                np.maximum.at(top, doc, score_windows(own, w, start, size).astype(float))
+                yield batch.slice(row, top.size).filter(pa.array(1 / (1 + np.exp(-top)) < DECISION))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on ``labels`` and score all of ``docs``."""
     net, share = fit(docs, labels)
