@@ -106,14 +106,15 @@ def array_items(nodes: DataFrame, specs: list[ArraySpec], exclude=(), dedup_item
     else:
         it = it.withColumn("fields", F.create_map().cast("map<string,array<string>>"))
 
-    it = it.withColumn("array_name", names[F.col("spec")])
+    it = it.withColumn("array_name", names[F.col("spec")]) \
+           .withColumn("n_before", F.count(F.lit(1)).over(Window.partitionBy("page_id", "spec")))
     if dedup_items:
         it = dedup.dedup_items(it, group=("page_id", "spec"), order="elem_pos", text="main_content")
     else:
         it = it.withColumn("index", F.col("elem_pos"))
     return it.select("page_id", "spec", "array_name", "elem_pos", F.col("index").cast("int").alias("index"),
                      "main_content", word_count("main_content").alias("word_count"),
-                     F.length("main_content").cast("int").alias("char_count"), "fields")
+                     F.length("main_content").cast("int").alias("char_count"), "fields", "n_before")
 
 
 def _sub_field(clean: DataFrame, items: DataFrame, item_sel, sub_sel, kind: str) -> DataFrame:
@@ -186,13 +187,12 @@ def array_summary(items: DataFrame, pages: DataFrame, specs: list[ArraySpec], be
                                    .alias("sub_selectors_used"))
                           for i, s in enumerate(specs)])
     grid = pages.select("page_id", F.inline(spec_rows))
-    cnt = items.groupBy("page_id", "spec").agg(F.count(F.lit(1)).alias("count"))
-    out = grid.join(cnt, ["page_id", "spec"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    if before is not None:
-        b = before.groupBy("page_id", "spec").agg(F.count(F.lit(1)).alias("before"))
-        out = out.join(b, ["page_id", "spec"], "left").withColumn(
-            "deduplication_applied", F.col("count") < F.coalesce("before", F.lit(0)))
-    return out
+    seen = items.groupBy("page_id", "spec").agg(F.count(F.lit(1)).alias("count"), F.max("n_before").alias("before"))
+    out = grid.join(seen, ["page_id", "spec"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    if before is not None:  # also covers arrays that dedup emptied
+        out = out.drop("before").join(
+            before.groupBy("page_id", "spec").agg(F.count(F.lit(1)).alias("before")), ["page_id", "spec"], "left")
+    return out.withColumn("deduplication_applied", F.col("count") < F.coalesce("before", F.lit(0))).drop("before")
 
 
 def page_array_summary(summary: DataFrame, items: DataFrame) -> DataFrame:
@@ -229,24 +229,25 @@ def format_structured(items: DataFrame, summary: DataFrame, specs: list[ArraySpe
     """``=== NAME (n items - order preserved) ===`` then ``[Item i]``
     blocks with ``key: value`` lines (empty values skipped), a blank line
     after each array."""
-    order = {}
-    for s in specs:
-        order[s.name] = [n for n, _ in s.sub_selectors]
+    def lines(spec: ArraySpec):
+        """``key: value`` lines in the order of the array's own sub-selectors."""
+        kv = F.lit("")
+        for n, _ in spec.sub_selectors:
+            v = F.array_join(F.filter(F.coalesce(F.col("fields")[n], F.array()), lambda x: x != ""), PIPE)
+            kv = F.concat(kv, F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit("\n" + n + ": "), v)).otherwise(F.lit("")))
+        return kv
+
     kv = F.lit("")
-    all_names = []
-    for s in specs:
-        for n, _ in s.sub_selectors:
-            if n not in all_names:
-                all_names.append(n)
-    for n in all_names:
-        v = F.array_join(F.filter(F.coalesce(F.col("fields")[n], F.array()), lambda x: x != ""), PIPE)
-        kv = F.concat(kv, F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit("\n" + n + ": "), v)).otherwise(F.lit("")))
-    block = F.concat(F.lit("\n[Item "), (F.col("index") + 1).cast("string"), F.lit("]\n"), F.col("main_content"), kv)
+    for i, s in enumerate(s for s in specs if s.selector):
+        kv = F.when(F.col("spec") == i, lines(s)).otherwise(kv)
+    block = F.concat(F.lit("]\n"), F.col("main_content"), kv)
     per_arr = items.groupBy("page_id", "spec").agg(
         F.sort_array(F.collect_list(F.struct(F.col("index").alias("i"), block.alias("b")))).alias("bl"))
     j = summary.filter(F.col("count") > 0).join(per_arr, ["page_id", "spec"])
     header = F.concat(F.lit("=== "), F.upper("array_name"), F.lit(" ("), F.col("count").cast("string"),
                       F.lit(" items - order preserved) ==="))
-    part = F.array_join(F.concat(F.array(header), F.transform("bl", lambda x: x["b"]), F.array(F.lit(""))), "\n")
+    # items are numbered from 1 in their order, whatever their index
+    blocks = F.transform("bl", lambda x, i: F.concat(F.lit("\n[Item "), (i + 1).cast("string"), x["b"]))
+    part = F.array_join(F.concat(F.array(header), blocks, F.array(F.lit(""))), "\n")
     return j.groupBy("page_id").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("spec", part.alias("p")))), lambda x: x["p"]), "\n").alias("content"))

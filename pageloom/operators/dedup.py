@@ -10,12 +10,12 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import WS, norm_block, split_blocks, strip_ws
+from ..session import stored
 
 # Thresholds passed by the reference's callers.
 SECTION_THRESHOLD = 0.75
@@ -105,9 +105,8 @@ def keep_first(rows: DataFrame, group: list[str], order: str, text: str, dup_pai
     relationally; the order-dependent keep decision is a fold over the
     group's sorted ids (an anti join would be wrong: an item similar only to
     a dropped item must stay)."""
-    # the rows are read four times below (pairs, sequence, final semi join):
-    # keep one evaluation of their (node-table) lineage
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    # the rows are read four times below (pairs, sequence, final semi join)
+    rows = stored(rows, "ordered")
     a = rows.select(*group, F.col(order).alias("i"), F.col(text).alias("ti"))
     b = rows.select(*group, F.col(order).alias("j"), F.col(text).alias("tj"))
     pairs = a.join(b, group).filter(F.col("i") < F.col("j"))

@@ -19,11 +19,11 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import NODE
+from ..session import stored
 
 # Elements that never hold children in the tree builder.
 VOID_TAGS = frozenset("""
@@ -31,9 +31,9 @@ area base br col embed hr img input keygen link menuitem meta param source track
 basefont bgsound command frame image isindex nextid spacer
 """.split())
 
-# Depth cap bounds the size of ``anc`` (deeper elements are attached to the
-# capped ancestor chain; their text is still emitted).
-MAX_DEPTH = 512
+# Ancestor entries per Arrow batch: chains are written out only when a batch is
+# built, so a deep page costs its own nodes plus one batch, at any depth.
+BATCH_ENTRIES = 200_000
 
 _ASCII_SPACES = "\x20\x0a\x09\x0c\x0d"
 
@@ -45,7 +45,7 @@ class _TreeRows(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.stack: list[int] = []          # nids of open elements
-        self.anc: list[tuple] = []          # anc entries of open elements
+        self.open: dict[str, int] = {}      # open elements by tag
         self.buf: list[str] = []
         self.closed_void: list[str] = []
 
@@ -56,7 +56,7 @@ class _TreeRows(HTMLParser):
         self.rows.append({
             "nid": nid, "post": nid, "parent": parent, "depth": len(self.stack),
             "kind": kind, "tag": tag, "id_attr": id_attr, "classes": classes,
-            "attrs": attrs, "text": text, "anc": list(self.anc),
+            "attrs": attrs, "text": text,
         })
         return nid
 
@@ -71,8 +71,8 @@ class _TreeRows(HTMLParser):
 
     def _close_top(self):
         nid = self.stack.pop()
-        self.anc.pop()
         self.rows[nid]["post"] = len(self.rows) - 1
+        self.open[self.rows[nid]["tag"]] -= 1
 
     # -- parser events -----------------------------------------------------
     def handle_starttag(self, tag, attrs, auto_close_void=True):
@@ -83,13 +83,11 @@ class _TreeRows(HTMLParser):
         classes = amap["class"].split() if "class" in amap else []
         id_attr = amap.get("id")
         nid = self._add("elem", tag=tag, id_attr=id_attr, classes=classes, attrs=list(amap.items()))
-        if len(self.stack) < MAX_DEPTH:
-            self.stack.append(nid)
-            self.anc.append({"nid": nid, "tag": tag, "id_attr": id_attr, "classes": classes,
-                             "attrs": list(amap.items())})
-            if tag in VOID_TAGS and auto_close_void:
-                self._pop_to(tag)
-                self.closed_void.append(tag)
+        self.stack.append(nid)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag in VOID_TAGS and auto_close_void:
+            self._pop_to(tag)
+            self.closed_void.append(tag)
 
     def handle_startendtag(self, tag, attrs):
         # ``<x/>``: open, then an ordinary end tag (which a pending void end
@@ -105,6 +103,8 @@ class _TreeRows(HTMLParser):
         self._pop_to(tag)
 
     def _pop_to(self, tag):
+        if not self.open.get(tag):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.rows[self.stack[i]]["tag"] == tag:
                 while len(self.stack) > i:
@@ -139,8 +139,29 @@ class _TreeRows(HTMLParser):
         return self.rows
 
 
+def _entry(row: dict) -> dict:
+    """What a descendant keeps of an open element."""
+    return {k: row[k] for k in ("nid", "tag", "id_attr", "classes", "attrs")}
+
+
+def with_ancestors(rows: list[dict]):
+    """The rows in order, each with its chain ``anc`` (outermost first). Only
+    the current chain is held."""
+    chain: list[dict] = []
+    for r in rows:
+        del chain[r["depth"]:]
+        r["anc"] = list(chain)
+        yield r
+        if r["kind"] == "elem":
+            chain.append(_entry(r))
+
+
 def parse_html(html: str | None) -> list[dict]:
     """Rows of one page (driver-free helper, also used by tests)."""
+    return list(with_ancestors(_parse(html)))
+
+
+def _parse(html: str | None) -> list[dict]:
     p = _TreeRows()
     if html:
         p.feed(html)
@@ -168,46 +189,33 @@ _ARROW_SCHEMA = pa.schema([
 
 def _explode_batches(batches):
     for rb in batches:
-        ids = rb.column("page_id").to_pylist()
-        htmls = rb.column("html").to_pylist()
         out: list[dict] = []
-        for pid, html in zip(ids, htmls):
+        entries = 0
+        for pid, html in zip(rb.column("page_id").to_pylist(), rb.column("html").to_pylist()):
             try:
-                rows = parse_html(html)
+                rows = _parse(html)
             except Exception as exc:  # one bad page never fails the task
                 rows = [{"nid": -1, "post": -1, "parent": -1, "depth": 0, "kind": "error", "tag": None,
-                         "id_attr": None, "classes": None, "attrs": None,
-                         "text": f"{type(exc).__name__}: {exc}", "anc": []}]
-            for r in rows:
+                         "id_attr": None, "classes": None, "attrs": None, "text": f"{type(exc).__name__}: {exc}"}]
+            for r in with_ancestors(rows):
                 r["page_id"] = pid
-            out.extend(rows)
-            if len(out) >= 65536:
-                yield pa.RecordBatch.from_pylist(out, schema=_ARROW_SCHEMA)
-                out = []
+                out.append(r)
+                entries += 1 + len(r["anc"])
+                if entries >= BATCH_ENTRIES:
+                    yield pa.RecordBatch.from_pylist(out, schema=_ARROW_SCHEMA)
+                    out, entries = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW_SCHEMA)
 
 
-def explode_nodes(pages: DataFrame, html_col: str = "html", partition: bool = True,
-                  persist: bool = True) -> DataFrame:
-    """B1: pages(page_id, html) -> NODE rows.
+def explode_nodes(pages: DataFrame, html_col: str = "html", partitions: int | None = None) -> DataFrame:
+    """B1: pages(page_id, html) -> NODE rows, stored once in the shared folder.
 
-    Only ``page_id`` and the html column cross into Python. With
-    ``partition`` the node table is hash-partitioned by ``page_id`` once, so
-    every later per-page aggregate, window and join reuses that exchange;
-    with ``persist`` the parse runs once however many branches read it.
+    Only ``page_id`` and the html column cross into Python. Html is not
+    shuffled unless ``partitions`` asks for it (a small input in few files);
+    it changes how the work is spread, never the result.
     """
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(html_col).alias("html"))
-    spark = pages.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    # Small inputs arrive in few file splits; spread the parse over cores.
-    if src.rdd.getNumPartitions() < par:
-        src = src.repartition(par)
-    nodes = src.mapInArrow(_explode_batches, NODE)
-    if partition:
-        nodes = nodes.repartition("page_id")
-    if persist:
-        # Several operators read the node table; keep one parse (spills to
-        # disk; a lost executor recomputes its partitions from lineage).
-        nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
-    return nodes
+    if partitions:
+        src = src.repartition(partitions)
+    return stored(src.mapInArrow(_explode_batches, NODE), "nodes")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, dedup_sentences, strip_ws
+from ..session import stored
 from . import css
 
 log = logging.getLogger(__name__)
@@ -118,7 +119,8 @@ def unwrap_links(nodes: DataFrame) -> DataFrame:
             .filter(~(_is_elem() & (F.col("tag") == "a")) | F.col("leaf_text").isNotNull()))
     conv = F.col("leaf_text").isNotNull()
     new_anc = F.filter("anc", lambda a: a["tag"] != "a")
-    return kept.select(
+    # stored: many steps read the cleaned tree, each would repeat the joins above
+    return stored(kept.select(
         "page_id", "nid",
         F.when(conv, F.col("nid")).otherwise(F.col("post")).alias("post"),
         F.coalesce(F.try_element_at(new_anc, F.lit(-1))["nid"], F.lit(-1)).alias("parent"),
@@ -130,7 +132,7 @@ def unwrap_links(nodes: DataFrame) -> DataFrame:
         F.when(conv, F.lit(None)).otherwise(F.col("attrs")).alias("attrs"),
         F.coalesce(F.col("leaf_text"), F.col("text")).alias("text"),
         new_anc.alias("anc"),
-    )
+    ), "clean")
 
 
 # --- B6, B9 -------------------------------------------------------------------
@@ -230,18 +232,14 @@ def element_text_pairs(pairs: DataFrame, img_alt_min: int | None = 1, sentences:
         piece = text_piece
     rows = (pairs.select("page_id", "root", unit.alias("u"), "nid", piece.alias("p"))
             .filter(F.col("p").isNotNull() & (F.col("p") != "")))
-    parts = F.sort_array(F.collect_list(F.struct("u", "nid", "p")))
-    fold = F.aggregate(
-        parts, F.struct(F.lit(-2).alias("u"), F.lit("").alias("t")),
-        lambda acc, x: F.struct(
-            x["u"].alias("u"),
-            F.when(acc["t"] == "", x["p"])
-             .when(x["u"] == acc["u"], F.concat(acc["t"], x["p"]))
-             .otherwise(F.concat(acc["t"], F.lit(" "), x["p"])).alias("t")))
-    text = collapse_ws(fold["t"])
+    # units first (strings of one link run together), then the units of the root
+    units = rows.groupBy("page_id", "root", "u").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nid", "p"))), lambda x: x["p"]), "").alias("t"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("u", "t"))), lambda x: x["t"]), " ")
+    text = collapse_ws(whole)
     if sentences:
         text = strip_ws(dedup_sentences(text))
-    return rows.groupBy("page_id", "root").agg(text.alias("text"))
+    return units.groupBy("page_id", "root").agg(text.alias("text"))
 
 
 def selector_pairs(nodes: DataFrame, selector) -> DataFrame:

@@ -81,8 +81,10 @@ def cache_lookup(gets: DataFrame, sets: DataFrame, key: str = "key", ts: str = "
     Skew-safe: rows are split by (key, time bucket); the carry-in set of a
     bucket comes from a small per-(key, bucket) summary, so one hot key is
     spread over many tasks instead of one window partition."""
+    if bucket not in ("1 day", "1 hour"):
+        raise ValueError("bucket must be '1 day' or '1 hour'")
     ttl = ttl_seconds or DEFAULT_TTL_SECONDS
-    b = lambda c: F.date_trunc("day" if bucket == "1 day" else "hour", c)
+    b = lambda c: F.date_trunc(bucket.split()[1], c)
     g = gets.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("t"), F.lit(1).alias("kind"),
                     F.col("get_id"))
     s = sets.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("t"), F.lit(0).alias("kind"),
@@ -120,11 +122,11 @@ def cache_misses(requests: DataFrame, cache: DataFrame, key: str = "key") -> Dat
 
 def paginate(df: DataFrame, order: str, page: int, per_page: int) -> DataFrame:
     """One page slice plus the page count ``ceil(total/per_page)``; the
-    total is one scalar action, the slice a sorted offset/limit."""
-    total = df.count()
+    total is an aggregate of one row joined in, so planning runs no action."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
     part = df.orderBy(order).offset((page - 1) * per_page).limit(per_page)
-    return part.withColumn("total", F.lit(total).cast("long")).withColumn(
-        "pages", F.lit((total + per_page - 1) // per_page).cast("long"))
+    return part.join(F.broadcast(total)).withColumn(  # one row
+        "pages", F.ceil(F.col("total") / per_page).cast("long"))
 
 
 def leading_n(df: DataFrame, group: str, order: str, n: int) -> DataFrame:

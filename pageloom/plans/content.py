@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import regex_text, strip_tags, truncate, word_count
 from ..operators import dom, nodes as N
 from ..profiles import SERVICE_DEFAULT_LENGTH, resolve_length
+from ..sources.pages import with_html_source
 
 
-def basic_content(df: DataFrame, max_length: int | None = None) -> DataFrame:
+def basic_content(df: DataFrame, max_length: int | None = None, uncut: bool = False) -> DataFrame:
     """C3 + C9(no ellipsis) + C10: first available of ``markdown``,
     ``text`` or tag-stripped ``html`` (chosen by column presence, as the
-    fetch object's attributes were); result row per input row."""
+    fetch object's attributes were); result row per input row. ``uncut``
+    keeps whole texts, as totals need."""
     cols = set(df.columns)
     if "markdown" in cols:
         src = F.col("markdown")
@@ -24,7 +26,7 @@ def basic_content(df: DataFrame, max_length: int | None = None) -> DataFrame:
     else:
         src = F.lit("")
     n = max_length if max_length else SERVICE_DEFAULT_LENGTH["basic"]
-    content = truncate(src, n, ellipsis=False)
+    content = src if uncut else truncate(src, n, ellipsis=False)
     title = F.substring(F.col("title"), 1, 200) if "title" in cols else F.lit("")
     ok = F.col("success") if "success" in cols else F.lit(True)
     err = F.coalesce(F.col("error_message"), F.lit("Crawl failed")) if "error_message" in cols else F.lit("Crawl failed")
@@ -53,21 +55,25 @@ def content_text(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 def content_only(pages: DataFrame, max_length: int | None = None, profile: str = "content") -> DataFrame:
     """The content-only result per page: title from the original html,
-    clean text truncated with ``...``, word count and metadata."""
-    nodes = dom.explode_nodes(pages)
-    text = content_text(pages, nodes)
+    clean text truncated with ``...``, word count and metadata. A failed
+    fetch or a page without html is a failure with its message (A3); a page
+    that cannot be tokenised falls back to the regex text."""
+    src = with_html_source(pages)
+    html = src.filter("ok").select("page_id", F.col("html_source").alias("html"))
+    nodes = dom.explode_nodes(html)
+    text = content_text(html, nodes)
     title = N.page_title(nodes)
     failed = nodes.filter(F.col("kind") == "error").select("page_id", F.lit(True).alias("parse_failed"))
-    base = pages.select("page_id", "url", F.length("html").alias("original_html_length"),
-                        regex_text(F.col("html")).alias("_regex"))
+    base = src.select("page_id", "url", "ok", "error", F.length("html_source").alias("original_html_length"),
+                      regex_text(F.col("html_source")).alias("_regex"))
     n = resolve_length(max_length, "content")
     j = (base.join(text, "page_id", "left").join(title, "page_id", "left").join(failed, "page_id", "left"))
     content = F.when(F.col("parse_failed").isNotNull(), F.col("_regex")).otherwise(F.coalesce("content", F.lit("")))
-    content = truncate(content, n, ellipsis=True)
+    content = F.when(F.col("ok"), truncate(content, n, ellipsis=True)).otherwise(F.lit(""))
     return j.select(
         "page_id", "url",
-        F.lit(True).alias("success"),
-        F.coalesce("title", F.lit("")).alias("title"),
+        F.col("ok").alias("success"), "error",
+        F.when(F.col("ok"), F.coalesce("title", F.lit(""))).otherwise(F.lit("")).alias("title"),
         content.alias("content"),
         word_count(content).alias("word_count"),
         F.length(content).cast("int").alias("content_length"),

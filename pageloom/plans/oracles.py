@@ -173,7 +173,7 @@ ORACLES.update({
                    / greatest(len(w), 1), 3)::DOUBLE AS vocabulary_ratio,
         length(text) AS content_length FROM (SELECT doc_id, text, {words('text')} AS w FROM documents)""",
     "g6_host_rollup": f"""SELECT host, success, count(*) AS n, sum(CASE WHEN success THEN length(c) ELSE 0 END)::BIGINT AS chars
-        FROM (SELECT {HOST} AS host, success, substr({STRIP_TAGS}, 1, 5000) AS c FROM {FETCHES})
+        FROM (SELECT {HOST} AS host, success, {STRIP_TAGS} AS c FROM {FETCHES})
         GROUP BY ROLLUP (host, success)""",
 
     "t1_rate_windows": """SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
@@ -345,3 +345,36 @@ ORACLES.update({
     "s2_stream_rate_windows": ORACLES["t1_rate_windows"],
     "s6_stream_batch_summary": ORACLES["g1_batch_summary"],
 })
+
+TITLES = ORACLES["c4_page_title"]
+ORACLES.update({
+    "s1_stream_content_only": f"SELECT page_id, true AS success, title FROM ({TITLES})",
+    "s3_stream_sliding": """SELECT user_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n
+        FROM (SELECT user_id, unnest([time_bucket(INTERVAL 30 MINUTE, ts),
+                                      time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY ALL""",
+    "s3_stream_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
+          < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+        g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e),
+        w AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 6 HOUR AS z, count(*) AS n FROM g GROUP BY user_id, s)
+        SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(z, '%Y-%m-%d %H:%M:%S') AS session_end, n
+        FROM w WHERE z <= (SELECT max(ts) FROM events)""",
+    "s4_stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "a10_error_json": """SELECT page_id, '{"success":false,"error":"Content extraction failed"'
+        || CASE WHEN page_id % 2 = 0 THEN ',"details":{"url":"' || url || '"}' ELSE '' END || '}' AS json
+        FROM pages WHERE NOT contains(html, '</html>')""",
+    "a11_write_results": "SELECT page_id, url, contains(html, '</html>') AS success FROM pages",
+    "a12_flatten_envelope": "SELECT page_id, true AS success, 'Success' AS message, url, length(html) AS size FROM pages",
+    "d8_return_sections": f"""SELECT page_id, count(*) AS n_sections, max(CASE WHEN selector = '.ad' THEN content END) AS ad
+        FROM {SECTIONS} WHERE selector IN ('article', '.ad') GROUP BY page_id""",
+    "d2_repeated_selector": f"""SELECT page_id, 'selector_1_h1' AS section_key, 0::BIGINT AS sel_pos FROM {SECTIONS} WHERE selector = 'h1'
+        UNION ALL SELECT page_id, 'selector_2_.ad', 1 FROM {SECTIONS} WHERE selector = '.ad'
+        UNION ALL SELECT page_id, 'selector_3_h1', 2 FROM {SECTIONS} WHERE selector = 'h1'""",
+    "l5_skip_switches": f"""SELECT page_id, count(*) AS links, 0::BIGINT AS no_images, count(*) AS images, 0::BIGINT AS no_links
+        FROM {ITEMS} GROUP BY page_id""",
+    "c7_failures": """SELECT page_id, page_id % 3 <> 0 AND page_id % 5 <> 0 AS success,
+          CASE WHEN page_id % 5 = 0 THEN 'timeout' WHEN page_id % 3 = 0 THEN 'No HTML content found' END AS error,
+          page_id % 3 = 0 OR page_id % 5 = 0 AS empty FROM pages""",
+    "g2_batch_timing": """SELECT round_even(sum(value), 2) AS total_time,
+        round_even(sum(value) / count(*), 2) AS average_time_per_url FROM events""",
+    "g5_result_metadata": "SELECT page_id, length(html) AS original_html_length, 'content_only' AS extraction_mode FROM pages",
+})

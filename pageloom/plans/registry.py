@@ -4,7 +4,7 @@ derives from them) in full."""
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import css, dom, nodes as N, stats, windows as W
 from ..plans import content as C
+from ..session import ship
 from ..sources import pages as P
 
 QUERIES: dict = {}
@@ -20,7 +21,11 @@ QUERIES: dict = {}
 
 def query(name):
     def deco(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            return fn(ship(spark), d)
+
+        QUERIES[name] = run
         return fn
     return deco
 
@@ -29,8 +34,15 @@ def tbl(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(spark, pages: DataFrame) -> int | None:
+    """Partitions for parsing when the input has fewer files than tasks."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return n if len(pages.inputFiles()) < n else None
+
+
 def _nodes(spark, d) -> DataFrame:
-    return dom.explode_nodes(tbl(spark, d, "pages"))
+    pages = tbl(spark, d, "pages")
+    return dom.explode_nodes(pages, partitions=_spread(spark, pages))
 
 
 def _listing(spark, d) -> DataFrame:
@@ -324,7 +336,7 @@ def g4(spark, d):
 
 @query("g6_host_rollup")
 def g6(spark, d):
-    r = C.basic_content(_fetches(spark, d).drop("error_message"))
+    r = C.basic_content(_fetches(spark, d).drop("error_message"), uncut=True)
     return stats.host_rollup(r)
 
 
@@ -744,3 +756,115 @@ def s6(spark, d):
     done = ST.stream_extract(pages_stream, lambda b: C.basic_content(
         b.withColumn("success", F.col("html").contains("</html>"))), "s6")
     return stats.batch_summary(done)
+
+
+@query("s3_stream_sliding")
+def s3(spark, d):
+    ev = ST.event_stream(spark, d, "events.parquet")
+    r = ST.run_update_to_table(ST.stream_rate_windows(ev, slide="30 minutes"), "s3", ["user_id", "window_start"])
+    return r.select("user_id", _fmt("window_start").alias("window_start"), "n")
+
+
+@query("s3_stream_sessions")
+def s3_sessions(spark, d):
+    ev = ST.event_stream(spark, d, "events.parquet")
+    done = ST.run_append_to_table(ST.stream_sessions(ev, gap="6 hours", delay="0 seconds"), "s3s")
+    # sessions are emitted once the watermark has passed them
+    last = tbl(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("last"))
+    done = done.join(F.broadcast(last)).where("session_end <= last")
+    return done.select("user_id", _fmt("session_start").alias("session_start"), _fmt("session_end").alias("session_end"), "n")
+
+
+@query("s4_stream_dedup")
+def s4(spark, d):
+    ev = ST.event_stream(spark, d, "events.parquet").withColumn("cache_key", F.concat_ws(":", "user_id", "event_type"))
+    done = ST.run_append_to_table(ST.stream_dedup_ttl(ev, ttl="60 days"), "s4")
+    return done.select("user_id", "event_type").distinct()
+
+
+# --- envelopes, sinks, modes ---------------------------------------------------------
+
+from ..plans import envelopes as V  # noqa: E402
+from ..session import scratch  # noqa: E402
+
+
+@query("a10_error_json")
+def a10(spark, d):
+    bad = P.fail_rows(_fetches(spark, d)).where("not success")
+    details = F.when(F.col("page_id") % 2 == 0, F.struct(F.col("url").alias("url")))
+    return bad.select("page_id", V.error_json(F.col("error"), details).alias("json"))
+
+
+@query("a11_write_results")
+def a11(spark, d):
+    r = P.fail_rows(_fetches(spark, d)).select("page_id", "url", "success")
+    path = scratch(spark, "results")
+    V.write_results(r, path)
+    return spark.read.parquet(path).select("page_id", "url", F.col("success").cast("boolean").alias("success"))
+
+
+@query("a12_flatten_envelope")
+def a12(spark, d):
+    pages = tbl(spark, d, "pages").select("page_id", F.struct("url", F.length("html").cast("long").alias("size")).alias("payload"))
+    return V.success_envelope(pages, "payload")
+
+
+@query("d8_return_sections")
+def d8(spark, d):
+    spec = SelectiveSpec((".ad", "article"), (), 5000, return_sections=True)
+    r = S.selective(tbl(spark, d, "pages"), spec)
+    return r.select("page_id", F.size(F.coalesce("sections", F.create_map().cast(
+        "map<string,struct<selector:string,content:string,element_count:int>>"))).cast("long").alias("n_sections"),
+        F.col("sections")["selector_1_.ad"]["content"].alias("ad"))
+
+
+@query("d2_repeated_selector")
+def d2_repeated(spark, d):
+    s = S.sections(_sel_clean(spark, d), ["h1", ".ad", "h1"])
+    return s.select("page_id", "section_key", F.col("sel_pos").cast("long").alias("sel_pos"))
+
+
+@query("f9_auto_fields")
+def f9(spark, d):
+    r = V.auto_fields(_listing(spark, d), ".it")
+    return r.select("page_id", F.col("index").cast("long").alias("index"), "title", "image", "link", "date", "author")
+
+
+@query("l5_skip_switches")
+def l5(spark, d):
+    lp = _listing(spark, d)
+    nodes = dom.explode_nodes(lp)
+    one = V.with_media(lp.select("page_id"), nodes, lp, skip_images=True)
+    two = V.with_media(lp.select("page_id"), nodes, lp, skip_links=True)
+    n = lambda c: F.size(c).cast("long")
+    return one.select("page_id", (n("internal_links") + n("external_links")).alias("links"), n("images").alias("no_images")).join(
+        two.select("page_id", n("images").alias("images"), n("internal_links").alias("no_links")), "page_id")
+
+
+@query("c7_failures")
+def c7_failures(spark, d):
+    """Failed fetches and pages without html are failures, not empty pages."""
+    pages = tbl(spark, d, "pages").select(
+        "page_id", "url", F.when(F.col("page_id") % 3 != 0, F.col("html")).alias("html"),
+        (F.col("page_id") % 5 != 0).alias("success"), F.lit("timeout").alias("error_message"))
+    return C.content_only(pages).select("page_id", "success", "error", (F.col("content") == "").alias("empty"))
+
+
+@query("g2_batch_timing")
+def g2(spark, d):
+    return stats.batch_timing(tbl(spark, d, "events").withColumn("elapsed", F.col("value")))
+
+
+@query("g5_result_metadata")
+def g5(spark, d):
+    r = C.content_only(tbl(spark, d, "pages"), 100)
+    meta = V.result_metadata("content", r)
+    return r.select("page_id", meta.alias("m")).select(
+        "page_id", F.col("m.original_html_length").cast("long").alias("original_html_length"),
+        F.col("m.extraction_mode").alias("extraction_mode"))
+
+
+@query("s1_stream_content_only")
+def s1(spark, d):
+    pages = ST.file_stream(spark, d, "pages.parquet", "page_id long, url string, html string")
+    return ST.stream_extract(pages, C.content_only, "s1").select("page_id", "success", "title")

@@ -9,6 +9,7 @@ from ..functions.text import content_analysis, regex_text, strip_ws, truncate, w
 from ..functions.urls import host
 from ..operators import css, dedup, dom, nodes as N
 from ..profiles import SelectiveSpec, resolve_length
+from ..sources.pages import with_html_source
 
 
 def selective_nodes(nodes: DataFrame, exclude=(), warnings: list | None = None) -> DataFrame:
@@ -20,10 +21,12 @@ def sections(clean: DataFrame, selectors) -> DataFrame:
     """D1 + D2: per selector the texts of its matches (C5 + E1, empties
     dropped) joined by a space; ``element_count`` counts all matches; no
     row when there is no text."""
-    compiled = N.compile_selectors(selectors)
     out = None
-    for pos, (raw, sel) in enumerate(compiled):
-        i = list(selectors).index(raw)
+    for i, raw in enumerate(selectors):     # a repeated selector keeps its own position
+        compiled = N.compile_selectors([raw])
+        if not compiled:
+            continue
+        sel = compiled[0][1]
         texts = N.element_text_pairs(N.selector_pairs(clean, sel), img_alt_min=1, sentences=True)
         joined = (texts.filter(F.col("text") != "").groupBy("page_id").agg(F.array_join(F.transform(
             F.sort_array(F.collect_list(F.struct("root", "text"))), lambda x: x["text"]), " ").alias("content")))
@@ -88,33 +91,49 @@ def combine_sections(kept: DataFrame, on_supersede: str = "replace") -> DataFram
 
 
 def selective(pages: DataFrame, spec: SelectiveSpec, on_supersede: str = "replace") -> DataFrame:
-    """The selective result per page."""
-    nodes = dom.explode_nodes(pages)
+    """The selective result per page. Failed fetches and pages without
+    html come out as failures (A3); a page that cannot be tokenised falls back
+    to the regex text; ``spec.return_sections`` adds the section map (D8)."""
+    src = with_html_source(pages)
+    html = src.filter("ok").select("page_id", F.col("html_source").alias("html"))
+    nodes = dom.explode_nodes(html)
     clean = selective_nodes(nodes, spec.exclude)
     secs = sections(clean, list(spec.selectors)) if spec.selectors else None
     secs = with_fallback(pages, clean, secs, bool(spec.selectors))
-    ordered = order_sections(secs)
-    kept = drop_nested_sections(ordered)
+    kept = drop_nested_sections(order_sections(secs))
     comb = combine_sections(kept, on_supersede)
-    title = N.page_title(nodes)
-    base = pages.select("page_id", "url", F.length("html").alias("original_html_length"), regex_text("html").alias("_rx"))
-    j = base.join(comb, "page_id", "left").join(title, "page_id", "left")
-    fell_back = comb_crash = F.col("total_sections").isNotNull() & F.col("content").isNull()
+    failed = nodes.filter(F.col("kind") == "error").select("page_id", F.lit(True).alias("parse_failed"))
+    base = src.select("page_id", "url", "ok", "error", F.length("html_source").alias("original_html_length"),
+                      regex_text("html_source").alias("_rx"))
+    j = base.join(comb, "page_id", "left").join(N.page_title(nodes), "page_id", "left").join(failed, "page_id", "left")
+    crashed = F.col("total_sections").isNotNull() & F.col("content").isNull()
+    fell_back = F.col("ok") & (crashed | F.col("parse_failed").isNotNull())
     content = F.when(fell_back, F.col("_rx")).otherwise(F.coalesce("content", F.lit("")))
-    content = truncate(content, resolve_length(spec.max_length, "selective"), ellipsis=True)
-    method = F.when(comb_crash, F.lit("fallback_regex")).otherwise(
+    content = F.when(F.col("ok"), truncate(content, resolve_length(spec.max_length, "selective"), ellipsis=True)).otherwise(F.lit(""))
+    method = F.when(fell_back, F.lit("fallback_regex")).otherwise(
         F.lit("custom_selectors_deduplicated" if spec.selectors else "default"))
-    return j.select(
-        "page_id", "url", F.lit(True).alias("success"), F.coalesce("title", F.lit("")).alias("title"),
+    none = F.array().cast("array<string>")
+    out = j.select(
+        "page_id", "url", F.col("ok").alias("success"), "error",
+        F.when(F.col("ok"), F.coalesce("title", F.lit(""))).otherwise(F.lit("")).alias("title"),
         content.alias("content"), word_count(content).alias("word_count"),
         F.when(fell_back, F.lit(0)).otherwise(F.coalesce("total_sections", F.lit(0))).alias("total_sections"),
-        F.when(fell_back, F.array().cast("array<string>")).otherwise(
-            F.coalesce("keys", F.array().cast("array<string>"))).alias("selectors_used"),
-        method.alias("extraction_method"),
+        F.when(fell_back, none).otherwise(F.coalesce("keys", none)).alias("selectors_used"),
+        F.when(F.col("ok"), method).alias("extraction_method"),
         F.lit(len(spec.selectors) > 1).alias("deduplication_applied"),
         F.lit(len(spec.selectors)).alias("selectors_provided"),
         F.col("original_html_length").cast("int").alias("original_html_length"),
         content_analysis(content).alias("content_analysis"))
+    if spec.return_sections:
+        out = out.join(section_map(kept), "page_id", "left")
+    return out
+
+
+def section_map(kept: DataFrame) -> DataFrame:
+    """(page_id, sections): the kept sections by key."""
+    entry = F.struct("section_key", F.struct("selector", "content", "element_count").alias("section"))
+    return kept.groupBy("page_id").agg(F.map_from_entries(F.transform(
+        F.sort_array(F.collect_list(F.struct("rank", entry.alias("e")))), lambda x: x["e"])).alias("sections"))
 
 
 # The candidate selectors and exclude suggestions of the

@@ -77,15 +77,13 @@ def lookup_urls(requests: DataFrame, pages: DataFrame) -> DataFrame:
 
 def validate_requests(df: DataFrame, body_col: str = "body") -> DataFrame:
     """A5: JSON request bodies -> ``error`` (NULL when valid)."""
-    body = F.col(body_col)
-    url = F.get_json_object(body, "$.url")
-    has_url = F.coalesce(F.get_json_object(body, "$.url").isNotNull()
-                         | body.rlike('"url"\\s*:\\s*null'), F.lit(False))
-    is_str = F.coalesce(body.rlike('"url"\\s*:\\s*"'), F.lit(False))
-    empty_body = body.isNull() | (F.regexp_replace(body, "\\s", "") == "{}")
-    err = (F.when(empty_body, F.lit(MSG_BODY))
-           .when(~has_url & ~body.rlike('"url"\\s*:'), F.lit(MSG_URL))
-           .when(~is_str | ~validate_url(url), F.lit(MSG_BAD_URL)))
+    body = F.from_json(F.col(body_col), "map<string,string>")
+    raw = body["url"]
+    typed = F.from_json(F.col(body_col), "struct<url:variant>")["url"]
+    is_str = F.coalesce(F.schema_of_variant(typed) == "STRING", F.lit(False))
+    err = (F.when(body.isNull() | (F.size(body) == 0), F.lit(MSG_BODY))
+           .when(~F.map_contains_key(body, "url"), F.lit(MSG_URL))
+           .when(~is_str | ~F.coalesce(validate_url(raw), F.lit(False)), F.lit(MSG_BAD_URL)))
     return df.withColumn("error", err)
 
 

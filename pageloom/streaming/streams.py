@@ -69,16 +69,27 @@ def run_update_to_table(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     out = _scratch(spark, name)
 
     def sink(batch: DataFrame, epoch: int):
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     q = (df.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    res = spark.read.parquet(out)
+    res = spark.read.parquet(out).drop("epoch")
     latest = F.max_by(F.struct(*[c for c in res.columns if c not in keys and c != "_epoch"]), "_epoch")
     return res.groupBy(*keys).agg(latest.alias("v")).select(*keys, "v.*")
 
 
+def run_append_to_table(df: DataFrame, name: str) -> DataFrame:
+    """Run a stream to completion in append mode (``availableNow``) into a
+    folder of the shared checkpoint directory; the file sink commits each
+    epoch once."""
+    out = _scratch(df.sparkSession, name)
+    q = (df.writeStream.outputMode("append").format("parquet").option("path", out)
+         .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def stream_extract(pages_stream: DataFrame, transform, name: str = "extract") -> DataFrame:
     """Newly landed pages -> extraction results, appended. Per-page
     group-bys run inside ``foreachBatch`` (a page is complete in its row)."""
@@ -86,9 +97,10 @@ def stream_extract(pages_stream: DataFrame, transform, name: str = "extract") ->
     out = _scratch(spark, name)
 
     def sink(batch: DataFrame, epoch: int):
-        transform(batch).write.mode("append").parquet(out)
+        # a folder per epoch, overwritten: a retried micro-batch counts once
+        transform(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     q = (pages_stream.writeStream.foreachBatch(sink).option("checkpointLocation", out + "-ckpt")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("epoch")
