@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm import near, packing, pii, quality, toxicity
 from pageloom.llm.store import keep
+from pageloom.session import ship
 
 #: No stage after the first can be said in SQL; tests hold the whole against brute force.
 ORACLE_SQL = None
@@ -58,7 +59,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the documents that pass all stages."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return docs

@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from . import kneser_ney, near, packing, pieces, pii, quality, rabitq, render, tokens, toxicity
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
-ORACLES: dict = {}
 
 
 def query(name):
@@ -19,7 +20,7 @@ def query(name):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return ship(spark).read.parquet(f"{d}/{name}.parquet")
 
 
 @query("op4_quality_rules")
