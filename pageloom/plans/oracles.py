@@ -90,10 +90,10 @@ ORACLES.update({
           WHEN NOT {valid('u')} THEN 'Invalid URL format' END AS error
         FROM (SELECT page_id, unnest([0, 1, 2, 3]) AS kind,
                      unnest([url, NULL, regexp_replace(url, '^[A-Za-z]+://', ''), NULL]) AS u FROM pages)""",
-    "a6_validate_batches": f"""WITH h AS (SELECT {HOST} AS host, list(url ORDER BY page_id) AS l FROM pages GROUP BY 1),
-        b AS (SELECT host, CASE WHEN len(l) % 2 = 0
+    "a6_validate_batches": f"""WITH h AS (SELECT {HOST} AS host, page_id // 60 AS batch, list(url ORDER BY page_id) AS l FROM pages GROUP BY 1, 2),
+        b AS (SELECT host, batch, CASE WHEN len(l) % 2 = 0
                  THEN l[1:len(l) - 1] || [regexp_replace(l[len(l)], '^[A-Za-z]+://', '')] ELSE l END AS urls FROM h)
-        SELECT host, len(urls) AS n_urls, CASE
+        SELECT host, batch, len(urls) AS n_urls, CASE
           WHEN len(urls) = 0 THEN 'At least one URL is required'
           WHEN len(urls) > 5 THEN 'Maximum 5 URLs allowed per batch'
           WHEN len(list_filter(urls, lambda u: NOT {valid('u')})) > 0
