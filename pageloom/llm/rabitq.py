@@ -39,13 +39,14 @@ from .words import read_columns
 NEAREST = 5
 EVERY = 50                # rows whose id is divisible by this are queries
 SAMPLE = 16_384
-PER_CELL = 512            # vectors per cell aimed at
+KNOWN = 2048              # sample vectors that give each query a first bar
+PER_CELL = 1024           # vectors per cell aimed at
 MOST_CELLS = 4096
 COVER = 0.995
 BLOCK = 4096
-QUERY_BLOCK = 1024
-PLANES = 6                # bits of a quantised query component
-EPS = 3.0                 # error bound in standard deviations
+QUERY_BLOCK = 512
+PLANES = 4                # bits of a quantised query component
+EPS = 2.5                 # error bound in standard deviations
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -118,59 +119,82 @@ def words64(code: np.ndarray) -> np.ndarray:
 
 
 def estimate(code: np.ndarray, norm, along, prod, q: np.ndarray, c: np.ndarray, rot: np.ndarray):
-    """(estimated inner product, error bound) of a unit query with a cell's vectors."""
-    dim = q.size
+    """(estimated inner products, error bounds) of unit queries (rows) with
+    the vectors of a cell (columns)."""
+    dim = q.shape[1]
     r = q - c
     v = r @ rot
-    low, step = v.min(), max((v.max() - v.min()) / ((1 << PLANES) - 1), 1e-300)
-    level = np.rint((v - low) / step).astype(np.int64)
-    total = np.zeros(len(code))
-    for b in range(PLANES):
-        plane = words64(np.packbits(((level >> b) & 1).astype(bool))[None, :])
-        total += np.bitwise_count(code & plane).sum(axis=1, dtype=np.int64) * float(1 << b)
+    low = v.min(axis=1)
+    step = np.maximum((v.max(axis=1) - low) / ((1 << PLANES) - 1), 1e-300)
+    level = np.rint((v - low[:, None]) / step[:, None]).astype(np.int64)
+    # sum over bits of 2**b * popcount, highest bit first; small integers
+    total = np.zeros((len(q), len(code)), dtype=np.uint16 if dim <= 4096 else np.uint32)
+    for b in range(PLANES - 1, -1, -1):
+        plane = words64(np.packbits(((level >> b) & 1).astype(bool), axis=1))
+        total <<= 1
+        for w in range(code.shape[1]):
+            total += np.bitwise_count(code[None, :, w] & plane[:, w, None])
     ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
-    signed = 2 * (step * total + low * ones) - v.sum()
-    inner = signed / np.sqrt(dim) / prod
-    spread = np.sqrt((r * r).sum()) * np.sqrt(np.maximum(1 - prod * prod, 0)) / prod / np.sqrt(max(dim - 1, 1))
-    rounding = step * np.sqrt(dim / 12.0) / np.sqrt(dim) / prod
-    return q @ c + along + norm * inner, norm * EPS * (spread + rounding) + 1e-9
+    scale = norm / (np.sqrt(dim) * prod)
+    far = np.sqrt((r * r).sum(axis=1))
+    spread = norm * np.sqrt(np.maximum(1 - prod * prod, 0)) / prod / np.sqrt(max(dim - 1, 1))
+    rounding = norm / prod * np.sqrt(1 / 12.0)
+    f32 = np.float32
+    est = total.astype(f32)
+    est *= (2 * step).astype(f32)[:, None]
+    est += (2 * low).astype(f32)[:, None] * ones.astype(f32)
+    est -= v.sum(axis=1).astype(f32)[:, None]
+    est *= scale.astype(f32)
+    est += along.astype(f32)
+    est += (q @ c).astype(f32)[:, None]
+    err = (EPS * far).astype(f32)[:, None] * spread.astype(f32)
+    err += (EPS * step).astype(f32)[:, None] * rounding.astype(f32)
+    err += f32(1e-5)                    # single precision
+    return est, err
 
 
 def search_cell(data: pd.DataFrame, queries: pd.DataFrame, c: np.ndarray, rot: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best vectors of one block for each query: estimate, bound, rerank."""
+    """The k best vectors of one block for each query (ties with the last
+    place stay: ids decide later): estimate, bound, rerank."""
     x = np.frombuffer(b"".join(data["vector"]), dtype=np.float64).reshape(len(data), -1)
+    every = np.frombuffer(b"".join(queries["vector"]), dtype=np.float64).reshape(len(queries), -1)
     size = np.sqrt((x * x).sum(axis=1))
     code = words64(np.frombuffer(b"".join(data["code"]), dtype=np.uint8).reshape(len(data), -1))
-    norm, along, prod = (data[k_].to_numpy() for k_ in ("norm", "along", "prod"))
-    ids = data["ids"].to_numpy()
-    out: dict = {"query": [], "score": [], "ids": []}
-    for key, raw in zip(queries["query"], queries["vector"], strict=True):
-        q = np.frombuffer(raw, dtype=np.float64)
-        length = np.sqrt((q * q).sum())
-        est, err = estimate(code, norm, along, prod, q / length, c, rot)
-        if len(x) > k:
-            bar = np.partition(est - err, -k)[-k]
-            pick = np.flatnonzero(est + err >= bar)
+    norm, along, prod = (data[name].to_numpy() for name in ("norm", "along", "prod"))
+    ids, keys, known = data["ids"].to_numpy(), queries["query"].to_numpy(), queries["bar"].to_numpy() - 1e-5
+    out = []
+    for s in range(0, len(every), 64):
+        q = every[s: s + 64]
+        length = np.sqrt((q * q).sum(axis=1))
+        est, err = estimate(code, norm, along, prod, q / length[:, None], c, rot)
+        if len(x) > 4 * k:
+            # the k-th best true value among the best estimates is a bar that
+            # the answer reaches; whatever may reach it by its bound is reranked
+            best = np.argpartition(-est, 2 * k, axis=1)[:, : 2 * k]
+            true = np.einsum("qkd,qd->qk", x[best], q) / (size[best] * length[:, None])
+            bar = np.maximum(np.partition(true, -k, axis=1)[:, -k], known[s: s + 64])
+            err += est
+            row, col = np.nonzero(err >= bar[:, None].astype(np.float32))
         else:
-            pick = np.arange(len(x))
-        score = (x[pick] * q).sum(axis=1) / (size[pick] * length)
-        if pick.size > k:
-            # ties with the last place stay: ids decide later
-            keep_ = score >= np.partition(score, -k)[-k]
-            pick, score = pick[keep_], score[keep_]
-        out["query"] += [key] * pick.size
-        out["score"] += score.tolist()
-        out["ids"] += [ids[i] for i in pick]
-    return pd.DataFrame(out)
+            row, col = (i.ravel() for i in np.indices(est.shape))
+        score = (x[col] * q[row]).sum(axis=1) / (size[col] * length[row])
+        order = np.lexsort((-score, row))
+        row, col, score = row[order], col[order], score[order]
+        first = np.searchsorted(row, row)
+        last = np.minimum(first + k, np.searchsorted(row, row, side="right")) - 1
+        good = score >= score[last]
+        out.append(pd.DataFrame({"query": keys[s + row[good]], "score": score[good], "ids": ids[col[good]]}))
+    return pd.concat(out, ignore_index=True)
 
 
 def neighbours(vectors: DataFrame, nearest: int = NEAREST, every: int = EVERY) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
-    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
+    valid = keep(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
         "vec_id is not null and v is not null and size(v) > 0"
-        " and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
+        " and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"),
+        "valid")
     # the smallest ids of equal vectors; the limit is applied before the shuffle too
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     few = valid.withColumn("k", F.row_number().over(by_vector)).where(f"k <= {nearest + 1}")
@@ -188,6 +212,7 @@ def neighbours(vectors: DataFrame, nearest: int = NEAREST, every: int = EVERY) -
     cells = min(MOST_CELLS, max(1, n // PER_CELL))
     c, rot = fit_cells(sample, cells), rotation(dim)
     probes = choose_probes(sample, c)
+    few_known = sample[:KNOWN]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,17 +232,24 @@ def neighbours(vectors: DataFrame, nearest: int = NEAREST, every: int = EVERY) -
                 continue
             x, key = read_columns(batch, "v", "query")
             m = x.flatten().to_numpy().reshape(-1, dim)
-            cell = nearest_cells(unit(m), c, probes)
+            u = unit(m)
+            cell = nearest_cells(u, c, probes)
             at = np.repeat(np.arange(len(m)), probes)
             raw = pa.array([r.tobytes() for r in m], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), key.take(pa.array(at)), raw.take(pa.array(at))],
-                                             names=["cell", "query", "vector"])
+            # the k-th best of a few known vectors: the answer is at least as near
+            bar = np.full(len(m), -1.0)
+            if len(few_known) >= nearest + 1:
+                for i in range(0, len(m), 1024):
+                    bar[i: i + 1024] = np.partition(u[i: i + 1024] @ few_known.T, -(nearest + 1), axis=1)[:, -(nearest + 1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell.ravel()), key.take(pa.array(at)), raw.take(pa.array(at)), pa.array(bar[at])],
+                names=["cell", "query", "vector", "bar"])
 
     fits = F.size("v") == dim
     table = keep(distinct.where(fits).select("v", "ids").mapInArrow(
         index, "cell int, vector binary, ids array<long>, code binary, norm double, along double, prod double"), "index")
     asked = keep(queries.where(fits).groupBy("query").agg(F.first("v").alias("v")).select("v", "query")
-                 .mapInArrow(probe, "cell int, query long, vector binary"), "probes")
+                 .mapInArrow(probe, "cell int, query long, vector binary, bar double"), "probes")
     # blocks per cell: at most MOST_CELLS numbers each
     blocks = {r["cell"]: -(-r["count"] // BLOCK) for r in table.groupBy("cell").count().collect()}
     parts = {r["cell"]: -(-r["count"] // QUERY_BLOCK) for r in asked.groupBy("cell").count().collect()}
@@ -227,7 +259,7 @@ def neighbours(vectors: DataFrame, nearest: int = NEAREST, every: int = EVERY) -
         "*", F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     ask = asked.join(plan, "cell").select(
-        "cell", "query", "vector", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int").alias("part"),
+        "cell", "query", "vector", "bar", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     k = nearest + 1                     # the query's own vector may be among them
 
