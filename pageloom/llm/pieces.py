@@ -4,15 +4,17 @@ Encoding is the agenda algorithm of merge-type piece models: adjacent symbols
 that form a piece are candidates (best score first, then leftmost); the best is
 merged and its new neighbours become candidates. With dropout each candidate
 is skipped with probability ``dropout``, decided by a keyed hash of (seed,
-variant, position, piece), so a run can be repeated anywhere with the same
-result. As the decision is a function of the candidate, a skipped one may as
-well be left out of the agenda. A text is cut before every word (no piece of
-such a model spans a blank after a non-blank), and each occurrence of a word
-draws one of VARIANTS segmentations by a keyed hash of (seed, text, position).
+doc_id, place of the word, position, piece), so a run can be repeated anywhere
+with the same result. As the decision is a function of the candidate, a skipped
+one may as well be left out of the agenda. A text is cut before every word (no
+piece of such a model spans a blank after a non-blank), and every occurrence of
+a word draws its own skips.
 
 Short words of a slice of texts run their agendas side by side on ragged
 arrays, one merge per word and round; long ones use a priority queue. Workers
-remember segmentations in bounded space.
+remember, in bounded space, the segmentation of a short word with one exact set
+of skipped candidates: it depends on nothing else, so an occurrence that draws
+this set again needs no second run. Long words are never shared.
 
 Characters without a piece become byte pieces. A literal U+2581, which pieces
 use for the blank, also becomes byte pieces, so that every text decodes to
@@ -41,8 +43,8 @@ from .words import hash_words, mix, read_columns, text_slices
 BLANK = "▁"
 DROPOUT = 0.1
 SEED = 17
-VARIANTS = 4
-REMEMBERED = 250_000      # segmentations a worker remembers
+REMEMBERED = 250_000      # segmentations a worker remembers, and words with their candidates
+REMEMBERED_IDS = 1 << 24  # and their ids in all
 LONG = 64                 # characters from which a word uses the priority queue
 _POS, _PIECE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _MASK = (1 << 64) - 1
@@ -66,30 +68,28 @@ def _uniform(key: int) -> float:
     return ((key ^ key >> 33) >> 11) * 2.0 ** -53
 
 
-def _unit_keys(buf: bytes, starts: np.ndarray, ends: np.ndarray, seed: int, variant: np.ndarray) -> np.ndarray:
-    """One key per word occurrence: its bytes, the seed and the variant."""
-    salt = np.uint64(seed * 1000003 * 0xD6E8FEB86659FD93 & _MASK)
-    return mix(hash_words(buf, starts, ends) + salt + variant.astype(np.uint64) * _PIECE)
+def _draw_keys(draw: np.ndarray, seed: int) -> np.ndarray:
+    """One key per word occurrence, from the seed and the number of its draw."""
+    return mix(draw.astype(np.uint64) + np.uint64(seed * 1000003 * 0xD6E8FEB86659FD93 & _MASK))
 
 
 class Encoder:
     """Agenda encoder over the tables of ``load_pieces``."""
 
-    def __init__(self, tables: dict, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, tables: dict, dropout: float = DROPOUT, seed: int = SEED):
         self.pieces, self.bytes = tables["pieces"], tables["bytes"]
         self.dropout, self.seed = dropout, seed
-        self.variants = variants if dropout > 0 else 1
         self.names = {i: p for p, (i, _) in self.pieces.items()}
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
 
-    def segment(self, unit: str, variant: int = 0) -> list[int]:
-        """Ids of one unit: the agenda with keyed skipping."""
+    def segment(self, unit: str, draw: int = 0, shift: int = 0) -> list[int]:
+        """Ids of one unit, which begins at position ``shift`` of its word: the
+        agenda with the skips of one draw."""
         pieces, n = self.pieces, len(unit)
         whole = pieces.get(unit)
         if n == 1:
             return [whole[0]] if whole else [self.bytes[b] for b in unit.encode("utf-8")]
-        raw = unit.replace(BLANK, " ").encode("utf-8")
-        key = int(_unit_keys(raw, np.array([0]), np.array([len(raw)]), self.seed, np.array([variant]))[0])
+        key = int(_draw_keys(np.array([draw], dtype=np.uint64), self.seed)[0])
         end = list(range(1, n + 1))              # symbol i covers unit[i:end[i]]; 0: merged away
         left = list(range(-1, n - 1))
         agenda: list[tuple] = []
@@ -105,7 +105,7 @@ class Encoder:
             _, i, j, stop, ident = heapq.heappop(agenda)
             if end[i] != j or end[j] != stop:    # one of the two has changed since
                 continue
-            if self.dropout and _uniform((key + i * int(_POS) + ident * int(_PIECE)) & _MASK) < self.dropout:
+            if self.dropout and _uniform((key + (i + shift) * int(_POS) + ident * int(_PIECE)) & _MASK) < self.dropout:
                 continue
             end[i], end[j] = stop, 0
             if stop < n:
@@ -139,12 +139,37 @@ class Encoder:
         return "".join(parts)[1:]
 
 
+class Options(ByteBpe):
+    """The candidates that the agenda of a word can ever hold, remembered per word."""
+
+    def __init__(self, tables: dict):
+        self.remembered = REMEMBERED
+        self.names = {p: i for p, (i, _) in tables["pieces"].items() if len(p) > 1}
+        self.size = max(i for i, _ in tables["pieces"].values()) + 1
+        self.longest = max(map(len, self.names), default=1)
+        self._forget()
+
+    def list_all(self, buf: bytes, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+        """(position * size + piece of every candidate, their number) of short words."""
+        names, size, longest = self.names, self.size, self.longest
+        flat, counts = [], []
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            unit = buf[s:e].decode("utf-8").replace(BLANK, "\n").replace(" ", BLANK)
+            n, before = len(unit), len(flat)
+            if n <= LONG:
+                flat += [i * size + names[p] for i in range(n - 1) for j in range(i + 2, min(n, i + longest) + 1)
+                         if (p := unit[i:j]) in names]
+            counts.append(len(flat) - before)
+        return np.array(flat, dtype=np.int64), np.array(counts, dtype=np.int64)
+
+
 class Arrays(ByteBpe):
     """The same encoder on slices of texts, agendas of short words in parallel."""
 
-    def __init__(self, tables: dict, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        self.one = Encoder(tables, dropout, seed, variants)
-        self.dropout, self.seed, self.variants = dropout, seed, self.one.variants
+    def __init__(self, tables: dict, dropout: float = DROPOUT, seed: int = SEED):
+        self.one = Encoder(tables, dropout, seed)
+        self.options = Options(tables)
+        self.dropout, self.seed = dropout, seed
         self.remembered = REMEMBERED
         pieces = tables["pieces"]
         self.size = max(i for i, _ in pieces.values()) + 1
@@ -172,8 +197,8 @@ class Arrays(ByteBpe):
             ok &= (x >> np.uint64(11)) * 2.0 ** -53 >= self.dropout
         return np.where(ok, self.cost[at], np.inf), made
 
-    def segment_all(self, buf: bytes, starts, ends, variant) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, sizes) of words at byte ranges."""
+    def segment_all(self, buf: bytes, starts, ends, draw) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, sizes) of words at byte ranges, each with the skips of its draw."""
         raw = np.frombuffer(buf, dtype=np.uint8)
         head = np.flatnonzero((raw & 0xC0) != 0x80)
         cps = np.frombuffer(buf.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
@@ -186,7 +211,7 @@ class Arrays(ByteBpe):
         cp = cps[pos + first[seq]].astype(np.int64)
         sym = self.symbol[cp]
         sym = np.where(sym < 0, -cp - 1, sym)
-        key = _unit_keys(buf, starts, ends, self.seed, variant)
+        key = _draw_keys(draw, self.seed)
         inner = np.zeros(seq.size, dtype=bool)
         inner[:-1] = seq[1:] == seq[:-1]
         cost, made = np.full(seq.size, np.inf), np.zeros(seq.size, dtype=np.int64)
@@ -222,8 +247,11 @@ class Arrays(ByteBpe):
             cost[again], made[again] = self._candidates(sym[again], sym[again + 1], key[seq[again]], pos[again])
         for k in np.flatnonzero(long).tolist():
             unit = buf[starts[k]: ends[k]].decode("utf-8")
-            ids = [i for j, part in enumerate(unit.split(BLANK)) for i in
-                   ([-ord(BLANK) - 1] if j else []) + (self.one.segment(part.replace(" ", BLANK), int(variant[k])) if part else [])]
+            ids, at = [], 0
+            for j, part in enumerate(unit.split(BLANK)):
+                ids += [-ord(BLANK) - 1] if j else []
+                ids += self.one.segment(part.replace(" ", BLANK), int(draw[k]), at) if part else []
+                at += len(part) + 1
             done.append((np.full(len(ids), k), np.array(ids, dtype=np.int64)))
         seq = np.concatenate([x[0] for x in done])
         sym = np.concatenate([x[1] for x in done])
@@ -238,6 +266,31 @@ class Arrays(ByteBpe):
             sym[sym < 0] = [i for x in raw_ids for i in x]
         return sym, np.bincount(seq, minlength=starts.size)
 
+    def _skip_hashes(self, buf: bytes, starts, ends, draw) -> np.ndarray:
+        """A hash of every word and the set of candidates that its draw skips;
+        of a long word and its draw."""
+        words = hash_words(buf, starts, ends)
+        if not self.dropout:
+            return words
+        own = self.options
+        idx = own._lookup(words, lambda pick: own.list_all(buf, starts[pick], ends[pick]))
+        n, head = own.lens[idx].astype(np.int64), own.heads[idx]
+        total = np.concatenate(([0], np.cumsum(n)))
+        cand = own.ids[np.arange(total[-1]) - np.repeat(total[:-1] - head, n)]
+        pos, piece = np.divmod(cand, np.int32(own.size))
+        key = _draw_keys(draw, self.seed)
+        x = mix(np.repeat(key, n) + pos.astype(np.uint64) * _POS + piece.astype(np.uint64) * _PIECE)
+        skip = np.flatnonzero((x >> np.uint64(11)) * 2.0 ** -53 < self.dropout)
+        if skip.size:
+            seq = np.searchsorted(total, skip, side="right") - 1
+            first = np.flatnonzero(np.append(True, seq[1:] != seq[:-1]))
+            words[seq[first]] += np.add.reduceat(mix(cand[skip].astype(np.uint64) + _POS), first)
+        raw = np.frombuffer(buf, dtype=np.uint8)
+        heads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        long = heads[ends] - heads[starts] > LONG
+        words[long] += mix(key[long])
+        return mix(words)
+
     def encode(self, col: pa.Array, keys: np.ndarray):
         """Yield (first row, flat ids, offsets per text) for slices of a column."""
         for row, buf, offs in text_slices(col, lower=False):
@@ -257,11 +310,11 @@ class Arrays(ByteBpe):
             ends = np.append(starts[1:], raw.size)
             place = np.searchsorted(starts, offs)
             doc = np.repeat(np.arange(full.size), np.diff(place))
-            draw = mix(np.arange(starts.size).astype(np.uint64) - place[doc].astype(np.uint64)
-                       + keys[row + doc] * _PIECE + np.uint64(self.seed))
-            variant = (draw % np.uint64(self.variants)).astype(np.int64)
-            idx = self._lookup(_unit_keys(buf, starts, ends, self.seed, variant),
-                               lambda pick: self.segment_all(buf, starts[pick], ends[pick], variant[pick]))
+            draw = np.arange(starts.size).astype(np.uint64) - place[doc].astype(np.uint64) + keys[row + doc] * _PIECE
+            if self.used > REMEMBERED_IDS:
+                self._forget()
+            idx = self._lookup(self._skip_hashes(buf, starts, ends, draw),
+                               lambda pick: self.segment_all(buf, starts[pick], ends[pick], draw[pick]))
             n, head = self.lens[idx].astype(np.int64), self.heads[idx]
             total = np.concatenate(([0], np.cumsum(n)))
             yield row, self.ids[np.arange(total[-1]) - np.repeat(total[:-1] - head, n)], total[place]
@@ -279,12 +332,12 @@ def _encoder(tables: dict, *settings) -> Arrays:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, ids, n_ids, lossless) of every row of ``docs``."""
     tables = load_pieces(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(tables, dropout, seed, variants)
+        enc = _encoder(tables, dropout, seed)
         for batch in batches:
             ident, text = read_columns(batch, "doc_id", "text")
             keys = ident.cast(pa.int64()).fill_null(-1).to_numpy().astype(np.uint64)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -105,6 +106,29 @@ def test_agenda_equals_arrays():
             assert ids.tolist() == one.segment(pieces.BLANK + word, v)
 
 
+def test_every_occurrence_draws_its_own_skips(table):
+    """Equal to the priority queue run per occurrence, and not held to a few segmentations a word."""
+    tables = pieces.load_pieces(PIECES)
+    one = pieces.Encoder(tables, 0.3)
+    words = ["unbelievable"] * 400 + ["the", "naïve", "你好x", "a▁bab▁bab"] * 20 + ["internationalization" * 5] * 20
+    col, doc_ids = pa.array([" ".join(words), None, "the the the"]), np.array([7, 8, 9], dtype=np.uint64)
+    [(_, ids, offs)] = pieces.Arrays(tables, 0.3).encode(col, doc_ids)
+    want, seen = [], collections.Counter()
+    for ident, text in ((7, words), (9, ["the"] * 3)):
+        for k, word in enumerate(text):
+            draw = (k + ident * int(pieces._PIECE)) % 2**64
+            got, at = [], 0
+            for j, part in enumerate((" " + word).split(pieces.BLANK)):
+                got += [one.bytes[b] for b in pieces.BLANK.encode()] if j else []
+                got += one.segment(part.replace(" ", pieces.BLANK), draw, at)
+                at += len(part) + 1
+            want += got
+            seen[word, tuple(got)] += 1
+    assert ids.tolist() == want
+    assert sum(w == "unbelievable" for w, _ in seen) > 20
+    assert sum(w.startswith("internationalization") for w, _ in seen) > 4
+
+
 def check_packing(docs, capacity):
     tok = Tokenizer.from_file(BPE)
     want = collections.Counter()
