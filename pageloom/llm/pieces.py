@@ -73,6 +73,13 @@ def _draw_keys(draw: np.ndarray, seed: int) -> np.ndarray:
     return mix(draw.astype(np.uint64) + np.uint64(seed * 1000003 * 0xD6E8FEB86659FD93 & _MASK))
 
 
+def characters(buf: bytes, starts, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first character, number of characters) of words at byte ranges, and all characters."""
+    head = np.flatnonzero((np.frombuffer(buf, dtype=np.uint8) & 0xC0) != 0x80)
+    first = np.searchsorted(head, starts)
+    return first, np.searchsorted(head, ends) - first, np.frombuffer(buf.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+
+
 class Encoder:
     """Agenda encoder over the tables of ``load_pieces``."""
 
@@ -144,23 +151,47 @@ class Options(ByteBpe):
 
     def __init__(self, tables: dict):
         self.remembered = REMEMBERED
-        self.names = {p: i for p, (i, _) in tables["pieces"].items() if len(p) > 1}
         self.size = max(i for i, _ in tables["pieces"].values()) + 1
-        self.longest = max(map(len, self.names), default=1)
+        nodes, steps, piece = {"": 0}, {}, [-1]              # a trie of the pieces
+        for name, (ident, _) in tables["pieces"].items():
+            for k, char in enumerate(name):
+                if name[:k + 1] not in nodes:
+                    nodes[name[:k + 1]] = len(piece)
+                    steps[nodes[name[:k]] * 0x110000 + ord(char)] = len(piece)
+                    piece.append(-1)
+            if len(name) > 1:
+                piece[nodes[name]] = ident
+        self.step = np.array(sorted(steps), dtype=np.int64)
+        self.child = np.array([steps[x] for x in self.step.tolist()], dtype=np.int64)
+        self.piece = np.array(piece, dtype=np.int64)
         self._forget()
 
     def list_all(self, buf: bytes, starts, ends) -> tuple[np.ndarray, np.ndarray]:
         """(position * size + piece of every candidate, their number) of short words."""
-        names, size, longest = self.names, self.size, self.longest
-        flat, counts = [], []
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            unit = buf[s:e].decode("utf-8").replace(BLANK, "\n").replace(" ", BLANK)
-            n, before = len(unit), len(flat)
-            if n <= LONG:
-                flat += [i * size + names[p] for i in range(n - 1) for j in range(i + 2, min(n, i + longest) + 1)
-                         if (p := unit[i:j]) in names]
-            counts.append(len(flat) - before)
-        return np.array(flat, dtype=np.int64), np.array(counts, dtype=np.int64)
+        first, n, cps = characters(buf, starts, ends)
+        n = np.where(n > LONG, 0, n)
+        seq = np.repeat(np.arange(n.size), n)
+        pos = np.arange(seq.size) - np.repeat(np.cumsum(n) - n, n)
+        cp = cps[pos + first[seq]].astype(np.int64)
+        cp = np.where(cp == 32, ord(BLANK), np.where(cp == ord(BLANK), 10, cp))    # no piece holds a line end
+        left = n[seq] - pos                                  # characters from here to the end of the word
+        at, node, found = np.arange(seq.size), np.zeros(seq.size, dtype=np.int64), []
+        k = 0
+        while at.size and self.step.size:
+            key = node * 0x110000 + cp[at + k]
+            to = np.minimum(np.searchsorted(self.step, key), self.step.size - 1)
+            go = self.step[to] == key
+            at, node = at[go], self.child[to[go]]
+            hit = self.piece[node] >= 0
+            found.append((at[hit], self.piece[node[hit]]))
+            k += 1
+            go = left[at] > k
+            at, node = at[go], node[go]
+        place = np.concatenate([x[0] for x in found]) if found else np.zeros(0, dtype=np.int64)
+        piece = np.concatenate([x[1] for x in found]) if found else place
+        order = np.argsort(place, kind="stable")
+        place, piece = place[order], piece[order]
+        return pos[place] * self.size + piece, np.bincount(seq[place], minlength=n.size)
 
 
 class Arrays(ByteBpe):
@@ -199,11 +230,7 @@ class Arrays(ByteBpe):
 
     def segment_all(self, buf: bytes, starts, ends, draw) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, sizes) of words at byte ranges, each with the skips of its draw."""
-        raw = np.frombuffer(buf, dtype=np.uint8)
-        head = np.flatnonzero((raw & 0xC0) != 0x80)
-        cps = np.frombuffer(buf.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
-        first = np.searchsorted(head, starts)
-        n = np.searchsorted(head, ends) - first
+        first, n, cps = characters(buf, starts, ends)
         long = n > LONG
         size = np.where(long, 0, n)
         seq = np.repeat(np.arange(size.size), size)
