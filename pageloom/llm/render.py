@@ -8,7 +8,13 @@ aligned columns, preformatted text as it stands.
 Visibility: scripts, styles, head data, templates, closed dialogs and the like
 never show; ``hidden`` and ``display: none`` hide a subtree; ``visibility:
 hidden`` hides text until a descendant turns it visible; a closed ``details``
-shows its summary; a ``select`` shows its selected or first option.
+shows its summary; a ``select`` shows its selected or first option. The text
+of ``math``, ``svg`` and ``map`` shows, without titles, descriptions,
+annotations and definitions.
+
+Tags that may be left out: ``head`` ends at the first text or start tag that it
+cannot hold, ``colgroup`` at all but ``col``; ``/>`` closes ``svg``, ``math``
+and what is inside them.
 
 Defined cases: a null or empty page gives an empty text; broken markup is
 closed at the end of the page and unmatched end tags are ignored; any depth and
@@ -39,7 +45,13 @@ _SPACES = re.compile(r"[ \t\n\f\r]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object canvas audio video datalist "
-                   "meta link base param source track colgroup col svg math map area".split())
+                   "meta link base param source track colgroup col area".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Data of a drawing or formula that never shows; the text of foreignObject and of all other elements does.
+FOREIGN_UNSEEN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter "
+                           "annotation annotation-xml".split())
+_HTML_INSIDE = frozenset(("foreignobject", "desc", "title", "mtext", "annotation-xml"))
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = HEADINGS | frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header "
@@ -49,6 +61,7 @@ SPACED = HEADINGS | frozenset("p ul ol menu dl pre blockquote table figure".spli
 _CELLS = frozenset(("td", "th"))
 _ROWS = frozenset(("tr", "td", "th"))
 _PARTS = frozenset(("thead", "tbody", "tfoot", "tr", "td", "th", "caption"))
+_GROUPS = _PARTS | {"colgroup"}
 #: A start tag closes these elements, unless an element of the second set is between.
 IMPLIED = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu", "table"))),
@@ -56,13 +69,15 @@ IMPLIED = {
     "dd": (frozenset(("dt", "dd")), frozenset(("dl", "table"))),
     "option": (frozenset(("option",)), frozenset(("select", "optgroup", "datalist"))),
     "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
-    "td": (_CELLS, frozenset(("tr", "table"))),
-    "th": (_CELLS, frozenset(("tr", "table"))),
-    "tr": (_ROWS, frozenset(("table",))),
-    "thead": (_PARTS, frozenset(("table",))),
-    "tbody": (_PARTS, frozenset(("table",))),
-    "tfoot": (_PARTS, frozenset(("table",))),
+    "td": (_CELLS | {"colgroup"}, frozenset(("tr", "table"))),
+    "th": (_CELLS | {"colgroup"}, frozenset(("tr", "table"))),
+    "tr": (_ROWS | {"colgroup"}, frozenset(("table",))),
+    "thead": (_GROUPS, frozenset(("table",))),
+    "tbody": (_GROUPS, frozenset(("table",))),
+    "tfoot": (_GROUPS, frozenset(("table",))),
     "body": (frozenset(("head",)), frozenset()),
+    "caption": (frozenset(("caption", "colgroup")), frozenset(("table",))),
+    "colgroup": (frozenset(("caption", "colgroup")), frozenset(("table",))),
 }
 _P = frozenset(("p",))
 _P_STOPS = frozenset(("table", "td", "th", "caption", "button", "object", "template"))
@@ -85,16 +100,23 @@ def attributes(raw: str) -> dict:
     return out
 
 
+def _self_closed(raw: str) -> bool:
+    """Whether a start tag ends in ``/>``; a slash that ends an unquoted value does not count."""
+    tail = re.split(r"[\s\"']", raw)[-1]
+    return tail.endswith("/") and "=" not in tail
+
+
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("#root", {})
     stack = [root]
+    foreign = [False]                       # whether each open element holds svg or math elements
     opened: dict = {}                       # open elements by tag, to skip hopeless searches
 
     def close(k: int) -> None:
         for node in stack[k:]:
             opened[node.tag] -= 1
-        del stack[k:]
+        del stack[k:], foreign[k:]
 
     def close_nearest(tags, stops) -> None:
         """Close the outermost open element of ``tags`` above the nearest stop."""
@@ -111,6 +133,10 @@ def parse(page: str) -> Node:
             close(found)
 
     def text(s: str) -> None:
+        if stack[-1].tag == "head" and not s.isspace() and s:
+            close(len(stack) - 1)           # head holds no text
+        elif stack[-1].tag == "colgroup" and s and not s.isspace():
+            close(len(stack) - 1)
         if s:
             stack[-1].children.append(unescape(s) if "&" in s else s)
 
@@ -138,6 +164,13 @@ def parse(page: str) -> Node:
             elif tag == "p":
                 stack[-1].children.append(Node("p", {}))
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD or stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            close(len(stack) - 1)           # an implied end: neither holds such an element
+        if tag == "head" and (opened.get("head") or opened.get("body")):
+            continue                        # a second head is ignored
+        if foreign[-1] and tag in ENDS_P:   # such a tag ends the drawing or formula
+            while foreign[-1]:
+                close(len(stack) - 1)
         if tag in IMPLIED:
             close_nearest(*IMPLIED[tag])
         if tag in ENDS_P:
@@ -148,12 +181,15 @@ def parse(page: str) -> Node:
             row = Node("tr", {})            # implied row
             stack[-1].children.append(row)
             stack.append(row)
+            foreign.append(False)
             opened["tr"] = opened.get("tr", 0) + 1
         node = Node(tag, attributes(m[3]) if m[3] and not m[3].isspace() else {})
         stack[-1].children.append(node)
-        if tag in VOID:
+        if foreign[-1] and tag in FOREIGN_UNSEEN:
+            node.attrs["hidden"] = ""
+        if tag in VOID or (tag in FOREIGN or foreign[-1]) and _self_closed(m[3] or ""):
             continue
-        if tag in RAW:
+        if tag in RAW and not (tag == "title" and foreign[-1]):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
             stop = end.start() if end else n
             inner = page[at:stop]
@@ -163,6 +199,7 @@ def parse(page: str) -> Node:
             at = close_tag + 1 if end and close_tag >= 0 else n
             continue
         stack.append(node)
+        foreign.append(tag in FOREIGN or foreign[-1] and tag not in _HTML_INSIDE)
         opened[tag] = opened.get(tag, 0) + 1
     return root
 

@@ -185,6 +185,24 @@ def test_render(html, text):
     assert render.render(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<html><head><title>T</title><p>Hello", "Hello"), ("<head><meta charset=x>\n Hello <b>you</b>", "Hello you"),
+    ("<head><style>no</style><script>no</script>\n<link rel=x></head>\n<body>yes", "yes"),
+    ("<head><title>T</title><div>a</div><body><p>b", "a\n\nb"), ("<head><title>T</title></head>x<head>y", "xy"),
+    ("<head><template><p>no</p></template><p>yes", "yes"), ("<head><noscript><p>no</p></noscript><p>yes", "yes"),
+    ("<table><colgroup><col><tr><td>x</table>y", "x\n\ny"), ("<table><colgroup><col><tbody><tr><td>x</table>", "x"),
+    ("<table><caption>c<colgroup><col><colgroup><col><thead><tr><th>h<tbody><tr><td>x</table>", "c\nh\nx"),
+    ("<div>a<svg/>b</div>", "ab"), ("<div>a<math/>b</div>c", "ab\nc"), ("<div>a<div/>b</div>", "a\nb"),
+    ("<svg><title>no</title><defs><text>no</text></defs><path d='x'/><text>yes</text></svg> t", "yes t"),
+    ("<p>is <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.", "is x=2."), ("a <map name=m><area><p>in</p></map>", "a\n\nin"),
+    ("<filter>a</filter><svg><filter>no</filter><foreignObject><div/>b</foreignObject></svg>c", "a\nb\nc"),
+    ("<svg><defs><p>yes", "yes"), ("<svg><a href=x/>t</a><defs/>u</svg>", "tu"),
+    ("<svg><style>no</style><script>no</script><text x='1'>t</text></svg>", "t"),
+])
+def test_render_optional_tags_and_foreign_elements(html, text):
+    assert render.render(html) == text
+
+
 def test_render_pages(spark, table):
     rows = [(1, None, 5), (2, "<p>x", 6), (2, "<p>x", 6), (None, "<i>y</i>", 7), (3, "<p>word " * 50_000, 8)]
     got = render.render_pages(table(rows, "page_id long, html string, text int")).collect()
