@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
-from . import kneser_ney, near, packing, pieces, pii, quality, rabitq, render, tokens, toxicity
+from . import align, kneser_ney, langid, near, packing, pieces, pii, quality, rabitq, render, tokens, toxicity, whitening
 from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -72,3 +73,21 @@ def op10(spark, d):
 @query("op1_rabitq_neighbours")
 def op1(spark, d):
     return rabitq.neighbours(table(spark, d, "embeddings"))
+
+
+@query("op11_token_alignment")
+def op11(spark, d):
+    out = align.alignments(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return out.withColumn("groups_sha256", digest).drop("groups")
+
+
+@query("op12_embedding_whitening")
+def op12(spark, d):
+    return whitening.whitening(table(spark, d, "embeddings"))
+
+
+@query("op13_language_id")
+def op13(spark, d):
+    return langid.languages(table(spark, d, "documents"))
