@@ -28,19 +28,21 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import byte_alphabet, encoder, load_tables
+from .bytebpe import ByteBpe, byte_alphabet, load_tables
 from .mapped import local_path, map_array, write_array
 from .perfecthash import PerfectHash
 from .store import keep, shared_path
-from .words import mix, read_columns
+from .words import hash_words, mix, read_columns, text_slices
 
 SHARD_KEYS = 1 << 13      # distinct pairs aimed at per shard ...
 MOST_SHARDS = 256         # ... up to so many shards (workers map a file of each) ...
@@ -49,7 +51,11 @@ LEAF_ROWS = 1 << 22       # counts that a leaf of the summing tree takes
 VECTORS = "shard long, leaf long, chunk int, counts binary"
 CHUNK = 1024              # entries of a dense vector that travel in one row
 FAN = 8                   # branches of the summing tree
-_FLUSH = 1 << 21          # links a task holds before it pre-aggregates them
+SLICE = 1 << 20           # bytes of text aligned at once
+REMEMBERED = 250_000      # pre-tokens and words whose ids a worker remembers
+_FLUSH = 1 << 21          # links without a slot that a task holds before it sums them
+_SLOT_BITS = 19
+_SLOTS = 1 << _SLOT_BITS  # pairs whose counts a task keeps at hand
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -110,83 +116,173 @@ class Slice:
         # every token goes behind the tokens of the groups before its own; a group's A tokens stand first
         a_group = np.cumsum(self.a_ends) - self.a_ends
         b_group = np.cumsum(self.b_ends) - self.b_ends
-        a_at = np.arange(self.a.size) + np.searchsorted(b_group, a_group, side="left")
-        b_at = np.arange(self.b.size) + np.searchsorted(a_group, b_group, side="right")
-        ids = np.empty(self.a.size + self.b.size, dtype=np.int64)
+        a_size, b_size = np.bincount(a_group), np.bincount(b_group)
+        a_at = np.arange(self.a.size) + (np.cumsum(b_size) - b_size)[a_group]
+        b_at = np.arange(self.b.size) + np.cumsum(a_size)[b_group]
+        ids = np.empty(self.a.size + self.b.size, dtype=np.int32)
         mark = np.empty(ids.size, dtype=np.uint8)
-        doc = np.empty(ids.size, dtype=np.int64)
         ids[a_at], ids[b_at] = self.a, self.b
-        doc[a_at], doc[b_at] = self.a_doc, self.b_doc
         mark[a_at] = np.where(self.a_ends, ord("|"), ord(","))
         mark[b_at] = np.where(self.b_ends, ord(";"), ord(","))
-        digits = 1 + sum((ids >= 10 ** k).astype(np.int64) for k in range(1, len(str(int(ids.max())))))
-        stop = np.cumsum(digits + 1)
-        out = np.empty(int(stop[-1]), dtype=np.uint8)
-        out[stop - 1] = mark
-        rest, at = ids, np.arange(ids.size)
-        for k in range(int(digits.max())):
-            out[stop[at] - 2 - k] = 48 + rest % 10
-            more = digits[at] > k + 1
-            at, rest = at[more], rest[more] // 10
-        text = out.tobytes().decode("ascii")
-        cut = np.concatenate(([0], stop))[np.searchsorted(doc, np.arange(self.n + 1))]
+        figures, shown = _figures(int(ids.max()))
+        chars = figures[ids]
+        chars[:, -1] = mark
+        text = chars[shown[ids]].tobytes().decode("ascii")
+        stop = np.concatenate(([0], np.cumsum(shown.sum(axis=1)[ids])))
+        tokens = np.bincount(self.a_doc, minlength=self.n) + np.bincount(self.b_doc, minlength=self.n)
+        cut = stop[np.concatenate(([0], np.cumsum(tokens)))]
         return [text[s: max(s, e - 1)] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
+_FIGURES: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _figures(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every id up to ``most`` its decimal figures, set to the right before one free place, and which places are in use."""
+    if not _FIGURES or _FIGURES[0][0].shape[0] <= most:
+        ids = np.arange(max(most + 1, 1 << 16))
+        width = len(str(ids.size))
+        rest = ids[:, None] // 10 ** np.arange(width - 1, -1, -1)
+        used = rest > 0
+        used[:, -1] = True
+        _FIGURES[:] = [(np.append((48 + rest % 10).astype(np.uint8), np.zeros((ids.size, 1), dtype=np.uint8), axis=1),
+                        np.append(used, np.ones((ids.size, 1), dtype=bool), axis=1))]
+    return _FIGURES[0]
+
+
+class _Bytes(ByteBpe):
+    """The byte-level side: ids and offsets of the texts of one slice."""
+
+    def slice_ids(self, buf: bytes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends = self._units(buf, offs)
+        if not starts.size:
+            return np.zeros(0, dtype=np.int64), np.zeros(offs.size, dtype=np.int64)
+        idx = self._lookup(hash_words(buf, starts, ends), lambda pick: self.merge(buf, starts[pick], ends[pick]))
+        n, head = self.lens[idx].astype(np.int64), self.heads[idx]
+        total = np.concatenate(([0], np.cumsum(n)))
+        return self.ids[np.arange(total[-1]) - np.repeat(total[:-1] - head, n)].astype(np.int64), total[np.searchsorted(starts, offs)]
+
+    def _units(self, buf, offs):
+        return self.pretokens(buf, offs)[:2]
+
+
+class _Pieces(_Bytes):
+    """The piece side. No piece holds a blank behind another character, so a text is cut before
+    every blank that follows one; each unit begins with the blank that the library puts there itself."""
+
+    def __init__(self, model: bytes, remembered: int):
+        import sentencepiece
+
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.blank = self.sp.piece_to_id("▁")
+        self.remembered = remembered
+        self._forget()
+
+    def _units(self, buf, offs):
+        raw = np.frombuffer(buf, dtype=np.uint8)
+        start = raw == 32
+        start[1:] &= raw[:-1] != 32
+        start[offs[:-1][np.diff(offs) > 0]] = True
+        starts = np.flatnonzero(start)
+        return starts, np.append(starts[1:], raw.size) if starts.size else starts
+
+    def merge(self, buf, starts, ends):
+        parts = self.sp.encode([buf[s + 1: e].decode("utf-8") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], num_threads=1)
+        for k in np.flatnonzero(ends - starts == 1).tolist():
+            parts[k] = [self.blank]                      # a lone blank at the end of a text
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        return np.fromiter((i for p in parts for i in p), dtype=np.int32, count=int(sizes.sum())), sizes
+
+
 class Aligner:
     """Both tokenizers and the byte tables of their ids."""
 
     def __init__(self, pair: dict):
-        import sentencepiece
-
-        self.bpe = encoder(pair["a"])
-        self.sp = sentencepiece.SentencePieceProcessor(model_proto=pair["model"])
+        self.a_side, self.b_side = _Bytes(pair["a"], REMEMBERED), _Pieces(pair["model"], REMEMBERED)
         self.a, self.b = _table(pair["a_bytes"]), _table(pair["b_bytes"])
         self.size_b = self.b[0].size
 
     def slices(self, texts: pa.Array) -> Iterator[tuple[int, Slice]]:
         """(first row, aligned tokens) of bounded runs of rows."""
-        texts = texts.fill_null("")
-        spaced = pa.array([f" {t}" if t else "" for t in texts.to_pylist()], pa.large_string())
-        for row, ids, offs in self.bpe.encode(spaced):
+        texts = texts.cast(pa.large_string()).fill_null("")
+        blank = pa.scalar("", pa.large_string())
+        spaced = pc.if_else(pc.equal(texts, blank), blank, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, blank))
+        for row, buf, offs in text_slices(spaced, SLICE, lower=False):
             n = offs.size - 1
-            own = texts.slice(row, n).to_pylist()
-            parts = self.sp.encode(own, num_threads=1)
-            b_offs = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-            b = np.fromiter((i for p in parts for i in p), dtype=np.int64, count=int(b_offs[-1]))
-            a, a_doc, b_doc = ids.astype(np.int64), np.repeat(np.arange(n), np.diff(offs)), np.repeat(np.arange(n), np.diff(b_offs))
-            raw = [t.encode("utf-8") for t in spaced.slice(row, n).to_pylist()]
-            size = np.array([len(t) for t in raw], dtype=np.int64)
-            same = self._same(a, offs, raw, size, self.a) & self._same(b, b_offs, raw, size, self.b)
-            a, a_doc, b, b_doc = a[same[a_doc]], a_doc[same[a_doc]], b[same[b_doc]], b_doc[same[b_doc]]
+            a, a_offs = self.a_side.slice_ids(buf, offs)
+            b, b_offs = self.b_side.slice_ids(buf, offs)
+            a_doc, b_doc = np.repeat(np.arange(n), np.diff(a_offs)), np.repeat(np.arange(n), np.diff(b_offs))
+            same = self._same(a, a_offs, buf, offs, self.a) & self._same(b, b_offs, buf, offs, self.b)
+            if not same.all():
+                a, a_doc, b, b_doc = a[same[a_doc]], a_doc[same[a_doc]], b[same[b_doc]], b_doc[same[b_doc]]
             a_stop, b_stop = np.cumsum(self.a[0][a]), np.cumsum(self.b[0][b])
             ends = np.zeros((2, int(a_stop[-1]) + 1 if a.size else 1), dtype=bool)
             ends[0, a_stop], ends[1, b_stop] = True, True
             yield row, Slice(n, a, a_doc, ends[1, a_stop], b, b_doc, ends[0, b_stop])
 
     @staticmethod
-    def _same(ids: np.ndarray, offs: np.ndarray, raw: list[bytes], size: np.ndarray, table) -> np.ndarray:
+    def _same(ids: np.ndarray, offs: np.ndarray, buf: bytes, at: np.ndarray, table) -> np.ndarray:
         """Which documents' tokens join to their bytes."""
         length = np.diff(_cuts(table[0][ids], offs))
-        ok = length == size
+        ok = length == np.diff(at)
         joined = _joined(table, ids)
-        want = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        want = np.frombuffer(buf, dtype=np.uint8)
         if ok.all() and np.array_equal(joined, want):
             return ok
-        at = np.concatenate(([0], np.cumsum(length)))
+        first = np.concatenate(([0], np.cumsum(length)))
         for d in np.flatnonzero(ok).tolist():
-            ok[d] = joined[at[d]: at[d + 1]].tobytes() == raw[d]
+            ok[d] = np.array_equal(joined[first[d]: first[d + 1]], want[at[d]: at[d + 1]])
         return ok
 
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (((mix(keys.view(np.uint64)) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int32)
+_ALIGNERS: dict[int, Aligner] = {}
+
+
+def aligner(pair: dict) -> Aligner:
+    """The worker's aligner for these tables; kept between tasks, of bounded size."""
+    mark = zlib.crc32(pair["model"], zlib.crc32(pair["a"]["key"].tobytes()))
+    if mark not in _ALIGNERS:
+        _ALIGNERS.clear()
+        _ALIGNERS[mark] = Aligner(pair)
+    return _ALIGNERS[mark]
+
+
+class Tally:
+    """Counts of keys in bounded memory: a key has one slot, the first key that comes keeps it;
+    the others are held and summed when there are many."""
 
+    def __init__(self):
+        self.keys = np.full(_SLOTS, -1, dtype=np.int64)
+        self.n = np.zeros(_SLOTS, dtype=np.int64)
+        self.rest: list[np.ndarray] = []
+        self.held = 0
 
-def _tally(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.unique(np.concatenate(keys), return_counts=True)
+    def add(self, keys: np.ndarray) -> bool:
+        slot = _slot(keys)
+        free = self.keys[slot] < 0
+        if free.any():
+            self.keys[slot[free]] = keys[free]
+        own = self.keys[slot] == keys
+        self.n += np.bincount(slot[own], minlength=_SLOTS)
+        self.rest.append(keys[~own])
+        self.held += self.rest[-1].size
+        return self.held >= _FLUSH
+
+    def flush(self, end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = np.unique(np.concatenate(self.rest), return_counts=True) if self.rest else (np.zeros(0, dtype=np.int64),) * 2
+        self.rest, self.held = [], 0
+        if end:
+            used = np.flatnonzero(self.n)
+            keys, n = np.concatenate((keys, self.keys[used])), np.concatenate((n, self.n[used]))
+        return keys, n
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (((mix(keys.view(np.uint64)) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int32)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -197,15 +293,12 @@ def pair_counts(docs: DataFrame, pair: dict) -> DataFrame:
     """First pass: (key, n) of the linked pairs, pre-aggregated by task; key = A id * size of B + B id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, total = Aligner(pair), [], 0
+        own, tally = aligner(pair), Tally()
         for batch in batches:
             for _, s in own.slices(read_columns(batch, "text")[0]):
-                held.append(s.keys(own.size_b))
-                total += held[-1].size
-                if total >= _FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _tally(held)], names=["key", "n"])
-                    held, total = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _tally(held)], names=["key", "n"])
+                if tally.add(s.keys(own.size_b)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in tally.flush()], names=["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in tally.flush(end=True)], names=["key", "n"])
 
     return _texts(docs).select("text").mapInArrow(run, "key long, n long")
 
@@ -216,9 +309,10 @@ class PairTable:
     def __init__(self, folder: str, shards: int, best: np.ndarray):
         self.folder, self.shards, self.best = folder, shards, best
         self.open: dict[int, tuple] = {}
+        self.slots: tuple[np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"open": {}}
+        return self.__dict__ | {"open": {}, "slots": None}
 
     def _mapped(self, shard: int) -> tuple:
         if shard not in self.open:
@@ -228,14 +322,24 @@ class PairTable:
         return self.open[shard]
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The count of every key; a key that was never linked is an error."""
-        u, inv = np.unique(keys, return_inverse=True)
-        out, shard = np.zeros(u.size, dtype=np.int64), _shard(u, self.shards)
-        for s in np.unique(shard).tolist():
-            at = np.flatnonzero(shard == s)
-            fn, own, counts = self._mapped(s)
-            out[at] = counts[_verified(fn, own, u[at])]
-        return out[inv]
+        """The count of every key; a key that was never linked is an error. A key
+        has one slot of remembered counts; a newcomer takes it over."""
+        if self.slots is None:
+            self.slots = np.full(_SLOTS, -1, dtype=np.int64), np.zeros(_SLOTS, dtype=np.int64)
+        own, known = self.slots
+        slot = _slot(keys)
+        out = known[slot]
+        miss = np.flatnonzero(own[slot] != keys)
+        if miss.size:
+            u, where, inv = np.unique(keys[miss], return_index=True, return_inverse=True)
+            n, shard = np.zeros(u.size, dtype=np.int64), _shard(u, self.shards)
+            for s in np.unique(shard).tolist():
+                at = np.flatnonzero(shard == s)
+                fn, stored, counts = self._mapped(s)
+                n[at] = counts[_verified(fn, stored, u[at])]
+            out[miss] = n[inv]
+            own[slot[miss[where]]], known[slot[miss[where]]] = u, n
+        return out
 
 
 def _verified(fn: PerfectHash, own: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -385,7 +489,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     table = count_pairs(docs, pair)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Aligner(pair)
+        own = aligner(pair)
         for batch in batches:
             ident, text = read_columns(batch, "doc_id", "text")
             for row, s in own.slices(text):
