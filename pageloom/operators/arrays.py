@@ -1,20 +1,21 @@
 """Array extraction (2.F): repeated items, sub-fields, absolute URLs.
 
-Items are the elements matching a spec's selector, numbered per
-(page, array) in document order; texts and sub-fields are aggregates over
-(item, descendant) pairs found row-locally in ``anc``. All keys lead with
-``page_id``.
+One scan: the page row (``pagerow``) marks the elements of every item selector
+and sub-selector; items are intervals of its nodes, cut to their limit before any
+text is built, and a sub-field is looked up inside its item's interval. The result is one
+row per page with an array of arrays; the item rows are that row exploded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws, word_count
 from ..functions.urls import absolute_url
-from ..profiles import ArraySpec
-from . import css, dedup, nodes as N
+from ..profiles import SERVICE_MAX_ARRAYS, ArraySpec
+from . import css, dedup, pagerow as R
+from .treepass import TreeSpec
 
 # Sub-field names that take an image URL or a link URL, the
 # image attributes tried in order, and the item text minimum.
@@ -22,19 +23,18 @@ IMAGE_FIELDS = ("image", "img", "picture", "photo")
 LINK_FIELDS = ("link", "url", "href")
 IMAGE_ATTRS = ("src", "data-src", "data-lazy-src", "data-original")
 MIN_ITEM_TEXT = 15
+IMAGE_ALT = 4             # characters from which an image's alt counts as text
 PIPE = " | "
 
+FIELDS = "map<string,array<string>>"
+ITEM = f"struct<elem_pos:int,main_content:string,fields:{FIELDS}>"
+
 
 def field_kind(name: str) -> str:
     n = name.lower()
     return "image" if n in IMAGE_FIELDS else ("link" if n in LINK_FIELDS else "text")
 
 
-def array_nodes(nodes: DataFrame, exclude=(), warnings: list | None = None) -> DataFrame:
-    """Array-mode cleaning: its 10 tags removed, then exclude selectors."""
-    return N.exclude(N.drop_tags(nodes, N.ARRAY_REMOVE_TAGS), exclude, warnings)
-
-
 def image_src(attrs: Column) -> Column:
     """F6 (own attributes): first non-blank of src, data-src,
     data-lazy-src, data-original (stripped)."""
@@ -42,126 +42,146 @@ def image_src(attrs: Column) -> Column:
     return F.coalesce(*vals)
 
 
-def _items(clean: DataFrame, specs: list[ArraySpec]) -> DataFrame:
-    """F1 + F2: matches per spec in document order, first ``limit``."""
-    specs = [s for s in specs if s.selector]
-    tags = F.array(*[F.when(css.self_matches(s.selector), F.lit(i)) for i, s in enumerate(specs)])
-    m = (clean.select("page_id", "nid", F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("spec")))
-    pos = (F.row_number().over(Window.partitionBy("page_id", "spec").orderBy("nid")) - 1).cast("int")
-    m = m.withColumn("elem_pos", pos)
-    limit = F.lit(None).cast("int")
-    for i, s in enumerate(specs):
-        if s.limit:
-            limit = F.when(F.col("spec") == i, F.lit(int(s.limit))).otherwise(limit)
-    return m.filter(limit.isNull() | (F.col("elem_pos") < limit))
-
-
-def _pairs_for(clean: DataFrame, selector, kinds=("text", "elem")) -> DataFrame:
-    return N.selector_pairs(clean.filter(F.col("kind").isin(list(kinds))), selector)
-
-
-def array_items(nodes: DataFrame, specs: list[ArraySpec], exclude=(), dedup_items: bool = True,
-                warnings: list | None = None) -> DataFrame:
-    """F1-F8 (+E9): one row per kept item:
-    (page_id, array_name, elem_pos, index, main_content, word_count,
-    char_count, fields MAP<STRING, ARRAY<STRING>>). ``base_url`` for
-    absolute URLs comes from the node table's ``url`` column."""
+def check_specs(specs, most: int = SERVICE_MAX_ARRAYS) -> list[ArraySpec]:
+    """The named arrays of one request, those without a selector left out; more than ``most`` raise."""
+    if len(specs) > most:
+        raise ValueError(f"Maximum {most} array selectors allowed")
+    return [s for s in specs if s.selector]
+
+
+def _node(k: Column) -> Column:
+    return F.get(F.col("nodes"), k)
+
+
+def _inside(k: Column) -> Column:
+    """The numbers of the nodes inside element ``k``; null without any."""
+    return F.when(_node(k)["post"] > k, F.sequence(k + 1, _node(k)["post"]))
+
+
+def _first_inside(k: Column, tag: str) -> Column:
+    """Attributes of the first ``tag`` inside element ``k``."""
+    return _node(F.get(F.filter(_inside(k), lambda d: _node(d)["tag"] == tag), F.lit(0)))["attrs"]
+
+
+def _sub_field(k: Column, bit: int, kind: str) -> Column:
+    """F4 to F7 of one sub-selector for item ``k``: ARRAY<STRING>, [''] without a match."""
+    found = F.filter(_inside(k), lambda d: _node(d)["mask"].bitwiseAND(F.lit(1 << bit)) != 0)
+
+    def texts(d: Column) -> Column:
+        t = R.element_texts(d, sentences=False)
+        return F.when(F.size(d) == 1, t).otherwise(F.array_distinct(F.filter(t, lambda x: x != "")))
+
+    def image(d: Column) -> Column:
+        own = image_src(_node(d)["attrs"])
+        return F.coalesce(own, F.when(_node(d)["tag"] != "img", image_src(_first_inside(d, "img"))), F.lit(""))
+
+    def link(d: Column) -> Column:
+        attrs = F.when(_node(d)["tag"] == "a", _node(d)["attrs"]).otherwise(_first_inside(d, "a"))
+        return strip_ws(F.coalesce(attrs["href"], F.lit("")))
+
+    value = {"text": texts, "image": lambda d: F.array(image(F.get(d, F.lit(0)))), "link": lambda d: F.array(link(F.get(d, F.lit(0))))}[kind]
+    # the variable of a transform is evaluated once, an expression wherever it is named
+    return F.get(F.transform(F.array(found), lambda d: F.when(F.size(d) > 0, value(d)).otherwise(F.array(F.lit("")))), F.lit(0))
+
+
+def array_pages(pages: DataFrame, specs, exclude=(), dedup_items: bool = True, warnings: list | None = None,
+                html_col: str = "html", partitions: int | None = None) -> DataFrame:
+    """F1 to F12 (+ E9): the columns of ``pages`` other than html, ``failure`` and
+    ``arrays``: per spec (spec, array_name, selector, sub_selectors_used, items, found, n_before). ``found`` counts matches
+    within the limit, ``n_before`` items before deduplication; an item is (index, elem_pos,
+    main_content, word_count, char_count, fields). Invalid selectors match nothing."""
     specs = [s for s in specs if s.selector]
-    clean = array_nodes(nodes, exclude, warnings)
-    items = _items(clean, specs)
-    names = F.create_map(*[x for i, s in enumerate(specs) for x in (F.lit(i), F.lit(s.name))])
-
-    texts = []
-    for i, s in enumerate(specs):
-        t = N.element_text_pairs(_pairs_for(clean, s.selector), img_alt_min=4, sentences=False)
-        texts.append(t.withColumn("spec", F.lit(i)))
-    text = texts[0]
-    for t in texts[1:]:
-        text = text.unionByName(t)
-    it = (items.join(text.withColumnRenamed("root", "nid"), ["page_id", "spec", "nid"], "left")
-          .withColumn("main_content", F.coalesce("text", F.lit(""))).drop("text")
-          .filter(F.length(strip_ws(F.col("main_content"))) >= MIN_ITEM_TEXT))
-
-    fields = None
-    for i, s in enumerate(specs):
-        for name, sub in s.sub_selectors:
-            f = _sub_field(clean, items.filter(F.col("spec") == i), s.selector, sub, field_kind(name))
-            f = f.select("page_id", F.lit(i).alias("spec"), "nid", F.lit(name).alias("fname"), "fval")
-            fields = f if fields is None else fields.unionByName(f)
-    if fields is not None:
-        fm = fields.groupBy("page_id", "spec", "nid").agg(
-            F.map_from_entries(F.collect_list(F.struct("fname", "fval"))).alias("found"))
-        it = it.join(fm, ["page_id", "spec", "nid"], "left")
-        # every requested sub-field is present on every item
-        per_spec = F.lit(None).cast("map<string,array<string>>")
-        for i, s in enumerate(specs):
-            if s.sub_selectors:
-                entries = F.map_from_entries(F.array(*[
-                    F.struct(F.lit(n).alias("k"),
-                             F.coalesce(F.col("found")[n], F.array(F.lit(""))).alias("v"))
-                    for n, _ in s.sub_selectors]))
-                per_spec = F.when(F.col("spec") == i, entries).otherwise(per_spec)
-        it = it.withColumn("fields", F.coalesce(per_spec, F.create_map().cast("map<string,array<string>>"))) \
-               .drop("found")
-    else:
-        it = it.withColumn("fields", F.create_map().cast("map<string,array<string>>"))
-
-    it = it.withColumn("array_name", names[F.col("spec")]) \
-           .withColumn("n_before", F.count(F.lit(1)).over(Window.partitionBy("page_id", "spec")))
-    if dedup_items:
-        it = dedup.dedup_items(it, group=("page_id", "spec"), order="elem_pos", text="main_content")
-    else:
-        it = it.withColumn("index", F.col("elem_pos"))
-    return it.select("page_id", "spec", "array_name", "elem_pos", F.col("index").cast("int").alias("index"),
-                     "main_content", word_count("main_content").alias("word_count"),
-                     F.length("main_content").cast("int").alias("char_count"), "fields", "n_before")
-
-
-def _sub_field(clean: DataFrame, items: DataFrame, item_sel, sub_sel, kind: str) -> DataFrame:
-    """F4-F7 for one sub-selector: (page_id, nid=item, fval ARRAY<STRING>)."""
-    anc = F.col("anc")
-    item_hits = F.filter(F.transform(anc, lambda a, k: F.when(css.matches(item_sel, a, F.slice(anc, 1, k)),
-                                                              a["nid"])), lambda x: x.isNotNull())
-    matches = (clean.filter(css.self_matches(sub_sel))
-               .select("page_id", F.col("nid").alias("d"), "tag", "attrs", F.explode(item_hits).alias("nid"))
-               .join(items.select("page_id", "nid"), ["page_id", "nid"], "left_semi"))
-    if kind == "text":
-        t = N.element_text_pairs(_pairs_for(clean, sub_sel), img_alt_min=4, sentences=False)
-        m = matches.join(t.select("page_id", F.col("root").alias("d"), "text"), ["page_id", "d"], "left") \
-            .withColumn("text", F.coalesce("text", F.lit("")))
-        g = m.groupBy("page_id", "nid").agg(
-            F.count(F.lit(1)).alias("cnt"),
-            F.sort_array(F.collect_list(F.struct("d", "text"))).alias("l"))
-        texts = F.transform("l", lambda x: x["text"])
-        distinct = F.array_distinct(F.filter(texts, lambda x: x != ""))
-        return g.select("page_id", "nid", F.when(F.col("cnt") == 1, texts).otherwise(distinct).alias("fval"))
-    first = matches.groupBy("page_id", "nid").agg(F.min_by(F.struct("d", "tag", "attrs"), "d").alias("f"))
-    inner_tag = "img" if kind == "image" else "a"
-    # first inner img / a of each matched element (document order)
-    inner = (clean.filter((F.col("kind") == "elem") & (F.col("tag") == inner_tag))
-             .select("page_id", F.col("nid").alias("x"), "attrs", F.explode(F.transform("anc", lambda a: a["nid"])).alias("d"))
-             .groupBy("page_id", "d").agg(F.min_by(F.struct("x", "attrs"), "x").alias("inner")))
-    j = first.select("page_id", "nid", F.col("f.d").alias("d"), F.col("f.tag").alias("tag"),
-                     F.col("f.attrs").alias("attrs")).join(inner, ["page_id", "d"], "left")
-    if kind == "image":
-        own = image_src(F.col("attrs"))
-        val = F.when(own.isNotNull(), own).when(F.col("tag") != "img", image_src(F.col("inner.attrs")))
-    else:
-        val = F.when(F.col("tag") == "a", strip_ws(F.coalesce(F.col("attrs")["href"], F.lit(""))))\
-            .otherwise(strip_ws(F.coalesce(F.col("inner.attrs")["href"], F.lit(""))))
-    return j.select("page_id", "nid", F.coalesce(val, F.lit("")).alias("raw"))\
-        .withColumnRenamed("raw", "fval_raw").select("page_id", "nid", F.array("fval_raw").alias("fval"))
+    bits: list = []
+
+    def bit(raw: str) -> int | None:
+        valid = R.compile_selectors([raw], warnings)
+        if not valid:
+            return None
+        if valid[0] not in bits:
+            bits.append(valid[0])
+        return bits.index(valid[0])
+
+    of = [(bit(s.selector), [(n, bit(sub)) for n, sub in s.sub_selectors]) for s in specs]
+    tree = TreeSpec(remove=tuple(R.ARRAY_REMOVE_TAGS), exclude=tuple(sel for _, sel in R.compile_selectors(exclude, warnings)),
+                    select=tuple(sel for _, sel in bits), image_alt=IMAGE_ALT, attributes=True)
+    rows = R.page_rows(pages, tree, html_col, partitions)
+    keep = [c for c in rows.columns if c not in ("failed_html", "title", "nodes", "pieces", "asides")]
+
+    hit = [R.hits(b) if b is not None else F.array().cast("array<int>") for b, _ in of]
+    hit = [F.slice(h, 1, int(s.limit)) if s.limit else h for h, s in zip(hit, specs, strict=True)]
+    rows = rows.select("*", *[h.alias(f"_h{i}") for i, h in enumerate(hit)])
+
+    def item(k: Column, pos: Column, i: int) -> Column:
+        pairs = [F.struct(F.lit(n).alias("k"), (_sub_field(k, b, field_kind(n)) if b is not None else F.array(F.lit(""))).alias("v"))
+                 for n, b in of[i][1]]
+        fields = F.map_from_entries(F.array(*pairs)) if pairs else F.create_map().cast(FIELDS)
+        text = F.get(R.element_texts(F.array(k), sentences=False), F.lit(0))
+        return F.struct(pos.alias("elem_pos"), text.alias("main_content"), fields.alias("fields"))
+
+    def long_items(i: int) -> Column:
+        return F.filter(F.transform(f"_h{i}", lambda k, pos: item(k, pos, i)),
+                        lambda x: F.length(strip_ws(x["main_content"])) >= MIN_ITEM_TEXT)
+
+    rows = rows.select(*keep, *[F.size(f"_h{i}").alias(f"_n{i}") for i in range(len(specs))],
+                       *[long_items(i).alias(f"_i{i}") for i in range(len(specs))])
+    for i in range(len(specs)):
+        kept = dedup.kept_items(F.transform(f"_i{i}", lambda x: x["main_content"])) if dedup_items else             F.transform(f"_i{i}", lambda x, k: k)
+        rows = rows.withColumn(f"_k{i}", kept)
+
+    def numbered(i: int) -> Column:
+        """The kept items; a lone item, or all of them without deduplication, keep their places as index."""
+        all_ = F.col(f"_i{i}")
+        lone = F.size(all_) <= 1 if dedup_items else F.lit(True)
+        return F.transform(F.col(f"_k{i}"), lambda k, n: F.get(F.transform(F.array(F.get(all_, k)), lambda x: F.struct(
+            F.when(lone, x["elem_pos"]).otherwise(n).alias("index"), x["elem_pos"].alias("elem_pos"),
+            x["main_content"].alias("main_content"), word_count(x["main_content"]).alias("word_count"),
+            F.length(x["main_content"]).alias("char_count"), x["fields"].alias("fields"))), F.lit(0)))
+
+    out = F.array(*[F.struct(
+        F.lit(i).alias("spec"), F.lit(s.name).alias("array_name"), F.lit(s.selector).alias("selector"),
+        F.array(*[F.lit(n) for n, _ in s.sub_selectors]).cast("array<string>").alias("sub_selectors_used"),
+        numbered(i).alias("items"), F.col(f"_n{i}").alias("found"), F.size(f"_i{i}").alias("n_before"))
+        for i, s in enumerate(specs)])
+    return rows.select(*keep, out.alias("arrays"))
+
+
+def array_items(pages: DataFrame, specs, exclude=(), dedup_items: bool = True, warnings: list | None = None, **kw) -> DataFrame:
+    """One row per kept item: the columns of ``pages`` other than html, then (spec, array_name, index, elem_pos,
+    main_content, word_count, char_count, fields)."""
+    rows = array_pages(pages, specs, exclude, dedup_items, warnings, **kw)
+    return item_rows(rows)
+
+
+def item_rows(rows: DataFrame) -> DataFrame:
+    """``array_pages`` rows as one row per item."""
+    keep = [c for c in rows.columns if c not in ("arrays", "failure")]
+    return rows.select(*keep, F.explode("arrays").alias("a")).select(*keep, "a.spec", "a.array_name", F.inline("a.items"))
+
+
+def absolute_fields(fields: Column, names, base_url: Column) -> Column:
+    """F8 on the image and link fields among ``names``."""
+    names = sorted({n for n in names if field_kind(n) != "text"})
+    if not names:
+        return fields
+    return F.transform_values(fields, lambda k, v: F.when(
+        k.isin(names), F.transform(v, lambda x: absolute_url(base_url, x))).otherwise(v))
+
+
+def _names(specs) -> set:
+    return {n for s in specs for n, _ in s.sub_selectors}
 
 
 def absolutize(items: DataFrame, specs: list[ArraySpec], base_url: str = "url") -> DataFrame:
-    """F8 on image/link fields (needs the page URL column)."""
-    names = {n for s in specs for n, _ in s.sub_selectors if field_kind(n) != "text"}
-    if not names:
-        return items
-    f = F.col("fields")
-    fixed = F.transform_values(f, lambda k, v: F.when(
-        k.isin(list(names)), F.transform(v, lambda x: absolute_url(F.col(base_url), x))).otherwise(v))
-    return items.withColumn("fields", fixed)
+    """F8 on item rows (needs the page URL column)."""
+    return items.withColumn("fields", absolute_fields(F.col("fields"), _names(specs), F.col(base_url)))
+
+
+def absolutize_pages(rows: DataFrame, specs: list[ArraySpec], base_url: str = "url") -> DataFrame:
+    """F8 on ``array_pages`` rows."""
+    if not any(field_kind(n) != "text" for n in _names(specs)):
+        return rows
+    return rows.withColumn("arrays", F.transform("arrays", lambda a: a.withField("items", F.transform(
+        a["items"], lambda x: x.withField("fields", absolute_fields(x["fields"], _names(specs), F.col(base_url)))))))
 
 
 def flatten_field(v: Column, mode: str = "join") -> Column:
@@ -178,76 +198,51 @@ def pivot_fields(items: DataFrame, names, mode: str = "join") -> DataFrame:
     return items.select("*", *[flatten_field(F.col("fields")[n], mode).alias(n) for n in names])
 
 
-def array_summary(items: DataFrame, pages: DataFrame, specs: list[ArraySpec], before: DataFrame | None = None) -> DataFrame:
-    """per (page, array): count, whether dedup lowered the count, the
-    sub-field names. Arrays without items still get a zero row."""
-    spec_rows = F.array(*[F.struct(F.lit(i).alias("spec"), F.lit(s.name).alias("array_name"),
-                                   F.lit(s.selector).alias("selector"),
-                                   F.array(*[F.lit(n) for n, _ in s.sub_selectors]).cast("array<string>")
-                                   .alias("sub_selectors_used"))
-                          for i, s in enumerate(specs)])
-    grid = pages.select("page_id", F.inline(spec_rows))
-    seen = items.groupBy("page_id", "spec").agg(F.count(F.lit(1)).alias("count"), F.max("n_before").alias("before"))
-    out = grid.join(seen, ["page_id", "spec"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    if before is not None:  # also covers arrays that dedup emptied
-        out = out.drop("before").join(
-            before.groupBy("page_id", "spec").agg(F.count(F.lit(1)).alias("before")), ["page_id", "spec"], "left")
-    return out.withColumn("deduplication_applied", F.col("count") < F.coalesce("before", F.lit(0))).drop("before")
-
-
-def page_array_summary(summary: DataFrame, items: DataFrame) -> DataFrame:
-    """total selectors, total items, names with items, total words."""
-    words = items.groupBy("page_id").agg(F.sum("word_count").cast("long").alias("total_words"))
-    s = summary.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("total_selectors"),
-        F.sum("count").cast("long").alias("total_items_extracted"),
-        F.sort_array(F.collect_list(F.when(F.col("count") > 0, F.struct("spec", "array_name")))).alias("_s"))
-    return s.join(words, "page_id", "left").select(
-        "page_id", "total_selectors", "total_items_extracted",
-        F.transform("_s", lambda x: x["array_name"]).alias("successful_selectors"),
-        F.coalesce("total_words", F.lit(0)).alias("total_words"))
-
-
-def format_flat(items: DataFrame) -> DataFrame:
+def array_summary(rows: DataFrame) -> DataFrame:
+    """F12 on ``array_pages`` rows: per (page, array) the count, whether dedup lowered it, the
+    sub-field names. Arrays without items have a zero row."""
+    return rows.select("page_id", F.explode("arrays").alias("a")).select(
+        "page_id", "a.spec", "a.array_name", "a.selector", F.size("a.items").alias("count"), "a.sub_selectors_used",
+        (F.size("a.items") < F.col("a.n_before")).alias("deduplication_applied"))
+
+
+def page_summary() -> Column:
+    """F13 on an ``arrays`` column: total selectors, total items, names with items, total words."""
+    items = F.flatten(F.transform("arrays", lambda a: a["items"]))
+    return F.struct(
+        F.size("arrays").alias("total_selectors"), F.size(items).alias("total_items_extracted"),
+        F.transform(F.filter("arrays", lambda a: F.size(a["items"]) > 0), lambda a: a["array_name"]).alias("successful_selectors"),
+        F.aggregate(items, F.lit(0).cast("long"), lambda acc, x: acc + x["word_count"]).alias("total_words"))
+
+
+def format_flat() -> Column:
     """all main texts of a page joined by a blank line, arrays in spec
     order, items in index order."""
-    nonempty = items.filter(F.col("main_content") != "")
-    return nonempty.groupBy("page_id").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("spec", "index", "main_content"))), lambda x: x["main_content"]),
-        "\n\n").alias("content"))
+    texts = F.flatten(F.transform("arrays", lambda a: F.transform(a["items"], lambda x: x["main_content"])))
+    return F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")
 
 
-def format_summary(summary: DataFrame) -> DataFrame:
+def format_summary() -> Column:
     """F16: one line per array, zero counts included."""
-    line = F.concat(F.col("array_name"), F.lit(": "), F.col("count").cast("string"),
-                    F.lit(" items found with selector '"), F.col("selector"), F.lit("' (order preserved)"))
-    return summary.groupBy("page_id").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("spec", line.alias("l")))), lambda x: x["l"]), "\n").alias("content"))
+    return F.array_join(F.transform("arrays", lambda a: F.concat(
+        a["array_name"], F.lit(": "), F.size(a["items"]).cast("string"), F.lit(" items found with selector '"),
+        a["selector"], F.lit("' (order preserved)"))), "\n")
 
 
-def format_structured(items: DataFrame, summary: DataFrame, specs: list[ArraySpec]) -> DataFrame:
+def format_structured() -> Column:
     """``=== NAME (n items - order preserved) ===`` then ``[Item i]``
-    blocks with ``key: value`` lines (empty values skipped), a blank line
-    after each array."""
-    def lines(spec: ArraySpec):
-        """``key: value`` lines in the order of the array's own sub-selectors."""
-        kv = F.lit("")
-        for n, _ in spec.sub_selectors:
-            v = F.array_join(F.filter(F.coalesce(F.col("fields")[n], F.array()), lambda x: x != ""), PIPE)
-            kv = F.concat(kv, F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit("\n" + n + ": "), v)).otherwise(F.lit("")))
-        return kv
-
-    kv = F.lit("")
-    for i, s in enumerate(s for s in specs if s.selector):
-        kv = F.when(F.col("spec") == i, lines(s)).otherwise(kv)
-    block = F.concat(F.lit("]\n"), F.col("main_content"), kv)
-    per_arr = items.groupBy("page_id", "spec").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("index").alias("i"), block.alias("b")))).alias("bl"))
-    j = summary.filter(F.col("count") > 0).join(per_arr, ["page_id", "spec"])
-    header = F.concat(F.lit("=== "), F.upper("array_name"), F.lit(" ("), F.col("count").cast("string"),
-                      F.lit(" items - order preserved) ==="))
-    # items are numbered from 1 in their order, whatever their index
-    blocks = F.transform("bl", lambda x, i: F.concat(F.lit("\n[Item "), (i + 1).cast("string"), x["b"]))
-    part = F.array_join(F.concat(F.array(header), blocks, F.array(F.lit(""))), "\n")
-    return j.groupBy("page_id").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("spec", part.alias("p")))), lambda x: x["p"]), "\n").alias("content"))
+    blocks with ``key: value`` lines in the order of the array's own sub-selectors (empty values
+    skipped), a blank line after each array. Items are numbered from 1 in their order, whatever their index."""
+    def lines(a: Column, x: Column) -> Column:
+        kv = F.transform(a["sub_selectors_used"], lambda n: F.struct(n.alias("n"), F.array_join(
+            F.filter(x["fields"][n], lambda v: v != ""), PIPE).alias("v")))
+        return F.array_join(F.transform(F.filter(kv, lambda p: p["v"] != ""), lambda p: F.concat(F.lit("\n"), p["n"], F.lit(": "), p["v"])), "")
+
+    def block(a: Column) -> Column:
+        head = F.concat(F.lit("=== "), F.upper(a["array_name"]), F.lit(" ("), F.size(a["items"]).cast("string"),
+                        F.lit(" items - order preserved) ==="))
+        items = F.transform(a["items"], lambda x, i: F.concat(
+            F.lit("\n[Item "), (i + 1).cast("string"), F.lit("]\n"), x["main_content"], lines(a, x)))
+        return F.array_join(F.concat(F.array(head), items, F.array(F.lit(""))), "\n")
+
+    return F.array_join(F.transform(F.filter("arrays", lambda a: F.size(a["items"]) > 0), block), "\n")

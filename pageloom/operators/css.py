@@ -10,6 +10,11 @@ matching never needs a join.
 Supported: type and ``*``, ``.class``, ``#id``, ``[attr]``,
 ``[attr=v]`` (quoted or bare) and ``~= ^= $= *= |=``, compounds, descendant
 and ``>`` combinators, and comma groups.
+
+Selectors that ask for siblings (``+``, ``~``, ``:first-child``,
+``:nth-child(an+b)`` and their like, ``:empty``, ``:root``, ``:not()``,
+``:is()``) parse too; only the page rows (``pagerow``), whose builder knows
+every element's place among its siblings, can answer them.
 """
 
 from __future__ import annotations
@@ -38,12 +43,21 @@ class Compound:
     ids: tuple = ()
     classes: tuple = ()
     attrs: tuple = ()
+    pseudos: tuple = ()     # Pseudo
+
+
+@dataclass(frozen=True)
+class Pseudo:
+    name: str
+    step: int = 0           # a and b of an+b
+    shift: int = 0
+    inner: tuple = ()       # Compounds of :not() and :is()
 
 
 @dataclass(frozen=True)
 class Complex:
     parts: tuple            # Compound, left to right
-    combinators: tuple      # ' ' or '>' between parts
+    combinators: tuple      # one of ' ', '>', '+', '~' between parts
 
 
 @dataclass(frozen=True)
@@ -64,6 +78,7 @@ _TOKEN = re.compile(
   | \#(?P<id>(?:[-\w{_NONASCII}]|\\.)+)
   | \.(?P<cls>{_IDENT})
   | (?P<attr>\[\s*(?P<aname>{_IDENT})\s*(?:(?P<aop>[~^$*|]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\])
+  | ::?(?P<pseudo>[-a-zA-Z]+)(?:\((?P<pargs>[^()]*)\))?
   | (?P<bad>.)
     """,
     re.VERBOSE,
@@ -74,6 +89,39 @@ def _unescape(s: str) -> str:
     return re.sub(r"\\(.)", r"\1", s)
 
 
+# name -> the same test as an+b of another name, for the names without arguments
+_FIXED_PLACE = {"first-child": ("nth-child", 1), "last-child": ("nth-last-child", 1),
+                "first-of-type": ("nth-of-type", 1), "last-of-type": ("nth-last-of-type", 1)}
+_PLACES = ("nth-child", "nth-last-child", "nth-of-type", "nth-last-of-type")
+_PLAIN = ("only-child", "only-of-type", "empty", "root")
+_AN_B = re.compile(r"(?:(?P<a>[+-]?\d*)n)?\s*(?P<b>[+-]?\s*\d+)?$", re.IGNORECASE)
+
+
+def _pseudo(name: str, args: str | None, selector: str) -> Pseudo:
+    name = name.lower()
+    if name in _FIXED_PLACE and args is None:
+        return Pseudo(_FIXED_PLACE[name][0], 0, _FIXED_PLACE[name][1])
+    if name in _PLAIN and args is None:
+        return Pseudo(name)
+    if name in _PLACES and args is not None:
+        text = {"odd": "2n+1", "even": "2n"}.get(args.strip().lower(), args.strip())
+        m = _AN_B.match(text)
+        if text and m:
+            a = m.group("a")
+            step = 0 if a is None else int(a + "1") if a in ("", "+", "-") else int(a)
+            return Pseudo(name, step, int((m.group("b") or "0").replace(" ", "")))
+    if name in ("not", "is", "where", "matches") and args and args.strip():
+        inner = parse(args)
+        if all(len(cx.parts) == 1 for cx in inner.alternatives):
+            return Pseudo("not" if name == "not" else "is", inner=tuple(cx.parts[0] for cx in inner.alternatives))
+    raise SelectorError(f"unsupported pseudo-class :{name} in {selector!r}")
+
+
+def asks_for_siblings(sel: Selector) -> bool:
+    """Does the selector need more than an element and its ancestors?"""
+    return any(set(cx.combinators) & {"+", "~"} or any(p.pseudos for p in cx.parts) for cx in sel.alternatives)
+
+
 def parse(selector: str) -> Selector:
     """Parse a selector string; raises :class:`SelectorError` if invalid."""
     if selector is None or not selector.strip():
@@ -85,7 +133,8 @@ def parse(selector: str) -> Selector:
     def close_compound():
         nonlocal cur
         if cur is not None:
-            parts.append(Compound(cur["tag"], tuple(cur["ids"]), tuple(cur["classes"]), tuple(cur["attrs"])))
+            parts.append(Compound(cur["tag"], tuple(cur["ids"]), tuple(cur["classes"]), tuple(cur["attrs"]),
+                                  tuple(cur["pseudos"])))
             cur = None
 
     def start():
@@ -96,7 +145,7 @@ def parse(selector: str) -> Selector:
             elif pending not in (None, " "):
                 raise SelectorError(f"selector starts with a combinator: {selector!r}")
             pending = None
-            cur = {"tag": None, "ids": [], "classes": [], "attrs": []}
+            cur = {"tag": None, "ids": [], "classes": [], "attrs": [], "pseudos": []}
         return cur
 
     def close_complex():
@@ -114,19 +163,17 @@ def parse(selector: str) -> Selector:
             if parts and pending is None:
                 pending = " "
         elif kind == "comb":
-            if m.group("comb") != ">":
-                raise SelectorError(f"sibling combinators are not supported: {selector!r}")
             close_compound()
             if not parts:
                 raise SelectorError(f"selector starts with a combinator: {selector!r}")
             if pending not in (None, " "):
                 raise SelectorError(f"double combinator in {selector!r}")
-            pending = ">"
+            pending = m.group("comb")
         elif kind == "comma":
             close_complex()
         elif kind in ("star", "tag"):
             c = start()
-            if c["tag"] is not None or c["ids"] or c["classes"] or c["attrs"]:
+            if c["tag"] is not None or c["ids"] or c["classes"] or c["attrs"] or c["pseudos"]:
                 raise SelectorError(f"type selector must come first: {selector!r}")
             c["tag"] = "*" if kind == "star" else _unescape(m.group("tag")).lower()
         elif kind == "id":
@@ -137,6 +184,8 @@ def parse(selector: str) -> Selector:
             val = m.group("dq") if m.group("dq") is not None else (
                 m.group("sq") if m.group("sq") is not None else m.group("bare"))
             start()["attrs"].append(AttrTest(m.group("aname").lower(), m.group("aop"), val))
+        elif kind in ("pseudo", "pargs"):
+            start()["pseudos"].append(_pseudo(m.group("pseudo"), m.group("pargs"), selector))
         else:
             raise SelectorError(f"unexpected {m.group(0)!r} in selector {selector!r}")
     close_complex()
@@ -195,6 +244,8 @@ def matches(sel: Selector | str, el: Column, ancs: Column) -> Column:
     """Column predicate: does ``el`` (with ancestors ``ancs``) match?"""
     if isinstance(sel, str):
         sel = parse(sel)
+    if asks_for_siblings(sel):
+        raise SelectorError(f"selectors on siblings need page rows: {sel.text!r}")
     out = None
     for cx in sel.alternatives:
         m = _complex_match(cx, len(cx.parts) - 1, el, ancs)
@@ -228,7 +279,3 @@ def selector_priority(sel) -> Column:
     """Contains '#' gives 3; else '.' or '[' gives 2; else 1."""
     s = F.col(sel) if isinstance(sel, str) else sel
     return F.when(s.contains("#"), 3).when(s.contains(".") | s.contains("["), 2).otherwise(1)
-
-
-def selector_priority_py(sel: str) -> int:
-    return 3 if "#" in sel else (2 if ("." in sel or "[" in sel) else 1)

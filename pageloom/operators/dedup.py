@@ -1,16 +1,20 @@
 """Deduplication (2.E): sentences, blocks, sections, items, corpus.
 
-The similarity ratio (E5/E8) is the one Python step besides tokenising: an
-Arrow-batched pandas UDF over already pruned pairs. Everything around it
-(pair generation, length bound, ordered keep-first folds) is Catalyst.
+Order-dependent folds inside one page or text (E4, D6, E9) and the similarity
+ratio (E5/E8) are Arrow-batched pandas UDFs over arrays of the row, behind
+indexes that find the few candidates. Corpus-scale deduplication is relational.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import re
+from collections import Counter
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +28,7 @@ BLOCK_CONTAIN = 0.7
 SECTION_CONTAIN = 0.5
 MIN_BLOCK = 15
 MIN_ITEM = 20
+MIN_SENTENCE = 20
 
 
 def seq_ratio_py(a: str | None, b: str | None) -> float:
@@ -40,135 +45,291 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([seq_ratio_py(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def length_bound(a: Column, b: Column) -> Column:
-    """Upper bound of the ratio from lengths alone: 2*min/(la+lb)."""
-    la, lb = F.length(a), F.length(b)
-    return F.when((la + lb) > 0, 2.0 * F.least(la, lb) / (la + lb)).otherwise(F.lit(0.0))
+# --- E3 / E4: blocks inside one text ------------------------------------------
 
+def exact_blocks(c) -> Column:
+    """(pos, block, norm) of the blocks (E2) of a text whose normalised form has at least 15
+    characters, the first of equal ones. Row-local: places by normalised form are found with a map."""
+    blocks = F.transform(split_blocks(c), lambda b, i: F.struct(i.alias("pos"), b.alias("block"), norm_block(b).alias("norm")))
+    long = F.filter(blocks, lambda s: F.length(s["norm"]) >= MIN_BLOCK)
+    # equal forms stand together in this order, the first one ahead
+    ordered = F.sort_array(F.transform(long, lambda s: F.struct(s["norm"].alias("norm"), s["pos"].alias("pos"), s["block"].alias("block"))))
+    # the outer transform names the sorted array, so that it is sorted once
+    firsts = F.flatten(F.transform(F.array(ordered), lambda a: F.filter(
+        a, lambda x, i: (i == 0) | (F.get(a, i - 1)["norm"] != x["norm"]))))
+    return F.transform(firsts, lambda x: F.struct(x["pos"].alias("pos"), x["block"].alias("block"), x["norm"].alias("norm")))
 
-# --- E3 / E4: blocks inside one text (row-local folds) -----------------------
 
 def dedup_blocks_exact(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Blocks (E2) normalised; normalised blocks under 15 dropped; the
-    first of equal normalised blocks wins. One row per kept block."""
-    b = df.select(key, F.posexplode(split_blocks(F.col(text))).alias("pos", "block"))
-    b = b.withColumn("norm", norm_block("block")).filter(F.length("norm") >= MIN_BLOCK)
-    first = F.row_number().over(Window.partitionBy(key, "norm").orderBy("pos"))
-    return b.withColumn("rn", first).filter("rn = 1").drop("rn")
+    """One row per kept block (key, pos, block, norm); no shuffle."""
+    return df.select(key, F.inline(exact_blocks(F.col(text))))
+
+
+_GRAM = 8                # characters of a fingerprint's window
+_MULT, _WRAP = 0x9E3779B97F4A7C15, 1 << 64
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]     # of the odd multiplier, and of its inverse
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if _POWERS[0].size < n:
+        for k, base in enumerate((_MULT, pow(_MULT, -1, _WRAP))):
+            p = np.full(2 * n, base, dtype=np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.multiply.accumulate(p)
+    return _POWERS
+
+
+class _Rolling:
+    """Hashes of all substrings of one length, from prefix sums."""
+
+    def __init__(self, s: str):
+        codes = np.frombuffer(s.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+        up, self.down = _powers(codes.size + 1)
+        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(codes * up[:codes.size], dtype=np.uint64)))
+
+    def of_length(self, n: int) -> np.ndarray:
+        h = (self.sums[n:] - self.sums[:-n]) * self.down[:self.sums.size - n]
+        return h ^ h >> np.uint64(29)
+
+
+def _window_minima(h: np.ndarray, width: int) -> list[int]:
+    """Distinct minima over all windows of ``width`` hashes."""
+    size, m = 1, h
+    while size * 2 <= width:
+        m = np.minimum(m[:-size], m[size:])
+        size *= 2
+    if size < width:
+        m = np.minimum(m[:m.size - (width - size)], m[width - size:])
+    return np.unique(m).tolist()
+
+
+class KeptBlocks:
+    """Kept blocks, found by containment without a look at each of them.
+
+    *A kept one inside the new block*: kept blocks are filed by length and hash, and the new one's
+    rolling hashes of the lengths present in the band are looked up.
+    *The new one inside a kept block*: of two blocks of which one holds the other and is not much longer, both
+    hold every window of T characters of the shorter one, T being the largest power of two within its
+    length, so the longer one has all the smallest gram hashes of those windows. A block is filed under its window
+    minima at its own T and at half of it, which covers the band; the shortest of the new block's lists names the few
+    candidates. Every hit is verified on the texts."""
+
+    def __init__(self):
+        self.raw: dict[str, str] = {}
+        self.by_mark: dict[tuple, dict] = {}
+        self.by_length: dict[int, dict] = {}
+        self.lengths: list[int] = []
+
+    def offer(self, norm: str, raw: str) -> bool:
+        """Keep-first with containment; true if a kept block was replaced."""
+        if norm in self.raw:
+            return False
+        n, roll = len(norm), _Rolling(norm)
+        grams, top = roll.of_length(_GRAM), 1 << (len(norm).bit_length() - 1)
+        marks = [(top, x) for x in _window_minima(grams, top - _GRAM + 1)]
+        lists = [self.by_mark.get(m, {}) for m in marks]
+        if any(n > len(k) * BLOCK_CONTAIN and norm in k for k in min(lists, key=len)):
+            return False
+        inside = [k for k in self._held(roll, n) if len(k) > n * BLOCK_CONTAIN and k in norm]
+        for k in inside:
+            self._remove(k)
+        self._add(norm, raw, int(roll.of_length(n)[0]), marks, grams, top)
+        return bool(inside)
+
+    def _held(self, roll: _Rolling, n: int) -> list[str]:
+        """Kept blocks whose hash one of the new block's substrings has."""
+        out = []
+        for size in self.lengths[bisect.bisect_left(self.lengths, int(n * BLOCK_CONTAIN)): bisect.bisect_right(self.lengths, n)]:
+            filed = self.by_length[size]
+            out += [k for h in set(roll.of_length(size).tolist()) & filed.keys() for k in filed[h]]
+        return out
+
+    def _add(self, norm, raw, own, marks, grams, top):
+        if top // 2 >= _GRAM:
+            marks = marks + [(top // 2, x) for x in _window_minima(grams, top // 2 - _GRAM + 1)]
+        self.raw[norm] = raw
+        for m in marks:
+            self.by_mark.setdefault(m, {})[norm] = None
+        if len(norm) not in self.by_length:
+            bisect.insort(self.lengths, len(norm))
+        self.by_length.setdefault(len(norm), {}).setdefault(own, []).append(norm)
+
+    def _remove(self, norm):
+        del self.raw[norm]
+        roll, top = _Rolling(norm), 1 << (len(norm).bit_length() - 1)
+        self.by_length[len(norm)][int(roll.of_length(len(norm))[0])].remove(norm)
+        grams = roll.of_length(_GRAM)
+        for t in (top, top // 2):
+            for x in _window_minima(grams, t - _GRAM + 1) if t >= _GRAM else ():
+                self.by_mark.get((t, x), {}).pop(norm, None)
+
+
+_WS = re.compile(r"\s+")
+
+
+def _norm_py(s: str) -> str:
+    return _WS.sub(" ", s.lower().strip())
+
+
+def _split_blocks_py(text: str) -> list[str]:
+    """E2."""
+    for mark in ("\n\n", "\n"):
+        blocks = [b for b in (x.strip() for x in text.split(mark)) if b]
+        if len(blocks) > 1:
+            return blocks
+    return [b for b in (x.strip() for x in text.split(".")) if len(b) > MIN_SENTENCE]
+
+
+def dedup_blocks_py(text: str | None, on_supersede: str = "replace") -> str | None:
+    """E4 of one text."""
+    if not text:
+        return text
+    kept, replaced = KeptBlocks(), False
+    for raw in _split_blocks_py(text):
+        norm = _norm_py(raw)
+        if len(norm) >= MIN_BLOCK:
+            replaced |= kept.offer(norm, raw)
+    if replaced and on_supersede == "fallback":
+        return None
+    return "\n\n".join(kept.raw.values()) if kept.raw else text
+
+
+def dedup_blocks_of(on_supersede: str = "replace"):
+    """E4 on every text of an array column, row-local."""
+
+    @_in_place
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def blocks(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else [dedup_blocks_py(t, on_supersede) for t in a] for a in texts])
+
+    return blocks
 
 
 def dedup_blocks(c, on_supersede: str = "replace") -> Column:
-    """E4 (``c`` should be a column reference; see ``finish``): split (E2), drop short and exact copies, then keep-first with
-    containment: a block inside a kept one and longer than 0.7 of it is
+    """Split (E2), drop short blocks, then keep-first with
+    containment: an exact copy of a kept block goes; a block inside a kept one and longer than 0.7 of it is
     skipped; a kept block inside the new one and longer than 0.7 of it is
     replaced. Joined by blank lines; if nothing is left the input returns.
 
     ``on_supersede='fallback'`` returns NULL whenever a replacement would
     happen (the reference raises there and falls back to regex text)."""
     c = F.col(c) if isinstance(c, str) else c
-    blocks = F.transform(split_blocks(c), lambda b: F.struct(b.alias("raw"), norm_block(b).alias("norm")))
-    blocks = F.filter(blocks, lambda s: F.length(s["norm"]) >= MIN_BLOCK)
-    empty = F.array().cast("array<struct<raw:string,norm:string>>")
-
-    def step(acc, b):
-        kept = acc["kept"]
-        skip = F.exists(kept, lambda k: k["norm"].contains(b["norm"])
-                        & (F.length(b["norm"]) > F.length(k["norm"]) * BLOCK_CONTAIN))
-        sup = F.exists(kept, lambda k: b["norm"].contains(k["norm"])
-                       & (F.length(k["norm"]) > F.length(b["norm"]) * BLOCK_CONTAIN))
-        rest = F.filter(kept, lambda k: ~(b["norm"].contains(k["norm"])
-                                           & (F.length(k["norm"]) > F.length(b["norm"]) * BLOCK_CONTAIN)))
-        return F.struct(
-            F.when(skip, kept).otherwise(F.concat(rest, F.array(b))).alias("kept"),
-            (acc["crash"] | (~skip & sup)).alias("crash"))
-
-    def finish(acc):
-        joined = F.array_join(F.transform(acc["kept"], lambda k: k["raw"]), "\n\n")
-        res = F.when(F.size(acc["kept"]) > 0, joined).otherwise(c)
-        if on_supersede == "fallback":
-            res = F.when(acc["crash"], F.lit(None).cast("string")).otherwise(res)
-        return res
-
-    # ``finish`` reads the accumulator as a lambda variable, so the fold runs
-    # once per row (HOFs are interpreted: no common-subexpression reuse).
-    out = F.aggregate(blocks, F.struct(empty.alias("kept"), F.lit(False).alias("crash")), step, finish)
-    return F.when(c.isNull() | (c == ""), c).otherwise(out)
-
-
-# --- ordered keep-first over groups (D6, E9) ---------------------------------
-
-def keep_first(rows: DataFrame, group: list[str], order: str, text: str, dup_pair) -> DataFrame:
-    """Keep a row unless it duplicates an earlier *kept* row of its group.
-
-    ``dup_pair(new_text, old_text, pairs_df)`` returns the candidate pairs
-    (``j`` new, ``i`` older) that are duplicates. Flags are computed
-    relationally; the order-dependent keep decision is a fold over the
-    group's sorted ids (an anti join would be wrong: an item similar only to
-    a dropped item must stay)."""
-    # the rows are read four times below (pairs, sequence, final semi join)
-    rows = stored(rows, "ordered")
-    a = rows.select(*group, F.col(order).alias("i"), F.col(text).alias("ti"))
-    b = rows.select(*group, F.col(order).alias("j"), F.col(text).alias("tj"))
-    pairs = a.join(b, group).filter(F.col("i") < F.col("j"))
-    dups = dup_pair(pairs).groupBy(*group, "j").agg(F.collect_set("i").alias("dup_of"))
-    per = (rows.select(*group, F.col(order).alias("j")).join(dups, group + ["j"], "left")
-           .groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("j", "dup_of"))).alias("seq")))
-    kept = F.aggregate(
-        "seq", F.array().cast("array<long>"),
-        lambda acc, x: F.when(F.exists(acc, lambda k: F.coalesce(F.array_contains(x["dup_of"], k), F.lit(False))), acc)
-        .otherwise(F.concat(acc, F.array(x["j"].cast("long")))))
-    keep = per.select(*group, F.explode(kept).alias(order))
-    return rows.join(keep, group + [order], "left_semi")
+    return F.get(dedup_blocks_of(on_supersede)(F.array(c)), F.lit(0))
+
+
+# --- ordered keep-first inside a page's row (D6, E9) -----------------------------
+#
+# Keep a text unless it duplicates an earlier *kept* one: an order-dependent fold (a text similar
+# only to a dropped one must stay). The groups are the sections or items of one page, arrays of its
+# row, so no text is shuffled.
+
+def _section_duplicate(new: str, old: str, threshold: float) -> bool:
+    """E6 on normalised texts."""
+    if not old:
+        return False
+    if new == old or (new in old and len(new) > len(old) * SECTION_CONTAIN) or (old in new and len(old) > len(new) * SECTION_CONTAIN):
+        return True
+    return _above(new, old, threshold)
+
+
+def _above(new: str, old: str, threshold: float) -> bool:
+    """E5 over the threshold; cheap upper bounds first."""
+    m = difflib.SequenceMatcher(None, new, old)
+    return 2 * min(len(new), len(old)) > threshold * (len(new) + len(old)) and m.quick_ratio() > threshold and m.ratio() > threshold
+
+
+def kept_section_places(norms, threshold: float = SECTION_THRESHOLD) -> list[int]:
+    """Places of the sections that stay, in order; a blank one is a duplicate."""
+    kept: list[int] = []
+    for j, new in enumerate(norms):
+        if new and not any(_section_duplicate(new, norms[i], threshold) for i in kept):
+            kept.append(j)
+    return kept
+
+
+class SimilarItems:
+    """Kept items, found by a prefix filter on character pairs with a length band.
+
+    With a ratio above t, the matched characters are more than t/2 of both texts' L together and the
+    unmatched ones fewer than (1 - t) L, so there are at most that many breaks between matched runs
+    and more than (1.5 t - 1) L - 1 character pairs in common. Two texts with so many pairs in common, each pair list sorted
+    rarest first, share one among the first of both: only those are filed and looked up."""
+
+    def __init__(self, texts, threshold: float):
+        self.threshold = threshold
+        self.freq = Counter(p for t in texts for p in self._pairs(t))
+        self.by: dict[tuple, list[int]] = {}
+        self.texts: list[str] = []
+        self.exact: set[str] = set()
+
+    @staticmethod
+    def _pairs(t: str) -> list[tuple]:
+        seen: Counter = Counter()
+        out = []
+        for i in range(len(t) - 1):
+            p = t[i: i + 2]
+            out.append((p, seen[p]))
+            seen[p] += 1
+        return out
+
+    def _prefix(self, t: str) -> list[tuple]:
+        pairs = sorted(self._pairs(t), key=lambda p: (self.freq[p], p))
+        both = len(t) * (1 + self.threshold / (2 - self.threshold))       # least L within the length band
+        need = int((1.5 * self.threshold - 1) * both)
+        return pairs[: len(pairs) - need + 1] if need > 0 else [None]
+
+    def offer(self, t: str) -> bool:
+        """Keep ``t`` unless a kept text equals it or is similar."""
+        if t in self.exact:
+            return False
+        prefix = self._prefix(t)
+        near = dict.fromkeys(i for p in (*prefix, None) for i in self.by.get(p, ()))
+        if prefix == [None]:                      # too short for the filter: all kept ones are looked at
+            near = dict.fromkeys(range(len(self.texts)))
+        if any(_above(t, self.texts[i], self.threshold) for i in near):
+            return False
+        for p in prefix:
+            self.by.setdefault(p, []).append(len(self.texts))
+        self.texts.append(t)
+        self.exact.add(t)
+        return True
+
+
+def kept_item_places(texts, threshold: float = ITEM_THRESHOLD) -> list[int]:
+    """Groups of 0 or 1 item unchanged; otherwise items under 20 characters
+    go and the first of equal or similar (E7) ones stays."""
+    if len(texts) <= 1:
+        return list(range(len(texts)))
+    long = [j for j, t in enumerate(texts) if len(t.strip()) >= MIN_ITEM]
+    norms = {j: _norm_py(texts[j]) for j in long}
+    kept = SimilarItems(norms.values(), threshold)
+    return [j for j in long if kept.offer(norms[j])]
+
+
+def _in_place(udf):
+    """Filters inferred from a later explode would be pushed below the projection with the call written
+    into them; called non-deterministic, a UDF is evaluated once, where it stands."""
+    return udf.asNondeterministic()
+
+
+@_in_place
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def kept_sections(norms: pd.Series) -> pd.Series:
+    return pd.Series([kept_section_places(list(a)) for a in norms])
+
+
+@_in_place
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def kept_items(texts: pd.Series) -> pd.Series:
+    return pd.Series([kept_item_places(list(a)) for a in texts])
 
 
+# --- corpus scale (E10, E11) -------------------------------------------------
+
 def _norm(c: Column) -> Column:
     return F.regexp_replace(strip_ws(F.lower(c)), WS, " ")
 
 
-def item_dup_pairs(pairs: DataFrame, threshold: float = ITEM_THRESHOLD) -> DataFrame:
-    """E7 on (i older kept candidate, j new) pairs: equal normalised text or
-    ratio(new, old) above the threshold; the ratio runs only where the
-    length bound can exceed it (separate operator, so the UDF sees
-    survivors only)."""
-    p = pairs.withColumn("ni", _norm(F.col("ti"))).withColumn("nj", _norm(F.col("tj")))
-    eq = p.filter(F.col("ni") == F.col("nj"))
-    cand = p.filter((F.col("ni") != F.col("nj")) & (length_bound(F.col("nj"), F.col("ni")) > threshold))
-    sim = cand.withColumn("r", seq_ratio(F.col("nj"), F.col("ni"))).filter(F.col("r") > threshold).drop("r")
-    return eq.unionByName(sim)
-
-
-def section_dup_pairs(pairs: DataFrame, threshold: float = SECTION_THRESHOLD) -> DataFrame:
-    """Blank is duplicate; equal; containment either way with more than
-    half the length; else ratio above the threshold."""
-    p = pairs.withColumn("ni", _norm(F.col("ti"))).withColumn("nj", _norm(F.col("tj")))
-    li, lj = F.length("ni"), F.length("nj")
-    cheap = ((F.col("nj") == "") | (F.col("ni") == F.col("nj"))
-             | (F.col("ni").contains(F.col("nj")) & (lj > li * SECTION_CONTAIN))
-             | (F.col("nj").contains(F.col("ni")) & (li > lj * SECTION_CONTAIN))) & (F.col("ni") != "")
-    blank = F.col("nj") == ""
-    hit = p.filter(cheap | blank)
-    rest = p.filter(~(cheap | blank) & (F.col("ni") != "") & (length_bound(F.col("nj"), F.col("ni")) > threshold))
-    sim = rest.withColumn("r", seq_ratio(F.col("nj"), F.col("ni"))).filter(F.col("r") > threshold).drop("r")
-    return hit.unionByName(sim)
-
-
-def dedup_items(items: DataFrame, group=("page_id", "array_name"), order: str = "elem_pos",
-                text: str = "main_content", threshold: float = ITEM_THRESHOLD) -> DataFrame:
-    """Groups of 0 or 1 item unchanged (index kept); otherwise items
-    with main text under 20 chars go, the first of near-equals stays, and
-    the index restarts at 0."""
-    group = list(group)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    tagged = items.withColumn("_n", n)
-    single = tagged.filter("_n <= 1").withColumn("index", F.col(order).cast("int")).drop("_n")
-    multi = tagged.filter("_n > 1").drop("_n").filter(F.length(strip_ws(F.col(text))) >= MIN_ITEM)
-    kept = keep_first(multi, group, order, text, lambda p: item_dup_pairs(p, threshold))
-    idx = (F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1).cast("int")
-    return single.unionByName(kept.withColumn("index", idx))
-
-
-# --- corpus scale (E10, E11) -------------------------------------------------
-
 def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """E10 exact part: documents whose normalised text is equal; each maps
     to the smallest id of its group (a groupBy, partial aggregation)."""

@@ -26,10 +26,10 @@ from ..schemas import NODE
 from ..session import stored
 
 # Elements that never hold children in the tree builder.
-VOID_TAGS = frozenset("""
-area base br col embed hr img input keygen link menuitem meta param source track wbr
-basefont bgsound command frame image isindex nextid spacer
-""".split())
+VOID_TAGS = {
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param", "source", "track", "wbr",
+    "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer",
+}
 
 # Ancestor entries per Arrow batch: chains are written out only when a batch is
 # built, so a deep page costs its own nodes plus one batch, at any depth.
@@ -168,6 +168,12 @@ def _parse(html: str | None) -> list[dict]:
     return p.finish()
 
 
+def tree(html: str) -> list[list]:
+    """One page's nodes as ``treepass`` takes them: [parent, post, kind, tag, attrs, text]."""
+    return [[r["parent"], r["post"], r["kind"], r["tag"], dict(r["attrs"]) if r["attrs"] is not None else None, r["text"]]
+            for r in _parse(html)]
+
+
 _ARROW_SCHEMA = pa.schema([
     pa.field("page_id", pa.int64()),
     pa.field("nid", pa.int32()),
@@ -208,8 +214,9 @@ def _explode_batches(batches):
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW_SCHEMA)
 
 
-def explode_nodes(pages: DataFrame, html_col: str = "html", partitions: int | None = None) -> DataFrame:
-    """B1: pages(page_id, html) -> NODE rows, stored once in the shared folder.
+def explode_nodes(pages: DataFrame, html_col: str = "html", partitions: int | None = None, store: bool = True) -> DataFrame:
+    """B1: pages(page_id, html) -> NODE rows, stored once in the shared folder
+    unless ``store`` is false (a single reader, which then prunes for itself).
 
     Only ``page_id`` and the html column cross into Python. Html is not
     shuffled unless ``partitions`` asks for it (a small input in few files);
@@ -218,4 +225,5 @@ def explode_nodes(pages: DataFrame, html_col: str = "html", partitions: int | No
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(html_col).alias("html"))
     if partitions:
         src = src.repartition(partitions)
-    return stored(src.mapInArrow(_explode_batches, NODE), "nodes")
+    nodes = src.mapInArrow(_explode_batches, NODE)
+    return stored(nodes, "nodes") if store else nodes

@@ -1,31 +1,45 @@
-"""Links and images (2.G) from the node table."""
+"""Links and images (2.G) from the page row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
 from ..functions.urls import absolute_url, host
+from . import pagerow as R
 from .arrays import image_src
+from .treepass import TreeSpec
 
 
-def extract_links(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """L1 + F8: every ``a`` with its href made absolute against the page URL
-    and its text (stripped strings joined without separator, C13), in
-    document order: (page_id, pos, href, text)."""
-    a = nodes.filter((F.col("kind") == "elem") & (F.col("tag") == "a")).select("page_id", F.col("nid").alias("a"),
-                                                                              "attrs")
-    texts = (nodes.filter(F.col("kind") == "text")
-             .select("page_id", "nid", strip_ws(F.col("text")).alias("t"),
-                     F.explode(F.transform(F.filter("anc", lambda x: x["tag"] == "a"), lambda x: x["nid"])).alias("a"))
-             .groupBy("page_id", "a").agg(F.array_join(F.transform(
-                 F.sort_array(F.collect_list(F.struct("nid", "t"))), lambda x: x["t"]), "").alias("text")))
-    j = a.join(texts, ["page_id", "a"], "left").join(pages.select("page_id", "url"), "page_id")
-    href = strip_ws(F.coalesce(F.col("attrs")["href"], F.lit("")))
-    pos = (F.row_number().over(Window.partitionBy("page_id").orderBy("a")) - 1).cast("long")
-    return j.select("page_id", pos.alias("pos"), absolute_url(F.col("url"), href).alias("href"),
-                    F.coalesce("text", F.lit("")).alias("text"), F.col("url").alias("page_url"))
+_ALL = TreeSpec(attributes=True)       # the original tree, with the attributes of links and images
+
+
+def _tagged(tag: str) -> Column:
+    """The elements with a tag, in document order."""
+    return F.filter("nodes", lambda n: n["tag"] == tag)
+
+
+def link_array(base: Column) -> Column:
+    """L1 + F8 on a page row: (href, text) of every ``a``, its href made absolute and its text (stripped
+    strings joined without separator, C13)."""
+    return F.transform(_tagged("a"), lambda n: F.struct(
+        absolute_url(base, strip_ws(F.coalesce(n["attrs"]["href"], F.lit("")))).alias("href"),
+        R.joined(n["first"], n["cnt"]).alias("text")))
+
+
+def image_array(base: Column) -> Column:
+    """L4 on a page row: (src, alt, title) of every ``img``, src absolute (F6 attribute order)."""
+    return F.transform(_tagged("img"), lambda n: F.struct(
+        absolute_url(base, F.coalesce(image_src(n["attrs"]), F.lit(""))).alias("src"),
+        F.coalesce(n["attrs"]["alt"], F.lit("")).alias("alt"), F.coalesce(n["attrs"]["title"], F.lit("")).alias("title")))
+
+
+def extract_links(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """L1: one row per link: (page_id, page_url, pos, href, text)."""
+    rows = R.page_rows(pages.select("page_id", "url", "html"), _ALL, partitions=partitions)
+    return rows.select("page_id", F.col("url").alias("page_url"), F.posexplode(link_array(F.col("url"))).alias("pos", "l")) \
+        .select("page_id", "page_url", F.col("pos").cast("long").alias("pos"), "l.href", "l.text")
 
 
 def split_internal_external(links: DataFrame) -> DataFrame:
@@ -38,31 +52,33 @@ def exclude_external_links(links: DataFrame) -> DataFrame:
     return split_internal_external(links).filter("internal")
 
 
-def extract_images(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """L4: every ``img`` with absolute src (F6 attribute order), alt, title."""
-    img = nodes.filter((F.col("kind") == "elem") & (F.col("tag") == "img"))
-    j = img.join(pages.select("page_id", "url"), "page_id")
-    pos = (F.row_number().over(Window.partitionBy("page_id").orderBy("nid")) - 1).cast("long")
-    return j.select("page_id", pos.alias("pos"),
-                    absolute_url(F.col("url"), F.coalesce(image_src(F.col("attrs")), F.lit(""))).alias("src"),
-                    F.coalesce(F.col("attrs")["alt"], F.lit("")).alias("alt"),
-                    F.coalesce(F.col("attrs")["title"], F.lit("")).alias("title"))
+def extract_images(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """L4: one row per image: (page_id, pos, src, alt, title)."""
+    rows = R.page_rows(pages.select("page_id", "url", "html"), _ALL, partitions=partitions)
+    return rows.select("page_id", F.posexplode(image_array(F.col("url"))).alias("pos", "i")) \
+        .select("page_id", F.col("pos").cast("long").alias("pos"), "i.src", "i.alt", "i.title")
 
 
-def link_struct_array(links: DataFrame) -> DataFrame:
-    """Result-shaped arrays per page; L5 switches give empty arrays."""
-    l2 = split_internal_external(links)
-    agg = l2.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "internal", "href", "text"))).alias("l"))
-    to = lambda cond: F.transform(F.filter("l", cond), lambda x: F.struct(x["href"].alias("href"), x["text"].alias("text")))
-    return agg.select("page_id", to(lambda x: x["internal"]).alias("internal_links"),
-                      to(lambda x: ~x["internal"]).alias("external_links"))
+def media_columns(pages: DataFrame, skip_images: bool = False, skip_links: bool = False) -> DataFrame:
+    """(page_id, internal_links, external_links, images); a skipped kind is an empty array and never computed."""
+    rows = R.page_rows(pages.select("page_id", "url", "html"), _ALL)
+    links = F.array().cast("array<struct<href:string,text:string>>") if skip_links else link_array(F.col("url"))
+    images = F.array().cast("array<struct<src:string,alt:string,title:string>>") if skip_images else image_array(F.col("url"))
+    own = lambda x: host(x["href"]) == host(F.col("url"))  # noqa: E731  (null, neither kind, without a host)
+    return rows.select("page_id", "url", links.alias("_l"), images.alias("images")).select(
+        "page_id", F.filter("_l", own).alias("internal_links"), F.filter("_l", lambda x: ~own(x)).alias("external_links"), "images")
 
 
 def link_graph(links: DataFrame) -> DataFrame:
-    """Page -> target edges with out-degree of the page and in-degree of
-    the target (both aggregates, partial map-side)."""
-    edges = links.select(F.col("page_url").alias("source"), F.col("href").alias("target")).filter("target <> ''")
-    out_d = edges.groupBy("source").agg(F.count(F.lit(1)).alias("out_degree"))
-    in_d = edges.groupBy("target").agg(F.count(F.lit(1)).alias("in_degree"),
-                                       F.countDistinct("source").alias("referring_pages"))
-    return in_d, out_d
+    """One row per page -> target edge with its weight, the out-degree of the page and the in-degree of
+    the target. Edges are aggregated first, so both degrees count over distinct edges already summed."""
+    edges = links.select(F.col("page_url").alias("source"), F.col("href").alias("target")).filter("target <> ''") \
+        .groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+    out_d = edges.groupBy("source").agg(F.sum("weight").alias("out_degree"))
+    in_d = in_degrees(edges)
+    return edges.join(out_d, "source").join(in_d, "target")
+
+
+def in_degrees(edges: DataFrame) -> DataFrame:
+    """(target, in_degree, referring_pages) of aggregated edges."""
+    return edges.groupBy("target").agg(F.sum("weight").alias("in_degree"), F.count(F.lit(1)).alias("referring_pages"))

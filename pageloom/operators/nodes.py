@@ -1,65 +1,16 @@
-"""Node-table operators: removals, link unwrapping, exclusion, selection,
-main-content root, title and the two text assemblies.
-
-Every operator keeps ``page_id`` as the leading key of its aggregates and
-joins, so they all run on the single ``page_id`` exchange made by
-:func:`pageloom.operators.dom.explode_nodes`.
+"""Node-table operators: removals, exclusion and selection, as row-local
+predicates on a node and its ancestor chain. The request modes use the page row
+(``pagerow``); the node table is for queries over single nodes.
 """
 
 from __future__ import annotations
 
-import logging
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_ws, dedup_sentences, strip_ws
-from ..session import stored
 from . import css
+from .pagerow import compile_selectors
 
-log = logging.getLogger(__name__)
-
-# Fixed values that must equal the reference for equal results.
-# Tags removed with their subtree in content-only and selective mode.
-REMOVE_TAGS = [
-    "script", "style", "noscript", "link", "meta", "title",
-    "nav", "footer", "header", "aside", "form", "input",
-    "button", "select", "textarea", "iframe", "embed",
-    "object", "audio", "video", "canvas", "svg",
-]
-# Tags removed with their subtree in array mode.
-ARRAY_REMOVE_TAGS = [
-    "script", "style", "noscript", "link", "meta",
-    "form", "input", "button", "select", "textarea",
-]
-# Block-level tags of the content-only text walk.
-BLOCK_TAGS = [
-    "p", "div", "h1", "h2", "h3", "h4", "h5", "h6",
-    "article", "section", "main", "blockquote", "pre",
-    "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th",
-]
-# Main-content selectors, tried in this order.
-MAIN_SELECTORS = [
-    "main", "article", '[role="main"]',
-    ".content", ".post-content", ".article-content",
-    ".entry-content", ".post-body", ".article-body",
-    "#content", "#main-content", "#article-content",
-]
-BODY_RANK = len(MAIN_SELECTORS)          # 12
-DOCUMENT_RANK = BODY_RANK + 1            # 13: the whole document, root nid -1
-
-STRING_KINDS = ["text", "comment", "doctype", "pi"]
-
-
-def _is_elem() -> Column:
-    return F.col("kind") == "elem"
-
-
-def _anc_nids() -> Column:
-    return F.transform("anc", lambda a: a["nid"])
-
-
-# --- B2, B3, B4 -------------------------------------------------------------
 
 def drop_tags(nodes: DataFrame, tags) -> DataFrame:
     """Remove elements with the listed tags together with their
@@ -67,7 +18,7 @@ def drop_tags(nodes: DataFrame, tags) -> DataFrame:
     tags = list(tags)
     if not tags:
         return nodes
-    return nodes.filter(~(_is_elem() & F.col("tag").isin(tags))
+    return nodes.filter(~((F.col("kind") == "elem") & F.col("tag").isin(tags))
                         & ~F.exists("anc", lambda a: a["tag"].isin(tags)))
 
 
@@ -76,217 +27,16 @@ def drop_images(nodes: DataFrame) -> DataFrame:
     return drop_tags(nodes, ["img"])
 
 
-# --- structure helpers --------------------------------------------------------
-
-def element_children(nodes: DataFrame) -> DataFrame:
-    """(page_id, nid, tag, anc, nch): elements with their surviving child
-    count."""
-    counts = nodes.groupBy("page_id", F.col("parent").alias("nid")).agg(F.count(F.lit(1)).alias("nch"))
-    return (nodes.filter(_is_elem()).select("page_id", "nid", "tag", "anc")
-            .join(counts, ["page_id", "nid"], "left")
-            .withColumn("nch", F.coalesce(F.col("nch"), F.lit(0))))
-
-
-def chain_elements(nodes: DataFrame) -> DataFrame:
-    """Elements whose ``.string`` exists: every element of the subtree has
-    exactly one child, so the subtree is a path ending in one string.
-    Returns (page_id, nid, tag)."""
-    el = element_children(nodes)
-    breaking = (el.filter(F.col("nch") != 1)
-                .select("page_id", F.explode(F.concat(F.array("nid"), _anc_nids())).alias("nid"))
-                .distinct())
-    return el.filter(F.col("nch") == 1).select("page_id", "nid", "tag").join(breaking, ["page_id", "nid"], "left_anti")
-
-
-# --- B5 -----------------------------------------------------------------------
-
-def unwrap_links(nodes: DataFrame) -> DataFrame:
-    """An ``a`` whose ``.string`` exists becomes one text node holding
-    that string (its inner markup vanishes); any other ``a`` is removed and
-    its children move up to its parent."""
-    in_a = F.exists("anc", lambda a: a["tag"] == "a")
-    a_of = F.transform(F.filter("anc", lambda a: a["tag"] == "a"), lambda a: a["nid"])
-    chains = (chain_elements(nodes).filter(F.col("tag") == "a")
-              .select("page_id", F.col("nid").alias("a_nid")))
-    under = nodes.filter(in_a).select("page_id", "nid", "kind", "text", F.explode(a_of).alias("a_nid"))
-    under_chain = under.join(chains, ["page_id", "a_nid"], "left_semi")
-    leaf = (under_chain.filter(F.col("kind").isin(STRING_KINDS))
-            .select("page_id", F.col("a_nid").alias("nid"),
-                    F.when(F.col("kind") == "text", F.col("text")).otherwise(F.lit("")).alias("leaf_text")))
-    dead = under_chain.select("page_id", "nid").distinct()
-    kept = (nodes.join(dead, ["page_id", "nid"], "left_anti")
-            .join(leaf, ["page_id", "nid"], "left")
-            .filter(~(_is_elem() & (F.col("tag") == "a")) | F.col("leaf_text").isNotNull()))
-    conv = F.col("leaf_text").isNotNull()
-    new_anc = F.filter("anc", lambda a: a["tag"] != "a")
-    # stored: many steps read the cleaned tree, each would repeat the joins above
-    return stored(kept.select(
-        "page_id", "nid",
-        F.when(conv, F.col("nid")).otherwise(F.col("post")).alias("post"),
-        F.coalesce(F.try_element_at(new_anc, F.lit(-1))["nid"], F.lit(-1)).alias("parent"),
-        F.size(new_anc).alias("depth"),
-        F.when(conv, F.lit("text")).otherwise(F.col("kind")).alias("kind"),
-        F.when(conv, F.lit(None)).otherwise(F.col("tag")).alias("tag"),
-        F.when(conv, F.lit(None)).otherwise(F.col("id_attr")).alias("id_attr"),
-        F.when(conv, F.lit(None)).otherwise(F.col("classes")).alias("classes"),
-        F.when(conv, F.lit(None)).otherwise(F.col("attrs")).alias("attrs"),
-        F.coalesce(F.col("leaf_text"), F.col("text")).alias("text"),
-        new_anc.alias("anc"),
-    ), "clean")
-
-
-# --- B6, B9 -------------------------------------------------------------------
-
-def compile_selectors(selectors, warnings: list | None = None) -> list:
-    """Parse on the driver; a bad selector is skipped with a warning."""
-    out = []
-    for s in selectors or []:
-        try:
-            out.append((s, css.parse(s)))
-        except css.SelectorError as exc:
-            msg = f"Invalid selector '{s}': {exc}"
-            log.warning(msg)
-            if warnings is not None:
-                warnings.append(msg)
-    return out
-
-
 def exclude(nodes: DataFrame, selectors, warnings: list | None = None) -> DataFrame:
     """Remove the subtrees of elements matched by any exclude selector."""
-    compiled = compile_selectors(selectors, warnings)
-    if not compiled:
-        return nodes
     hit = None
-    for _, sel in compiled:
+    for _, sel in compile_selectors(selectors, warnings):
         h = css.self_matches(sel) | css.inside_match(sel)
         hit = h if hit is None else (hit | h)
-    return nodes.filter(~F.coalesce(hit, F.lit(False)))
+    return nodes if hit is None else nodes.filter(~F.coalesce(hit, F.lit(False)))
 
 
 def select(nodes: DataFrame, selector) -> DataFrame:
     """All elements matching ``selector``, in document order per page
     (``nid``); a node matching several comma alternatives appears once."""
     return nodes.filter(css.self_matches(selector))
-
-
-# --- B10 ----------------------------------------------------------------------
-
-def main_root(nodes: DataFrame, selectors=MAIN_SELECTORS) -> DataFrame:
-    """Per page the first selector (list order) with a match, first
-    match in document order; else the first ``body``; else the document
-    (nid -1). Returns (page_id, root, root_rank)."""
-    ranks = [F.when(css.self_matches(s), F.lit(i)) for i, s in enumerate(selectors)]
-    ranks.append(F.when(_is_elem() & (F.col("tag") == "body"), F.lit(BODY_RANK)))
-    rank = F.least(*ranks) if len(ranks) > 1 else ranks[0]
-    best = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("r"), F.col("nid").alias("n"))))
-    return (nodes.groupBy("page_id").agg(best.alias("b"))
-            .select("page_id",
-                    F.coalesce(F.col("b.n"), F.lit(-1)).alias("root"),
-                    F.coalesce(F.col("b.r"), F.lit(DOCUMENT_RANK)).alias("root_rank")))
-
-
-def in_root(root_col: Column) -> Column:
-    """Node lies strictly inside the root (nid -1 = the whole document)."""
-    return (root_col == -1) | F.array_contains(_anc_nids(), root_col)
-
-
-# --- C4 -----------------------------------------------------------------------
-
-def page_title(nodes: DataFrame) -> DataFrame:
-    """C4: text of the first ``title`` element of the original tree,
-    stripped and cut to 200; (page_id, title)."""
-    outer_title = F.filter("anc", lambda a: a["tag"] == "title")
-    piece = F.when((F.col("kind") == "text") & (F.size(outer_title) > 0),
-                   F.struct(outer_title[0]["nid"].alias("t"), F.col("nid").alias("n"), F.col("text").alias("s")))
-    agg = nodes.groupBy("page_id").agg(
-        F.min(F.when(_is_elem() & (F.col("tag") == "title"), F.col("nid"))).alias("first"),
-        F.sort_array(F.collect_list(piece)).alias("pieces"))
-    text = F.array_join(F.transform(F.filter("pieces", lambda p: p["t"] == F.col("first")), lambda p: p["s"]), "")
-    return agg.select("page_id", F.substring(strip_ws(F.coalesce(text, F.lit(""))), 1, 200).alias("title"))
-
-
-# --- C5, C12, C13 -------------------------------------------------------------
-
-def element_text_pairs(pairs: DataFrame, img_alt_min: int | None = 1, sentences: bool = True) -> DataFrame:
-    """C5 with C12 and C13 on (root, descendant) pairs.
-
-    ``pairs`` holds node columns plus ``root`` (root nid) and ``rpos`` (the
-    1-based position of the root in the node's ``anc``; 0 for the whole
-    document). Per root: strings stripped and joined by one space; an ``a``
-    inside the root contributes its stripped strings joined without a
-    separator (C13); an ``img`` becomes ``[Image: alt]`` when its stripped
-    alt has at least ``img_alt_min`` characters (C12, ``None`` drops
-    images); whitespace collapsed; with ``sentences`` repeated sentences are
-    dropped (E1). Returns (page_id, root, text).
-    """
-    inner = F.slice("anc", F.col("rpos") + 1, F.greatest(F.size("anc") - F.col("rpos"), F.lit(1)))
-    link = F.filter(inner, lambda a: a["tag"] == "a")
-    unit = F.coalesce(F.try_element_at(link, F.lit(1))["nid"], F.col("nid"))
-    alt = strip_ws(F.coalesce(F.col("attrs")["alt"], F.lit("")))
-    text_piece = F.when(F.col("kind") == "text", strip_ws(F.col("text")))
-    if img_alt_min is not None:
-        img_piece = F.when(_is_elem() & (F.col("tag") == "img") & (F.length(alt) >= img_alt_min),
-                           F.concat(F.lit("[Image: "), alt, F.lit("]")))
-        piece = F.coalesce(text_piece, img_piece)
-    else:
-        piece = text_piece
-    rows = (pairs.select("page_id", "root", unit.alias("u"), "nid", piece.alias("p"))
-            .filter(F.col("p").isNotNull() & (F.col("p") != "")))
-    # units first (strings of one link run together), then the units of the root
-    units = rows.groupBy("page_id", "root", "u").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nid", "p"))), lambda x: x["p"]), "").alias("t"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("u", "t"))), lambda x: x["t"]), " ")
-    text = collapse_ws(whole)
-    if sentences:
-        text = strip_ws(dedup_sentences(text))
-    return units.groupBy("page_id", "root").agg(text.alias("text"))
-
-
-def selector_pairs(nodes: DataFrame, selector) -> DataFrame:
-    """(root, descendant) pairs for the elements matching ``selector``:
-    the matching ancestors of each node are found in its ``anc`` row-locally
-    and exploded (no join)."""
-    anc = F.col("anc")
-    hits = F.filter(F.transform(anc, lambda a, k: F.when(css.matches(selector, a, F.slice(anc, 1, k)),
-                                                         F.struct(a["nid"].alias("root"), (k + 1).alias("rpos")))),
-                    lambda x: x.isNotNull())
-    return (nodes.filter((F.col("kind") == "text") | _is_elem())
-            .select("*", F.explode(hits).alias("h"))
-            .select("*", "h.root", "h.rpos").drop("h"))
-
-
-def root_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, descendant) pairs for one root per page given as a table
-    (page_id, root); root -1 is the whole document."""
-    j = nodes.join(roots.select("page_id", "root"), "page_id")
-    pos = F.when(F.col("root") == -1, F.lit(0)).otherwise(F.array_position(_anc_nids(), F.col("root")))
-    return j.withColumn("rpos", pos.cast("int")).filter((F.col("root") == -1) | (F.col("rpos") > 0))
-
-
-# --- C6 -----------------------------------------------------------------------
-
-def block_text(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """C6 (content-only, faithful): walk the root's descendants in document
-    order; a block element with text emits its stripped strings joined
-    without separator, an element whose ``.string`` exists emits that
-    string, and every non-blank string emits itself. Joined by one space,
-    collapsed. Returns (page_id, text)."""
-    chains = chain_elements(nodes).select("page_id", F.col("nid").alias("e"), F.lit(True).alias("is_chain"))
-    strings = root_pairs(nodes.filter(F.col("kind").isin(STRING_KINDS)), roots)
-    own = strings.select("page_id", F.col("nid").alias("pos"), strip_ws(F.col("text")).alias("piece"))
-    inner = F.slice("anc", F.col("rpos") + 1, F.greatest(F.size("anc") - F.col("rpos"), F.lit(1)))
-    pairs = strings.select("page_id", F.col("nid").alias("s"), "kind", strip_ws(F.col("text")).alias("st"),
-                           F.explode(inner).alias("e_"))
-    pairs = pairs.select("page_id", "s", "kind", "st", F.col("e_.nid").alias("e"), F.col("e_.tag").alias("etag"))
-    per_e = pairs.groupBy("page_id", "e").agg(
-        F.first("etag").alias("etag"),
-        F.sort_array(F.collect_list(F.when(F.col("kind") == "text", F.struct("s", "st")))).alias("txt"),
-        F.min(F.struct("s", "st")).alias("leaf"))
-    per_e = per_e.join(chains, ["page_id", "e"], "left")
-    block = F.array_join(F.transform("txt", lambda x: x["st"]), "")
-    piece = (F.when(F.col("etag").isin(BLOCK_TAGS) & (block != ""), block)
-             .when(F.col("is_chain").isNotNull() & (F.col("leaf.st") != ""), F.col("leaf.st")))
-    emits = per_e.select("page_id", F.col("e").alias("pos"), piece.alias("piece")).unionByName(own)
-    emits = emits.filter(F.col("piece").isNotNull() & (F.col("piece") != ""))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ")
-    return emits.groupBy("page_id").agg(collapse_ws(joined).alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import regex_text, strip_tags, truncate, word_count
-from ..operators import dom, nodes as N
+from ..operators import pagerow as R
 from ..profiles import SERVICE_DEFAULT_LENGTH, resolve_length
 from ..sources.pages import with_html_source
 
@@ -44,39 +44,36 @@ def basic_content(df: DataFrame, max_length: int | None = None, uncut: bool = Fa
     )
 
 
-def content_text(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """C7 core: (page_id, content) from the cleaned node table; pages whose
-    html failed to tokenise fall back to C1."""
-    nodes = nodes if nodes is not None else dom.explode_nodes(pages)
-    clean = N.unwrap_links(N.drop_images(N.drop_tags(nodes, N.REMOVE_TAGS)))
-    roots = N.main_root(clean)
-    return N.block_text(clean, roots).withColumnRenamed("text", "content")
+def content_text(pages: DataFrame) -> DataFrame:
+    """C7 core: (page_id, content): the main root's block text."""
+    rows = R.page_rows(pages.select("page_id", "html"), R.content_spec()).withColumn("root", R.main_root())
+    return rows.select("page_id", R.block_text(F.col("root")).alias("content"))
 
 
-def content_only(pages: DataFrame, max_length: int | None = None, profile: str = "content") -> DataFrame:
+def content_only(pages: DataFrame, max_length: int | None = None, profile: str = "content", uncut: bool = False) -> DataFrame:
     """The content-only result per page: title from the original html,
-    clean text truncated with ``...``, word count and metadata. A failed
+    clean text truncated with ``...`` (whole with ``uncut``), word count and metadata. A failed
     fetch or a page without html is a failure with its message (A3); a page
-    that cannot be tokenised falls back to the regex text."""
-    src = with_html_source(pages)
-    html = src.filter("ok").select("page_id", F.col("html_source").alias("html"))
-    nodes = dom.explode_nodes(html)
-    text = content_text(html, nodes)
-    title = N.page_title(nodes)
-    failed = nodes.filter(F.col("kind") == "error").select("page_id", F.lit(True).alias("parse_failed"))
-    base = src.select("page_id", "url", "ok", "error", F.length("html_source").alias("original_html_length"),
-                      regex_text(F.col("html_source")).alias("_regex"))
+    that cannot be parsed falls back to the regex text."""
+    rows = R.page_rows(fetched(pages), R.content_spec(), "html").withColumn("root", R.main_root())
+    whole = F.when(F.col("failure").isNotNull(), regex_text("failed_html")).otherwise(R.block_text(F.col("root")))
     n = resolve_length(max_length, "content")
-    j = (base.join(text, "page_id", "left").join(title, "page_id", "left").join(failed, "page_id", "left"))
-    content = F.when(F.col("parse_failed").isNotNull(), F.col("_regex")).otherwise(F.coalesce("content", F.lit("")))
-    content = F.when(F.col("ok"), truncate(content, n, ellipsis=True)).otherwise(F.lit(""))
-    return j.select(
+    rows = rows.withColumn("whole", F.when(F.col("ok"), whole).otherwise(F.lit("")))
+    rows = rows.withColumn("content", F.col("whole") if uncut else truncate("whole", n, ellipsis=True))
+    return rows.select(
         "page_id", "url",
         F.col("ok").alias("success"), "error",
-        F.when(F.col("ok"), F.coalesce("title", F.lit(""))).otherwise(F.lit("")).alias("title"),
-        content.alias("content"),
-        word_count(content).alias("word_count"),
-        F.length(content).cast("int").alias("content_length"),
-        F.col("original_html_length").cast("int").alias("original_html_length"),
+        F.when(F.col("ok"), R.title_text()).otherwise(F.lit("")).alias("title"),
+        "content",
+        word_count("content").alias("word_count"),
+        F.length("content").cast("int").alias("content_length"),
+        "original_html_length",
         F.lit("content_only").alias("extraction_mode"),
     )
+
+
+def fetched(pages: DataFrame) -> DataFrame:
+    """(page_id, url, ok, error, original_html_length, html): html only of fetches that succeeded."""
+    return with_html_source(pages).select(
+        "page_id", "url", "ok", "error", F.length("html_source").cast("int").alias("original_html_length"),
+        F.when(F.col("ok"), F.col("html_source")).alias("html"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import arrays as A, dom, media as M
+from ..operators import arrays as A, media as M
 from ..profiles import AUTO_EXCLUDE, AUTO_LIMIT, AUTO_SUB_SELECTORS, PROFILES, ArraySpec, SelectiveSpec, profile_length
 from . import content as C, selective as S
 
@@ -44,32 +44,16 @@ def result_metadata(mode: str, df: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in names if c in df.columns])
 
 
-def with_media(results: DataFrame, nodes: DataFrame, pages: DataFrame, skip_images: bool = False,
-               skip_links: bool = False) -> DataFrame:
-    """Images and links joined to the results; a skipped kind is an empty
-    array and its branch is never computed."""
-    no_links = F.array().cast("array<struct<href:string,text:string>>")
-    no_images = F.array().cast("array<struct<src:string,alt:string,title:string>>")
-    if skip_links:
-        out = results.withColumn("internal_links", no_links).withColumn("external_links", no_links)
-    else:
-        links = M.link_struct_array(M.extract_links(nodes, pages))
-        out = results.join(links, "page_id", "left").withColumns(
-            {c: F.coalesce(c, no_links) for c in ("internal_links", "external_links")})
-    if skip_images:
-        return out.withColumn("images", no_images)
-    images = M.extract_images(nodes, pages).groupBy("page_id").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("pos", "src", "alt", "title"))),
-        lambda x: F.struct(x["src"].alias("src"), x["alt"].alias("alt"), x["title"].alias("title"))).alias("images"))
-    return out.join(images, "page_id", "left").withColumn("images", F.coalesce("images", no_images))
+def with_media(results: DataFrame, pages: DataFrame, skip_images: bool = False, skip_links: bool = False) -> DataFrame:
+    """Images and links joined to the results by page."""
+    return results.join(M.media_columns(pages, skip_images, skip_links), "page_id", "left")
 
 
 def auto_fields(pages: DataFrame, main_selector: str, partitions: int | None = None) -> DataFrame:
     """the simple array mode: preset sub-selectors, excludes and limit; the
     first value of a field, and a matched ``content`` before the main text."""
     spec = ArraySpec("items", main_selector, AUTO_SUB_SELECTORS, AUTO_LIMIT)
-    items = A.array_items(dom.explode_nodes(pages, partitions=partitions), [spec], exclude=AUTO_EXCLUDE)
-    items = A.absolutize(items.join(pages.select("page_id", "url"), "page_id"), [spec])
+    items = A.absolutize(A.array_items(pages, [spec], exclude=AUTO_EXCLUDE, partitions=partitions), [spec])
     value = {n: F.coalesce(F.try_element_at(F.col("fields")[n], F.lit(1)), F.lit("")) for n, _ in AUTO_SUB_SELECTORS}
     value["content"] = F.when(value["content"] != "", value["content"]).otherwise(F.col("main_content"))
     return items.select("page_id", "index", *[v.alias(n) for n, v in value.items()], "word_count")

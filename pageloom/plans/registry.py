@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
-from ..operators import css, dom, nodes as N, stats, windows as W
+from ..operators import css, dom, nodes as N, pagerow as R, stats, windows as W
+from ..operators.treepass import TreeSpec
 from ..plans import content as C
 from ..session import ship
 from ..sources import pages as P
@@ -42,7 +43,12 @@ def _spread(spark, pages: DataFrame) -> int | None:
 
 def _nodes(spark, d) -> DataFrame:
     pages = tbl(spark, d, "pages")
-    return dom.explode_nodes(pages, partitions=_spread(spark, pages))
+    return dom.explode_nodes(pages, partitions=_spread(spark, pages), store=False)   # every query here reads it once
+
+
+def _page_rows(spark, d, spec: TreeSpec, *columns) -> DataFrame:
+    pages = tbl(spark, d, "pages")
+    return R.page_rows(pages.select("page_id", *columns, "html"), spec, partitions=_spread(spark, pages))
 
 
 def _listing(spark, d) -> DataFrame:
@@ -162,7 +168,7 @@ def b1(spark, d):
 
 @query("b2_drop_tags")
 def b2(spark, d):
-    n = N.drop_tags(_nodes(spark, d), N.REMOVE_TAGS)
+    n = N.drop_tags(_nodes(spark, d), R.REMOVE_TAGS)
     return n.filter(F.col("kind") == "elem").groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -174,19 +180,17 @@ def b3(spark, d):
 
 @query("b4_drop_images")
 def b4(spark, d):
-    n = N.drop_images(dom.explode_nodes(_listing(spark, d)))
+    n = N.drop_images(dom.explode_nodes(_listing(spark, d), store=False))
     return n.filter(F.col("kind") == "elem").groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("b5_unwrap_links")
 def b5(spark, d):
-    n = N.unwrap_links(_nodes(spark, d))
-    li_text = n.filter((F.col("kind") == "text") & (F.try_element_at("anc", F.lit(-1))["tag"] == "li"))
-    return li_text.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("n_links"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nid", "text"))), lambda x: x["text"]), "|")
-        .alias("texts"),
-        F.sum(F.when(F.col("kind") == "elem", 1).otherwise(0)).alias("n_elem"))
+    rows = _page_rows(spark, d, TreeSpec(unwrap=True))
+    li = F.filter("nodes", lambda n: n["tag"].isNull() & (n["leaf"] >= 0) & (F.get(F.col("nodes"), n["parent"])["tag"] == "li"))
+    rows = rows.select("page_id", F.transform(li, lambda n: F.get(F.col("pieces"), n["leaf"])["s"]).alias("t"))
+    return rows.where(F.size("t") > 0).select("page_id", F.size("t").cast("long").alias("n_links"), F.array_join("t", "|").alias("texts"),
+                                              F.lit(0).cast("long").alias("n_elem"))
 
 
 @query("b6_exclude")
@@ -217,15 +221,27 @@ def b9(spark, d):
     return n.select("page_id", pos.cast("long").alias("pos"), F.col("attrs")["href"].alias("href"))
 
 
+@query("b8_css")
+def b8(spark, d):
+    """Selectors on siblings, on listings and articles alike."""
+    pages = tbl(spark, d, "pages").select("page_id", "html").unionByName(_listing(spark, d).select("page_id", "html"))
+    rows = R.page_rows(pages, TreeSpec(select=tuple(css.parse(x) for x in B8_SELECTORS)), partitions=_spread(spark, pages))
+    return rows.select("page_id", F.inline(F.array(*[
+        F.struct(F.lit(x).alias("selector"), F.size(R.hits(i)).cast("long").alias("n")) for i, x in enumerate(B8_SELECTORS)])))
+
+
 @query("b10_main_root")
 def b10(spark, d):
     pages = tbl(spark, d, "pages").unionByName(_listing(spark, d))
-    clean = N.unwrap_links(N.drop_images(N.drop_tags(dom.explode_nodes(pages), N.REMOVE_TAGS)))
-    roots = N.main_root(clean)
-    tags = clean.select("page_id", F.col("nid").alias("root"), F.col("tag").alias("root_tag"))
-    return roots.join(tags, ["page_id", "root"], "left").select(
-        "page_id", F.coalesce("root_tag", F.lit("[document]")).alias("root_tag"),
-        F.col("root_rank").cast("long").alias("root_rank"))
+    rows = R.page_rows(pages.select("page_id", "html"), R.content_spec(), partitions=_spread(spark, pages))
+    rows = rows.withColumn("root", R.main_root())
+    return rows.select("page_id", F.coalesce(F.get(F.col("nodes"), F.col("root.root"))["tag"], F.lit("[document]")).alias("root_tag"),
+                       F.col("root.rank").cast("long").alias("root_rank"))
+
+
+B8_SELECTORS = ["li:nth-child(2)", "li:last-child", "h1 + p", "h1 ~ p", "p:first-of-type", "article > :first-child",
+                "div.it:nth-child(2n+1)", "div.it + div.it", "span.price ~ span.tag", "span.tag + span.tag", "div.it:not(:first-child) h2",
+                "div.it > :nth-last-child(-n+2)"]
 
 
 # --- 2.C ----------------------------------------------------------------------
@@ -248,14 +264,13 @@ def c3(spark, d):
 
 @query("c4_page_title")
 def c4(spark, d):
-    return N.page_title(_nodes(spark, d))
+    return _page_rows(spark, d, TreeSpec()).select("page_id", R.title_text().alias("title"))
 
 
 @query("c5_element_text")
 def c5(spark, d):
-    n = N.drop_tags(_nodes(spark, d), N.ARRAY_REMOVE_TAGS)
-    t = N.element_text_pairs(N.selector_pairs(n, "article"), img_alt_min=4, sentences=False)
-    return t.select("page_id", "text")
+    rows = _page_rows(spark, d, TreeSpec(remove=tuple(R.ARRAY_REMOVE_TAGS), select=(css.parse("article"),), image_alt=A.IMAGE_ALT))
+    return rows.select("page_id", F.explode(R.element_texts(R.hits(0), sentences=False)).alias("text")).where("text <> ''")
 
 
 @query("c6_block_text")
@@ -320,7 +335,7 @@ def g1(spark, d):
 
 @query("g3_batch_content_stats")
 def g3(spark, d):
-    r = C.basic_content(_fetches(spark, d).drop("error_message"))
+    r = C.basic_content(_fetches(spark, d).drop("error_message"), uncut=True)
     return stats.batch_content_stats(r).select(
         "total_content_extracted", F.col("average_content_per_url").cast("double").alias("average_content_per_url"))
 
@@ -450,17 +465,25 @@ from ..profiles import ArraySpec, SelectiveSpec  # noqa: E402
 LISTING_SPEC = ArraySpec("items", ".it", (("title", "h2"), ("image", "img"), ("link", "a"), ("tag", ".tag"),
                                           ("price", ".price")), None)
 EMPTY_SPEC = ArraySpec("none", ".none", (), None)
+TAGS_SPEC = ArraySpec("tags", ".tag", (), None)         # product types: a page repeats many
 
 
 def _items(spark, d, specs=(LISTING_SPEC,), dedup=False):
-    lp = _listing(spark, d)
-    it = A.array_items(dom.explode_nodes(lp), list(specs), dedup_items=dedup)
-    return A.absolutize(it.join(lp.select("page_id", "url"), "page_id"), list(specs)), lp
+    return A.item_rows(_array_pages(spark, d, specs, dedup))
+
+
+def _array_pages(spark, d, specs=(LISTING_SPEC,), dedup=False):
+    return A.absolutize_pages(A.array_pages(_listing(spark, d), list(specs), dedup_items=dedup), list(specs))
+
+
+def _links(spark, d):
+    pages = tbl(spark, d, "pages")
+    return M.extract_links(pages, partitions=_spread(spark, pages))
 
 
 @query("f1_array_items")
 def f1(spark, d):
-    it, _ = _items(spark, d)
+    it = _items(spark, d)
     return it.select("page_id", F.col("elem_pos").cast("long").alias("elem_pos"), "main_content",
                      F.col("word_count").cast("long").alias("word_count"),
                      F.col("char_count").cast("long").alias("char_count"))
@@ -469,24 +492,20 @@ def f1(spark, d):
 @query("f2_limit_per_page")
 def f2(spark, d):
     spec = ArraySpec("items", ".it", (), 5)
-    it, _ = _items(spark, d, (spec,))
+    it = _items(spark, d, (spec,))
     return it.select("page_id", F.col("elem_pos").cast("long").alias("elem_pos"), "main_content")
 
 
 @query("f3_min_item_text")
 def f3(spark, d):
     spec = ArraySpec("prices", ".price", (), None)   # price texts are under 15 chars: all dropped
-    it, lp = _items(spark, d, (LISTING_SPEC, spec))
-    return lp.select("page_id").join(
-        it.groupBy("page_id").agg(F.count_if(F.col("spec") == 0).alias("kept_items"),
-                                  F.count_if(F.col("spec") == 1).alias("kept_prices")), "page_id", "left") \
-        .select("page_id", F.coalesce("kept_items", F.lit(0)).alias("kept_items"),
-                F.coalesce("kept_prices", F.lit(0)).alias("kept_prices"))
+    n = lambda i: F.size(F.get(F.col("arrays"), F.lit(i))["items"]).cast("long")
+    return _array_pages(spark, d, (LISTING_SPEC, spec)).select("page_id", n(0).alias("kept_items"), n(1).alias("kept_prices"))
 
 
 @query("f4_sub_text")
 def f4(spark, d):
-    it, _ = _items(spark, d)
+    it = _items(spark, d)
     return it.select("page_id", F.col("elem_pos").cast("long").alias("elem_pos"),
                      A.flatten_field(F.col("fields")["title"]).alias("title"),
                      A.flatten_field(F.col("fields")["tag"]).alias("tag"))
@@ -494,34 +513,33 @@ def f4(spark, d):
 
 @query("f5_sub_image")
 def f5(spark, d):
-    it, _ = _items(spark, d)
+    it = _items(spark, d)
     return it.select("page_id", F.col("elem_pos").cast("long").alias("elem_pos"),
                      A.flatten_field(F.col("fields")["image"]).alias("image"))
 
 
 @query("f6_image_src")
 def f6(spark, d):
-    n = dom.explode_nodes(_listing(spark, d))
+    n = dom.explode_nodes(_listing(spark, d), store=False)
     img = n.filter((F.col("kind") == "elem") & (F.col("tag") == "img"))
     return img.select("page_id", F.col("nid").cast("long").alias("nid"), A.image_src(F.col("attrs")).alias("src"))
 
 
 @query("f7_sub_link")
 def f7(spark, d):
-    it, _ = _items(spark, d)
+    it = _items(spark, d)
     return it.select("page_id", F.col("elem_pos").cast("long").alias("elem_pos"),
                      A.flatten_field(F.col("fields")["link"]).alias("link"))
 
 
 @query("f8_absolute_url")
 def f8(spark, d):
-    links = M.extract_links(_nodes(spark, d), tbl(spark, d, "pages"))
-    return links.select("page_id", "pos", "href")
+    return _links(spark, d).select("page_id", "pos", "href")
 
 
 @query("f10_flatten_field")
 def f10(spark, d):
-    it, _ = _items(spark, d)
+    it = _items(spark, d)
     return it.select("page_id", F.col("elem_pos").cast("long").alias("elem_pos"),
                      A.flatten_field(F.col("fields")["tag"], "join").alias("tag_join"),
                      A.flatten_field(F.col("fields")["tag"], "first").alias("tag_first"))
@@ -529,16 +547,15 @@ def f10(spark, d):
 
 @query("f11_pivot_fields")
 def f11(spark, d):
-    it, _ = _items(spark, d)
+    it = _items(spark, d)
     out = A.pivot_fields(it, ["title", "image", "link", "tag", "price"])
     return out.select("page_id", F.col("index").cast("long").alias("index"), "title", "image", "link", "tag", "price")
 
 
 @query("f12_array_summary")
 def f12(spark, d):
-    specs = [LISTING_SPEC, EMPTY_SPEC]
-    it, lp = _items(spark, d, specs)
-    s = A.array_summary(it, lp, specs, before=it)
+    specs = [LISTING_SPEC, EMPTY_SPEC, TAGS_SPEC]
+    s = A.array_summary(_array_pages(spark, d, specs, dedup=True)).where("array_name <> 'items'")
     return s.select("page_id", "array_name", F.col("count").cast("long").alias("count"),
                     F.array_join("sub_selectors_used", ",").alias("sub_selectors_used"),
                     "deduplication_applied")
@@ -546,33 +563,25 @@ def f12(spark, d):
 
 @query("f13_page_array_summary")
 def f13(spark, d):
-    specs = [LISTING_SPEC, EMPTY_SPEC]
-    it, lp = _items(spark, d, specs)
-    s = A.page_array_summary(A.array_summary(it, lp, specs), it)
-    return s.select("page_id", F.col("total_selectors").cast("long").alias("total_selectors"),
-                    "total_items_extracted", F.array_join("successful_selectors", ",").alias("successful_selectors"),
-                    "total_words")
+    rows = _array_pages(spark, d, [LISTING_SPEC, EMPTY_SPEC]).select("page_id", A.page_summary().alias("s")).select("page_id", "s.*")
+    return rows.select("page_id", F.col("total_selectors").cast("long").alias("total_selectors"),
+                       F.col("total_items_extracted").cast("long").alias("total_items_extracted"),
+                       F.array_join("successful_selectors", ",").alias("successful_selectors"), "total_words")
 
 
 @query("f15_format_flat")
 def f15(spark, d):
-    it, _ = _items(spark, d)
-    return A.format_flat(it)
+    return _array_pages(spark, d).select("page_id", A.format_flat().alias("content"))
 
 
 @query("f16_format_summary")
 def f16(spark, d):
-    specs = [LISTING_SPEC, EMPTY_SPEC]
-    it, lp = _items(spark, d, specs)
-    return A.format_summary(A.array_summary(it, lp, specs))
+    return _array_pages(spark, d, [LISTING_SPEC, EMPTY_SPEC]).select("page_id", A.format_summary().alias("content"))
 
 
 @query("f17_array_extract")
 def f17(spark, d):
-    specs = [LISTING_SPEC]
-    it, lp = _items(spark, d, specs, dedup=True)
-    s = A.array_summary(it, lp, specs)
-    return A.format_structured(it, s, specs)
+    return _array_pages(spark, d, [LISTING_SPEC], dedup=True).select("page_id", A.format_structured().alias("content")).where("content <> ''")
 
 
 @query("f18_array_batch")
@@ -582,7 +591,7 @@ def f18(spark, d):
         lp.select(F.lit(0).alias("b"), F.concat("url", F.lit("?missing")).alias("url")))
     reqs = reqs.select("b", F.posexplode(F.array("url")).alias("batch_pos", "url"))
     found = P.lookup_urls(reqs.select(F.col("b").alias("batch_id"), "batch_pos", "url"), lp)
-    it, _ = _items(spark, d, (ArraySpec("items", ".it", (), 20),))
+    it = _items(spark, d, (ArraySpec("items", ".it", (), 20),))
     per = it.groupBy("page_id").agg(F.count(F.lit(1)).alias("total_found"))
     return found.join(per, "page_id", "left").select(
         "url", F.col("found").alias("success"), F.coalesce("total_found", F.lit(0)).alias("total_found"))
@@ -590,46 +599,47 @@ def f18(spark, d):
 
 @query("l1_extract_links")
 def l1(spark, d):
-    return M.extract_links(_nodes(spark, d), tbl(spark, d, "pages")).select("page_id", "pos", "href", "text")
+    return _links(spark, d).select("page_id", "pos", "href", "text")
 
 
 @query("l2_split_internal_external")
 def l2(spark, d):
     pages = tbl(spark, d, "pages").unionByName(_listing(spark, d))
-    links = M.split_internal_external(M.extract_links(dom.explode_nodes(pages), pages))
+    links = M.split_internal_external(M.extract_links(pages))
     return links.select("page_id", "pos", "href", "internal")
 
 
 @query("l3_exclude_external_links")
 def l3(spark, d):
-    links = M.exclude_external_links(M.extract_links(_nodes(spark, d), tbl(spark, d, "pages")))
+    links = M.exclude_external_links(_links(spark, d))
     return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("internal_links"))
 
 
 @query("l4_extract_images")
 def l4(spark, d):
-    lp = _listing(spark, d)
-    return M.extract_images(dom.explode_nodes(lp), lp)
+    return M.extract_images(_listing(spark, d))
 
 
 @query("l6_link_graph")
 def l6(spark, d):
-    in_d, _ = M.link_graph(M.extract_links(_nodes(spark, d), tbl(spark, d, "pages")))
-    return in_d
+    return M.link_graph(_links(spark, d)).select("source", "target", "weight", "out_degree", "in_degree", "referring_pages")
 
 
 # --- 2.D, 2.E ---------------------------------------------------------------------
 
 D1_SELECTORS = ["article", ".ad", "h1", "nav", ".none"]
+# the same text twice, a text within another one, and texts of their own
+D6_SELECTORS = ["article", "h1", "body > article", ".ad", "article p", ".none", "div"]
 
 
-def _sel_clean(spark, d, exclude=()):
-    return S.selective_nodes(_nodes(spark, d), exclude)
+def _section_rows(spark, d, selectors):
+    pages = tbl(spark, d, "pages")
+    return S.section_rows(pages.select("page_id", "html"), selectors, partitions=_spread(spark, pages))
 
 
 @query("d1_sections")
 def d1(spark, d):
-    s = S.sections(_sel_clean(spark, d), D1_SELECTORS)
+    s = S.sections(_section_rows(spark, d, D1_SELECTORS))
     return s.select("page_id", F.col("sel_pos").cast("long").alias("sel_pos"), "content",
                     F.col("element_count").cast("long").alias("element_count"),
                     X.word_count("content").cast("long").alias("word_count"))
@@ -637,28 +647,29 @@ def d1(spark, d):
 
 @query("d2_section_key")
 def d2(spark, d):
-    s = S.sections(_sel_clean(spark, d), D1_SELECTORS)
+    s = S.sections(_section_rows(spark, d, D1_SELECTORS))
     return s.select("page_id", "section_key", "selector")
 
 
 @query("d3_fallback_section")
 def d3(spark, d):
-    clean = _sel_clean(spark, d)
-    secs = S.with_fallback(tbl(spark, d, "pages"), clean, S.sections(clean, [".none"]), True)
+    # ``.ad`` is on some pages only, so sections and fallbacks stand side by side
+    secs = S.sections(S.with_fallback(_section_rows(spark, d, [".ad"]), True))
     return secs.select("page_id", "section_key", "content", F.col("element_count").cast("long").alias("element_count"))
 
 
 @query("d5_order_sections")
 def d5(spark, d):
-    o = S.order_sections(S.sections(_sel_clean(spark, d), D1_SELECTORS))
-    return o.select("page_id", "section_key", F.col("priority").cast("long").alias("priority"),
-                    F.col("rank").cast("long").alias("rank"))
+    rows = S.order_sections(_section_rows(spark, d, D1_SELECTORS))
+    return rows.select("page_id", F.posexplode("sections").alias("pos", "s")).select(
+        "page_id", "s.section_key", F.col("s.priority").cast("long").alias("priority"), (F.col("pos") + 1).cast("long").alias("rank"))
 
 
 @query("d6_drop_nested_sections")
 def d6(spark, d):
-    o = S.order_sections(S.sections(_sel_clean(spark, d), D1_SELECTORS))
-    return S.drop_nested_sections(o).select("page_id", "section_key", F.col("rank").cast("long").alias("rank"))
+    rows = S.drop_nested_sections(S.order_sections(_section_rows(spark, d, D6_SELECTORS)))
+    return rows.select("page_id", F.inline(F.arrays_zip("kept", "ranks"))).select(
+        "page_id", "kept.section_key", (F.col("ranks") + 1).cast("long").alias("rank"))
 
 
 @query("d9_selective")
@@ -675,10 +686,14 @@ def d10(spark, d):
                     F.col("total_sections").cast("long").alias("unique_sections_found"), "deduplication_applied")
 
 
+D11_CANDIDATES = ["main", ".ad", "h1", ".content", "article"]
+
+
 @query("d11_selector_coverage")
 def d11(spark, d):
+    """Candidates that only some pages hold, so shares and ranks differ."""
     pages = tbl(spark, d, "pages")
-    c = S.selector_coverage(pages, dom.explode_nodes(pages))
+    c = S.selector_coverage(pages, D11_CANDIDATES, partitions=_spread(spark, pages))
     return c.select("host", "selector", F.col("pages_matched").cast("long").alias("pages_matched"),
                     F.col("share").cast("double").alias("share"),
                     F.bround("mean_words", 4).alias("mean_words"),
@@ -688,7 +703,7 @@ def d11(spark, d):
 @query("d12_exclude_coverage")
 def d12(spark, d):
     pages = tbl(spark, d, "pages")
-    c = S.exclude_coverage(pages, dom.explode_nodes(pages))
+    c = S.exclude_coverage(pages, dom.explode_nodes(pages, store=False))
     return c.select("host", "selector", F.col("removed").cast("long").alias("removed"),
                     F.col("total").cast("long").alias("total"))
 
@@ -718,8 +733,8 @@ def e4(spark, d):
 
 @query("e9_dedup_items")
 def e9(spark, d):
-    it, _ = _items(spark, d, (LISTING_SPEC,), dedup=True)
-    return it.select("page_id", F.col("index").cast("long").alias("index"), "main_content")
+    it = _items(spark, d, (TAGS_SPEC, LISTING_SPEC), dedup=True)
+    return it.select("page_id", "array_name", F.col("index").cast("long").alias("index"), "main_content")
 
 
 @query("e10_exact_duplicates")
@@ -821,7 +836,7 @@ def d8(spark, d):
 
 @query("d2_repeated_selector")
 def d2_repeated(spark, d):
-    s = S.sections(_sel_clean(spark, d), ["h1", ".ad", "h1"])
+    s = S.sections(_section_rows(spark, d, ["h1", ".ad", "h1"]))
     return s.select("page_id", "section_key", F.col("sel_pos").cast("long").alias("sel_pos"))
 
 
@@ -834,9 +849,7 @@ def f9(spark, d):
 @query("l5_skip_switches")
 def l5(spark, d):
     lp = _listing(spark, d)
-    nodes = dom.explode_nodes(lp)
-    one = V.with_media(lp.select("page_id"), nodes, lp, skip_images=True)
-    two = V.with_media(lp.select("page_id"), nodes, lp, skip_links=True)
+    one, two = M.media_columns(lp, skip_images=True), M.media_columns(lp, skip_links=True)
     n = lambda c: F.size(c).cast("long")
     return one.select("page_id", (n("internal_links") + n("external_links")).alias("links"), n("images").alias("no_images")).join(
         two.select("page_id", n("images").alias("images"), n("internal_links").alias("no_links")), "page_id")

@@ -1,139 +1,138 @@
-"""Selective extraction (D9) and structure analysis."""
+"""Selective extraction (D9) and structure analysis.
+
+Everything up to the result is expressions over the page row: sections, their
+order, the fallback and the envelope. Only the ordered deduplication of a page's
+own sections and blocks (``dedup``) crosses into Python, as arrays of the row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_analysis, regex_text, strip_ws, truncate, word_count
+from ..functions.text import content_analysis, norm_block, regex_text, strip_ws, truncate, word_count
 from ..functions.urls import host
-from ..operators import css, dedup, dom, nodes as N
+from ..operators import css, dedup, pagerow as R
 from ..profiles import SelectiveSpec, resolve_length
-from ..sources.pages import with_html_source
-
-
-def selective_nodes(nodes: DataFrame, exclude=(), warnings: list | None = None) -> DataFrame:
-    """Order of steps (2.S-2): drop tags, drop img, unwrap a, exclude."""
-    return N.exclude(N.unwrap_links(N.drop_images(N.drop_tags(nodes, N.REMOVE_TAGS))), exclude, warnings)
-
-
-def sections(clean: DataFrame, selectors) -> DataFrame:
-    """D1 + D2: per selector the texts of its matches (C5 + E1, empties
-    dropped) joined by a space; ``element_count`` counts all matches; no
-    row when there is no text."""
-    out = None
-    for i, raw in enumerate(selectors):     # a repeated selector keeps its own position
-        compiled = N.compile_selectors([raw])
-        if not compiled:
-            continue
-        sel = compiled[0][1]
-        texts = N.element_text_pairs(N.selector_pairs(clean, sel), img_alt_min=1, sentences=True)
-        joined = (texts.filter(F.col("text") != "").groupBy("page_id").agg(F.array_join(F.transform(
-            F.sort_array(F.collect_list(F.struct("root", "text"))), lambda x: x["text"]), " ").alias("content")))
-        counts = clean.filter(css.self_matches(sel)).groupBy("page_id").agg(F.count(F.lit(1)).alias("element_count"))
-        s = joined.join(counts, "page_id").select(
-            "page_id", F.lit(i).alias("sel_pos"), F.lit(f"selector_{i + 1}_{raw}").alias("section_key"),
-            F.lit(raw).alias("selector"), "content", F.col("element_count").cast("int").alias("element_count"))
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
-def fallback_text(clean: DataFrame) -> DataFrame:
-    """Main-root text (B10 + C5 + E1): (page_id, content)."""
-    roots = N.main_root(clean)
-    t = N.element_text_pairs(N.root_pairs(clean.filter(F.col("kind").isin("text", "elem")), roots),
-                             img_alt_min=1, sentences=True)
-    return t.select("page_id", F.col("text").alias("content"))
-
-
-def with_fallback(pages: DataFrame, clean: DataFrame, secs: DataFrame | None, has_selectors: bool) -> DataFrame:
-    """D3: pages without any section get the main-root text under key
-    ``fallback`` (selectors given) or ``default`` (none given)."""
-    key = "fallback" if has_selectors else "default"
-    fb = fallback_text(clean).filter(F.col("content") != "")
-    if secs is not None:
-        fb = fb.join(secs.select("page_id").distinct(), "page_id", "left_anti")
-    fb = fb.select("page_id", F.lit(-1).alias("sel_pos"), F.lit(key).alias("section_key"), F.lit(key).alias("selector"),
-                   "content", F.lit(1).alias("element_count"))
-    return fb if secs is None else secs.unionByName(fb)
-
-
-def order_sections(secs: DataFrame) -> DataFrame:
+from .content import fetched
+
+_FIRST = len(R.MAIN)          # bit of the first selector of a request
+
+SECTION = "struct<sel_pos:int,section_key:string,selector:string,content:string,element_count:int,priority:int>"
+
+
+def section_rows(pages: DataFrame, selectors, exclude=(), html_col: str = "html", partitions: int | None = None,
+                 warnings: list | None = None) -> DataFrame:
+    """Page rows of the cleaned tree with the column ``sections`` (D1 + D2): per
+    selector the texts of its matches (C5 + E1, empties dropped) joined by a
+    space; ``element_count`` counts all matches; no section without text. A
+    repeated selector keeps its own position, an invalid one gives none."""
+    valid = [(i, raw, R.compile_selectors([raw], warnings)) for i, raw in enumerate(selectors)]
+    valid = [(i, raw, c[0][1]) for i, raw, c in valid if c]
+    rows = R.page_rows(pages, R.content_spec(exclude, [sel for *_, sel in valid], warnings), html_col, partitions)
+    none = F.array().cast(f"array<{SECTION}>")
+    if not valid:
+        return rows.withColumn("sections", none)
+    rows = rows.select("*", *[R.hits(_FIRST + b).alias(f"_h{b}") for b in range(len(valid))])
+    rows = rows.select("*", *[F.filter(R.element_texts(F.col(f"_h{b}"), True), lambda t: t != "").alias(f"_t{b}")
+                              for b in range(len(valid))])
+    parts = [F.when(F.size(f"_t{b}") > 0, F.struct(
+        F.lit(i).alias("sel_pos"), F.lit(f"selector_{i + 1}_{raw}").alias("section_key"), F.lit(raw).alias("selector"),
+        F.array_join(f"_t{b}", " ").alias("content"), F.size(f"_h{b}").alias("element_count"),
+        css.selector_priority(F.lit(raw)).alias("priority"))) for b, (i, raw, _) in enumerate(valid)]
+    return rows.withColumn("sections", F.filter(F.array(*parts), lambda s: s.isNotNull()).cast(f"array<{SECTION}>")) \
+        .drop(*[f"_{k}{b}" for k in "ht" for b in range(len(valid))])
+
+
+def sections(rows: DataFrame) -> DataFrame:
+    """One row per section."""
+    return rows.select("page_id", F.inline("sections"))
+
+
+def with_fallback(rows: DataFrame, has_selectors: bool) -> DataFrame:
+    """D3: pages without any section get the main-root text as their one
+    section, under ``fallback`` (selectors given) or ``default`` (none given)."""
+    key = F.lit("fallback" if has_selectors else "default")
+    rows = rows.withColumn("root", R.main_root())
+    text = F.when(F.size("sections") == 0, R.root_text(F.col("root")))
+    rows = rows.withColumn("_text", text)
+    own = F.struct(F.lit(-1).alias("sel_pos"), key.alias("section_key"), key.alias("selector"), F.col("_text").alias("content"),
+                   F.lit(1).alias("element_count"), F.lit(1).alias("priority"))
+    return rows.withColumn("sections", F.when(F.coalesce("_text", F.lit("")) != "", F.array(own)).otherwise(F.col("sections"))
+                           .cast(f"array<{SECTION}>")).drop("_text")
+
+
+def order_sections(rows: DataFrame) -> DataFrame:
     """D4 + D5 + D6 order: length descending, then priority descending, then
     selector position (both sorts are stable)."""
-    prio = css.selector_priority(F.col("selector"))
-    w = Window.partitionBy("page_id").orderBy(F.length("content").desc(), prio.desc(), F.col("sel_pos"))
-    return secs.withColumn("priority", prio).withColumn("rank", F.row_number().over(w))
+    keyed = F.transform("sections", lambda s: F.struct((-F.length(s["content"])).alias("a"), (-s["priority"]).alias("b"),
+                                                       s["sel_pos"].alias("c"), s.alias("s")))
+    return rows.withColumn("sections", F.transform(F.sort_array(keyed), lambda x: x["s"]))
 
 
-def drop_nested_sections(ordered: DataFrame) -> DataFrame:
-    """Keep a section unless it duplicates (E6) a kept, longer one."""
-    return dedup.keep_first(ordered, ["page_id"], "rank", "content", dedup.section_dup_pairs)
+def drop_nested_sections(rows: DataFrame) -> DataFrame:
+    """Keep a section unless it duplicates (E6) a kept, longer one. Adds
+    ``ranks``, the places of the kept ones among the ordered sections."""
+    norms = F.transform("sections", lambda s: norm_block(s["content"]))
+    rows = rows.withColumn("ranks", F.when(F.size("sections") > 1, dedup.kept_sections(norms))
+                           .otherwise(F.transform("sections", lambda s, i: i)))
+    return rows.withColumn("kept", F.transform("ranks", lambda i: F.get(F.col("sections"), i)))
 
 
-def combine_sections(kept: DataFrame, on_supersede: str = "replace") -> DataFrame:
+def combine_sections(rows: DataFrame, on_supersede: str = "replace") -> DataFrame:
     """One section: E4 of it; several: ``[selector]`` + newline + E4 of
-    each, joined by a blank line; then E4 over the whole, stripped.
-    (page_id, content, crashed, total_sections, keys)."""
-    per = kept.withColumn("d", dedup.dedup_blocks(F.col("content"), on_supersede))
-    g = per.groupBy("page_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "selector", "d", "section_key"))).alias("s"),
-        F.count(F.lit(1)).alias("total_sections"))
-    one = F.try_element_at(F.col("s"), F.lit(1))["d"]
-    many = F.array_join(F.transform("s", lambda x: F.concat(F.lit("["), x["selector"], F.lit("]\n"), x["d"])), "\n\n")
-    # staged columns: each expensive fold is evaluated once
-    g = (g.withColumn("body", F.when(F.col("total_sections") == 1, one).otherwise(many))
-         .withColumn("crashed", F.exists("s", lambda x: x["d"].isNull()))
-         .withColumn("final", dedup.dedup_blocks(F.col("body"), on_supersede)))
-    return g.select("page_id", F.when(F.col("crashed") | F.col("final").isNull(), F.lit(None))
-                    .otherwise(strip_ws(F.col("final"))).alias("content"),
-                    "total_sections", F.transform("s", lambda x: x["section_key"]).alias("keys"))
-
-
-def selective(pages: DataFrame, spec: SelectiveSpec, on_supersede: str = "replace") -> DataFrame:
+    each, joined by a blank line; then E4 over the whole, stripped. Adds
+    ``combined`` (null where E4 gives up) and ``total_sections``."""
+    blocks = dedup.dedup_blocks_of(on_supersede)
+    rows = rows.withColumn("_d", blocks(F.transform("kept", lambda s: s["content"])))
+    many = F.array_join(F.transform(F.arrays_zip("kept", "_d"), lambda x: F.concat(
+        F.lit("["), x["kept"]["selector"], F.lit("]\n"), x["_d"])), "\n\n")
+    body = F.when(F.size("kept") == 1, F.get(F.col("_d"), F.lit(0))).otherwise(many)
+    rows = rows.withColumn("_body", F.when(~F.exists("_d", lambda x: x.isNull()), body))
+    rows = rows.withColumn("_final", F.get(blocks(F.array("_body")), F.lit(0)))
+    return rows.withColumn("combined", strip_ws("_final")).withColumn("total_sections", F.size("kept")).drop("_d", "_body", "_final")
+
+
+def selective(pages: DataFrame, spec: SelectiveSpec, on_supersede: str = "replace", uncut: bool = False) -> DataFrame:
     """The selective result per page. Failed fetches and pages without
-    html come out as failures (A3); a page that cannot be tokenised falls back
-    to the regex text; ``spec.return_sections`` adds the section map (D8)."""
-    src = with_html_source(pages)
-    html = src.filter("ok").select("page_id", F.col("html_source").alias("html"))
-    nodes = dom.explode_nodes(html)
-    clean = selective_nodes(nodes, spec.exclude)
-    secs = sections(clean, list(spec.selectors)) if spec.selectors else None
-    secs = with_fallback(pages, clean, secs, bool(spec.selectors))
-    kept = drop_nested_sections(order_sections(secs))
-    comb = combine_sections(kept, on_supersede)
-    failed = nodes.filter(F.col("kind") == "error").select("page_id", F.lit(True).alias("parse_failed"))
-    base = src.select("page_id", "url", "ok", "error", F.length("html_source").alias("original_html_length"),
-                      regex_text("html_source").alias("_rx"))
-    j = base.join(comb, "page_id", "left").join(N.page_title(nodes), "page_id", "left").join(failed, "page_id", "left")
-    crashed = F.col("total_sections").isNotNull() & F.col("content").isNull()
-    fell_back = F.col("ok") & (crashed | F.col("parse_failed").isNotNull())
-    content = F.when(fell_back, F.col("_rx")).otherwise(F.coalesce("content", F.lit("")))
-    content = F.when(F.col("ok"), truncate(content, resolve_length(spec.max_length, "selective"), ellipsis=True)).otherwise(F.lit(""))
-    method = F.when(fell_back, F.lit("fallback_regex")).otherwise(
+    html come out as failures (A3); a page that cannot be parsed falls back
+    to the regex text; ``spec.return_sections`` adds the section map (D8).
+    ``uncut`` keeps whole texts."""
+    src = fetched(pages)
+    if on_supersede == "fallback":               # only then may a parsed page need its html again
+        src = src.withColumn("_html", F.col("html"))
+    rows = order_sections(with_fallback(section_rows(src, list(spec.selectors), spec.exclude), bool(spec.selectors)))
+    rows = combine_sections(drop_nested_sections(rows), on_supersede)
+    gave_up = F.col("failure").isNotNull() | (F.col("combined").isNull() & (F.col("total_sections") > 0))
+    rows = rows.withColumn("fell_back", F.col("ok") & gave_up)
+    whole = F.when(~F.col("ok"), F.lit("")).when(F.col("fell_back"), regex_text(
+        "_html" if on_supersede == "fallback" else "failed_html")).otherwise(F.coalesce("combined", F.lit("")))
+    rows = rows.withColumn("whole", whole)
+    rows = rows.withColumn("content", F.col("whole") if uncut
+                           else truncate("whole", resolve_length(spec.max_length, "selective"), ellipsis=True))
+    method = F.when(F.col("fell_back"), F.lit("fallback_regex")).otherwise(
         F.lit("custom_selectors_deduplicated" if spec.selectors else "default"))
-    none = F.array().cast("array<string>")
-    out = j.select(
+    keys = F.transform("kept", lambda s: s["section_key"])
+    out = [
         "page_id", "url", F.col("ok").alias("success"), "error",
-        F.when(F.col("ok"), F.coalesce("title", F.lit(""))).otherwise(F.lit("")).alias("title"),
-        content.alias("content"), word_count(content).alias("word_count"),
-        F.when(fell_back, F.lit(0)).otherwise(F.coalesce("total_sections", F.lit(0))).alias("total_sections"),
-        F.when(fell_back, none).otherwise(F.coalesce("keys", none)).alias("selectors_used"),
+        F.when(F.col("ok"), R.title_text()).otherwise(F.lit("")).alias("title"),
+        "content", word_count("content").alias("word_count"),
+        F.when(F.col("fell_back"), F.lit(0)).otherwise(F.col("total_sections")).alias("total_sections"),
+        F.when(F.col("fell_back"), F.array().cast("array<string>")).otherwise(keys).alias("selectors_used"),
         F.when(F.col("ok"), method).alias("extraction_method"),
         F.lit(len(spec.selectors) > 1).alias("deduplication_applied"),
         F.lit(len(spec.selectors)).alias("selectors_provided"),
-        F.col("original_html_length").cast("int").alias("original_html_length"),
-        content_analysis(content).alias("content_analysis"))
+        "original_html_length",
+        content_analysis("content").alias("content_analysis")]
     if spec.return_sections:
-        out = out.join(section_map(kept), "page_id", "left")
-    return out
+        out.append(F.when(F.size("kept") > 0, section_map(F.col("kept"))).alias("sections"))
+    return rows.select(*out)
 
 
-def section_map(kept: DataFrame) -> DataFrame:
-    """(page_id, sections): the kept sections by key."""
-    entry = F.struct("section_key", F.struct("selector", "content", "element_count").alias("section"))
-    return kept.groupBy("page_id").agg(F.map_from_entries(F.transform(
-        F.sort_array(F.collect_list(F.struct("rank", entry.alias("e")))), lambda x: x["e"])).alias("sections"))
+def section_map(kept: Column) -> Column:
+    """The kept sections by key."""
+    return F.map_from_entries(F.transform(kept, lambda s: F.struct(s["section_key"], F.struct(
+        s["selector"].alias("selector"), s["content"].alias("content"), s["element_count"].alias("element_count")))))
 
 
 # The candidate selectors and exclude suggestions of the
@@ -142,32 +141,19 @@ CANDIDATES = ["main", "article", ".content", "#main-content", ".post-content"]
 EXCLUDE_SUGGESTIONS = ["nav", ".sidebar", ".advertisement", "footer", ".comments"]
 
 
-def _grid(pages: DataFrame, names) -> DataFrame:
-    arr = F.array(*[F.struct(F.lit(i).alias("cand_pos"), F.lit(s).alias("selector")) for i, s in enumerate(names)])
-    hosts = pages.select(host("url").alias("host")).distinct()
-    return hosts.select("host", F.inline(arr))
-
-
-def selector_coverage(pages: DataFrame, nodes: DataFrame, candidates=CANDIDATES, max_suggestions: int = 5) -> DataFrame:
+def selector_coverage(pages: DataFrame, candidates=CANDIDATES, max_suggestions: int = 5, partitions: int | None = None) -> DataFrame:
     """Per host and candidate: pages matched, share of the host's
     pages, mean words of the first match's text, suggested order."""
-    clean = selective_nodes(nodes)
-    ph = pages.select("page_id", host("url").alias("host"))
-    per = None
-    for i, s in enumerate(candidates):
-        t = N.element_text_pairs(N.selector_pairs(clean, s), img_alt_min=1, sentences=False)
-        first = t.groupBy("page_id").agg(F.min_by("text", "root").alias("text"))
-        m = clean.filter(css.self_matches(s)).select("page_id").distinct()
-        m = m.join(first, "page_id", "left").select("page_id", F.lit(i).alias("cand_pos"),
-                                                    word_count(F.coalesce("text", F.lit(""))).alias("words"))
-        per = m if per is None else per.unionByName(m)
-    per = per.join(ph, "page_id")
-    agg = per.groupBy("host", "cand_pos").agg(F.count(F.lit(1)).alias("pages_matched"),
-                                               F.avg("words").alias("mean_words"))
-    tot = ph.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    out = _grid(pages, candidates).join(agg, ["host", "cand_pos"], "left").join(tot, "host")
-    out = out.withColumn("pages_matched", F.coalesce("pages_matched", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.col("pages_matched").desc(), "cand_pos"))
+    rows = R.page_rows(pages.select(host("url").alias("host"), "html"),
+                       R.content_spec((), [css.parse(s) for s in candidates]), "html", partitions)
+    rows = rows.select("*", *[R.hits(_FIRST + b).alias(f"_h{b}") for b in range(len(candidates))])
+    first = [word_count(F.get(R.element_texts(F.slice(f"_h{b}", 1, 1), False), F.lit(0))) for b in range(len(candidates))]
+    per = rows.select("host", F.inline(F.array(*[F.struct(
+        F.lit(b).alias("cand_pos"), F.lit(s).alias("selector"), (F.size(f"_h{b}") > 0).alias("hit"),
+        F.when(F.size(f"_h{b}") > 0, first[b]).alias("words")) for b, s in enumerate(candidates)])))
+    out = per.groupBy("host", "cand_pos", "selector").agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if("hit").alias("pages_matched"), F.avg("words").alias("mean_words"))
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.col("pages_matched").desc(), "cand_pos"))   # a row per candidate
     return (out.withColumn("suggested_rank", rank)
             .withColumn("share", F.bround(F.col("pages_matched") / F.col("pages"), 4))
             .withColumn("suggested", (F.col("suggested_rank") <= max_suggestions) & (F.col("pages_matched") > 0)))

@@ -6,7 +6,8 @@ from pageloom.functions import text as X
 from pageloom.functions import urls as U
 from pageloom.operators import arrays as A
 from pageloom.operators import dedup as E
-from pageloom.operators import dom, nodes as N
+from pageloom.operators import css, pagerow as R
+from pageloom.operators.treepass import TreeSpec
 from pageloom.plans import content as C
 from pageloom.plans import selective as S
 from pageloom.profiles import ArraySpec, SelectiveSpec
@@ -41,25 +42,29 @@ def test_content_only_faithful(spark):
                    4: "Seethisandthatone. See this and that one one ."}
 
 
+def texts(df, spec, bit, sentences):
+    rows = R.page_rows(df, spec)
+    return {r["page_id"]: r["t"] for r in rows.select("page_id", F.explode(R.element_texts(R.hits(bit), sentences)).alias("t")).collect()}
+
+
+def counts(df, *selectors):
+    rows = R.page_rows(df, R.content_spec((), [css.parse(s) for s in selectors]))
+    return {r["page_id"]: tuple(r)[1:] for r in rows.select("page_id", *[F.size(R.hits(13 + i)) for i in range(len(selectors))]).collect()}
+
+
 def test_title_and_element_text(spark):
     df = pages(spark, F1, F2, F3, F4)
-    nodes = dom.explode_nodes(df)
-    assert by_page(N.page_title(nodes).collect(), "title") == {1: "T1", 2: "", 3: "", 4: ""}
-    clean = S.selective_nodes(nodes)
-    t = by_page(N.element_text_pairs(N.selector_pairs(clean, "main, article")).collect(), "text")
-    assert t == {1: "one two", 2: "H Lead Second", 3: "Text", 4: "See this and that one ."}
-    arr = N.drop_tags(nodes, N.ARRAY_REMOVE_TAGS)
-    t2 = by_page(N.element_text_pairs(N.selector_pairs(arr, "main"), img_alt_min=4, sentences=False).collect(), "text")
-    assert t2[4] == "See this and thatone ."
+    assert by_page(R.page_rows(df, TreeSpec()).select("page_id", R.title_text().alias("title")).collect(), "title") == \
+        {1: "T1", 2: "", 3: "", 4: ""}
+    main = css.parse("main, article")
+    assert texts(df, R.content_spec((), [main]), 13, True) == {1: "one two", 2: "H Lead Second", 3: "Text", 4: "See this and that one ."}
+    arr = TreeSpec(remove=tuple(R.ARRAY_REMOVE_TAGS), select=(css.parse("main"),), image_alt=4)
+    assert texts(df, arr, 0, False)[4] == "See this and thatone ."
 
 
 def test_selector_counts_after_unwrap(spark):
-    nodes = dom.explode_nodes(pages(spark, F2, F4))
-    clean = S.selective_nodes(nodes)
-    assert N.select(clean, "article > p").count() == 1
-    assert N.select(clean, "article p").count() == 2
-    assert N.select(clean.filter("page_id = 2"), "b").count() == 0
-    assert N.select(clean.filter("page_id = 2"), "i").count() == 1
+    got = counts(pages(spark, F2, F4), "article > p", "article p", "b", "i")
+    assert got[1][:2] == (1, 2) and got[2][2:] == (0, 1)
 
 
 def test_sections_f5(spark):
@@ -85,8 +90,7 @@ def test_supersede_f6(spark):
 def test_array_f7(spark):
     spec = ArraySpec("items", ".it", (("title", "h2"), ("image", "img"), ("link", "a"), ("tag", ".tag")))
     df = pages(spark, F7)
-    it = A.array_items(dom.explode_nodes(df), [spec])
-    it = A.absolutize(it.join(df.select("page_id", "url"), "page_id"), [spec])
+    it = A.absolutize(A.array_items(df, [spec]), [spec])
     rows = sorted(it.collect(), key=lambda r: r["index"])
     assert [r["index"] for r in rows] == [0, 1]
     assert rows[0]["main_content"] == "Blue bolt, large pack [Image: Blue bolt] new sale"
@@ -102,7 +106,7 @@ def test_single_and_short_items(spark):
     spec = ArraySpec("items", ".it", ())
     f8 = '<ul><li class="it">x</li><li class="it">exactly sixteen!</li></ul>'
     f9 = '<ul><li class="it">exactly sixteen!</li><li class="it">another short one</li></ul>'
-    it = A.array_items(dom.explode_nodes(pages(spark, f8, f9)), [spec]).collect()
+    it = A.array_items(pages(spark, f8, f9), [spec]).collect()
     assert [(r["page_id"], r["index"]) for r in it] == [(1, 1)]
 
 

@@ -47,8 +47,8 @@ def test_cleaned_html_is_read(spark):
 
 
 def test_repeated_selector_keeps_its_place(spark):
-    clean = S.selective_nodes(dom.explode_nodes(pages(spark, PAGE)))
-    got = sorted((r["sel_pos"], r["section_key"]) for r in S.sections(clean, ["h1", "p[", "h1"]).collect())
+    rows = S.section_rows(pages(spark, PAGE), ["h1", "p[", "h1"])
+    got = sorted((r["sel_pos"], r["section_key"]) for r in S.sections(rows).collect())
     assert got == [(0, "selector_1_h1"), (2, "selector_3_h1")]
 
 
@@ -62,9 +62,9 @@ def test_items_count_from_one(spark):
     html = "<ul><li class='it'>x</li><li class='it'>exactly sixteen!</li></ul>"
     specs = [ArraySpec("news", ".it", (("b", "b"), ("a", "a")))]
     p = pages(spark, html)
-    items = A.array_items(dom.explode_nodes(p), specs)
-    assert items.first()["index"] == 1
-    text = A.format_structured(items, A.array_summary(items, p, specs), specs).first()["content"]
+    rows = A.array_pages(p, specs)
+    assert A.item_rows(rows).first()["index"] == 1
+    text = rows.select(A.format_structured().alias("content")).first()["content"]
     assert "[Item 1]" in text and "[Item 2]" not in text
 
 
@@ -72,17 +72,14 @@ def test_dedup_flag_without_a_second_frame(spark):
     one = "<li class='it'>the very same sentence twice</li>"
     specs = [ArraySpec("news", ".it")]
     for html, flag in ((one * 2, True), (one, False)):
-        p = pages(spark, html)
-        items = A.array_items(dom.explode_nodes(p), specs)
-        assert A.array_summary(items, p, specs).first()["deduplication_applied"] is flag
+        assert A.array_summary(A.array_pages(pages(spark, html), specs)).first()["deduplication_applied"] is flag
 
 
 def test_sub_fields_keep_the_order_of_their_array(spark):
     specs = [ArraySpec("one", ".a", (("x", "b"), ("y", "i"))), ArraySpec("two", ".c", (("y", "i"), ("x", "b")))]
     body = "long enough main text <b>bold</b> <i>slanted</i>"
     p = pages(spark, f"<div class='a'>{body}</div><div class='c'>{body}</div>")
-    items = A.array_items(dom.explode_nodes(p), specs)
-    text = A.format_structured(items, A.array_summary(items, p, specs), specs).first()["content"]
+    text = A.array_pages(p, specs).select(A.format_structured().alias("content")).first()["content"]
     assert text.index("x: bold") < text.index("y: slanted") < text.index("TWO")
     assert text.rindex("y: slanted") < text.rindex("x: bold")
 
@@ -128,9 +125,8 @@ def test_envelopes(spark, tmp_path):
 
 def test_media_switches(spark):
     p = pages(spark, "<a href='/b'>in</a><a href='https://other.org/'>out</a><img src='/i.png' alt='pic'>")
-    nodes = dom.explode_nodes(p)
-    full = V.with_media(p, nodes, p).first()
+    full = V.with_media(p, p).first()
     assert [x["href"] for x in full["internal_links"]] == ["https://a.com/b"]
     assert [x["href"] for x in full["external_links"]] == ["https://other.org/"] and full["images"][0]["alt"] == "pic"
-    none = V.with_media(p, nodes, p, skip_images=True, skip_links=True).first()
+    none = V.with_media(p, p, skip_images=True, skip_links=True).first()
     assert none["images"] == [] and none["internal_links"] == [] and none["external_links"] == []
