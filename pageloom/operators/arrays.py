@@ -85,7 +85,7 @@ def _sub_field(k: Column, bit: int, kind: str) -> Column:
 
 
 def array_pages(pages: DataFrame, specs, exclude=(), dedup_items: bool = True, warnings: list | None = None,
-                html_col: str = "html", partitions: int | None = None) -> DataFrame:
+                html_col: str = "html", partitions: int | None = None, keep_title: bool = False) -> DataFrame:
     """F1 to F12 (+ E9): the columns of ``pages`` other than html, ``failure`` and
     ``arrays``: per spec (spec, array_name, selector, sub_selectors_used, items, found, n_before). ``found`` counts matches
     within the limit, ``n_before`` items before deduplication; an item is (index, elem_pos,
@@ -105,7 +105,8 @@ def array_pages(pages: DataFrame, specs, exclude=(), dedup_items: bool = True, w
     tree = TreeSpec(remove=tuple(R.ARRAY_REMOVE_TAGS), exclude=tuple(sel for _, sel in R.compile_selectors(exclude, warnings)),
                     select=tuple(sel for _, sel in bits), image_alt=IMAGE_ALT, attributes=True)
     rows = R.page_rows(pages, tree, html_col, partitions)
-    keep = [c for c in rows.columns if c not in ("failed_html", "title", "nodes", "pieces", "asides")]
+    gone = {"failed_html", "nodes", "pieces", "asides"} | (set() if keep_title else {"title"})
+    keep = [c for c in rows.columns if c not in gone]
 
     hit = [R.hits(b) if b is not None else F.array().cast("array<int>") for b, _ in of]
     hit = [F.slice(h, 1, int(s.limit)) if s.limit else h for h, s in zip(hit, specs, strict=True)]

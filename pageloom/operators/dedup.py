@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import bisect
 import difflib
+import json
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -338,53 +340,6 @@ def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     return h.join(rep, "h").select(key, "rep", "copies")
 
 
-def shingles(words: Column, k: int = 5) -> Column:
-    """Distinct word k-shingles hashed to longs. ``words`` must be a plain
-    column reference: lambda bodies re-evaluate outer expressions per
-    element, so the split is materialised before this is applied."""
-    n = F.size(words)
-    idx = F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))
-    return F.array_distinct(F.transform(idx, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, k), " "))))
-
-
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, bands: int = 8,
-                    rows_per_band: int = 2, k: int = 5) -> DataFrame:
-    """MinHash LSH with native xxhash64. Shingles are exploded once and
-    the ``bands x rows`` minima come from one grouped ``min`` (codegen, map-
-    side partial aggregation); band signatures become equi-join keys;
-    candidates are verified by exact Jaccard of the shingle sets; each
-    document maps to the smallest verified near-duplicate id.
-
-    Each document meets only the smallest id of each of its buckets, so the
-    work is linear in documents x bands, never all pairs of a bucket.
-    Returns (key, rep)."""
-    words = df.select(key, F.posexplode(F.split(_norm(F.col(text)), " ")).alias("p", "t")).filter("t <> ''")
-    win = Window.partitionBy(key).orderBy("p")
-    nxt = [F.lead("t", i).over(win) for i in range(1, k)]
-    grams = words.select(key, "p", F.concat_ws(" ", "t", *nxt).alias("g"), nxt[-1].isNull().alias("tail"))
-    # full k-grams, plus the whole text for documents shorter than k words
-    first_tail = F.min(F.when(F.col("tail"), F.col("p"))).over(Window.partitionBy(key))
-    ex = (grams.withColumn("ft", first_tail).filter(~F.col("tail") | ((F.col("p") == F.col("ft")) & (F.col("p") == 0)))
-          .select(key, F.xxhash64("g").alias("s")).distinct())
-    sh = ex.groupBy(key).agg(F.collect_set("s").alias("sh"))
-    n = bands * rows_per_band
-    sig = ex.groupBy(key).agg(*[F.min(F.xxhash64("s", F.lit(i))).alias(f"m{i}") for i in range(n)])
-    band_cols = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows_per_band + r}") for r in range(rows_per_band)])
-                 for b in range(bands)]
-    bk = sig.select(key, F.posexplode(F.array(*band_cols)).alias("band", "bucket"))
-    heads = bk.groupBy("band", "bucket").agg(F.min(key).alias("x"))
-    cand = (bk.join(heads, ["band", "bucket"]).filter(F.col(key) > F.col("x"))
-            .select("x", F.col(key).alias("y")).distinct())
-    s1 = sh.select(F.col(key).alias("x"), F.col("sh").alias("sx"))
-    s2 = sh.select(F.col(key).alias("y"), F.col("sh").alias("sy"))
-    ver = (cand.join(s1, "x").join(s2, "y")
-           .withColumn("jac", F.size(F.array_intersect("sx", "sy")) / F.size(F.array_union("sx", "sy")))
-           .filter(F.col("jac") >= threshold))
-    rep = ver.groupBy("y").agg(F.min("x").alias("rep"))
-    return df.select(key).join(rep.withColumnRenamed("y", key), key, "left") \
-        .select(key, F.coalesce("rep", F.col(key)).alias("rep"))
-
-
 def duplicate_blocks_corpus(df: DataFrame, key: str, text: str, group: str, min_docs: int = 3) -> DataFrame:
     """Blocks (lines) repeated in at least ``min_docs`` documents of a
     group (host / source): site boilerplate. Pre-aggregated per
@@ -396,12 +351,49 @@ def duplicate_blocks_corpus(df: DataFrame, key: str, text: str, group: str, min_
     return rep.filter(F.col("docs") >= min_docs)
 
 
+BLOOM_WORDS = 1 << 17     # most longs of the filter: one megabyte, whatever the corpus
+BLOOM_BITS_EACH = 16      # bits per hash aimed at: with three probes, under 1 % false hits
+
+
 def drop_boilerplate(df: DataFrame, key: str, text: str, group: str, min_docs: int = 3) -> DataFrame:
-    """E11 applied: remove boilerplate lines with an anti join back."""
-    bp = duplicate_blocks_corpus(df, key, text, group, min_docs).select(group, "h")
-    lines = df.select(group, key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    lines = lines.withColumn("h", F.md5(_norm(F.col("line"))))
-    kept = lines.join(bp, [group, "h"], "left_anti")
-    return kept.groupBy(group, key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-        .alias(text))
+    """E11 applied: the documents, all columns, without their group's boilerplate lines.
+
+    A Bloom filter of the boilerplate's hashes is tested on every line inside the row; only possible hits
+    leave the row, as (row, hash), for the exact test. No text is taken apart or shuffled to be put together again."""
+    bp = stored(duplicate_blocks_corpus(df, key, text, group, min_docs).select(group, "h"), "boilerplate")
+    mark = lambda h: F.xxhash64(F.coalesce(F.col(group).cast("string"), F.lit("")), h)
+    probe = bloom_filter(bp.select(mark(F.col("h")).alias("x")))
+    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.struct(x.alias("line"), F.md5(_norm(x)).alias("h")))
+    # stored: both branches below must see the same row numbers
+    tagged = stored(df.select("*", F.monotonically_increasing_id().alias("row id"), lines.alias("row lines")), "lines")
+    maybe = F.array_distinct(F.transform(F.filter("row lines", lambda x: probe(mark(x["h"]))), lambda x: x["h"]))
+    maybe = tagged.select("row id", group, F.explode(maybe).alias("h"))
+    exact = bp.select(F.col(group).alias("g"), F.col("h").alias("hash"))
+    hit = maybe.join(exact, maybe[group].eqNullSafe(exact["g"]) & (maybe["h"] == exact["hash"]), "left_semi") \
+        .groupBy("row id").agg(F.collect_set("h").alias("row gone"))         # hashes of one document
+    kept = F.array_join(F.transform(F.filter("row lines", lambda x: ~F.array_contains("row gone", x["h"])), lambda x: x["line"]), "\n")
+    out = tagged.join(hit, "row id", "left")
+    return out.withColumn(text, F.when(F.col("row gone").isNull(), F.col(text)).otherwise(kept)).select(*df.columns)
+
+
+def bloom_filter(hashes: DataFrame):
+    """A test ``column -> possibly among the hashes (x)`` as an expression. The bits are set by Spark; the
+    driver holds at most ``BLOOM_WORDS`` longs, which become one literal of the plan."""
+    n = hashes.count()
+    words = 64
+    while words < BLOOM_WORDS and words * 64 < n * BLOOM_BITS_EACH:
+        words *= 2
+    bit = lambda x, k: F.pmod(F.xxhash64(x, F.lit(k)), F.lit(words * 64))
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)).cast("int"))
+    set_ = hashes.select(F.explode(F.array(*[bit(F.col("x"), k) for k in range(3)])).alias("b")) \
+        .groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(one(F.col("b"))).alias("v")).collect()
+    table = [0] * words
+    for r in set_:
+        table[r["w"]] = r["v"]
+    literal = F.from_json(F.lit(json.dumps(table)), "array<bigint>")          # folded once, when the plan is made
+
+    def probe(x: Column) -> Column:
+        return reduce(lambda a, b: a & b, [F.get(literal, F.floor(bit(x, k) / 64).cast("int")).bitwiseAND(one(bit(x, k))) != 0
+                                           for k in range(3)])
+
+    return probe

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import words
 from ..functions.urls import host
 
 
@@ -40,3 +41,21 @@ def host_rollup(results: DataFrame, url: str = "url", success: str = "success")
     return (results.withColumn("host", host(F.col(url)))
             .rollup("host", success).agg(F.count(F.lit(1)).alias("n"),
                                          F.sum(F.length("content")).cast("long").alias("chars")))
+
+
+SKETCH_BITS = 14          # 2^14 registers: a standard error of about 0.8 %
+
+
+def corpus_vocabulary(docs: DataFrame, group: str, text: str) -> DataFrame:
+    """G4 over a corpus: total words and the distinct lower-cased words longer than 3, by group and over all (``level`` 0 and 1).
+
+    Distinct counts are mergeable sketches: one per group, filled map-side, and their union; no word is shuffled."""
+    w = docs.select(group, F.explode(words(F.col(text))).alias("w"))
+    per = w.groupBy(group).agg(F.count(F.lit(1)).alias("total_words"), F.hll_sketch_agg(
+        F.when(F.length("w") > 3, F.lower("w")), SKETCH_BITS).alias("sketch"))
+    both = per.withColumn("level", F.lit(0)).unionByName(per.agg(
+        F.lit(None).cast("string").alias(group), F.sum("total_words").alias("total_words"),
+        F.hll_union_agg("sketch").alias("sketch")).withColumn("level", F.lit(1)))
+    n = F.hll_sketch_estimate("sketch")
+    return both.select(group, "level", "total_words", n.alias("unique_words"),
+                       F.bround(n / F.greatest("total_words", F.lit(1)), 3).alias("vocabulary_ratio"))

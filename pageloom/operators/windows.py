@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # The default limits of the rate limiter and the cache TTL.
 DEFAULT_LIMITS = (("1 minute", 20), ("1 hour", 100))
 DEFAULT_TTL_SECONDS = 3600
@@ -27,27 +29,54 @@ def rate_windows(events: DataFrame, key: str = "user_id", width: str = "1 hour",
             .select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n"))
 
 
+BUCKET_ROWS = 65_536      # rows of a range bucket
+
+
+def range_buckets(df: DataFrame, order: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with ``_bkt``, stored: rows sorted by ``order`` over the whole table and cut into buckets of at most
+    ``bucket_rows`` consecutive rows. A key's rows lie in buckets that follow each other, however many it has, so
+    work per (bucket, key) is bounded. ``order`` should name a row uniquely, lest equal rows be cut at random."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()                  # partition number, then place in the sorted partition
+    place = at.bitwiseAND(F.lit((1 << 33) - 1))
+    bucket = F.shiftright(at, 33) * F.lit(1 << 24) + F.floor(place / bucket_rows)
+    return stored(ranged.select("*", bucket.cast("long").alias("_bkt")), "buckets")
+
+
+def _before(summary: DataFrame, group: list[str], value: str, fold) -> DataFrame:
+    """A (group, bucket) summary with ``fold`` of ``value`` over the earlier buckets of the group: one row per bucket, not per row."""
+    w = Window.partitionBy(*group).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    return summary.withColumn(value, fold(F.col(value)).over(w))
+
+
 def rate_verdict(events: DataFrame, limits=DEFAULT_LIMITS, key: str = "user_id", ts: str = "ts",
-                 order: str = "event_id") -> DataFrame:
+                 order: str = "event_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The n-th request of a key in its window is allowed while n <= limit,
     for every limit; remaining, reset time and retry-after per limit.
-    Windows partition by (key, window start), so a key's rows are split by
-    time across tasks."""
-    out = events.withColumn("_t", F.col(ts).cast("timestamp"))
+
+    A two-level count: places inside a range bucket, plus the counts of the same window in earlier
+    buckets, which are one row per bucket and window. No task meets more of a hot key than a bucket."""
+    out = range_buckets(events.withColumn("_t", F.col(ts).cast("timestamp")), [key, "_t", order], bucket_rows)
+    for i, (width, _) in enumerate(limits):
+        out = out.withColumn(f"_w{i}", F.window("_t", width)).withColumn(f"_s{i}", F.col(f"_w{i}.start"))
+    rows = out
+    for i, (_, limit) in enumerate(limits):
+        mine = Window.partitionBy("_bkt", key, f"_s{i}").orderBy("_t", order)
+        counts = out.groupBy(key, f"_s{i}", "_bkt").agg(F.count(F.lit(1)).alias(f"_c{i}"))
+        carry = _before(counts, [key, f"_s{i}"], f"_c{i}", F.sum)
+        rows = rows.withColumn(f"n_{i}", F.row_number().over(mine)).join(
+            carry.select(F.col(key).alias("_k"), F.col(f"_s{i}").alias("_s"), F.col("_bkt").alias("_b"), f"_c{i}"),
+            F.col(key).eqNullSafe(F.col("_k")) & (F.col(f"_s{i}") == F.col("_s")) & (F.col("_bkt") == F.col("_b")), "left").drop("_k", "_s", "_b")
+        rows = rows.withColumn(f"n_{i}", (F.col(f"n_{i}") + F.coalesce(f"_c{i}", F.lit(0))).cast("long"))
+        rows = (rows.withColumn(f"remaining_{i}", F.greatest(F.lit(limit) - F.col(f"n_{i}"), F.lit(0)))
+                .withColumn(f"reset_{i}", F.col(f"_w{i}.end")).drop(f"_w{i}", f"_s{i}", f"_c{i}"))
     allowed = F.lit(True)
-    for i, (width, limit) in enumerate(limits):
-        w = F.window("_t", width)
-        out = out.withColumn(f"_w{i}", w)
-        rn = F.row_number().over(Window.partitionBy(key, f"_w{i}.start").orderBy("_t", order))
-        out = (out.withColumn(f"n_{i}", rn)
-               .withColumn(f"remaining_{i}", F.greatest(F.lit(limit) - F.col(f"n_{i}"), F.lit(0)))
-               .withColumn(f"reset_{i}", F.col(f"_w{i}.end"))
-               .drop(f"_w{i}"))
+    for i, (_, limit) in enumerate(limits):
         allowed = allowed & (F.col(f"n_{i}") <= limit)
-    out = out.withColumn("allowed", allowed)
+    rows = rows.withColumn("allowed", allowed)
     retry = F.greatest(*[F.when(F.col(f"n_{i}") > lim, F.unix_timestamp(F.col(f"reset_{i}")) - F.unix_timestamp("_t"))
                          for i, (_, lim) in enumerate(limits)] + [F.lit(None).cast("long")])
-    return out.withColumn("retry_after", F.when(~F.col("allowed"), retry)).drop("_t")
+    return rows.withColumn("retry_after", F.when(~F.col("allowed"), retry)).drop("_t", "_bkt")
 
 
 def rate_exempt(events: DataFrame, exempt_keys: DataFrame, key: str = "user_id") -> tuple[DataFrame, DataFrame]:
@@ -74,29 +103,23 @@ def lookup_key(key) -> Column:
 
 
 def cache_lookup(gets: DataFrame, sets: DataFrame, key: str = "key", ts: str = "ts",
-                 ttl_seconds: int = DEFAULT_TTL_SECONDS, bucket: str = "1 day") -> DataFrame:
+                 ttl_seconds: int = DEFAULT_TTL_SECONDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """T5 as-of join: a get hits when the last set at or before it (same
     instant counts) expires strictly after it. TTL 0 means the default.
 
-    Skew-safe: rows are split by (key, time bucket); the carry-in set of a
-    bucket comes from a small per-(key, bucket) summary, so one hot key is
-    spread over many tasks instead of one window partition."""
-    if bucket not in ("1 day", "1 hour"):
-        raise ValueError("bucket must be '1 day' or '1 hour'")
+    Sets and gets are sorted together into range buckets of bounded row count; the last set before a bucket comes from
+    one row per (key, bucket), so one hot key, even within one instant, is spread over many tasks."""
     ttl = ttl_seconds or DEFAULT_TTL_SECONDS
-    b = lambda c: F.date_trunc(bucket.split()[1], c)
-    g = gets.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("t"), F.lit(1).alias("kind"),
-                    F.col("get_id"))
+    g = gets.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("t"), F.lit(1).alias("kind"), F.col("get_id"))
     s = sets.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("t"), F.lit(0).alias("kind"),
                     F.lit(None).cast("long").alias("get_id"))
-    u = g.unionByName(s).withColumn("bkt", b(F.col("t")))
-    carry = (u.groupBy("k", "bkt").agg(F.max(F.when(F.col("kind") == 0, F.col("t"))).alias("last_in"))
-             .withColumn("carry", F.max("last_in").over(
-                 Window.partitionBy("k").orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)))
-             .select("k", "bkt", "carry"))
-    w = Window.partitionBy("k", "bkt").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    within = u.withColumn("last_set", F.max(F.when(F.col("kind") == 0, F.col("t"))).over(w)).filter("kind = 1")
-    out = (within.join(carry, ["k", "bkt"], "left")
+    u = range_buckets(g.unionByName(s), ["k", "t", "kind", "get_id"], bucket_rows)
+    set_at = F.max(F.when(F.col("kind") == 0, F.col("t")))
+    carry = _before(u.groupBy("k", "_bkt").agg(set_at.alias("carry")), ["k"], "carry", F.max)
+    w = Window.partitionBy("_bkt", "k").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    within = u.withColumn("last_set", set_at.over(w)).filter("kind = 1")
+    carry = carry.select(F.col("k").alias("_k"), F.col("_bkt").alias("_b"), "carry")
+    out = (within.join(carry, F.col("k").eqNullSafe(F.col("_k")) & (F.col("_bkt") == F.col("_b")), "left")
            .select(F.col("k").alias(key), "get_id", F.col("t").alias(ts),
                    F.coalesce(F.col("last_set"), F.col("carry")).alias("set_ts")))
     exp = F.col("set_ts") + F.make_interval(secs=F.lit(ttl))
@@ -120,13 +143,31 @@ def cache_misses(requests: DataFrame, cache: DataFrame, key: str = "key") -> Dat
     return requests.join(cache.select(key).distinct(), key, "left_anti")
 
 
-def paginate(df: DataFrame, order: str, page: int, per_page: int) -> DataFrame:
-    """One page slice plus the page count ``ceil(total/per_page)``; the
-    total is an aggregate of one row joined in, so planning runs no action."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    part = df.orderBy(order).offset((page - 1) * per_page).limit(per_page)
-    return part.join(F.broadcast(total)).withColumn(  # one row
-        "pages", F.ceil(F.col("total") / per_page).cast("long"))
+def cache_delete(cache: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """The cache without the listed keys; keys that are not in it change nothing."""
+    return cache.join(keys.select(key).distinct(), key, "left_anti")
+
+
+def numbered(df: DataFrame, order: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with ``row_no`` (from 1, by ``order``) and ``total``. Every row's place in its range bucket plus the rows of
+    the buckets before: no sort of the table in one task."""
+    rows = range_buckets(df, order, bucket_rows)
+    counts = rows.groupBy("_bkt").agg(F.count(F.lit(1)).alias("c"))
+    all_ = counts.agg(F.sum("c").alias("total"))
+    # one row per bucket: the running sum is over buckets, not rows
+    before = counts.withColumn("before", F.coalesce(F.sum("c").over(
+        Window.partitionBy(F.lit(0)).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_bkt").orderBy(*order))
+    return rows.withColumn("row_no", place).join(before.select("_bkt", "before"), "_bkt").join(F.broadcast(all_)) \
+        .withColumn("row_no", (F.col("row_no") + F.col("before")).cast("long")).drop("_bkt", "before")
+
+
+def paginate(df: DataFrame, order: str | list[str], per_page: int, page: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """All pages (``page_no`` from 1), or one of them, plus the page count ``ceil(total/per_page)``."""
+    rows = numbered(df, [order] if isinstance(order, str) else order, bucket_rows)
+    rows = rows.withColumn("page_no", (F.floor((F.col("row_no") - 1) / per_page) + 1).cast("long")) \
+        .withColumn("pages", F.ceil(F.col("total") / per_page).cast("long")).drop("row_no")
+    return rows if page is None else rows.where(F.col("page_no") == page).drop("page_no")
 
 
 def leading_n(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -135,6 +176,8 @@ def leading_n(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return df.withColumn("rn", rn).filter(F.col("rn") <= n)
 
 
-def union_results(good: DataFrame, failed: DataFrame) -> DataFrame:
-    """Good and failed rows in one table (missing columns as NULL)."""
-    return good.unionByName(failed, allowMissingColumns=True)
+def union_results(good: DataFrame, failed: DataFrame, position: str) -> DataFrame:
+    """Good and failed rows in one table (missing columns as NULL), with the
+    ordering column ``result_pos``: the request's position, good before failed where both have one."""
+    both = good.withColumn("_kind", F.lit(0)).unionByName(failed.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    return both.withColumn("result_pos", F.struct(F.col(position).alias("position"), F.col("_kind").alias("kind"))).drop("_kind")

@@ -383,7 +383,7 @@ def t2(spark, d):
 @query("t3_rate_exempt")
 def t3(spark, d):
     ev = _ev(spark, d)
-    keys = ev.filter((F.col("event_type") == "purchase") & (F.col("value") > 45)).select("user_id")
+    keys = ev.filter((F.col("event_type") == "purchase") & (F.col("value") > 140)).select("user_id")
     limited, _ = W.rate_exempt(ev, keys)
     return W.rate_windows(limited, key="user_id", width="1 day").select(
         "user_id", _fmt("window_start").alias("window_start"), "n")
@@ -437,9 +437,22 @@ def t8(spark, d):
     return W.cache_misses(req, live).select("page_id")
 
 
+@query("t8_cache_delete")
+def t8_delete(spark, d):
+    ev = _ev(spark, d)
+    cache = ev.filter(F.col("event_type") == "view").select(F.col("user_id").alias("key"), "event_id")
+    gone = ev.filter((F.col("event_type") == "error") & (F.col("value") > 140)).select(F.col("user_id").alias("key"))
+    return W.cache_delete(cache, gone).select("event_id")
+
+
 @query("t9_paginate")
 def t9(spark, d):
-    return W.paginate(tbl(spark, d, "pages").select("page_id", "url"), "page_id", 3, 20)
+    return W.paginate(tbl(spark, d, "pages").select("page_id", "url"), "page_id", 20, page=3)
+
+
+@query("t9_all_pages")
+def t9_all(spark, d):
+    return W.paginate(tbl(spark, d, "pages").select("page_id", "url"), ["url", "page_id"], 20).select("page_id", "page_no", "total", "pages")
 
 
 @query("t10_leading_n")
@@ -453,12 +466,12 @@ def t11(spark, d):
     r = P.fail_rows(_fetches(spark, d))
     good = r.filter("success").select("page_id", "url", F.length("html").cast("long").alias("html_length"))
     bad = r.filter(~F.col("success")).select("page_id", "url", "error")
-    return W.union_results(good, bad)
+    return W.union_results(good, bad, "page_id").select("page_id", "url", "html_length", "error", "result_pos.position", "result_pos.kind")
 
 
 # --- 2.F, 2.G (round trip over listing pages built from ``part``) ----------------
 
-from ..operators import arrays as A, dedup as E, media as M  # noqa: E402
+from ..operators import arrays as A, dedup as E, media as M, neardup as ND  # noqa: E402
 from ..plans import selective as S  # noqa: E402
 from ..profiles import ArraySpec, SelectiveSpec  # noqa: E402
 
@@ -552,15 +565,28 @@ def f11(spark, d):
     return out.select("page_id", F.col("index").cast("long").alias("index"), "title", "image", "link", "tag", "price")
 
 
+TURN_SPEC = ArraySpec("turns", ".turn", (("title", "h3"), ("text", "p")), None)
+
+
+def _turn_pages(spark, d, specs=None, dedup=True):
+    pages = P.conversation_pages(tbl(spark, d, "conversations"))
+    return A.array_pages(pages, specs or [TURN_SPEC], dedup_items=dedup)
+
+
 @query("f12_array_summary")
 def f12(spark, d):
-    specs = [LISTING_SPEC, EMPTY_SPEC, TAGS_SPEC]
-    s = A.array_summary(_array_pages(spark, d, specs, dedup=True)).where("array_name <> 'items'")
+    """A conversation's first turn stands twice on its page, so deduplication lowers the counts."""
+    s = A.array_summary(_turn_pages(spark, d, [TURN_SPEC, EMPTY_SPEC]))
     return s.select("page_id", "array_name", F.col("count").cast("long").alias("count"),
                     F.array_join("sub_selectors_used", ",").alias("sub_selectors_used"),
                     "deduplication_applied")
 
 
+@query("f14_format_structured")
+def f14(spark, d):
+    return _turn_pages(spark, d).select("page_id", A.format_structured().alias("content")).where("content <> ''")
+
+
 @query("f13_page_array_summary")
 def f13(spark, d):
     rows = _array_pages(spark, d, [LISTING_SPEC, EMPTY_SPEC]).select("page_id", A.page_summary().alias("s")).select("page_id", "s.*")
@@ -584,17 +610,23 @@ def f17(spark, d):
     return _array_pages(spark, d, [LISTING_SPEC], dedup=True).select("page_id", A.format_structured().alias("content")).where("content <> ''")
 
 
+def _turn_batch(spark, d):
+    """Every page of a conversation, and a URL without a page beside it."""
+    pages = P.conversation_pages(tbl(spark, d, "conversations"))
+    missing = pages.select(F.lit(None).cast("long").alias("page_id"), F.concat("url", F.lit("?missing")).alias("url"),
+                           F.lit(None).cast("string").alias("html"))
+    return V.run_mode(pages.unionByName(missing), "array_batch", arrays=[TURN_SPEC])
+
+
 @query("f18_array_batch")
 def f18(spark, d):
-    lp = _listing(spark, d)
-    reqs = lp.select(F.lit(0).alias("b"), F.col("url")).union(
-        lp.select(F.lit(0).alias("b"), F.concat("url", F.lit("?missing")).alias("url")))
-    reqs = reqs.select("b", F.posexplode(F.array("url")).alias("batch_pos", "url"))
-    found = P.lookup_urls(reqs.select(F.col("b").alias("batch_id"), "batch_pos", "url"), lp)
-    it = _items(spark, d, (ArraySpec("items", ".it", (), 20),))
-    per = it.groupBy("page_id").agg(F.count(F.lit(1)).alias("total_found"))
-    return found.join(per, "page_id", "left").select(
-        "url", F.col("found").alias("success"), F.coalesce("total_found", F.lit(0)).alias("total_found"))
+    return _turn_batch(spark, d).select("url", "success", F.col("total_found").cast("long").alias("total_found"), F.array_join(
+        F.transform("items", lambda x: F.concat_ws(" ", x["index"].cast("string"), x["fields"]["title"], x["fields"]["text"])), "|").alias("items"))
+
+
+@query("f18_batch_totals")
+def f18_totals(spark, d):
+    return V.batch_totals(_turn_batch(spark, d))
 
 
 @query("l1_extract_links")
@@ -602,16 +634,23 @@ def l1(spark, d):
     return _links(spark, d).select("page_id", "pos", "href", "text")
 
 
+def _mixed_links(spark, d):
+    """The links of the pages, every second one led to another host."""
+    links = _links(spark, d)
+    far = F.regexp_replace("href", "^[A-Za-z]+://[^/]*", "https://www.far.example.org")
+    return links.withColumn("href", F.when(F.col("pos") % 2 == 1, far).otherwise(F.col("href")))
+
+
 @query("l2_split_internal_external")
 def l2(spark, d):
-    pages = tbl(spark, d, "pages").unionByName(_listing(spark, d))
-    links = M.split_internal_external(M.extract_links(pages))
-    return links.select("page_id", "pos", "href", "internal")
+    links = M.split_internal_external(_mixed_links(spark, d))
+    origin = F.when(F.col("internal"), F.lit("")).otherwise(F.regexp_extract("href", "^[A-Za-z]+://[^/]*", 0))
+    return links.select("page_id", "pos", origin.alias("origin"), "internal")
 
 
 @query("l3_exclude_external_links")
 def l3(spark, d):
-    links = M.exclude_external_links(_links(spark, d))
+    links = M.exclude_external_links(_mixed_links(spark, d))
     return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("internal_links"))
 
 
@@ -629,7 +668,7 @@ def l6(spark, d):
 
 D1_SELECTORS = ["article", ".ad", "h1", "nav", ".none"]
 # the same text twice, a text within another one, and texts of their own
-D6_SELECTORS = ["article", "h1", "body > article", ".ad", "article p", ".none", "div"]
+D6_SELECTORS = ["article", "h1", "body > article", ".ad", "div", "body > div.ad, article > h1"]
 
 
 def _section_rows(spark, d, selectors):
@@ -653,8 +692,8 @@ def d2(spark, d):
 
 @query("d3_fallback_section")
 def d3(spark, d):
-    # ``.ad`` is on some pages only, so sections and fallbacks stand side by side
-    secs = S.sections(S.with_fallback(_section_rows(spark, d, [".ad"]), True))
+    # only French pages have the section, so sections and fallbacks stand side by side
+    secs = S.sections(S.with_fallback(_section_rows(spark, d, ['html[lang="fr"] h1']), True))
     return secs.select("page_id", "section_key", "content", F.col("element_count").cast("long").alias("element_count"))
 
 
@@ -686,7 +725,7 @@ def d10(spark, d):
                     F.col("total_sections").cast("long").alias("unique_sections_found"), "deduplication_applied")
 
 
-D11_CANDIDATES = ["main", ".ad", "h1", ".content", "article"]
+D11_CANDIDATES = ["main", 'html[lang="en"] article', ".ad", "h1", 'html[lang="fr"] h1']
 
 
 @query("d11_selector_coverage")
@@ -733,6 +772,13 @@ def e4(spark, d):
 
 @query("e9_dedup_items")
 def e9(spark, d):
+    it = A.item_rows(_turn_pages(spark, d))
+    return it.select("page_id", "array_name", F.col("index").cast("long").alias("index"), "main_content")
+
+
+@query("e9_similar_items")
+def e9_similar(spark, d):
+    """Product types and cards of a listing: many are alike but not equal."""
     it = _items(spark, d, (TAGS_SPEC, LISTING_SPEC), dedup=True)
     return it.select("page_id", "array_name", F.col("index").cast("long").alias("index"), "main_content")
 
@@ -745,7 +791,7 @@ def e10(spark, d):
 
 @query("e10_near_duplicates")
 def e10n(spark, d):
-    return E.near_duplicates(tbl(spark, d, "documents"), "doc_id", "text")
+    return ND.near_duplicates(tbl(spark, d, "documents"), "doc_id", "text")
 
 
 @query("e11_duplicate_blocks_corpus")
@@ -754,6 +800,11 @@ def e11(spark, d):
     return r.select("source", "h", "block", F.col("docs").cast("long").alias("docs"))
 
 
+@query("e11_drop_boilerplate")
+def e11_drop(spark, d):
+    return E.drop_boilerplate(tbl(spark, d, "documents"), "doc_id", "text", "source", 3).select("doc_id", "source", "text")
+
+
 # --- 2.J streaming twins (run to completion with availableNow) ---------------------
 
 from ..streaming import streams as ST  # noqa: E402
@@ -793,9 +844,11 @@ def s3_sessions(spark, d):
 
 @query("s4_stream_dedup")
 def s4(spark, d):
-    ev = ST.event_stream(spark, d, "events.parquet").withColumn("cache_key", F.concat_ws(":", "user_id", "event_type"))
-    done = ST.run_append_to_table(ST.stream_dedup_ttl(ev, ttl="60 days"), "s4")
-    return done.select("user_id", "event_type").distinct()
+    """The events day by day; the TTL is far shorter than their span."""
+    days = ST.by_day(tbl(spark, d, "events"), "s4-days")
+    ev = ST.event_stream(spark, days, "*.parquet", max_files=1, recursive=True).withColumn("cache_key", F.concat_ws(":", "user_id", "event_type"))
+    done = ST.run_append_to_table(ST.stream_dedup_ttl(ev, ttl_seconds=48 * 3600), "s4")
+    return done.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
 # --- envelopes, sinks, modes ---------------------------------------------------------
@@ -842,8 +895,8 @@ def d2_repeated(spark, d):
 
 @query("f9_auto_fields")
 def f9(spark, d):
-    r = V.auto_fields(_listing(spark, d), ".it")
-    return r.select("page_id", F.col("index").cast("long").alias("index"), "title", "image", "link", "date", "author")
+    r = V.auto_fields(P.conversation_pages(tbl(spark, d, "conversations")), ".turn")
+    return r.select("page_id", F.col("index").cast("long").alias("index"), "title", "content", "image", "link", "date", "author")
 
 
 @query("l5_skip_switches")
@@ -882,3 +935,34 @@ def g5(spark, d):
 def s1(spark, d):
     pages = ST.file_stream(spark, d, "pages.parquet", "page_id long, url string, html string")
     return ST.stream_extract(pages, C.content_only, "s1").select("page_id", "success", "title")
+
+
+@query("g5_metadata_modes")
+def g5_modes(spark, d):
+    """The array mode's metadata struct."""
+    r = V.array_results(P.conversation_pages(tbl(spark, d, "conversations")), [TURN_SPEC])
+    r = r.select("page_id", "word_count", V.result_metadata("array", r).alias("m")).where("m.total_items_extracted > 0")
+    return r.select("page_id", "m.extraction_mode", F.col("m.content_quality.total_items").cast("long").alias("total_items"),
+                    F.array_join("m.successful_selectors", ",").alias("successful_selectors"), "word_count")
+
+
+@query("g4_corpus_vocabulary")
+def g4_corpus(spark, d):
+    return stats.corpus_vocabulary(tbl(spark, d, "documents"), "source", "text").select(
+        "source", "total_words", F.col("level").cast("long").alias("level"))
+
+
+@query("s1_stream_selective")
+def s1_selective(spark, d):
+    pages = ST.file_stream(spark, d, "pages.parquet", "page_id long, url string, html string")
+    spec = SelectiveSpec(("article", ".ad", "h1"), (".none",), 5000)
+    r = ST.stream_extract(pages, lambda b: S.selective(b, spec), "s1d")
+    return r.select("page_id", "title", "content", F.col("word_count").cast("long").alias("word_count"),
+                    F.col("total_sections").cast("long").alias("total_sections"), "extraction_method")
+
+
+@query("s1_stream_arrays")
+def s1_arrays(spark, d):
+    turns = ST.file_stream(spark, d, "conversations.parquet", "conv_id long, turn long, role string, text string")
+    r = ST.stream_extract(turns, lambda b: V.array_results(P.conversation_pages(b), [TURN_SPEC]).drop("arrays"), "s1f")
+    return r.select("page_id", "content").where("content <> ''")

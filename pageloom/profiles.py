@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Default / cap of the content length per request mode and
 # the other per-mode limits.
@@ -86,6 +86,9 @@ AUTO_EXCLUDE = (".ads", ".advertisement", ".sidebar", ".social-share")
 AUTO_LIMIT = 20
 
 
-@dataclass
-class Warnings:
-    messages: list = field(default_factory=list)
+# What the structure analysis suggests.
+SUGGESTED_SELECTORS = (("main", "Main content area", "high"), ("article", "Article content", "high"),
+                       (".content", "Content class", "medium"), ("#main-content", "Main content ID", "medium"),
+                       (".post-content", "Post content area", "medium"))
+SUGGESTED_EXCLUDES = (("nav", "Navigation menus"), (".sidebar", "Sidebar content"), (".advertisement", "Advertisement blocks"),
+                      ("footer", "Footer content"), (".comments", "Comment sections"))

@@ -119,9 +119,9 @@ def listing_pages(part: DataFrame, block: int = LISTING_BLOCK) -> DataFrame:
              .groupBy("p_brand", "blk")
              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "item"))),
                                            lambda x: x["item"]), "").alias("items")))
-    bnum = F.regexp_extract("p_brand", "(\\d+)$", 1).cast("long")
+    bnum = F.regexp_extract("p_brand", "(\\d+)$", 1).cast("long")      # two figures: ids of brands and blocks never meet
     return items.select(
-        (F.lit(1_000_000_000) + bnum * 1_000_000 + F.col("blk")).alias("page_id"),
+        (F.lit(1_000_000_000) + F.col("blk") * 100 + bnum).alias("page_id"),
         F.concat(F.lit("https://shop.example.com/brand/"), F.regexp_replace("p_brand", "#", ""), F.lit("/"),
                  F.col("blk").cast("string"), F.lit("/index.html")).alias("url"),
         F.concat(F.lit("<html><head><title>"), F.col("p_brand"),
@@ -131,7 +131,7 @@ def listing_pages(part: DataFrame, block: int = LISTING_BLOCK) -> DataFrame:
 
 
 LISTING_SQL = """
-(SELECT 1000000000 + CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS BIGINT) * 1000000 + blk AS page_id,
+(SELECT 1000000000 + blk * 100 + CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS BIGINT) AS page_id,
         'https://shop.example.com/brand/' || replace(p_brand, '#', '') || '/' || CAST(blk AS VARCHAR) || '/index.html' AS url,
         '<html><head><title>' || p_brand || '</title></head><body><main id="main-content"><div class="grid">'
           || string_agg(item, '' ORDER BY p_partkey) || '</div></main><div class="sidebar">' || p_brand
@@ -145,4 +145,21 @@ LISTING_SQL = """
  GROUP BY p_brand, blk)
 """
 
+def conversation_pages(conversations: DataFrame) -> DataFrame:
+    """One page per conversation: an item per turn, in order, and the first turn quoted once more at the end
+    (its role in capitals). Columns: page_id, url, html."""
+    text = F.coalesce("text", F.lit(""))
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    item = lambda role, t: F.concat(F.lit('<div class="turn"><h3>'), role, F.lit('</h3><p>'), t, F.lit("</p></div>"))
+    turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", safe.alias("t")))).alias("l"))
+    body = F.array_join(F.transform("l", lambda x: item(x["role"], x["t"])), "")
+    first = F.get(F.col("l"), F.lit(0))
+    return turns.select(
+        F.col("conv_id").cast("long").alias("page_id"),
+        F.concat(F.lit("https://talk.example.com/c/"), F.col("conv_id").cast("string")).alias("url"),
+        F.concat(F.lit("<html><head><title>"), F.col("conv_id").cast("string"), F.lit("</title></head><body>"), body,
+                 item(F.upper(first["role"]), first["t"]),
+                 F.lit("</body></html>")).alias("html"))
+
+
 PAGE_SCHEMA = T.StructType(PAGES.fields)

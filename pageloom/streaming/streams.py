@@ -7,6 +7,8 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +33,8 @@ def file_stream(spark: SparkSession, folder: str, name_glob: str, schema) -> Dat
 
 
 def event_stream(spark: SparkSession, folder: str, name_glob: str = "events*.parquet", schema: T.StructType = EVENTS,
-                 max_files: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema).option("pathGlobFilter", name_glob)
+                 max_files: int | None = None, recursive: bool = False) -> DataFrame:
+    r = spark.readStream.schema(schema).option("pathGlobFilter", name_glob).option("recursiveFileLookup", recursive)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     # watermarks need TIMESTAMP, the test data has TIMESTAMP_NTZ
@@ -55,9 +57,48 @@ def stream_sessions(events: DataFrame, key: str = "user_id", gap: str = "10 minu
             .select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n"))
 
 
-def stream_dedup_ttl(requests: DataFrame, key: str = "cache_key", ttl: str = "1 hour") -> DataFrame:
-    """A key seen within the TTL is not processed again."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
+def first_in_ttl(stamps: np.ndarray, last: int, ttl: int) -> tuple[np.ndarray, int]:
+    """Which of the sorted times (microseconds) are processed, and the last one that is: a time is
+    skipped while less than ``ttl`` has passed since the last processed one."""
+    keep = np.zeros(stamps.size, dtype=bool)
+    i = int(np.searchsorted(stamps, last + ttl)) if last >= 0 else 0
+    while i < stamps.size:
+        keep[i], last = True, int(stamps[i])
+        i = int(np.searchsorted(stamps, last + ttl))
+    return keep, last
+
+
+def stream_dedup_ttl(requests: DataFrame, key: str = "cache_key", ttl_seconds: int = 3600) -> DataFrame:
+    """A request is processed unless its key was processed less than the TTL before. The state is one time per
+    key, dropped when the watermark has passed its end; a row that comes out of order meets the key's last processed time."""
+    ttl, schema = ttl_seconds * 1_000_000, requests.schema
+
+    def step(group, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else -1
+        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        keep, last = first_in_ttl(rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), last, ttl)
+        if last >= 0:
+            state.update((last,))
+            end = (last + ttl) // 1000
+            if end > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(end)
+        if keep.any():
+            yield rows[keep]
+
+    return requests.withWatermark("ts", f"{ttl_seconds} seconds").groupBy(key).applyInPandasWithState(
+        step, schema, "last long", "append", "EventTimeTimeout")
+
+
+def by_day(events: DataFrame, name: str) -> str:
+    """The events as one file per day, in the order in which a stream with one file per trigger reads them."""
+    out = _scratch(events.sparkSession, name)
+    days = [r["d"] for r in events.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]   # one row per day
+    for d in days:
+        events.where(F.to_date("ts") == F.lit(d)).coalesce(1).write.parquet(f"{out}/day={d}")
+    return out
 
 
 def run_update_to_table(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
