@@ -14,12 +14,13 @@ def _without(chars: str) -> str:
 
 
 def _bad(rule: str) -> str:
-    """Host verdict of one rule from counts (n, f_rule) over all hosts."""
-    m, n, f = f"m_{rule}", "n", f"f_{rule}"
-    spread = f"(v_{rule} - {m} * (1 - {m}) * inv)"
-    s = f"CASE WHEN {spread} > 0 THEN greatest(1.0, least({Q.MAX_STRENGTH}, {m} * (1 - {m}) / {spread} - 1)) ELSE {Q.MAX_STRENGTH} END"
-    rate = f"(({f} + {m} * ({s})) / ({n} + ({s})))"
-    return f"({rate} >= {Q.HOST_RATE} AND {rate} >= {Q.HOST_LIFT} * {m}) AS bad_{rule}"
+    """Host verdict of one rule from counts (n, f_rule) and the sums over all hosts."""
+    f, m = f"f_{rule}", f"(t_{rule} / a)"
+    rho = (f"(((q_{rule} - t_{rule} * {m}) / nullif({m} * (1 - {m}), 0) - (hosts - 1)) "
+           f"/ nullif(a - n2 / a - (hosts - 1), 0))")
+    s = f"CASE WHEN {rho} > 0 THEN greatest({Q.MIN_STRENGTH}, least({Q.MAX_STRENGTH}, 1 / {rho} - 1)) ELSE {Q.MAX_STRENGTH} END"
+    rate, rest = f"(({f} + {m} * ({s})) / (n + ({s})))", f"coalesce((t_{rule} - {f}) / nullif(a - n, 0), {m})"
+    return f"({f} > 0 AND {rate} >= {Q.HOST_RATE} AND {rate} * (1 - {rest}) >= {Q.HOST_ODDS} * {rest} * (1 - {rate})) AS bad_{rule}"
 
 
 OP4 = f"""
@@ -39,7 +40,8 @@ r AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_
         word_chars < {Q.WORD_CHARS[0]} * n_words OR word_chars > {Q.WORD_CHARS[1]} * n_words AS x_word_length,
         100 * caps > {Q.CAPS_PCT} * word_chars AS x_capitals FROM c),
 h AS (SELECT source AS host, count(*) AS n, {", ".join(f"sum(x_{x}::INT) AS f_{x}" for x in Q.RULES)} FROM r GROUP BY source),
-p AS (SELECT avg(1.0 / n) AS inv, {", ".join(f"sum(f_{x}) / sum(n) AS m_{x}, var_pop(f_{x} / n) AS v_{x}" for x in Q.RULES)} FROM h),
+p AS (SELECT sum(n)::DOUBLE AS a, count(*) AS hosts, sum(n * n::DOUBLE) AS n2,
+        {", ".join(f"sum(f_{x})::DOUBLE AS t_{x}, sum(f_{x} * f_{x}::DOUBLE / n) AS q_{x}" for x in Q.RULES)} FROM h),
 b AS (SELECT host, {", ".join(_bad(x) for x in Q.RULES)} FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT ({" OR ".join(f"(x_{x} AND bad_{x})" for x in Q.RULES)}) AS kept

@@ -3,7 +3,7 @@
 Per-document counts decide base failures and four softer rules. Failures of
 each soft rule are counted per host, the host's rate is shrunk towards the
 corpus rate with a beta prior whose strength is fitted from the spread between
-hosts (method of moments), and the host verdicts are joined back: a document
+hosts (method of moments, weighted by documents), and the host verdicts are joined back: a document
 that fails a soft rule is rejected when its host is an outlier for that rule.
 A clean document is kept whatever its host's verdict.
 
@@ -28,8 +28,9 @@ DUP_LINE_PCT = 30         # soft: repeated lines per 100 lines
 WORD_CHARS = (2, 12)      # soft: mean characters per word outside this range
 CAPS_PCT = 60             # soft: capital letters per 100 word characters
 HOST_RATE = 0.5           # a host whose shrunk failure rate is at least this ...
-HOST_LIFT = 2.0           # ... and this many times the corpus rate is an outlier
-MAX_STRENGTH = 1e6        # prior strength when hosts do not differ beyond chance
+HOST_ODDS = 4.0           # ... with odds at least this many times those of the other hosts is an outlier
+MIN_STRENGTH = 4.0        # prior documents at least: one document never speaks for its host
+MAX_STRENGTH = 1e6        # prior documents when hosts do not differ beyond chance
 SPACES = " \t\n\u000b\f\r"
 RULES = ("symbols", "dup_lines", "word_length", "capitals")
 
@@ -101,47 +102,75 @@ def with_rules(counted: DataFrame) -> DataFrame:
 def host_verdicts(ruled: DataFrame, host: str = "source") -> DataFrame:
     """One row per host with its shrunk failure rate and verdict per rule.
 
-    Prior by moments: corpus rate m, between-host variance v of the observed
-    rates less the binomial part; strength s = m(1-m)/v - 1 (at most
-    MAX_STRENGTH, at least 1); shrunk rate = (failures + m*s) / (n + s).
+    Prior by moments, every host weighted by its documents in the rate m and in the spread alike: with
+    S = sum n (p - m)^2 over hosts, the correlation inside a host is
+    rho = (S / (m (1 - m)) - sum (1 - n/N)) / (sum n (1 - n/N) - sum (1 - n/N))
+    and the prior's strength 1 / rho - 1, within [MIN_STRENGTH, MAX_STRENGTH]; shrunk rate
+    = (failures + m * strength) / (n + strength). A host is an outlier when its shrunk rate reaches HOST_RATE and
+    its odds HOST_ODDS times those of all other hosts together, which a host of any size can reach.
     """
     counts = ruled.groupBy(F.col(host).alias("_host")).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"fail_{r}").cast("long")).alias(f"f_{r}") for r in RULES])
-    rate = lambda r: F.col(f"f_{r}") / F.col("n")
-    prior = counts.agg(*[c for r in RULES for c in (
-        (F.sum(f"f_{r}") / F.sum("n")).alias(f"m_{r}"),
-        F.coalesce(F.var_pop(rate(r)), F.lit(0.0)).alias(f"v_{r}"))], F.avg(1.0 / F.col("n")).alias("inv_n"))
+    prior = counts.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("n") * F.col("n").cast("double")).alias("n2"), *[
+        c for r in RULES for c in (F.sum(f"f_{r}").alias(f"t_{r}"),
+                                   F.sum(F.col(f"f_{r}") * F.col(f"f_{r}").cast("double") / F.col("n")).alias(f"q_{r}"))])
     both = counts.join(F.broadcast(prior))  # prior: one row
     cols = []
     for r in RULES:
-        m = F.col(f"m_{r}")
-        spread = F.col(f"v_{r}") - m * (1 - m) * F.col("inv_n")
-        s = F.when(spread > 0, F.greatest(F.lit(1.0), F.least(F.lit(MAX_STRENGTH), m * (1 - m) / spread - 1))) \
-            .otherwise(F.lit(MAX_STRENGTH))
-        shrunk = (F.col(f"f_{r}") + m * s) / (F.col("n") + s)
-        cols += [shrunk.alias(f"rate_{r}"), ((shrunk >= HOST_RATE) & (shrunk >= HOST_LIFT * m)).alias(f"bad_{r}")]
+        f, total, everyone, n = F.col(f"f_{r}"), F.col(f"t_{r}"), F.col("all"), F.col("n")
+        m = total / everyone
+        apart = F.col("hosts") - 1                          # sum (1 - n/N)
+        spread = F.col(f"q_{r}") - total * m                # S
+        rho = F.try_divide(F.try_divide(spread, m * (1 - m)) - apart, everyone - F.col("n2") / everyone - apart)
+        s = F.when(rho > 0, F.greatest(F.lit(MIN_STRENGTH), F.least(F.lit(MAX_STRENGTH), 1 / rho - 1))).otherwise(F.lit(MAX_STRENGTH))
+        shrunk = (f + m * s) / (n + s)
+        others = F.coalesce(F.try_divide(total - f, everyone - n), m)
+        bad = (shrunk >= HOST_RATE) & (shrunk * (1 - others) >= HOST_ODDS * others * (1 - shrunk)) & (f > 0)
+        cols += [shrunk.alias(f"rate_{r}"), bad.alias(f"bad_{r}")]
     return both.select("_host", "n", *cols)
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", carry: tuple = ()) -> DataFrame:
-    """The ``carry`` columns (default: all of ``docs``) with counts,
-    base_failed, rule failures and ``kept``.
+def _ruled(docs: DataFrame, cols, text: str, host: str) -> DataFrame:
+    """(row, host, counts, rules): the caller's columns are one struct, so their names never meet ours."""
+    row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
+    packed = docs.select(row, F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{host}`").alias("host"))
+    return with_rules(document_counts(packed, "text")).drop("text")
 
-    The ruled rows are kept in the shared folder, so the texts are read once
-    although they feed both the host rates and the result. The join is a
-    broadcast only when the counted hosts are few."""
-    ruled = with_rules(document_counts(docs, text))
-    cols = [*dict.fromkeys([*(carry or [c for c in docs.columns if c not in COUNTS]), host])]
-    ruled = keep(ruled.select(*cols, *COUNTS, "base_failed", *[f"fail_{r}" for r in RULES]), "quality")
-    hosts = host_verdicts(ruled, host).select("_host", *[f"bad_{r}" for r in RULES])
-    bad = hosts.filter(" or ".join(f"bad_{r}" for r in RULES))
-    if ruled.select(host).distinct().count() <= SMALL_ROWS:
+
+def _judged(ruled: DataFrame, bad: DataFrame) -> DataFrame:
+    """``ruled`` with ``kept``. ``bad`` holds the outlier hosts; it is broadcast only when they are counted and few."""
+    bad = keep(bad.filter(" or ".join(f"bad_{r}" for r in RULES)), "bad_hosts")
+    if bad.count() <= SMALL_ROWS:
         bad = F.broadcast(bad)
-    joined = ruled.join(bad, ruled[host].eqNullSafe(bad["_host"]), "left").drop("_host")
+    joined = ruled.join(bad, ruled["host"].eqNullSafe(bad["_host"]), "left").drop("_host")
     verdict = F.lit(False)
     for r in RULES:
         verdict = verdict | (F.col(f"fail_{r}") & F.coalesce(F.col(f"bad_{r}"), F.lit(False)))
     return joined.withColumn("kept", ~F.col("base_failed") & ~verdict).drop(*[f"bad_{r}" for r in RULES])
 
 
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", carry: tuple = ()) -> DataFrame:
+    """The ``carry`` columns (default: all of ``docs``; columns named like an output are replaced) with counts,
+    base_failed, rule failures and ``kept``.
+
+    The ruled rows are kept in the shared folder, so the texts are read once
+    although they feed both the host rates and the result."""
+    own = (*COUNTS, "base_failed", "kept", *[f"fail_{r}" for r in RULES])
+    cols = [c for c in (carry or docs.columns) if c not in own]
+    ruled = keep(_ruled(docs, cols, text, host), "quality")
+    hosts = host_verdicts(ruled, "host").select("_host", *[f"bad_{r}" for r in RULES])
+    return _judged(ruled, hosts).select("row.*", *own)
+
+
+def keep_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """The documents, all columns, that the rules keep.
+
+    The counts are made twice, for the host rates and for the verdicts, so that no text is written in between."""
+    ruled = _ruled(docs, docs.columns, text, host)
+    hosts = host_verdicts(ruled, "host").select("_host", *[f"bad_{r}" for r in RULES])
+    # a filter on the verdict stays above this number; pushed below the counts, it would repeat them in every condition
+    ruled = ruled.withColumn("at", F.monotonically_increasing_id())
+    return _judged(ruled, hosts).where("kept and at >= 0").select("row.*")
+
+
 OUTPUT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -55,7 +55,18 @@ def rotation(dim: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by their largest component: no square of them vanishes or overflows."""
+    with np.errstate(over="ignore"):
+        top = np.abs(x).max(axis=1, initial=0.0)[:, None]
+    top = np.where(top > 0, top, 1.0)
+    # a divisor below the normal range has no full reciprocal: both are brought up first
+    up = np.where(top < 1e-280, 2.0 ** 200, 1.0)
+    return (x * up) / (top * up)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -156,8 +167,8 @@ def estimate(code: np.ndarray, norm, along, prod, q: np.ndarray, c: np.ndarray,
 def search_cell(data: pd.DataFrame, queries: pd.DataFrame, c: np.ndarray, rot: np.ndarray, k: int) -> pd.DataFrame:
     """The k best vectors of one block for each query (ties with the last
     place stay: ids decide later): estimate, bound, rerank."""
-    x = np.frombuffer(b"".join(data["vector"]), dtype=np.float64).reshape(len(data), -1)
-    every = np.frombuffer(b"".join(queries["vector"]), dtype=np.float64).reshape(len(queries), -1)
+    x = scaled(np.frombuffer(b"".join(data["vector"]), dtype=np.float64).reshape(len(data), -1))
+    every = scaled(np.frombuffer(b"".join(queries["vector"]), dtype=np.float64).reshape(len(queries), -1))
     size = np.sqrt((x * x).sum(axis=1))
     code = words64(np.frombuffer(b"".join(data["code"]), dtype=np.uint8).reshape(len(data), -1))
     norm, along, prod = (data[name].to_numpy() for name in ("norm", "along", "prod"))

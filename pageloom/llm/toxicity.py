@@ -1,8 +1,8 @@
 """Toxicity of whole texts with the network of ``bigru``.
 
 The network is trained on the driver from a bounded, hash-chosen sample of
-labelled rows that are not held out (at most SAMPLE of each class, texts of at
-most SAMPLE_CHARS characters). Scoring runs every overlapping window of every
+labelled rows that are not held out: at most SAMPLE of each class, whole texts of any length; where they would pass
+SAMPLE_CHARS characters together, fewer documents are drawn. Scoring runs every overlapping window of every
 text, whatever its length; a document's score is that of its highest window.
 
 Defined cases: a null or empty text, or one without words, scores the share of
@@ -18,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bigru import DECISION, BiGru, Words, score_windows, train, windows
 from .words import read_columns, text_slices
 
 SAMPLE = 1500             # most training documents per class
-SAMPLE_CHARS = 3000       # longest training text
+SAMPLE_CHARS = 3_000_000  # ... and characters per class they may have together, at least one document
 
 
 def remainder(doc_id: Column) -> Column:
@@ -38,12 +38,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[BiGru
     known = labels.where("doc_id is not null and toxic is not null").where(remainder(F.col("doc_id")) != 2) \
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    each = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    chosen = each[0].unionByName(each[1])
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")) \
-        .where(F.length("text").between(1, SAMPLE_CHARS)) \
-        .join(F.broadcast(chosen), "doc_id") \
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).collect()  # at most 2 * sample short texts
+    text = F.col("text").cast("string")
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("size"),
+                        F.xxhash64("doc_id", text).alias("key")).where("size > 0").join(known, "doc_id")
+    each = [sizes.where(F.col("toxic") == k).orderBy("key", "doc_id").limit(sample) for k in (0, 1)]    # at most 2 * sample rows
+    before = F.sum("size").over(Window.partitionBy("toxic").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = each[0].unionByName(each[1]).withColumn("before", F.coalesce(before, F.lit(0))) \
+        .where((F.col("before") == 0) | (F.col("before") + F.col("size") <= SAMPLE_CHARS)).select("doc_id", "key", "toxic").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("key")) \
+        .join(F.broadcast(chosen), ["doc_id", "key"]) \
+        .orderBy("key", "doc_id").limit(2 * sample).select("text", "toxic").collect()    # at most 2 * sample texts of 2 * SAMPLE_CHARS
     return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.float32)), share
 
 

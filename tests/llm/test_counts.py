@@ -52,6 +52,35 @@ def test_quality_prior_shrinks_small_hosts(table):
     assert tiny["rate_symbols"] < 1.0                              # one failing document is not a rate of 1
 
 
+@pytest.mark.parametrize("size", [10, 300])
+def test_quality_dominant_host_among_many_small_ones(table, size):
+    """One-document hosts that fail now and then do not acquit a host that always fails, at any size."""
+    clean, loud = " ".join(f"w{i}" for i in range(30)), " ".join(f"#{i}&&&" for i in range(30))
+    rows = [(i, loud if i % 50 == 0 else clean, f"h{i}") for i in range(600)] + [(10_000 + i, loud, "big") for i in range(size)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(table(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[10_000 + i] for i in range(size))
+    assert all(got[i] for i in range(600))                        # a lone failure does not speak for its host
+
+
+def test_quality_rule_failed_by_half_the_corpus(table):
+    clean, loud = " ".join(f"w{i}" for i in range(30)), " ".join(f"#{i}&&&" for i in range(30))
+    rows = [(i, loud if i % 2 else clean, "bad" if i % 2 else f"h{i % 7}") for i in range(400)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(table(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[i] for i in range(1, 400, 2)) and all(got[i] for i in range(0, 400, 2))
+
+
+def test_quality_columns_of_any_name(documents):
+    names = ("base_failed", "fail_symbols", "bad_symbols", "_words", "_h", "_host", "n_lines", "row", "host", "kept", "n")
+    docs = documents
+    for n in names:
+        docs = docs.withColumn(n, F.lit(7))
+    got = quality.keep_documents(docs)
+    assert got.columns == docs.columns and got.select(*names).distinct().collect() == [tuple([7] * len(names))]
+    ids = [r["doc_id"] for r in quality.quality_rules(documents).where("kept").select("doc_id").collect()]
+    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == sorted(ids)
+    assert quality.quality_rules(docs).select("n_lines").distinct().first()[0] == 7
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert quality.quality_rules(none).count() == 0
