@@ -146,6 +146,37 @@ class Encoder:
         return "".join(parts)[1:]
 
 
+class Places:
+    """Places of int64 keys in a table: a key lies in its slot; those whose slot was taken lie in a
+    small sorted rest."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(4 * keys.size).bit_length())
+        slot = self._slot(keys)
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.at = np.zeros(1 << self.bits, dtype=np.int64)
+        first = np.unique(slot, return_index=True)[1]
+        self.keys[slot[first]], self.at[slot[first]] = keys[first], first
+        rest = np.setdiff1d(np.arange(keys.size), first)
+        rest = rest[np.argsort(keys[rest], kind="stable")]
+        self.rest, self.rest_at = keys[rest], rest
+        self.crowded = np.zeros(1 << self.bits, dtype=bool)
+        self.crowded[slot[rest]] = True
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of every key; -1 for the others."""
+        slot = self._slot(keys)
+        out = np.where(self.keys[slot] == keys, self.at[slot], -1)
+        more = np.flatnonzero((out < 0) & self.crowded[slot])
+        if more.size:
+            i = np.minimum(np.searchsorted(self.rest, keys[more]), self.rest.size - 1)
+            out[more] = np.where(self.rest[i] == keys[more], self.rest_at[i], -1)
+        return out
+
+
 class Options(ByteBpe):
     """The candidates that the agenda of a word can ever hold, remembered per word."""
 
@@ -161,8 +192,8 @@ class Options(ByteBpe):
                     piece.append(-1)
             if len(name) > 1:
                 piece[nodes[name]] = ident
-        self.step = np.array(sorted(steps), dtype=np.int64)
-        self.child = np.array([steps[x] for x in self.step.tolist()], dtype=np.int64)
+        self.step = Places(np.array(list(steps), dtype=np.int64))
+        self.child = np.array(list(steps.values()), dtype=np.int64)
         self.piece = np.array(piece, dtype=np.int64)
         self._forget()
 
@@ -177,10 +208,9 @@ class Options(ByteBpe):
         left = n[seq] - pos                                  # characters from here to the end of the word
         at, node, found = np.arange(seq.size), np.zeros(seq.size, dtype=np.int64), []
         k = 0
-        while at.size and self.step.size:
-            key = node * 0x110000 + cp[at + k]
-            to = np.minimum(np.searchsorted(self.step, key), self.step.size - 1)
-            go = self.step[to] == key
+        while at.size and self.child.size:
+            to = self.step.find(node * 0x110000 + cp[at + k])
+            go = to >= 0
             at, node = at[go], self.child[to[go]]
             hit = self.piece[node] >= 0
             found.append((at[hit], self.piece[node[hit]]))
@@ -206,7 +236,7 @@ class Arrays(ByteBpe):
         self.size = max(i for i, _ in pieces.values()) + 1
         by = sorted((a[0] * self.size + b[0], i, score) for p, (i, score) in pieces.items() for k in range(1, len(p))
                     if (a := pieces.get(p[:k])) and (b := pieces.get(p[k:])))
-        self.key = np.array([x[0] for x in by], dtype=np.int64)
+        self.pairs = Places(np.array([x[0] for x in by], dtype=np.int64))
         self.made = np.array([x[1] for x in by], dtype=np.int64)
         self.cost = np.array([-x[2] for x in by])
         self.symbol = np.full(0x110000, -1, dtype=np.int64)
@@ -214,14 +244,17 @@ class Arrays(ByteBpe):
             if len(p) == 1:
                 self.symbol[ord(p)] = i
         self.symbol[32], self.symbol[ord(BLANK)] = self.symbol[ord(BLANK)], -1
+        raw = {i: p.replace(BLANK, " ").encode("utf-8") for p, (i, _) in pieces.items()} | {
+            i: bytes([b]) for b, i in enumerate(tables["bytes"])}
+        each = [raw.get(i, b"") for i in range(max(raw) + 1)]
+        n = np.array([len(x) for x in each], dtype=np.int64)
+        self.bytes_of = n, np.cumsum(n) - n, np.frombuffer(b"".join(each), dtype=np.uint8)
         self._forget()
 
     def _candidates(self, a, b, unit_key, pos) -> tuple[np.ndarray, np.ndarray]:
         """(cost, piece) of adjacent symbols; infinite if none or skipped."""
-        key = a * self.size + b
-        at = np.searchsorted(self.key, key)
-        at[at == self.key.size] = 0
-        ok = (self.key[at] == key) & (a >= 0) & (b >= 0)
+        at = self.pairs.find(np.where((a >= 0) & (b >= 0), a * self.size + b, -2))
+        ok = at >= 0
         made = self.made[at]
         if self.dropout:
             x = mix(unit_key + pos.astype(np.uint64) * _POS + made.astype(np.uint64) * _PIECE)
@@ -347,6 +380,22 @@ class Arrays(ByteBpe):
             yield row, self.ids[np.arange(total[-1]) - np.repeat(total[:-1] - head, n)], total[place]
 
 
+    def lossless(self, ids: np.ndarray, offs: np.ndarray, texts: pa.Array) -> np.ndarray:
+        """Which texts their ids decode to: the pieces' bytes, joined, are a blank and the text's bytes."""
+        n, first, flat = self.bytes_of
+        size = n[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))[offs]
+        joined = flat[np.arange(int(ends[-1])) - np.repeat(np.cumsum(size) - size - first[ids], size)]
+        out = np.zeros(offs.size - 1, dtype=bool)
+        for row, buf, at in text_slices(texts, lower=False):
+            for d in range(at.size - 1):
+                s, e, want = int(ends[row + d]), int(ends[row + d + 1]), at[d + 1] - at[d]
+                # an empty text has no ids, and no blank before it
+                out[row + d] = e == s if not want else (
+                    e - s == want + 1 and joined[s] == 32 and joined[s + 1: e].tobytes() == buf[at[d]: at[d + 1]])
+        return out
+
+
 _ENCODERS: dict = {}
 
 
@@ -371,9 +420,7 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
             for row, ids, offs in enc.encode(text, keys):
                 n = offs.size - 1
                 null = text.slice(row, n).is_null().to_numpy(zero_copy_only=False)
-                flat = ids.tolist()
-                same = [enc.one.decode(flat[s:e]) == t for s, e, t in zip(
-                    offs[:-1].tolist(), offs[1:].tolist(), text.slice(row, n).fill_null("").to_pylist(), strict=True)]
+                same = enc.lossless(ids, offs, text.slice(row, n))
                 lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [ident.slice(row, n), pc.if_else(pa.array(null), pa.scalar(None, lists.type), lists),

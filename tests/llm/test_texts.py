@@ -71,6 +71,62 @@ def test_context_discovers_unseen_identifiers(table):
     assert red[205] == rows[40][1]
 
 
+def test_context_finds_any_shape(table):
+    """Identifiers of five shapes in the context of seeds; the same shapes elsewhere stay."""
+    r = random.Random(4)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    shapes = [lambda: f"KXQ{digits(6)}ZZ", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: f"AB-{digits(5)}-{digits(4)}",
+              lambda: digits(9), lambda: f"PX{digits(5)}"]
+    rows = [(i, f"my record is user{i}@example.com on file") for i in range(60)]
+    rows += [(100 + 20 * k + i, f"my record is {shape()} on file") for k, shape in enumerate(shapes) for i in range(20)]
+    rows += [(500 + 20 * k + i, f"we sold {shape()} units") for k, shape in enumerate(shapes) for i in range(20)]
+    rows += [(900, "in 2024 and 1999 a/b/c and 12 or x-y-z 3.5 stay")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(table(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].startswith("context:13:") for i in range(100, 200))
+    assert all(got[i] == "" for i in range(500, 600)) and got[900] == ""
+
+
+def plain_redact(text, spans):
+    out, at = "", 0
+    for s, _, e, kind in sorted(spans):
+        if s >= at:
+            out, at = out + text[at:s] + f"[{kind.upper()}]", e
+        else:
+            at = max(at, e)
+    return out + text[at:]
+
+
+def test_redact_against_plain_loop(table, monkeypatch):
+    r = random.Random(9)
+    bits = ["jo.doe@example.com", "+1 (988) 555-2485", "10.0.0.1", "4041894974608795", "+1 4041894974608795 1", "10.1.2.3.4.5", "é", " ", "word ", "\n"]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 40)))) for i in range(60)] + [(100, "10.0.0.1 " * 3000)]
+    docs = table(rows, "doc_id long, text string")
+    rank = {k: i for i, k in enumerate((*pii.KINDS, pii.CONTEXT))}
+    spans = {x["doc_id"]: [(int(s), rank[k], int(e), k) for k, s, e in (y.split(":") for y in x["spans"].split(",") if y)]
+             for x in pii.personal_data(docs).collect()}
+    monkeypatch.setattr(pii, "CUT", 7)
+    got = {x["doc_id"]: x["text"] for x in pii.redact(docs.where("doc_id < 100")).collect()}
+    assert all(got[i] == plain_redact(t, spans[i]) for i, t in rows[:-1])
+    monkeypatch.setattr(pii, "CUT", 4096)
+    assert pii.redact(docs.where("doc_id = 100")).first()["text"] == "[IP] " * 3000
+
+
+def test_redact_columns_of_any_name(table):
+    names = ("_row", "_base", "_t", "_found", "_other", "_more", "row", "blocks", "marks")
+    docs = table([(1, "mail jo@example.com", None)], "doc_id long, text string, x string")
+    for n in names:
+        docs = docs.withColumn(n, pii.F.lit(5))
+    got = pii.redact(docs)
+    assert got.columns == docs.columns
+    assert got.first().asDict() == {"doc_id": 1, "text": "mail [EMAIL]", "x": None, **{n: 5 for n in names}}
+
+
+def test_many_spans_in_one_text(table):
+    text = "10.0.0.1 ab-123-x " * 20_000
+    got = pii.personal_data(table([(1, text)], "doc_id long, text string")).first()
+    assert got["n_ip"] == 20_000
+
+
 def test_pii_empty(spark):
     none = spark.createDataFrame([], DOCS)
     assert pii.personal_data(none).count() == 0 and pii.redact(none).count() == 0
@@ -97,6 +153,15 @@ def test_pieces(table, documents):
         sorted(again, key=str), sorted(pieces.encode(docs, PIECES, 0.2, seed=1).collect(), key=str)))
 
 
+def test_places():
+    keys = np.unique(np.random.default_rng(2).integers(0, 2**50, 5000))
+    np.random.default_rng(3).shuffle(keys)
+    places = pieces.Places(keys)
+    assert np.array_equal(places.find(keys), np.arange(keys.size))
+    other = np.setdiff1d(keys + 1, keys)
+    assert (places.find(other) == -1).all() and places.find(np.array([-1, -2])).tolist() == [-1, -1]
+
+
 def test_agenda_equals_arrays():
     one, many = pieces.Encoder(pieces.load_pieces(PIECES), 0.3), pieces.Arrays(pieces.load_pieces(PIECES), 0.3)
     for word in "the weather unbelievable thonwhre naïve 你好x aaaaaaaa internationalization".split():
@@ -249,6 +314,19 @@ def test_neighbours(table, spark, monkeypatch):
     assert rabitq.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("tiny", [[1e-200, 2e-200], [5e-324, 0.0], [1e308, -1e308]])
+def test_extreme_vectors_do_no_harm(table, tiny):
+    r = np.random.default_rng(1)
+    rows = [(i, r.standard_normal(2).tolist()) for i in range(200)] + [(200, tiny)]
+    got = rabitq.neighbours(table(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 5 * 5 and all(np.isfinite(x["score"]) for x in got)        # 0, 50, 100, 150 and 200 ask
+    x = np.array([v for _, v in rows])
+    x = x / np.abs(x).max(axis=1)[:, None]
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    best = np.sort(np.delete(x @ x[200], 200))[::-1][:5]
+    assert np.allclose(sorted((g["score"] for g in got if g["query_id"] == 200), reverse=True), best)
+
+
 def test_one_bit_bound_holds():
     rng = np.random.default_rng(1)
     x = rabitq.unit(rng.standard_normal((2000, 64)))
