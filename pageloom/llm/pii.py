@@ -4,8 +4,9 @@ functions only).
 Base entities (e-mail, IP address, card, phone) come from regular expressions
 over the whole text; their positions are rebuilt from the text between the
 matches. They seed the bootstrap: the words around a seed are lexical patterns
-(previous word, previous two words, next word). Identifier-like tokens (letters
-and digits mixed, long enough) are candidates with the same kinds of patterns.
+(previous word, previous two words, next word). Tokens of letters and digits, with single separators
+inside or none, at least LEAST_CHARS long and with LEAST_DIGITS digits, are candidates of any shape, with the same kinds
+of patterns; the graph's score, not the shape, decides.
 Spark scores the bipartite graph of patterns and instances for a few rounds: a
 pattern is as reliable as its distinct instances, shrunk by pseudo-instances,
 and an unseen instance as its patterns' mean. Instances that enough reliable
@@ -20,6 +21,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +38,11 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    CONTEXT: r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{10,}+",
+    # a token of letters and digits, single separators inside, with a digit; one attempt per token
+    CONTEXT: r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][-_/.])(?=[A-Za-z]*+(?:[-_/.][A-Za-z]++)*+[-_/.]?[0-9])[A-Za-z0-9]++(?:[-_/.][A-Za-z0-9]++)*+",
 }
+LEAST_CHARS, LEAST_DIGITS = 5, 3      # of a candidate
+_RANK = {k: i for i, k in enumerate((*KINDS, CONTEXT))}
 AROUND = 64               # characters of context read on either side
 BLOCK = 64                # matches per block of the position sums
 ROUNDS = 3
@@ -68,6 +74,8 @@ def _valid(kind: str, x: Column) -> Column:
         return F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(F.lit(False))
     if kind == "phone":
         return F.length(_digits(x)).between(10, 15)
+    if kind == CONTEXT:
+        return (F.length(x) >= LEAST_CHARS) & (F.length(_digits(x)) >= LEAST_DIGITS)
     return F.lit(True)
 
 
@@ -80,6 +88,18 @@ def _words(x: Column) -> Column:
     return F.filter(F.split(F.lower(F.translate(x, "\n\t\r", "   ")), " "), lambda w: w != "")
 
 
+def _last_end(spans: str, before: Column) -> Column:
+    """The end of the last of these ordered spans that starts before a place; 0 without any. Found by halving."""
+    a = F.col(spans)
+    halve = lambda z, _: F.when(z["lo"] >= z["hi"], z).otherwise(F.when(
+        F.get(a, ((z["lo"] + z["hi"]) / 2).cast("int"))["s"] < before,
+        F.struct((((z["lo"] + z["hi"]) / 2).cast("int") + 1).alias("lo"), z["hi"].alias("hi"))).otherwise(
+        F.struct(z["lo"].alias("lo"), ((z["lo"] + z["hi"]) / 2).cast("int").alias("hi"))))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(a) + 1)).cast("int") + 1)
+    at = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(a).alias("hi")), halve, lambda z: z["lo"])
+    return F.when(F.size(a) == 0, 0).otherwise(F.coalesce(F.get(a, at - 1)["e"], F.lit(0)))
+
+
 def extract(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``_row``, ``_base`` and ``_other``: arrays of (kind, rank, start, end,
     value, left words, right words) in order of position."""
@@ -117,7 +137,8 @@ def extract(docs: DataFrame, text: str = "text") -> DataFrame:
 
     df = df.withColumns({f"_s_{k}": found(k) for k in kinds})
     df = df.withColumn("_base", F.concat(*[F.col(f"_s_{k}") for k in KINDS]))
-    apart = lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    # of a kind's spans, which stand apart in order, the last one that starts before a candidate's end reaches furthest
+    apart = lambda x: reduce(lambda a, b: a & b, [_last_end(f"_s_{k}", x["e"]) <= x["s"] for k in KINDS])
     df = df.withColumn("_other", F.filter(F.col(f"_s_{CONTEXT}"), apart))
     gone = ["_t", *[f"_{x}_{k}" for x in "mgnbs" for k in kinds]]
     return df.withColumn("_row", F.monotonically_increasing_id()).drop(*gone)
@@ -189,14 +210,34 @@ def personal_data(docs: DataFrame) -> DataFrame:
                         _digest(F.col("_found")).alias("spans"))
 
 
+CUT = 4096                # characters per block of a text that is cut
+
+
+def _cut(start: Column, end: Column) -> Column:
+    """Characters ``start`` to ``end`` of the text whose blocks are ``blocks``: work in proportion to them, not to their place."""
+    first, last = (start / CUT).cast("int"), ((end - 1) / CUT).cast("int")
+    part = lambda k: F.substring(F.get(F.col("blocks"), k), F.greatest(start - k * CUT, F.lit(0)) + 1,
+                                 F.least(end - k * CUT, F.lit(CUT)) - F.greatest(start - k * CUT, F.lit(0)))
+    return F.when(end > start, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise("")
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by ``[KIND]``; touching or overlapping
+    """``docs``, all columns, with every span replaced by ``[KIND]``; touching or overlapping
     spans are replaced from the first start on, each character once."""
-    found = find(extract(docs, text))
-    t = F.col(text)
-    step = lambda a, x: F.when(x["s"] >= a["at"], F.struct(
-        F.concat(a["out"], F.substring(t, a["at"] + 1, x["s"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"),
-        x["e"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], x["e"]).alias("at")))
-    end = F.aggregate("_found", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
-                      lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size("_found") > 0, end).otherwise(t)).drop("_base", "_found")
+    rest = [c for c in docs.columns if c != text]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("no other column")).alias("row")   # names of the caller never meet ours
+    found = find(extract(docs.select(row, F.col(f"`{text}`").cast("string").alias("text"))))
+    size = F.length("text")
+    blocks = F.when(F.size("_found") > 0, F.transform(
+        F.sequence(F.lit(0), (size / CUT).cast("int")), lambda k: F.substring(F.col("text"), k * CUT + 1, F.lit(CUT))))
+    of = lambda k: F.filter("_found", lambda x: x["kind"] == k)
+    found = found.select("row", "text", "_found", blocks.alias("blocks"), *[of(k).alias(f"_f_{k}") for k in (*KINDS, CONTEXT)])
+    # what is written up to a span ends with the furthest end of the spans before it, each kind's last one
+    at = lambda x: F.greatest(*[_last_end(f"_f_{k}", x["s"] + F.when(F.lit(_RANK[k]) < x["rank"], 1).otherwise(0)) for k in _RANK])
+    marks = F.transform("_found", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), at(x).alias("at")))
+    found = found.withColumn("marks", F.filter(marks, lambda x: x["s"] >= x["at"]))
+    parts = F.transform("marks", lambda x: F.concat(_cut(x["at"], x["s"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    end = F.greatest(*[F.coalesce(F.get(F.col(f"_f_{k}"), F.size(f"_f_{k}") - 1)["e"], F.lit(0)) for k in _RANK])
+    out = F.concat(F.array_join(parts, ""), _cut(end, size))
+    out = found.withColumn("text", F.when(F.size("_found") > 0, out).otherwise(F.col("text")))
+    return out.select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
