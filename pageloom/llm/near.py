@@ -42,6 +42,7 @@ from .words import read_columns, text_slices
 PERCENT = 75
 #: Fewest equal sketch bytes of a linked pair: the mean at 0.75 less six standard deviations.
 LEAST_EQUAL = int(SLOTS * 0.75 - 6 * (SLOTS * 0.75 * 0.25) ** 0.5)
+HOT_NODES = 10_000        # nodes whose labels are broadcast
 BLOCK = 256               # nodes of a bucket that meet at once
 TRIES = 4                 # partners a node verifies in the first step
 
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     each = keep(texts.mapInArrow(_sketches, _SKETCH), "sketches")
     nodes = keep(each.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
-        F.first("packed").alias("packed")), "nodes")
+        F.first("packed").alias("packed"), F.count(F.lit(1)).alias("copies")), "nodes")
     verify = _Verifier(texts, nodes)
     sk = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
 
@@ -257,12 +258,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     rows = buckets.select("bucket", "node", "n").join(comp, "node", "left") \
         .select("bucket", "node", "n", F.coalesce("root", "node").alias("comp"))
-    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")) \
-        .where("c0 <> c1").select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    # the largest group of a bucket need not meet itself: its nodes go once to every block of the others, which
+    # meet each other and all of it
+    per = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = per.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("large"),
+                                      F.sum("c").alias("every"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    in_top = F.col("comp") == F.col("top")
+    first_rest, rest = F.ceil(F.col("large") / BLOCK).cast("int"), F.ceil((F.col("every") - F.col("large")) / BLOCK).cast("int")
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     rows = rows.join(mixed, "bucket").join(nodes.select("node", "sketch"), "node") \
-        .withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .withColumn("blk", F.when(in_top, at(first_rest)).otherwise(first_rest + at(rest))) \
+        .withColumn("other", F.explode(F.sequence(F.when(in_top, first_rest).otherwise(F.lit(0)), first_rest + rest - 1))) \
         .select("bucket", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"),
                 "blk", "comp", "node", "sketch")
     order = ("bucket", "lo", "hi")
@@ -276,9 +282,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = nodes.select("node", "doc_id").join(groups, "node")
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("lowest"))
     final = groups.join(lowest, "root").select("node", "lowest")
-    own = nodes.select("node", F.col("doc_id").alias("own"))
-    labels = own.join(final, "node", "left").select("node", F.coalesce("lowest", "own").alias("label"))
-    out = each.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
+    own = nodes.select("node", "copies", F.col("doc_id").alias("own"))
+    labels = keep(own.join(final, "node", "left").select("node", "copies", F.coalesce("lowest", "own").alias("label")), "labels")
+    # the nodes with most copies are broadcast, a bounded number of narrow rows; the others have few copies each
+    hot = keep(labels.orderBy(F.desc("copies"), "node").limit(HOT_NODES).select("node", F.col("label").alias("hot")), "hot")
+    out = each.select("doc_id", "n_shingles", "node").join(F.broadcast(hot), "node", "left")
+    known = out.where("hot is not null or node is null").withColumn("label", F.col("hot"))
+    others = out.where("hot is null and node is not null").join(labels.select("node", "label"), "node", "left")
+    out = known.unionByName(others)
     cid = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("label"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"),
                       F.coalesce(F.col("doc_id") == cid, cid.isNull()).alias("kept"))
