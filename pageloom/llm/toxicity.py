@@ -25,7 +25,7 @@ from .bigru import DECISION, BiGru, Words, score_windows, train, windows
 from .words import read_columns, text_slices
 
 SAMPLE = 1500             # most training documents per class
-SAMPLE_CHARS = 3_000_000  # ... and characters per class they may have together, at least one document
+SAMPLE_CHARS = 1_400_000  # ... and characters per class they may have together, at least one document
 
 
 def remainder(doc_id: Column) -> Column:
