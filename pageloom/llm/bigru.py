@@ -19,6 +19,8 @@ HIDDEN = 10
 EMBED = 12
 BUCKETS = 1 << 15
 DECISION = 0.3                 # the score from which a text counts as label 1
+CALIBRATE, LEAST_APART = 5, 40 # one training text of so many, of classes of at least so many, only places the decision point
+CLEAN_COST = 4.0               # a clean text called toxic, against a missed one
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -231,20 +233,20 @@ class Adam:
         p[k][rows] -= self.rate * x / np.sqrt(v[rows])[:, None]
 
 
-def _odds(w: Words, label: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log-odds of word and gram buckets, by documents that hold them."""
+def _odds(w: Words, label: np.ndarray, doc_of: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log-odds of word and gram buckets, by documents that hold them and are not ``apart``."""
     out = []
-    for buckets, owner in ((w.bucket[w.index], doc_of),
-                           (w.grams, None)):
-        if owner is None:  # every document that holds a word holds its grams
-            rep = w.gram_n[w.index]
-            at = np.repeat(w.gram_at[w.index], rep) + np.arange(int(rep.sum())) - np.repeat(np.cumsum(rep) - rep, rep)
-            buckets, owner = w.grams[at], np.repeat(doc_of, rep)
-        pair = np.unique(owner * BUCKETS + buckets)
+    taught = ~apart[doc_of]
+    held = np.unique(doc_of[taught] * max(w.bucket.size, 1) + w.index[taught])           # a document's distinct words
+    owner, word = np.divmod(held, max(w.bucket.size, 1))
+    rep = w.gram_n[word]                                                 # every document that holds a word holds its grams
+    at = np.repeat(w.gram_at[word] - (np.cumsum(rep) - rep), rep) + np.arange(int(rep.sum()))
+    for buckets, holder in ((w.bucket[word], owner), (w.grams[at], np.repeat(owner, rep))):
+        pair = np.unique(holder * BUCKETS + buckets)
         lab, b = label[pair // BUCKETS], pair % BUCKETS
         pos = np.bincount(b, weights=lab, minlength=BUCKETS)
         neg = np.bincount(b, weights=1 - lab, minlength=BUCKETS)
-        np_, nn = max(label.sum(), 1), max((1 - label).sum(), 1)
+        np_, nn = max(label[~apart].sum(), 1), max((1 - label[~apart]).sum(), 1)
         out.append(np.clip(np.log((pos + 0.5) / np_) - np.log((neg + 0.5) / nn), -3, 3) * ((pos + neg) >= 3))
     return out[0], out[1]
 
@@ -269,7 +271,12 @@ def train(texts: list[str], label: np.ndarray, steps: int = 240, batch: int = 96
     w = Words(buf, offs)
     doc, start, size = windows(w.first)
     word_doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    word_odds, gram_odds = _odds(w, label, word_doc)
+    # one text of CALIBRATE of each class is not learned from: it only helps to place the decision point
+    apart = np.zeros(label.size, dtype=bool)
+    for k in (0, 1):
+        own = np.flatnonzero(label == k)
+        apart[own[CALIBRATE - 1::CALIBRATE] if own.size >= LEAST_APART else own[:0]] = True
+    word_odds, gram_odds = _odds(w, label, word_doc, apart)
     net.p["word"][:, 0] = word_odds * 0.5
     net.p["gram"][:, 0] = gram_odds * 0.5
     # first choice of windows: the one with the highest word evidence
@@ -280,9 +287,10 @@ def train(texts: list[str], label: np.ndarray, steps: int = 240, batch: int = 96
     logit = pad[np.where(mask > 0, np.minimum(start + np.arange(WINDOW)[:, None], strength.size), strength.size)].max(axis=0)
     rng = np.random.default_rng(seed)
     adam = Adam(rate)
-    rare = np.flatnonzero(label == (label.mean() < 0.5))
-    often = max(0, int((label.size - rare.size) / (2 * rare.size)) - 1)
-    every = np.concatenate((np.arange(label.size), np.tile(rare, often)))
+    taught = np.flatnonzero(~apart)
+    rare = taught[label[taught] == (label.mean() < 0.5)]
+    often = max(0, int((taught.size - rare.size) / (2 * rare.size)) - 1)
+    every = np.concatenate((taught, np.tile(rare, often)))
     for epoch in range(int(np.clip(-(-steps * batch // every.size), 4, 48))):
         if epoch:
             logit = score_windows(net, w, start, size)
@@ -301,12 +309,26 @@ def train(texts: list[str], label: np.ndarray, steps: int = 240, batch: int = 96
     logit = score_windows(net, w, start, size)
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, doc, logit)
-    low, high = np.quantile(best[(label == 1) & (best > -np.inf)], 0.02), np.quantile(best[(label == 0) & (best > -np.inf)], 0.995)
-    if low > high:  # the decision point (0.3) lies midway between the classes
-        net.p["bias"][0] += np.log(DECISION / (1 - DECISION)) - (low + high) / 2
+    judged = (apart if apart.any() and len(set(label[apart])) == 2 else ~apart) & (best > -np.inf)
+    net.p["bias"][0] += np.log(DECISION / (1 - DECISION)) - decision_point(best[judged & (label == 0)], best[judged & (label == 1)])
     return net
 
 
+def decision_point(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The score with the least cost (a clean text called toxic costs CLEAN_COST times a missed one, as shares
+    of their classes), in the middle of the stretch of equal cost; 0 without scores of both classes."""
+    if not clean.size or not toxic.size:
+        return 0.0
+    at = np.unique(np.concatenate((clean, toxic)))
+    cuts = np.concatenate(([at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]))
+    cost = CLEAN_COST * (clean.size - np.searchsorted(np.sort(clean), cuts)) / clean.size + np.searchsorted(np.sort(toxic), cuts) / toxic.size
+    best = np.flatnonzero(cost <= cost.min() + 1e-12)
+    run = best[: 1 + int(np.argmax(np.append(np.diff(best) > 1, True)))]       # the first stretch
+    low = at[run[0] - 1] if run[0] else at[0] - 1
+    high = at[run[-1]] if run[-1] < at.size else at[-1] + 1
+    return float((low + high) / 2)
+
+
 def _step(net: BiGru, adam: Adam, w: Words, at: np.ndarray, mask: np.ndarray, y: np.ndarray) -> None:
     used, local = np.unique(at, return_inverse=True)
     local = local.reshape(at.shape)

@@ -174,3 +174,31 @@ def test_scores_do_not_depend_on_slices():
         return out
 
     assert scores(100) == pytest.approx(scores(1 << 20), abs=1e-4)
+
+
+def test_decision_point_against_all_cuts():
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        clean, toxic = np.round(r.normal(0, 1, 40), 1), np.round(r.normal(2, 1, 15), 1)
+        cost = lambda t: bigru.CLEAN_COST * (clean > t).mean() + (toxic <= t).mean()  # noqa: E731,B023
+        got = bigru.decision_point(clean, toxic)
+        assert cost(got) <= min(cost(t) for t in np.arange(-5, 6, 0.05)) + 1e-9
+    assert bigru.decision_point(np.zeros(0), np.ones(3)) == 0.0
+
+
+def test_training_takes_long_texts_whole(table, monkeypatch):
+    """Whole texts of any length are drawn, the rarer class loses none to its length, and the sample stays bounded."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, label: seen.append((texts, label)))
+    rows = [(i, ("word " * (2000 if i % 3 == 0 else 5)).strip(), "en", "h", 0) for i in range(60)] + [(60, None, "en", "h", 0), (61, "", "en", "h", 0)]
+    docs = table(rows, DOCS)
+    labels = table([(i, 1, i % 2) for i in range(62)], "doc_id long, quality int, toxic int")
+    toxicity.fit(docs, labels)
+    texts, label = seen.pop()
+    known = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(map(len, texts)) == sorted(len(rows[i][1]) for i in known) and label.sum() == sum(i % 2 for i in known)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 25_000)
+    toxicity.fit(docs, labels)
+    texts, label = seen.pop()
+    for k in (0, 1):
+        assert 0 < sum(len(t) for t, y in zip(texts, label, strict=True) if y == k) <= 25_000
