@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pageloom.plans.registry import QUERIES  # noqa: E402
-from pageloom.session import get_spark  # noqa: E402
+from pageloom.session import get_spark, temporary_tables  # noqa: E402
 
 HEADLINE = [
     "c1_regex_text", "b1_explode_nodes", "c4_page_title", "c7_content_only", "d1_sections", "d9_selective",
@@ -31,7 +31,8 @@ def main():
     times = {}
     for n in names:
         t0 = time.time()
-        QUERIES[n](spark, d).write.format("noop").mode("overwrite").save()
+        with temporary_tables(spark):
+            QUERIES[n](spark, d).write.format("noop").mode("overwrite").save()
         times[n] = round(time.time() - t0, 3)
     sf = d.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",

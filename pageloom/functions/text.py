@@ -46,16 +46,6 @@ def strip_tags(html) -> Column:
     return F.regexp_replace(_c(html), "<[^>]+>", "")
 
 
-def decode_basic_entities(c) -> Column:
-    """The four entities of the test pages, ``&amp;`` last (regex-route
-    helper; node text is decoded by the parser)."""
-    c = _c(c)
-    for ent, ch in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"),
-                    ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
-
-
 def truncate(c, n: int, ellipsis: bool = True) -> Column:
     """Cut to ``n`` code points; content/selective append ``...``."""
     c = _c(c)

@@ -119,8 +119,3 @@ def absolute_url(base, rel) -> Column:
             .when(same_scheme_abs, F.concat(b_scheme, F.regexp_extract(rel, f"^{_SCHEME}(:.*)$", 1)))
             .when(has_scheme, rel)
             .otherwise(joined))
-
-
-def is_internal(page_url, link_url) -> Column:
-    """L2: a link is internal when its absolute form has the page's host."""
-    return host(absolute_url(page_url, link_url)) == host(page_url)

@@ -8,18 +8,6 @@ PAGES = T.StructType([
     T.StructField("html", T.StringType()),
 ])
 
-# Optional fetch-outcome columns of a ``fetches`` table.
-FETCH_EXTRA = T.StructType([
-    T.StructField("cleaned_html", T.StringType()),
-    T.StructField("success", T.BooleanType()),
-    T.StructField("status_code", T.IntegerType()),
-    T.StructField("error_message", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("markdown", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("fetched_at", T.TimestampType()),
-])
-
 ATTRS = T.MapType(T.StringType(), T.StringType())
 CLASSES = T.ArrayType(T.StringType())
 

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,9 +55,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_made: list[str] = []       # paths given out since the outermost ``temporary_tables`` began
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Delete, at the end of the block, the tables that were stored inside it. Results that read them must
+    have been written or collected by then."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[first:]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _made[first:]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -83,10 +103,3 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(archive))  # Spark's own file server takes it from the driver
         _shipped.add(sc.applicationId)
     return spark
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never
-    ``localCheckpoint``: executors may be lost)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

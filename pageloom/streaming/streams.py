@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, temporary_tables
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -138,8 +138,10 @@ def stream_extract(pages_stream: DataFrame, transform, name: str = "extract") ->
     out = _scratch(spark, name)
 
     def sink(batch: DataFrame, epoch: int):
-        # a folder per epoch, overwritten: a retried micro-batch counts once
-        transform(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        # a folder per epoch, overwritten: a retried micro-batch counts once; what the transformation
+        # stored on its way is released after the epoch is written
+        with temporary_tables(spark):
+            transform(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     q = (pages_stream.writeStream.foreachBatch(sink).option("checkpointLocation", out + "-ckpt")
          .trigger(availableNow=True).start())

@@ -323,3 +323,14 @@ def test_media_switches(spark):
     assert [x["href"] for x in full["external_links"]] == ["https://other.org/"] and full["images"][0]["alt"] == "pic"
     none = V.with_media(p, p, skip_images=True, skip_links=True).first()
     assert none["images"] == [] and none["internal_links"] == [] and none["external_links"] == []
+
+
+def test_stored_tables_are_released(spark, tmp_path):
+    import os
+
+    from pageloom.session import stored, temporary_tables
+    with temporary_tables(spark):
+        t = stored(spark.range(5), "released")
+        path = t.inputFiles()[0].replace("file://", "")
+        assert t.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
