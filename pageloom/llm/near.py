@@ -263,12 +263,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     per = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = per.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("large"),
                                       F.sum("c").alias("every"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    in_top = F.col("comp") == F.col("top")
+    few = F.col("every") <= BLOCK                            # one block: everybody meets there once
+    in_top = (F.col("comp") == F.col("top")) & ~few
     first_rest, rest = F.ceil(F.col("large") / BLOCK).cast("int"), F.ceil((F.col("every") - F.col("large")) / BLOCK).cast("int")
     at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     rows = rows.join(mixed, "bucket").join(nodes.select("node", "sketch"), "node") \
-        .withColumn("blk", F.when(in_top, at(first_rest)).otherwise(first_rest + at(rest))) \
-        .withColumn("other", F.explode(F.sequence(F.when(in_top, first_rest).otherwise(F.lit(0)), first_rest + rest - 1))) \
+        .withColumn("blk", F.when(few, 0).when(in_top, at(first_rest)).otherwise(first_rest + at(rest))) \
+        .withColumn("other", F.explode(F.sequence(F.when(in_top, first_rest).otherwise(F.lit(0)),
+                                                  F.when(few, 0).otherwise(first_rest + rest - 1)))) \
         .select("bucket", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"),
                 "blk", "comp", "node", "sketch")
     order = ("bucket", "lo", "hi")
