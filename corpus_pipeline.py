@@ -2,7 +2,12 @@
 
 ``run`` applies the stages to the table ``documents``; every stage's result is
 written as Parquet in the shared folder and read again before the next one.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``, whatever these are called.
+
+Defined cases: a null or empty text has too few words and is dropped by the quality rules; texts of any length are read
+whole; rows that repeat a doc_id are one document to the near-duplicate stage and share its verdict, elsewhere each
+counts; a row without a doc_id passes that stage, as no verdict can name it; among near-duplicates the smallest id
+stays; without labels of both classes no document is toxic; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pageloom.llm import near, packing, pii, quality, toxicity
 from pageloom.llm.store import keep
 from pageloom.session import ship
 
-#: No stage after the first can be said in SQL; tests hold the whole against brute force.
+#: No stage after the first can be said in SQL; tests/llm/test_pipeline.py holds the whole against plain Python.
 ORACLE_SQL = None
 
 
