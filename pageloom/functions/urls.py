@@ -67,6 +67,11 @@ def scheme(url) -> Column:
     return F.lower(F.regexp_extract(_clean(url), f"^({_SCHEME}):", 1))
 
 
+def _let(x: Column, of) -> Column:
+    """``of(x)`` with ``x`` evaluated once, however often ``of`` names it (an expression is otherwise repeated)."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def absolute_url(base, rel) -> Column:
     """F8: '' stays ''; http(s) URLs are kept; ``//host`` takes the base
     scheme; anything else is joined to the base per RFC 3986 with
@@ -89,19 +94,25 @@ def absolute_url(base, rel) -> Column:
     # A rooted path ignores the base path; only a relative one drops empty
     # inner segments.
     segs = F.when(r_path.startswith("/"), F.split(r_path, "/")).otherwise(F.concat(base_dir, F.split(r_path, "/")))
-    n = F.size(segs)
-    segs = F.when((n >= 2) & ~r_path.startswith("/"), F.concat(F.slice(segs, 1, 1),
-                                   F.filter(F.slice(segs, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != ""),
-                                   F.slice(segs, -1, 1))).otherwise(segs)
-    folded = F.aggregate(
-        segs, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))))
-    folded = F.when(F.try_element_at(segs, F.lit(-1)).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    path = F.array_join(folded, "/")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    rooted = r_path.startswith("/")
+
+    def without_empty(p: Column) -> Column:
+        return F.when((F.size(p) >= 2) & ~rooted, F.concat(
+            F.slice(p, 1, 1), F.filter(F.slice(p, 2, F.greatest(F.size(p) - 2, F.lit(0))), lambda s: s != ""), F.slice(p, -1, 1))).otherwise(p)
+
+    def fold(p: Column) -> Column:
+        kept = F.aggregate(
+            p, F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
+            .when(s == ".", acc)
+            .otherwise(F.concat(acc, F.array(s))))
+        return F.concat(kept, F.when(F.try_element_at(p, F.lit(-1)).isin(".", ".."), F.array(F.lit(""))).otherwise(
+            F.array().cast("array<string>")))
+
+    def rooted_path(p: Column) -> Column:
+        return F.when(p == "", F.lit("/")).when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
+
+    path = _let(segs, lambda p: _let(without_empty(p), lambda q: _let(F.array_join(fold(q), "/"), rooted_path)))
 
     empty_path = r_path == ""
     out_path = F.when(empty_path, b_path).otherwise(path)

@@ -103,6 +103,12 @@ def validate_batches(df: DataFrame, urls_col: str = "urls", max_batch_size: int
 LISTING_BLOCK = 200      # part keys per listing page: bounded page size
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for pages that are made from rows. Rows are far smaller than the work that parsing their pages
+    costs, so their exchange (the one that the grouping needs anyway) keeps all its partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def listing_pages(part: DataFrame, block: int = LISTING_BLOCK) -> DataFrame:
     """Listing pages built from ``part``: one page per brand and block of
     ``block`` part keys (bounded page size at any scale), items in part-key
@@ -116,6 +122,7 @@ def listing_pages(part: DataFrame, block: int = LISTING_BLOCK) -> DataFrame:
         F.col("p_size").cast("string"), F.lit("</span></div>"))
     items = (part.select("p_brand", (F.col("p_partkey") / block).cast("long").alias("blk"),
                          "p_partkey", item.alias("item"))
+             .repartition(_tasks(part), "p_brand", "blk")
              .groupBy("p_brand", "blk")
              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "item"))),
                                            lambda x: x["item"]), "").alias("items")))
@@ -151,7 +158,7 @@ def conversation_pages(conversations: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     item = lambda role, t: F.concat(F.lit('<div class="turn"><h3>'), role, F.lit('</h3><p>'), t, F.lit("</p></div>"))
-    turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", safe.alias("t")))).alias("l"))
+    turns = conversations.repartition(_tasks(conversations), "conv_id").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", safe.alias("t")))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: item(x["role"], x["t"])), "")
     first = F.get(F.col("l"), F.lit(0))
     return turns.select(
