@@ -153,6 +153,21 @@ def test_pieces(table, documents):
         sorted(again, key=str), sorted(pieces.encode(docs, PIECES, 0.2, seed=1).collect(), key=str)))
 
 
+def test_empty_tables_of_pieces_and_pages(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert pieces.encode(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+    assert render.render_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_lossless_flags_a_wrong_text():
+    enc = pieces._encoder(pieces.load_pieces(public_tokenizers.path("piece_bpe_32k.model")), 0.1, 17)
+    texts = pa.array(["two words", "", None, "naïve ▁ \n end ", "x"])
+    (row, ids, offs), = list(enc.encode(texts, np.arange(5).astype(np.uint64)))
+    assert enc.lossless(ids, offs, texts).all()
+    other = pa.array(["two wordz", "", "a", "naïve ▁ \n end ", "xy"])
+    assert enc.lossless(ids, offs, other).tolist() == [False, True, False, True, False]
+
+
 def test_places():
     keys = np.unique(np.random.default_rng(2).integers(0, 2**50, 5000))
     np.random.default_rng(3).shuffle(keys)
