@@ -27,18 +27,19 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:8]}")
 
 
-def file_stream(spark: SparkSession, folder: str, name_glob: str, schema) -> DataFrame:
-    """Files landing in ``folder`` whose names match ``name_glob``."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name_glob).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, name_glob: str, schema, max_files: int | None = None) -> DataFrame:
+    """Files landing in ``folder`` whose names match ``name_glob``, and files landing in its folders of such names: a
+    table may be one file or a folder of part files."""
+    r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(f"{folder}/{{{name_glob}}}")     # braces: a pattern, also without a wildcard, may match files and folders
 
 
 def event_stream(spark: SparkSession, folder: str, name_glob: str = "events*.parquet", schema: T.StructType = EVENTS,
-                 max_files: int | None = None, recursive: bool = False) -> DataFrame:
-    r = spark.readStream.schema(schema).option("pathGlobFilter", name_glob).option("recursiveFileLookup", recursive)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
+                 max_files: int | None = None) -> DataFrame:
     # watermarks need TIMESTAMP, the test data has TIMESTAMP_NTZ
-    return r.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return file_stream(spark, folder, name_glob, schema, max_files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def stream_rate_windows(events: DataFrame, key: str = "user_id", width: str = "1 hour",
