@@ -514,8 +514,11 @@ ORACLES.update({
     "g5_metadata_modes": f"""SELECT page_id, 'array_based_ordered' AS extraction_mode, coalesce(c, 0) AS total_items,
           'turns' AS successful_selectors, coalesce(w, 0)::BIGINT AS word_count
         FROM {TURN_PAGES} JOIN (SELECT page_id, count(*) AS c, sum(len({words('main')})) AS w FROM {ITEMS_KEPT} GROUP BY page_id) USING (page_id)""",
-    "l2_split_internal_external": f"""SELECT page_id, pos, CASE WHEN pos % 2 = 0 THEN '' ELSE 'https://www.far.example.org' END AS origin,
-        pos % 2 = 0 AS internal FROM {PAGE_LINKS}""",
+    "l2_split_internal_external": f"""SELECT page_id, pos, CASE WHEN pos % 2 = 0 THEN href
+          ELSE regexp_replace(href, '^[A-Za-z]+://[^/]*', 'https://www.far.example.org') END AS href,
+        CASE WHEN pos % 2 = 0 THEN '' ELSE 'https://www.far.example.org' END AS origin, pos % 2 = 0 AS internal
+        FROM (SELECT page_id, pos, {ORIGIN} || {decode('raw_href')} AS href FROM {PAGE_LINKS}
+              UNION ALL SELECT page_id, elem_pos, {LINK} FROM {ITEMS})""",
     "l3_exclude_external_links": f"SELECT page_id, count(*) AS internal_links FROM {PAGE_LINKS} WHERE pos % 2 = 0 GROUP BY page_id",
 })
 ORACLES["g4_corpus_vocabulary"] = f"""SELECT source, len_ AS total_words, 0::BIGINT AS level FROM (

@@ -634,23 +634,23 @@ def l1(spark, d):
     return _links(spark, d).select("page_id", "pos", "href", "text")
 
 
-def _mixed_links(spark, d):
-    """The links of the pages, every second one led to another host."""
-    links = _links(spark, d)
+def _mixed_links(links):
+    """The links, every second one of a page led to another host."""
     far = F.regexp_replace("href", "^[A-Za-z]+://[^/]*", "https://www.far.example.org")
     return links.withColumn("href", F.when(F.col("pos") % 2 == 1, far).otherwise(F.col("href")))
 
 
 @query("l2_split_internal_external")
 def l2(spark, d):
-    links = M.split_internal_external(_mixed_links(spark, d))
+    """The links of pages and listings, with their whole addresses."""
+    links = M.split_internal_external(_mixed_links(_links(spark, d).unionByName(M.extract_links(_listing(spark, d)))))
     origin = F.when(F.col("internal"), F.lit("")).otherwise(F.regexp_extract("href", "^[A-Za-z]+://[^/]*", 0))
-    return links.select("page_id", "pos", origin.alias("origin"), "internal")
+    return links.select("page_id", "pos", "href", origin.alias("origin"), "internal")
 
 
 @query("l3_exclude_external_links")
 def l3(spark, d):
-    links = M.exclude_external_links(_mixed_links(spark, d))
+    links = M.exclude_external_links(_mixed_links(_links(spark, d)))
     return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("internal_links"))
 
 

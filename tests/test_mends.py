@@ -11,6 +11,7 @@ from pageloom.operators import dedup as E, dom, neardup as ND, stats, windows as
 from pageloom.plans import content as C
 from pageloom.plans import envelopes as V
 from pageloom.plans import selective as S
+from pageloom.plans.registry import QUERIES
 from pageloom.profiles import ArraySpec, SelectiveSpec
 from pageloom.sources import pages as P
 from pageloom.streaming import streams as ST
@@ -334,3 +335,14 @@ def test_stored_tables_are_released(spark, tmp_path):
         path = t.inputFiles()[0].replace("file://", "")
         assert t.count() == 5 and os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_links_of_pages_and_listings_are_split(spark, tmp_path):
+    spark.createDataFrame([(1, "https://a.com/x/", '<a href="/one">One</a><a href="two">Two</a>')], "page_id long, url string, html string") \
+        .write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, "Brand#11", f"part {k}", 9.5, "steel", 3) for k in (1, 2)],
+                          "p_partkey long, p_brand string, p_name string, p_retailprice double, p_type string, p_size int") \
+        .write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["page_id"], r["pos"]): (r["href"], r["internal"]) for r in QUERIES["l2_split_internal_external"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): ("https://a.com/one", True), (1, 1): ("https://www.far.example.org/x/two", False),
+                   (1_000_000_011, 0): ("https://shop.example.com/p/1", True), (1_000_000_011, 1): ("https://www.far.example.org/p/2", False)}
