@@ -845,8 +845,8 @@ def s3_sessions(spark, d):
 @query("s4_stream_dedup")
 def s4(spark, d):
     """The events day by day; the TTL is far shorter than their span."""
-    days = ST.by_day(tbl(spark, d, "events"), "s4-days")
-    ev = ST.event_stream(spark, days, "day=*", max_files=1).withColumn("cache_key", F.concat_ws(":", "user_id", "event_type"))
+    days, files = ST.by_day(tbl(spark, d, "events"), "s4-days", "user_id")
+    ev = ST.event_stream(spark, days, "day=*", max_files=files).withColumn("cache_key", F.concat_ws(":", "user_id", "event_type"))
     done = ST.run_append_to_table(ST.stream_dedup_ttl(ev, ttl_seconds=48 * 3600), "s4")
     return done.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 

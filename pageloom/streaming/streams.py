@@ -69,37 +69,61 @@ def first_in_ttl(stamps: np.ndarray, last: int, ttl: int) -> tuple[np.ndarray, i
     return keep, last
 
 
-def stream_dedup_ttl(requests: DataFrame, key: str = "cache_key", ttl_seconds: int = 3600) -> DataFrame:
+BUCKETS = 1024            # groups of keys, each with one state
+DAY_ROWS = 1_000_000      # rows that one task writes of a day, and reads again, at most about
+
+
+def stream_dedup_ttl(requests: DataFrame, key: str = "cache_key", ttl_seconds: int = 3600, buckets: int = BUCKETS) -> DataFrame:
     """A request is processed unless its key was processed less than the TTL before. The state is one time per
-    key, dropped when the watermark has passed its end; a row that comes out of order meets the key's last processed time."""
-    ttl, schema = ttl_seconds * 1_000_000, requests.schema
+    key, dropped when the watermark has passed its end; a row that comes out of order meets the key's last processed time.
+    Keys are dealt to buckets by their hash; one call and one state serve all keys of a bucket."""
+    ttl, columns = ttl_seconds * 1_000_000, requests.columns
 
     def step(group, frames, state):
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else -1
+        last = dict(zip(*state.get)) if state.exists else {}
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        keep, last = first_in_ttl(rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), last, ttl)
-        if last >= 0:
-            state.update((last,))
-            end = (last + ttl) // 1000
-            if end > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(end)
+        stamps = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        codes, keys = pd.factorize(rows["key of state"], use_na_sentinel=False)
+        own = np.split(np.argsort(codes, kind="stable"), np.cumsum(np.bincount(codes))[:-1])     # places by key, in order of time
+        keep = np.zeros(len(rows), dtype=bool)
+        for k, at in zip(keys, own):
+            k = None if pd.isna(k) else k
+            keep[at], end = first_in_ttl(stamps[at], last.get(k, -1), ttl)
+            if end >= 0:
+                last[k] = end
+        now = state.getCurrentWatermarkMs()
+        last = {k: t for k, t in last.items() if (t + ttl) // 1000 > now}
+        if last:
+            state.update((list(last), list(last.values())))
+            state.setTimeoutTimestamp((max(last.values()) + ttl) // 1000)
+        elif state.exists:
+            state.remove()
         if keep.any():
-            yield rows[keep]
-
-    return requests.withWatermark("ts", f"{ttl_seconds} seconds").groupBy(key).applyInPandasWithState(
-        step, schema, "last long", "append", "EventTimeTimeout")
-
-
-def by_day(events: DataFrame, name: str) -> str:
-    """The events as one file per day, in the order in which a stream with one file per trigger reads them."""
-    out = _scratch(events.sparkSession, name)
-    days = [r["d"] for r in events.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]   # one row per day
-    for d in days:
-        events.where(F.to_date("ts") == F.lit(d)).coalesce(1).write.parquet(f"{out}/day={d}")
-    return out
+            yield rows.loc[keep, columns]
+
+    return requests.withColumn("key of state", F.col(key).cast("string")) \
+        .withColumn("bucket of state", F.pmod(F.xxhash64("key of state"), F.lit(buckets))) \
+        .withWatermark("ts", f"{ttl_seconds} seconds").groupBy("bucket of state").applyInPandasWithState(
+        step, requests.schema, "keys array<string>, lasts array<long>", "append", "EventTimeTimeout")
+
+
+def by_day(events: DataFrame, name: str, key: str, day_rows: int | None = None) -> tuple[str, int]:
+    """The events in folders by day, written in the order in which a stream reads them, and the files that a day has at
+    most. The table is dealt to the days in one pass; a key's rows of a day stand in one file."""
+    spark, out = events.sparkSession, _scratch(events.sparkSession, name)
+    days = events.groupBy(F.to_date("ts").alias("d")).count().where("d is not null").orderBy("d").collect()   # one row per day
+    files = -(-max((r["count"] for r in days), default=1) // (day_rows or DAY_ROWS))
+    part = F.pmod(F.xxhash64(key), F.lit(files))
+    dealt = events.withColumn("day", F.to_date("ts")).where("day is not null").withColumn("part of day", part)
+    dealt.repartition("day", "part of day").write.partitionBy("day", "part of day").parquet(f"{out}-dealt")
+    for r in days:
+        own = spark.read.schema(events.schema).parquet(f"{out}-dealt/day={r['d']}").select(*events.columns)
+        own = own.coalesce(1) if files == 1 else own.repartition(files, part)
+        own.write.parquet(f"{out}/day={r['d']}")
+    return out, files
 
 
 def run_update_to_table(df: DataFrame, name: str, keys: list[str]) -> DataFrame:

@@ -4,7 +4,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from pageloom.plans.registry import QUERIES
 from pageloom.streaming import streams as ST
@@ -37,3 +36,28 @@ def test_streams_over_files_and_folders(spark, tmp_path, parts, name, rows):
     assert len(got) == rows
     if name == "s6_stream_batch_summary":
         assert got[0]["total_processed"] == 12
+
+
+def hours(spark, n, keys, seed=5):
+    draw = random.Random(seed)
+    start = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(start + dt.timedelta(seconds=draw.randrange(20 * 86400)), draw.choice([*keys, None]), i) for i in range(n)],
+                                 "ts timestamp, cache_key string, event_id long")
+
+
+@pytest.mark.parametrize("day_rows", [1000, 10])
+def test_dedup_by_buckets_against_a_plain_loop(spark, day_rows):
+    """Several keys share a bucket, and one call: there were as many calls as keys of a day."""
+    ev = hours(spark, 400, "abcdefghijk")
+    days, files = ST.by_day(ev, "days", "cache_key", day_rows)
+    assert files == 1 or day_rows == 10
+    assert spark.read.parquet(days).drop("day").exceptAll(ev).isEmpty() and spark.read.parquet(days).count() == 400
+    stream = ST.event_stream(spark, days, "day=*", ev.schema, max_files=files)
+    got = ST.run_append_to_table(ST.stream_dedup_ttl(stream, ttl_seconds=48 * 3600, buckets=3), "ttl")
+    want, last = set(), {}
+    for ts, key, i in sorted(((r["ts"], r["cache_key"], r["event_id"]) for r in ev.collect()), key=lambda r: r[0]):
+        if key not in last or (ts - last[key]).total_seconds() >= 48 * 3600:
+            want.add(i)
+            last[key] = ts
+    assert {r["event_id"] for r in got.collect()} == want and got.columns == ev.columns
+    assert got.count() == len(want)
