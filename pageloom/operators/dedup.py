@@ -12,10 +12,11 @@ import difflib
 import json
 import re
 from collections import Counter
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,6 +167,26 @@ class KeptBlocks:
                 self.by_mark.get((t, x), {}).pop(norm, None)
 
 
+FEW_BLOCKS = 256         # blocks that are compared one by one: substring tests are far cheaper than their hashes
+
+
+class FewBlocks:
+    """``KeptBlocks`` of a short text, by a look at each kept block."""
+
+    def __init__(self):
+        self.raw: dict[str, str] = {}
+
+    def offer(self, norm: str, raw: str) -> bool:
+        n = len(norm)
+        if norm in self.raw or any(n > len(k) * BLOCK_CONTAIN and norm in k for k in self.raw):
+            return False
+        inside = [k for k in self.raw if len(k) > n * BLOCK_CONTAIN and k in norm]
+        for k in inside:
+            del self.raw[k]
+        self.raw[norm] = raw
+        return bool(inside)
+
+
 _WS = re.compile(r"\s+")
 
 
@@ -186,8 +207,9 @@ def dedup_blocks_py(text: str | None, on_supersede: str = "replace") -> str | No
     """E4 of one text."""
     if not text:
         return text
-    kept, replaced = KeptBlocks(), False
-    for raw in _split_blocks_py(text):
+    blocks, replaced = _split_blocks_py(text), False
+    kept = FewBlocks() if len(blocks) <= FEW_BLOCKS else KeptBlocks()
+    for raw in blocks:
         norm = _norm_py(raw)
         if len(norm) >= MIN_BLOCK:
             replaced |= kept.offer(norm, raw)
@@ -199,12 +221,7 @@ def dedup_blocks_py(text: str | None, on_supersede: str = "replace") -> str | No
 def dedup_blocks_of(on_supersede: str = "replace"):
     """E4 on every text of an array column, row-local."""
 
-    @_in_place
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def blocks(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else [dedup_blocks_py(t, on_supersede) for t in a] for a in texts])
-
-    return blocks
+    return _in_place(_by_slices(lambda a: None if a is None else [dedup_blocks_py(t, on_supersede) for t in a], T.StringType(), pa.string()))
 
 
 def dedup_blocks(c, on_supersede: str = "replace") -> Column:
@@ -234,10 +251,21 @@ def _section_duplicate(new: str, old: str, threshold: float) -> bool:
     return _above(new, old, threshold)
 
 
+@lru_cache(maxsize=1024)
+def _letters(t: str) -> Counter:
+    return Counter(t)
+
+
 def _above(new: str, old: str, threshold: float) -> bool:
-    """E5 over the threshold; cheap upper bounds first."""
-    m = difflib.SequenceMatcher(None, new, old)
-    return 2 * min(len(new), len(old)) > threshold * (len(new) + len(old)) and m.quick_ratio() > threshold and m.ratio() > threshold
+    """E5 over the threshold; cheap upper bounds first: the lengths, then the characters in common (``quick_ratio``),
+    counted once per text."""
+    both = len(new) + len(old)
+    if not 2 * min(len(new), len(old)) > threshold * both:
+        return False
+    a, b = _letters(new), _letters(old)
+    if not 2.0 * sum(min(n, b[c]) for c, n in a.items()) / both > threshold:
+        return False
+    return difflib.SequenceMatcher(None, new, old).ratio() > threshold
 
 
 def kept_section_places(norms, threshold: float = SECTION_THRESHOLD) -> list[int]:
@@ -249,6 +277,9 @@ def kept_section_places(norms, threshold: float = SECTION_THRESHOLD) -> list[int
     return kept
 
 
+FEW_ITEMS = 32           # items that are compared one by one, without an index
+
+
 class SimilarItems:
     """Kept items, found by a prefix filter on character pairs with a length band.
 
@@ -258,8 +289,9 @@ class SimilarItems:
     rarest first, share one among the first of both: only those are filed and looked up."""
 
     def __init__(self, texts, threshold: float):
-        self.threshold = threshold
-        self.freq = Counter(p for t in texts for p in self._pairs(t))
+        self.threshold, texts = threshold, list(texts)
+        self.few = len(texts) <= FEW_ITEMS
+        self.freq = Counter() if self.few else Counter(p for t in texts for p in self._pairs(t))
         self.by: dict[tuple, list[int]] = {}
         self.texts: list[str] = []
         self.exact: set[str] = set()
@@ -284,7 +316,7 @@ class SimilarItems:
         """Keep ``t`` unless a kept text equals it or is similar."""
         if t in self.exact:
             return False
-        prefix = self._prefix(t)
+        prefix = [None] if self.few else self._prefix(t)
         near = dict.fromkeys(i for p in (*prefix, None) for i in self.by.get(p, ()))
         if prefix == [None]:                      # too short for the filter: all kept ones are looked at
             near = dict.fromkeys(range(len(self.texts)))
@@ -314,16 +346,22 @@ def _in_place(udf):
     return udf.asNondeterministic()
 
 
-@_in_place
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def kept_sections(norms: pd.Series) -> pd.Series:
-    return pd.Series([kept_section_places(list(a)) for a in norms])
+ROWS_AT_ONCE = 64        # rows whose texts are Python objects at one time
+
+
+def _by_slices(of, kind: T.DataType, arrow_kind: pa.DataType):
+    """``of`` on each value of an array column, as arrays of ``kind``. A batch stays in Arrow; a few of its rows at a time become Python objects."""
+    arrow = pa.list_(arrow_kind)
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], arrow), *(
+            pa.array([of(a) for a in values.slice(i, ROWS_AT_ONCE).to_pylist()], arrow) for i in range(0, len(values), ROWS_AT_ONCE))])
+
+    return F.arrow_udf(run, T.ArrayType(kind))
 
 
-@_in_place
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def kept_items(texts: pd.Series) -> pd.Series:
-    return pd.Series([kept_item_places(list(a)) for a in texts])
+kept_sections = _in_place(_by_slices(kept_section_places, T.IntegerType(), pa.int32()))
+kept_items = _in_place(_by_slices(kept_item_places, T.IntegerType(), pa.int32()))
 
 
 # --- corpus scale (E10, E11) -------------------------------------------------

@@ -346,3 +346,42 @@ def test_links_of_pages_and_listings_are_split(spark, tmp_path):
     got = {(r["page_id"], r["pos"]): (r["href"], r["internal"]) for r in QUERIES["l2_split_internal_external"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0): ("https://a.com/one", True), (1, 1): ("https://www.far.example.org/x/two", False),
                    (1_000_000_011, 0): ("https://shop.example.com/p/1", True), (1_000_000_011, 1): ("https://www.far.example.org/p/2", False)}
+
+
+def test_few_blocks_as_by_index():
+    draw = random.Random(3)
+    words = ["alpha beta", "gamma delta", "epsilon zeta eta", "theta iota"]
+    for _ in range(200):
+        few, many = E.FewBlocks(), E.KeptBlocks()
+        for i in range(draw.randrange(1, 30)):
+            t = " ".join(draw.choice(words) for _ in range(draw.randrange(2, 7)))
+            assert few.offer(t, f"{i}") == many.offer(t, f"{i}")
+        assert few.raw == many.raw and list(few.raw) == list(many.raw)
+
+
+def test_similarity_bounds_decide_as_the_ratio():
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abcde ") for _ in range(draw.randrange(1, 60))) for _ in range(60)]
+    texts += [t[:-2] + "xy" for t in texts]
+    assert all(E._above(a, b, 0.75) == (E.difflib.SequenceMatcher(None, a, b).ratio() > 0.75) for a in texts for b in texts)
+
+
+def test_few_rows_are_objects_at_a_time(spark):
+    """A batch of 10,000 pages was turned into Python objects at once."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    seen = []
+    udf = E._by_slices(lambda a: seen.append(a) or a, T.StringType(), pa.string())
+    values = pa.array([["a"], None, []] * 100, pa.list_(pa.string()))
+    assert udf.func(values).to_pylist() == values.to_pylist() and len(seen) == 300
+    df = spark.createDataFrame([(["some words that are long enough", "some words that are long enough", "short"],)], "a array<string>")
+    assert df.select(E.kept_items("a")).first()[0] == [0]
+
+
+def test_item_rows_build_the_items_once(spark):
+    """A filter inferred from the explode built all items three times more."""
+    spec = [ArraySpec("items", "p", (("link", "a"),), None)]
+    rows = A.item_rows(A.absolutize_pages(A.array_pages(pages(spark, PAGE), spec, dedup_items=False), spec))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_entries") == 1
+    assert [r["main_content"] for r in rows.collect()] == ["Some words are here."]
