@@ -126,7 +126,7 @@ def array_pages(pages: DataFrame, specs, exclude=(), dedup_items: bool = True, w
     rows = rows.select(*keep, *[F.size(f"_h{i}").alias(f"_n{i}") for i in range(len(specs))],
                        *[long_items(i).alias(f"_i{i}") for i in range(len(specs))])
     for i in range(len(specs)):
-        kept = dedup.kept_items(F.transform(f"_i{i}", lambda x: x["main_content"])) if dedup_items else             F.transform(f"_i{i}", lambda x, k: k)
+        kept = dedup.kept_items(F.transform(f"_i{i}", lambda x: x["main_content"])) if dedup_items else F.transform(f"_i{i}", lambda x, k: k)
         rows = rows.withColumn(f"_k{i}", kept)
 
     def numbered(i: int) -> Column:
@@ -156,7 +156,9 @@ def array_items(pages: DataFrame, specs, exclude=(), dedup_items: bool = True, w
 def item_rows(rows: DataFrame) -> DataFrame:
     """``array_pages`` rows as one row per item."""
     keep = [c for c in rows.columns if c not in ("arrays", "failure")]
-    return rows.select(*keep, F.explode("arrays").alias("a")).select(*keep, "a.spec", "a.array_name", F.inline("a.items"))
+    # of a plain column the optimiser would infer a filter that evaluates all of ``arrays`` again, below
+    some = F.filter("arrays", lambda a: F.size(a["items"]) > 0)
+    return rows.select(*keep, F.explode(some).alias("a")).select(*keep, "a.spec", "a.array_name", F.inline("a.items"))
 
 
 def absolute_fields(fields: Column, names, base_url: Column) -> Column:
