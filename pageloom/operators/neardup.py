@@ -1,7 +1,7 @@
 """E10, near part: documents whose word shingles overlap, as connected groups.
 
 1. One pass over the lower-cased texts makes shingle sets and MinHash signatures on arrays (``shingles.py``);
-   documents with equal sets are one node.
+   documents with equal sets are one node. Only the nodes that meet another get their sets from the texts again.
 2. Nodes that share a band of their signature meet. Pairs whose sizes or sketches (a byte per slot) rule a link out are
    dropped before any set is fetched. First each node meets the smallest and the largest of its buckets and verifies
    its ``TRIES`` likeliest partners: linear, and enough to group most copies.
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .dedup import bloom_filter
 from .shingles import BANDS, SLOTS, band_keys, common, set_id, shingle_sets, signatures, sketches, text_slices
 
 THRESHOLD = 0.8
@@ -33,11 +34,11 @@ ELEMENTS = 1 << 20        # and shingles of them
 TRIES = 4                 # partners a node verifies before the blocks
 
 _MEETING = ("bucket", "lo", "hi")
-_NODE = "id long, n int, bands array<long>, sketch binary, sh binary"
+_NODE = "id long, n int, bands array<long>, sketch binary"
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) to (key, id, n, bands, sketch, sh); a text without words has no id and no bands."""
+    """(key, text) to (key, id, n, bands, sketch); a text without words has no id and no bands."""
     for batch in batches:
         for row, data, offs in text_slices(batch.column(1)):
             sets = shingle_sets(data, offs)
@@ -50,8 +51,18 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([set_id(x) if x.size else None for x in sets], pa.int64()),
                 pa.array([x.size for x in sets], pa.int32()),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(sig).ravel())),
-                pa.array([next(sketch).tobytes() if x.size else None for x in sets], pa.binary()),
-                pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "id", "n", "bands", "sketch", "sh"])
+                pa.array([next(sketch).tobytes() if x.size else None for x in sets], pa.binary())],
+                names=["key", "id", "n", "bands", "sketch"])
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (key, id, sh)."""
+    for batch in batches:
+        for row, data, offs in text_slices(batch.column(1)):
+            sets = shingle_sets(data, offs)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).slice(row, len(sets)), pa.array([set_id(x) for x in sets], pa.int64()),
+                pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "id", "sh"])
 
 
 def _least(threshold: float) -> int:
@@ -238,8 +249,11 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRES
     rows = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     buckets = stored(rows.join(shared, "bucket"), "buckets")
-    wanted = nodes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", F.col("node").alias("key"))
-    sets = stored(each.select("id", "key", "sh").join(wanted, ["id", "key"], "left_semi").dropDuplicates(["id"]).select("id", "sh"), "sets")
+    # one row of each node that meets another; the filter spares the others' sets, the join is exact
+    wanted = stored(nodes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", F.col("node").alias("key")), "wanted")
+    maybe = bloom_filter(wanted.select(F.xxhash64("key").alias("x")))(F.xxhash64("key"))
+    sets = texts.where(maybe).mapInArrow(_with_sets, f"key {kind}, id long, sh binary")
+    sets = stored(sets.join(wanted, ["id", "key"], "left_semi").dropDuplicates(["id"]).select("id", "sh"), "sets")
 
     # rows that repeat a key have one place in the graph, whatever their texts
     same = nodes.groupBy("node").agg(F.min("id").alias("b"), F.max("id").alias("c")).where("b <> c")
